@@ -10,8 +10,11 @@ Conventions used by every operator here:
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +38,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to Python workers that are not told where it lies."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_cairn_shipped", False):
+        return
+    name = Path(tempfile.mkdtemp(prefix="cairn-package-"), "cairn_package.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted((root / "cairn").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    context.addPyFile(str(name))
+    context._cairn_shipped = True
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound an Arrow batch by bytes as well as rows, as a row may hold megabytes of text."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 

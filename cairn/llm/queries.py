@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, mixing, quality, simhash
+from . import bpe, langid, linededup, mixing, quality, resampling, simhash, tokencount, vectors
 
 QUERIES = {
+    "op1_embedding_near_dedup": vectors.op1,
     "op2_byte_bpe": bpe.op2,
     "op3_simhash_near_dedup": simhash.op3,
     "op4_line_dedup": linededup.op4,
+    "op5_token_counts": tokencount.op5,
     "op6_quality_rules": quality.op6,
+    "op7_quality_classifier": resampling.op7,
     "op9_mixing": mixing.op9,
+    "op10_language_id": langid.op10,
 }
 SQL = {
     "op4_line_dedup": linededup.OP4_SQL,
