@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linededup, mixing, quality, resampling, simhash, tokencount, vectors
+from . import bpe, langid, linededup, mixing, quality, resampling, simhash, suffix, tokencount, vectors
 
 QUERIES = {
     "op1_embedding_near_dedup": vectors.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_counts": tokencount.op5,
     "op6_quality_rules": quality.op6,
     "op7_quality_classifier": resampling.op7,
+    "op8_suffix_array_dedup": suffix.op8,
     "op9_mixing": mixing.op9,
     "op10_language_id": langid.op10,
 }
