@@ -1,0 +1,175 @@
+"""State over time: property graph, memory cells, guards on citations (GR, ST, PF9-PF17)."""
+
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text
+from .rank import ranked
+
+
+def close_contradictions(claims: DataFrame) -> DataFrame:
+    """GR2: claims (subject, predicate, value, valid_from, seq): the next different value ends a claim."""
+    by = Window.partitionBy("subject", "predicate").orderBy("valid_from", "seq")
+    changed = claims.withColumn("before", F.lag("value").over(by)).where(~F.col("before").eqNullSafe(F.col("value"))).drop("before")
+    rows = changed.withColumn("valid_to", F.lead("valid_from").over(by))
+    return rows.withColumn("status", F.when(F.col("valid_to").isNull(), "active").otherwise("contradicted"))
+
+
+def supersede(claims: DataFrame, ended: DataFrame) -> DataFrame:
+    """GR3: ``ended(claim_id, at)`` ends claims by id."""
+    joined = claims.join(ended, "claim_id", "left")
+    return joined.withColumn("status", F.when(F.col("at").isNotNull(), "superseded").otherwise(F.col("status"))).withColumn("valid_to", F.coalesce("at", "valid_to")).drop("at")
+
+
+def latest_properties(updates: DataFrame) -> DataFrame:
+    """GR4: the last value of each property."""
+    return updates.groupBy("entity", "name").agg(F.max_by("value", F.struct("at", "seq")).alias("value"))
+
+
+def resolve_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """GR1: mentions (mention_id, kind, name) to entities (entity_id, kind, alias) of one normalised name: one, none, or several."""
+    keyed = mentions.select("mention_id", "kind", text.surface_key(F.col("name")).alias("key"))
+    known = entities.select("entity_id", "kind", text.surface_key(F.col("alias")).alias("key")).distinct()
+    found = keyed.join(known, ["kind", "key"], "left").groupBy("mention_id").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("one"))
+    return found.select("mention_id", F.when(F.col("n") == 1, F.col("one")).alias("entity_id"), F.when(F.col("n") == 1, "reused").when(F.col("n") == 0, "new").otherwise("ambiguous").alias("decision"))
+
+
+def two_hop(seeds: DataFrame, relations: DataFrame, hops: int = 2) -> DataFrame:
+    """GR6: seeds (seed) over undirected relations (a, b): (seed, node, hop) with the fewest hops."""
+    both = relations.select("a", "b").unionByName(relations.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    reached = frontier = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast("long").alias("hop"))
+    for hop in range(1, hops + 1):
+        frontier = frontier.join(both, frontier["node"] == both["a"]).select("seed", F.col("b").alias("node"), F.lit(hop).cast("long").alias("hop")).distinct()
+        reached = reached.unionByName(frontier)
+    return reached.groupBy("seed", "node").agg(F.min("hop").alias("hop"))
+
+
+def projection(claims: DataFrame) -> DataFrame:
+    """GR7: kind -> entity -> predicates with their current values."""
+    rows = claims.where("status = 'active'").groupBy("kind", "subject").agg(F.array_sort(F.collect_list(F.struct("predicate", "value"))).alias("facts"))
+    return rows.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("subject", "facts"))).alias("entities"))
+
+
+def observations(updates: DataFrame) -> DataFrame:
+    """ST2: updates (pointer, value, effective_at, seq): the current value is that of the latest effective time.
+
+    A value that comes late is history at once; of one time the later update wins. Equal values in a row are one.
+    """
+    by = Window.partitionBy("pointer").orderBy("effective_at", "seq")
+    rows = updates.withColumn("before", F.lag("value").over(by)).where(~F.col("before").eqNullSafe(F.col("value")))
+    return rows.groupBy("pointer").agg(F.max_by("value", F.struct("effective_at", "seq")).alias("current"), (F.count("*") - 1).alias("history"))
+
+
+CELLS = "case_id long, seq long, pointer string, accepted boolean, reason string, cell string"
+
+
+def apply_updates(updates: DataFrame) -> DataFrame:
+    """ST1, ST3, ST4: updates (case_id, seq, pointer, memory_type, mode, value) applied in order, a decision each.
+
+    ``set`` replaces and keeps the old value as history, ``append`` adds what is not there yet, ``observe`` is a set
+    that goes to the nearest existing parent cell. An update that does not fit is rejected and the rest goes on. A case
+    is folded in one task; cases run side by side.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        cells, out = {}, []
+        for r in rows.sort_values("seq").itertuples():
+            at, reason = r.pointer, ""
+            if r.mode == "observe" and at not in cells:
+                parents = [at[:i] for i in range(len(at) - 1, 0, -1) if at[i] == "/"]
+                at = next((p for p in parents if p in cells), at)
+            cell = cells.get(at)
+            if cell and cell["type"] != r.memory_type:
+                reason = "type conflict"
+            elif r.mode == "append" and cell and not isinstance(cell["current"], list):
+                reason = "not a list"
+            elif r.mode == "append":
+                cell = cells.setdefault(at, {"type": r.memory_type, "current": [], "history": []})
+                if r.value not in cell["current"]:
+                    cell["current"].append(r.value)
+            elif cell is None:
+                cell = cells[at] = {"type": r.memory_type, "current": r.value, "history": []}
+            elif cell["current"] != r.value:
+                cell["history"].append(cell["current"])
+                cell["current"] = r.value
+            out.append((r.case_id, r.seq, at, not reason, reason, json.dumps(cells.get(at), sort_keys=True)))
+        return pd.DataFrame(out, columns=["case_id", "seq", "pointer", "accepted", "reason", "cell"])
+
+    return updates.groupBy("case_id").applyInPandas(fold, CELLS)
+
+
+def leaf_pointers(documents: DataFrame) -> DataFrame:
+    """FJ3, FJ4: ``documents(id, json)`` -> (id, pointer, value) of each leaf; arrays and references are leaves."""
+
+    def leaves(batches):
+        for b in batches:
+            out = []
+            for id_, doc in zip(b["id"], b["json"], strict=True):
+                todo = [("", json.loads(doc))] if doc else []
+                while todo:
+                    at, value = todo.pop()
+                    if isinstance(value, dict) and value and "$ref" not in value:
+                        todo += [(at + "/" + k.replace("~", "~0").replace("/", "~1"), v) for k, v in value.items()]
+                    else:
+                        out.append((id_, at, json.dumps(value, sort_keys=True)))
+            yield pd.DataFrame(out, columns=["id", "pointer", "value"])
+
+    return documents.select("id", "json").mapInPandas(leaves, "id long, pointer string, value string")
+
+
+def under_pointer(sources: DataFrame, pointers: DataFrame) -> DataFrame:
+    """ST14: sources whose pointer is one of ``pointers`` or lies below it, by their ancestors: an equi-join."""
+    parts = F.split("pointer", "/")
+    ancestors = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return sources.withColumn("root", F.explode(ancestors)).join(pointers.select(F.col("pointer").alias("root")), "root")
+
+
+def redundant_parents(updates: DataFrame) -> DataFrame:
+    """ST15: updates whose path is a strict prefix of another one's in the batch go."""
+    parts = F.split("pointer", "/")
+    above = updates.select("batch", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("pointer")).distinct()
+    return updates.join(above, ["batch", "pointer"], "left_anti")
+
+
+def citation_kinds(citations: DataFrame, turns: DataFrame, selected: DataFrame) -> DataFrame:
+    """PF9-PF12: each citation (question_id, position, session_id, turn_index) as the first of unknown_session,
+    not_selected, unknown_turn, turn_not_selected, duplicate, valid; a null turn cites the session."""
+    sizes = turns.groupBy("session_id").agg(F.count("*").alias("n"))
+    chosen = selected.groupBy("question_id", "session_id").agg(F.collect_set("turn_index").alias("picked"))
+    twice = F.row_number().over(Window.partitionBy("question_id", "session_id", "turn_index").orderBy("position")) > 1
+    rows = citations.withColumn("twice", twice).join(sizes, "session_id", "left").join(chosen, ["question_id", "session_id"], "left")
+    turn = F.col("turn_index")
+    kind = (
+        F.when(F.col("n").isNull(), "unknown_session").when(F.col("picked").isNull(), "not_selected").when(turn.isNotNull() & ~turn.between(0, F.col("n") - 1), "unknown_turn")
+        .when(turn.isNotNull() & ~F.array_contains("picked", turn), "turn_not_selected").when(F.col("twice"), "duplicate").otherwise("valid")
+    )
+    return rows.select("question_id", "position", "session_id", "turn_index", kind.alias("kind"))
+
+
+def date_filter(hits: DataFrame, ranges: DataFrame, least: int = 3) -> DataFrame:
+    """PF6: hits (question_id, session_id, date, rank) within the question's range, if ``least`` survive; ranked again."""
+    joined = hits.join(ranges, "question_id", "left").withColumn("inside", F.coalesce(F.col("date").between(F.col("lo"), F.col("hi")), F.lit(True)))
+    n = F.count_if("inside").over(Window.partitionBy("question_id"))
+    kept = joined.withColumn("n", n).where(F.col("inside") | (F.col("n") < least)).drop("n", "inside", "lo", "hi", "rank")
+    return ranked(kept.join(hits.select("question_id", "session_id", F.col("rank").alias("old")), ["question_id", "session_id"]), ["question_id"], [F.asc("old")]).drop("old")
+
+
+def relocate(evidence: DataFrame, turns: DataFrame) -> DataFrame:
+    """ST11: evidence (id, session_id, turn_index, excerpt) where it says, or in the one other turn of its session that holds it."""
+    joined = evidence.join(turns.select("session_id", F.col("turn_index").alias("t"), "content"), "session_id").where(F.contains(text.evidence_text(F.col("content")), text.evidence_text(F.col("excerpt"))))
+    found = joined.groupBy("id").agg(F.bool_or(F.col("t") == F.col("turn_index")).alias("here"), F.count("*").alias("n"), F.min("t").alias("other"))
+    out = evidence.join(found, "id", "left")
+    return out.select("id", F.when(F.col("here"), F.col("turn_index")).when(F.col("n") == 1, F.col("other")).alias("turn_index"), F.when(F.col("here"), "exact").when(F.col("n") == 1, "moved").otherwise("lost").alias("how"))
+
+
+def signal_coverage(signals: DataFrame, updates: DataFrame) -> DataFrame:
+    """ST10: a signal (id, session_id, turn_index, sentence) is covered if an update cites its turn with all its anchors."""
+    cited = updates.select("session_id", "turn_index", text.coverage_anchors(F.col("value")).alias("has"))
+    joined = signals.join(cited, ["session_id", "turn_index"], "left").withColumn("covered", F.size(F.array_except(text.coverage_anchors(F.col("sentence")), F.coalesce("has", F.array().cast("array<string>")))) == 0)
+    rows = joined.groupBy("id").agg(F.coalesce(F.bool_or(F.col("has").isNotNull() & F.col("covered")), F.lit(False)).alias("c"))
+    return rows.select("id", F.when(F.col("c"), "graph_covered").otherwise("session_index_fallback").alias("coverage"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from . import evaluation, retrieval
+
+MODULES = [retrieval, evaluation]
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return retrieval.session_ranks(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: s for m in MODULES for name, s in m.SQL.items()}
