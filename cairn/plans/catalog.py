@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, retrieval
+from . import evaluation, relational, retrieval, scalar, state
 
-MODULES = [retrieval, evaluation]
+MODULES = [retrieval, evaluation, scalar, state, relational]
 
 
 def flagship(spark, sf_dir):

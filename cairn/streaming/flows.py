@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .. import operators  # noqa: F401
+def micros(ts: str):
+    """Microseconds since 1970; times without a zone are read in the session's, which should be UTC."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def batches_of(rows: DataFrame, key: str, order: list[str], size: int, flush: bool = False) -> DataFrame:
@@ -41,7 +43,7 @@ def stream_batches(rows: DataFrame, key: str, order: str, value: str, size: int)
 
 def window_load(events: DataFrame, key: str, seconds: int, amount: str, inclusive: bool = True) -> DataFrame:
     """SS6: the amount a key within the last ``seconds``, up to each row. The host's edge leaves the oldest instant out."""
-    at = F.unix_micros("ts")
+    at = micros("ts")
     back = seconds * 1_000_000 - (0 if inclusive else 1)
     by = Window.partitionBy(key).orderBy(at)
     return events.withColumn("load", F.sum(amount).over(by.rangeBetween(-back, 0))).withColumn("active", F.count("*").over(by.rangeBetween(-back, 0)))

@@ -1,0 +1,155 @@
+"""Operators on literal rows, and invariants of the folds."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from cairn.functions import dates, text
+from cairn.operators import memory, rank, reports, sampling, spans, windows
+from cairn.sources import tables
+from cairn.streaming import flows
+
+
+def one(spark, column, **values):
+    names = list(values)
+    return spark.createDataFrame([tuple(values[n] for n in names)], ", ".join(f"{n} {'string' if isinstance(values[n], str) else 'int'}" for n in names)).select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize(("token", "stem"), [("stories", "story"), ("running", "runn"), ("walked", "walk"), ("books", "book"), ("cars", "cars"), ("does", "does"), ("ties", "ties"), ("as", "as")])
+def test_stem(spark, token, stem):
+    assert one(spark, text.stem(F.col("t")), t=token) == stem
+
+
+def test_tokens_drop_stops_after_stemming(spark):
+    assert one(spark, text.tokens(F.col("t")), t="Having_the BOOKS, ‘I’ does 7 x may-be") == ["hav", "book", "may"]
+    assert one(spark, text.temporal_terms(text.tokens(F.col("t"))), t="may 2023 may") == ["may", "2023"]
+
+
+def test_shapes_and_clips(spark):
+    assert one(spark, text.query_shape(F.col("t")), t="How many did I see last week?") == "order"
+    assert one(spark, text.query_shape(F.col("t")), t="How many cups?") == "aggregate"
+    assert one(spark, text.query_shape(F.col("t")), t="What do I use now") == "update-conflict"
+    assert one(spark, text.clip(F.col("t"), 6), t="ab   cd efg") == "ab cd…"
+    assert one(spark, text.normalise_full(F.col("t")), t="ﬁne_A") == "fine a"
+    assert one(spark, text.sentences(F.col("t")), t="One. Two!\n\nThree") == ["One.", "Two!", "Three"]
+    with pytest.raises(ValueError, match="missing"):
+        text.render("{{a}} {{b}}", {"a": F.lit("x")})
+    assert one(spark, text.render("{{a}}-{{b}}", {"a": F.col("t"), "b": F.lit("y")}), t="x") == "x-y"
+
+
+def test_dates_and_operands(spark):
+    assert one(spark, dates.session_date(F.col("t")), t="2023/05/17 (Wed) 10:00") == datetime.date(2023, 5, 17)
+    assert one(spark, dates.session_date(F.col("t")), t="2023/05/17 10:00") is None
+    assert one(spark, dates.clock_times(F.col("t")), t="at 7pm, 12:30 am and 13 pm") == ["19:00", "00:30"]
+    assert [tuple(x) for x in one(spark, dates.durations(F.col("t")), t="three weeks and 2.5 hours")] == [("three weeks", 3.0, "week"), ("2.5 hours", 2.5, "hour")]
+    assert [tuple(x)[1:] for x in one(spark, dates.frequencies(F.col("t")), t="twice or 3 times a week")] == [(3.0, "times_per_week")]
+    assert [tuple(x) for x in one(spark, dates.number_ranges(F.col("t")), t="3-5 days, 10–20")] == [(3.0, 5.0, "day"), (10.0, 20.0, None)]
+    assert one(spark, dates.pointer_unescape(dates.pointer_escape(F.col("t"))), t="a/b~c") == "a/b~c"
+    assert one(spark, dates.udf_canonical_json(F.col("t")), t='{"b": 1, "a": [1, 2]}') == '{"a":[1,2],"b":1}'
+
+
+@pytest.mark.parametrize(("n", "width", "stride", "want"), [(3, 4, 2, [(0, 2)]), (5, 2, 1, [(0, 1), (1, 2), (2, 3), (3, 4)]), (6, 4, 2, [(0, 3), (2, 5)]), (7, 4, 2, [(0, 3), (2, 5), (4, 6)])])
+def test_window_bounds(spark, n, width, stride, want):
+    assert [tuple(x) for x in one(spark, windows.window_bounds(F.col("n"), width, stride), n=n)] == want
+
+
+def test_bm25_counts_empty_documents_and_breaks_ties(spark):
+    docs = spark.createDataFrame([(1, "red apple"), (2, "red apple"), (3, ""), (4, "green pear")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "apple apple red")], "question_id long, question string")
+    got = rank.bm25(docs, asked).collect()
+    assert [(r.doc_id, r.rank, r.matched) for r in got] == [(1, 1, 2), (2, 2, 2)]
+    import math
+
+    idf = math.log(1 + (4 - 2 + 0.5) / 2.5)
+    assert got[0].score == pytest.approx(2 * idf * 2.5 / (1 + 1.5 * (0.1 + 0.9 * 2 / 1.5)))
+
+
+def test_intervals_and_budget(spark):
+    hits = spark.createDataFrame([(1, 7, 0, 3, 2, 1.0), (1, 7, 4, 5, 1, 2.0), (1, 7, 8, 9, 3, 0.5)], "question_id long, session_id long, start_turn long, end_turn long, rank long, score double")
+    got = sorted((r.start_turn, r.end_turn, r.best_rank) for r in spans.merge_intervals(hits, ["question_id", "session_id"]).collect())
+    assert got == [(0, 5, 1), (8, 9, 3)]
+    pool = spark.createDataFrame([(1, i, 0, i + 1, c) for i, c in enumerate([90, 60, 30, 5])], "question_id long, session_id long, start_turn long, best_rank long, chars long")
+    assert sorted(r.chars for r in spans.greedy_budget(pool, 100).collect()) == [5, 90]
+    assert sorted(r.chars for r in spans.greedy_budget(pool, 10).collect()) == [90]
+
+
+def test_package_phases_stop_but_later_ones_run(spark):
+    refs = spark.createDataFrame([(1, 0, 0, 1, 0, 50), (1, 0, 1, 1, 1, 60), (1, 0, 2, 1, 2, 5), (1, 1, 0, 1, 2, 5), (1, 1, 1, 1, 0, 50), (1, 2, 0, 2, 0, 30)], "question_id long, phase int, position int, session_id long, turn_index long, chars long")
+    got = [(r.phase, r.session_id, r.turn_index) for r in spans.context_package(refs, 10, 100).orderBy("place").collect()]
+    assert got == [(0, 1, 0), (1, 1, 2), (2, 2, 0)]
+
+
+def test_set_cover_prefers_new_facets(spark):
+    rows = spark.createDataFrame([(1, 1, ["a", "b"], 1, 0.1), (1, 2, ["a"], 1, 0.9), (1, 3, ["c"], 1, 0.0)], "question_id long, session_id long, facets array<string>, weight int, score double")
+    assert [r.session_id for r in spans.set_cover(rows, 3).orderBy("place").collect()] == [1, 3, 2]
+
+
+def test_memory_updates(spark):
+    rows = [(1, 1, "/a", "state", "set", "x"), (1, 2, "/a", "state", "set", "y"), (1, 3, "/a/b", "state", "observe", "z"), (1, 4, "/a", "list", "append", "w"), (1, 5, "/l", "list", "append", "w"), (1, 6, "/l", "list", "append", "w")]
+    got = memory.apply_updates(spark.createDataFrame(rows, "case_id long, seq long, pointer string, memory_type string, mode string, value string")).orderBy("seq").collect()
+    assert [(r.pointer, r.accepted) for r in got] == [("/a", True), ("/a", True), ("/a", True), ("/a", False), ("/l", True), ("/l", True)]
+    assert '"history": ["x", "y"]' in got[2].cell and '"current": ["w"]' in got[5].cell
+
+
+def test_relocation_and_coverage(spark):
+    turns = spark.createDataFrame([(1, 0, "I said “hello there” twice"), (1, 1, "nothing"), (1, 2, "bye on Monday 7")], "session_id long, turn_index long, content string")
+    evidence = spark.createDataFrame([(1, 1, 0, '"hello there" twice'), (2, 1, 1, "bye on monday".title().replace("On", "on")), (3, 1, 1, "absent")], "id long, session_id long, turn_index long, excerpt string")
+    assert {r.id: (r.turn_index, r.how) for r in memory.relocate(evidence, turns).collect()}[3] == (None, "lost")
+    signals = spark.createDataFrame([(1, 1, 2, "bye on Monday 7"), (2, 1, 0, "three of them")], "id long, session_id long, turn_index long, sentence string")
+    updates = spark.createDataFrame([(1, 2, "monday 7"), (1, 0, "none")], "session_id long, turn_index long, value string")
+    assert {r.id: r.coverage for r in memory.signal_coverage(signals, updates).collect()} == {1: "graph_covered", 2: "session_index_fallback"}
+
+
+def test_reports(spark):
+    rows = spark.createDataFrame([("a", "s", True), ("a", "s", False), ("b", "t", True)], "question_type string, stratum string, correct boolean")
+    got = {r.level: r.accuracy for r in reports.accuracy_report(rows).collect()}
+    assert got["overall"] == pytest.approx(0.666667) and got["task averaged"] == 0.75
+    with pytest.raises(Exception, match="unknown stratum"):
+        reports.post_stratified(rows, spark.createDataFrame([("s", 5)], "stratum string, population long")).collect()
+    assert sampling.same_ids(rows.select("question_type"), rows.select("question_type"), "question_type").count() == 0
+
+
+def test_cases_and_violations(spark, tmp_path):
+    path = tmp_path / "cases.json"
+    path.write_text('[{"question_id": "q1", "question_type": "t", "question": "x", "haystack_session_ids": ["a", "b", "a"], "haystack_dates": ["1", "2", "3"], "haystack_sessions": [[{"role": "user", "content": "hi"}], [], []]}, {"question_id": "q2", "question_type": "odd", "question": " ", "haystack_session_ids": ["a"], "haystack_dates": [], "haystack_sessions": [[{"role": "system", "content": "hi"}]]}]')
+    cases = tables.read_cases(spark, str(path))
+    assert [(r.session_id, r.position) for r in tables.sessions_of(cases).where("question_id = 'q1'").orderBy("position").collect()] == [("a", 0), ("b", 1)]
+    assert {r.problem for r in tables.violations(cases, ["t"]).collect()} == {"unknown type", "array lengths", "blank question", "turn role"}
+    tables.write_once(cases, str(tmp_path / "out"))
+    with pytest.raises(Exception, match="exists"):
+        tables.write_once(cases, str(tmp_path / "out"))
+    assert tables.checksums(spark, str(tmp_path / "out")).count() >= 1
+
+
+def test_streams_equal_their_batch_twins(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 2, i, f"v{i}") for i in range(11)], "k long, pos long, v string").repartition(3)
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, pos long, v string").parquet(str(tmp_path / "in"))
+    q = flows.stream_batches(stream, "k", "pos", "v", 2).writeStream.format("memory").queryName("full").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.k, r.batch): len(r["items"]) for r in spark.table("full").collect()}
+    want = {(r.k, r.batch) for r in flows.batches_of(rows, "k", ["pos"], 2).collect()}
+    assert set(got) == want and set(got.values()) == {2}
+    for run in ("c2", "c3"):  # delivered twice, kept once
+        flows.ingest(stream, str(tmp_path / "out"), ["k", "pos"], str(tmp_path / run)).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 11
+
+
+def test_retrieval_does_not_see_gold():
+    import inspect
+
+    for module in (rank, windows, spans):
+        assert "gold" not in inspect.getsource(module)
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} common {'x' * (i % 5)}") for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "common word3"), (2, "word5")], "question_id long, question string")
+    seen = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "8", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.append([tuple(r) for r in rank.bm25(docs, asked).orderBy("question_id", "rank").collect()])
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
