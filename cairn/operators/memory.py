@@ -173,3 +173,53 @@ def signal_coverage(signals: DataFrame, updates: DataFrame) -> DataFrame:
     joined = signals.join(cited, ["session_id", "turn_index"], "left").withColumn("covered", F.size(F.array_except(text.coverage_anchors(F.col("sentence")), F.coalesce("has", F.array().cast("array<string>")))) == 0)
     rows = joined.groupBy("id").agg(F.coalesce(F.bool_or(F.col("has").isNotNull() & F.col("covered")), F.lit(False)).alias("c"))
     return rows.select("id", F.when(F.col("c"), "graph_covered").otherwise("session_index_fallback").alias("coverage"))
+
+
+def point_in_time(updates: DataFrame, batch: int) -> DataFrame:
+    """ST18: observations as they stood after a batch."""
+    return observations(updates.where(F.col("batch") <= batch))
+
+
+def replay_differs(updates: DataFrame, recorded: DataFrame) -> DataFrame:
+    """ST9, ST17: apply the log again; decisions whose cell's hash is not the recorded one."""
+    again = apply_updates(updates).select("case_id", "seq", F.sha2("cell", 256).alias("again"))
+    return again.join(recorded.select("case_id", "seq", "hash"), ["case_id", "seq"], "full_outer").where(~F.col("again").eqNullSafe(F.col("hash")))
+
+
+def patched(cells: DataFrame, patches: DataFrame) -> DataFrame:
+    """ST5: one batch of add, replace, remove and move patches (op, pointer, to, value) over cells (pointer, value).
+
+    A remove or move takes everything below its pointer along; patches of a batch touch different pointers.
+    """
+    moves = patches.where(F.col("op").isin("move", "remove")).select(F.col("pointer").alias("root"), "op", "to")
+    gone = under_pointer(cells, moves.select(F.col("root").alias("pointer"))).select("pointer", "root").distinct()
+    kept = cells.join(gone.select("pointer"), "pointer", "left_anti")
+    moved = cells.join(gone, "pointer").join(moves.where("op = 'move'"), "root").select(F.concat("to", F.expr("substring(pointer, length(root) + 1)")).alias("pointer"), "value")
+    put = patches.where(F.col("op").isin("add", "replace")).select("pointer", "value")
+    return kept.join(put.select("pointer"), "pointer", "left_anti").unionByName(moved).unionByName(put)
+
+
+def migration_losses(before: DataFrame, after: DataFrame) -> DataFrame:
+    """ST6: leaves (pointer, value) and sources of the old graph that the new one lacks."""
+    return before.select("value", "source").distinct().join(after.select("value", "source").distinct(), ["value", "source"], "left_anti")
+
+
+def first_resolutions(resolutions: DataFrame, signals: DataFrame) -> DataFrame:
+    """ST16: the first resolution of each known signal; unknown ones are ignored."""
+    return ranked(resolutions.join(signals.select("signal_id"), "signal_id", "left_semi"), ["signal_id"], [F.asc("position")], 1, "n").drop("n")
+
+
+def session_audit(cited: DataFrame, ignored: DataFrame, batch: DataFrame) -> DataFrame:
+    """ST8: sessions of a batch cited and ignored at once, or neither; names outside the batch."""
+    c, i, b = (df.select("session_id").distinct().withColumn(n, F.lit(True)) for df, n in ((cited, "c"), (ignored, "i"), (batch, "b")))
+    rows = b.join(c, "session_id", "full_outer").join(i, "session_id", "full_outer")
+    kind = F.when(F.col("b").isNull(), "outside").when(F.col("c") & F.col("i"), "cited and ignored").when(F.col("c").isNull() & F.col("i").isNull(), "missing")
+    return rows.select("session_id", kind.alias("warning")).where("warning is not null")
+
+
+def valid_sources(updates: DataFrame, turns: DataFrame, batch: DataFrame) -> DataFrame:
+    """ST7, GR5: updates (id, session_id, turn_index) with whether they cite a turn that exists in the batch, and why not."""
+    sizes = turns.groupBy("session_id").agg(F.count("*").alias("n"))
+    rows = updates.join(sizes, "session_id", "left").join(batch.select("session_id").distinct().withColumn("here", F.lit(True)), "session_id", "left")
+    reason = F.when(F.col("here").isNull(), "not in batch").when(F.col("n").isNull() | ~F.col("turn_index").between(0, F.col("n") - 1), "no such turn").otherwise("")
+    return rows.select("id", (reason == "").alias("accepted"), reason.alias("reason"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, relational, retrieval, scalar, state
+from . import evaluation, graph, relational, retrieval, scalar, state
 
-MODULES = [retrieval, evaluation, scalar, state, relational]
+MODULES = [retrieval, evaluation, scalar, state, relational, graph]
 
 
 def flagship(spark, sf_dir):
