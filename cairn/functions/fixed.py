@@ -39,3 +39,12 @@ TEMPORAL_QUESTION = r"\b(?:before|after|ago|when|how long|days?|weeks?|months?|y
 # Ranking constants.
 BM25_K1, BM25_B, TEMPORAL_BOOST = 1.5, 0.9, 0.15
 RRF_K = 60
+
+# What a secret looks like, and names of fields that hold one.
+SECRET_VALUE = r"(?i)(sk-[a-z0-9_-]{12,}|AIza[a-z0-9_-]{12,}|Bearer\s+[a-z0-9._-]{12,})"
+SECRET_FIELDS = ["api_key", "authorization", "authorization_header", "auth_header", "bearer", "secret", "password", "access_token", "refresh_token", "id_token"]
+
+# The suffix rules of the English stemmer, in order; the first that fits decides its step.
+STEM_STEP_2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
+STEM_STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEM_STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -173,8 +175,6 @@ def restates(question: Column, answer: Column) -> Column:
 
 def render(template: str, values: dict[str, Column]) -> Column:
     """FN25: fill ``{{name}}``; names that are missing or not used are errors."""
-    import re
-
     wanted = set(re.findall(r"\{\{(\w+)\}\}", template))
     if wanted != set(values):
         raise ValueError(f"missing {sorted(wanted - set(values))}, unused {sorted(set(values) - wanted)}")
@@ -186,13 +186,33 @@ def render(template: str, values: dict[str, Column]) -> Column:
 
 def redact(c: Column) -> Column:
     """FN28: values that look like secrets."""
-    c = F.regexp_replace(c, r"\b(?:sk|pk|rk|ghp|xox[abp])[-_][A-Za-z0-9_-]{8,}", "[redacted]")
-    return F.regexp_replace(c, r"(?i)\b(bearer|api[_-]?key|token|secret|password)\b(\s*[:=]\s*|\s+)\S{6,}", "$1$2[redacted]")
+    return F.regexp_replace(c, fixed.SECRET_VALUE, "[REDACTED]")
+
+
+@F.pandas_udf(T.StringType())
+def udf_redact_json(s: pd.Series) -> pd.Series:
+    """FN28: JSON with secret-looking values and values of secret-named keys replaced; keys that are pointers are data."""
+    secret = re.compile(fixed.SECRET_VALUE)
+
+    def named(key: str) -> bool:
+        if re.fullmatch(r"(?:/(?:[^~]|~[01])*)?", key):
+            return False
+        flat = re.sub(r"[^A-Za-z0-9]+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", key)).lower()
+        return any(flat == f or flat.endswith("_" + f) for f in fixed.SECRET_FIELDS)
+
+    def clean(value):
+        if isinstance(value, dict):
+            return {k: "[REDACTED]" if named(k) else clean(v) for k, v in value.items()}
+        if isinstance(value, list):
+            return [clean(v) for v in value]
+        return secret.sub("[REDACTED]", value) if isinstance(value, str) else value
+
+    return s.map(lambda x: None if x is None else json.dumps(clean(json.loads(x)), sort_keys=True))
 
 
 def has_secret(c: Column) -> Column:
     """FN29."""
-    return c.rlike(r"\b(?:sk|pk|rk|ghp|xox[abp])[-_][A-Za-z0-9_-]{8,}")
+    return c.rlike(fixed.SECRET_VALUE)
 
 
 def slug(c: Column) -> Column:

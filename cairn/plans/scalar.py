@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, fixed, text
+from ..functions import dates, fixed, stemmer, text
 from ..sources import tables
 from . import sql
 
@@ -128,11 +128,17 @@ def set_and_array_functions(spark, sf_dir):
     return d.join(b, "item_id").select("item_id", "other", text.overlap(F.col("t"), F.col("u")).cast("long").alias("shared"), dates.adjacent_turns(F.lit("assistant"), i, F.lit(5)).alias("near"))
 
 
-@query("redaction", """WITH t AS (SELECT doc_id, coalesce(text, '') || ' key sk-' || md5(CAST(doc_id AS VARCHAR)) || ' end' AS x FROM documents)
-SELECT doc_id, regexp_matches(x, '\\b(?:sk|pk|rk|ghp|xox[abp])[-_][A-Za-z0-9_-]{8,}') AS secret FROM t""")
+@query("redaction", f"""WITH t AS (SELECT doc_id, coalesce(text, '') || ' key sk-' || md5(CAST(doc_id AS VARCHAR)) || ' end' AS x FROM documents)
+SELECT doc_id, regexp_matches(x, '{fixed.SECRET_VALUE}') AS secret, md5(regexp_replace(x, '{fixed.SECRET_VALUE}', '[REDACTED]', 'g')) AS clean FROM t""")
 def redaction(spark, sf_dir):
     d = tables.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" key sk-"), F.md5(F.col("doc_id").cast("string")), F.lit(" end")).alias("x"))
-    return d.select("doc_id", (text.has_secret(F.col("x")) & ~text.has_secret(text.redact(F.col("x")))).alias("secret"))
+    return d.select("doc_id", text.has_secret(F.col("x")).alias("secret"), F.md5(text.redact(F.col("x"))).alias("clean"))
+
+
+@query("stems")
+def stems(spark, sf_dir):
+    """The suffix-stripping stemmer over the turns' words."""
+    return tables.turns(spark, sf_dir).select("session_id", "turn_index", joined(stemmer.udf_stems(text.plain_terms(F.col("content")))).alias("stems"))
 
 
 @query("canonical_payloads")
