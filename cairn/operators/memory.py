@@ -223,3 +223,41 @@ def valid_sources(updates: DataFrame, turns: DataFrame, batch: DataFrame) -> Dat
     rows = updates.join(sizes, "session_id", "left").join(batch.select("session_id").distinct().withColumn("here", F.lit(True)), "session_id", "left")
     reason = F.when(F.col("here").isNull(), "not in batch").when(F.col("n").isNull() | ~F.col("turn_index").between(0, F.col("n") - 1), "no such turn").otherwise("")
     return rows.select("id", (reason == "").alias("accepted"), reason.alias("reason"))
+
+
+def relocate_fuzzy(evidence: DataFrame, turns: DataFrame, least: float = 0.84, margin: float = 0.08) -> DataFrame:
+    """ST11: evidence (id, session_id, excerpt) -> the turn of its session whose best window of as many tokens shares the
+    most, repeats counted, if that is ``least`` or more and ``margin`` better than any other turn's."""
+    wanted = evidence.select("id", "session_id", text.plain_terms(F.col("excerpt")).alias("want"))
+    held = turns.select("session_id", "turn_index", text.plain_terms(F.col("content")).alias("have"))
+
+    def score(batches):
+        from collections import Counter
+
+        for b in batches:
+            out = []
+            for want, have in zip(b["want"], b["have"], strict=True):
+                n, need = len(want), Counter(want)
+                best = 0
+                for i in range(max(len(have) - n, 0) + 1):
+                    best = max(best, sum((need & Counter(have[i : i + n])).values()))
+                out.append(best / n if n else 0.0)
+            yield b[["id", "turn_index"]].assign(score=out)
+
+    rows = wanted.join(held, "session_id").select("id", "turn_index", "want", "have").mapInPandas(score, "id long, turn_index long, score double")
+    by = Window.partitionBy("id").orderBy(F.desc("score"), "turn_index")
+    two = rows.withColumn("n", F.row_number().over(by)).withColumn("next", F.lead("score").over(by)).where("n = 1")
+    return two.where((F.col("score") >= least) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= margin)).select("id", "turn_index", "score")
+
+
+def operand_updates(turns: DataFrame) -> DataFrame:
+    """ST12: updates that a user turn's durations, frequencies and ranges state by themselves."""
+    from ..functions import dates
+
+    c = F.col("content")
+    kinds = {"duration": dates.durations(c), "frequency": dates.frequencies(c)}
+    user = turns.where("role = 'user'")
+    parts = [user.select("session_id", "turn_index", F.lit(name).alias("kind"), F.explode(found).alias("o")).select("session_id", "turn_index", "kind", "o.surface", "o.value", "o.unit") for name, found in kinds.items()]
+    ranges = user.select("session_id", "turn_index", F.lit("range").alias("kind"), F.explode(dates.number_ranges(c)).alias("o"))
+    parts.append(ranges.select("session_id", "turn_index", "kind", F.concat_ws("-", F.col("o.lo").cast("string"), F.col("o.hi").cast("string")).alias("surface"), F.col("o.lo").alias("value"), "o.unit"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

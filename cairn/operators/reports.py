@@ -134,3 +134,24 @@ def issues(found: dict[str, DataFrame]) -> DataFrame:
 def forbidden_paths(leaves: DataFrame, names: list[str]) -> DataFrame:
     """AG27: leaves (id, pointer) with a forbidden key on their path."""
     return leaves.where(F.arrays_overlap(F.split("pointer", "/"), F.array(*map(F.lit, names))))
+
+
+def macro_recall(metrics: DataFrame, keys: list[str], k: int = 12) -> DataFrame:
+    """AG19: mean recall, hits within ``k`` and complete questions, for each subset."""
+    recall = F.size(F.filter("ranks", lambda r: r <= k)) / F.col("n_gold")
+    return metrics.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(recall), 6).alias("recall"), F.count_if(F.col("first_rank") <= k).alias("hits"), F.count_if("complete").alias("complete"))
+
+
+def publication_problems(predictions: DataFrame, cases: DataFrame, text_column: str = "hypothesis") -> DataFrame:
+    """SNK7: (question_id, problem): missing, unknown or repeated predictions, and such with a secret."""
+    from ..functions import text
+
+    p, c = predictions.select("question_id", text_column), cases.select("question_id")
+    parts = {
+        "missing": c.join(p, "question_id", "left_anti"),
+        "unknown": p.join(c, "question_id", "left_anti"),
+        "repeated": p.groupBy("question_id").count().where("count > 1"),
+        "secret": p.where(text.has_secret(F.col(text_column))),
+    }
+    tagged = [df.select("question_id", F.lit(name).alias("problem")) for name, df in parts.items()]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).unionByName(tagged[3]).distinct()

@@ -100,3 +100,14 @@ def farthest_first(df: DataFrame, stratum: str, features: list[str], id_: str, q
 
     kinds = dict(df.dtypes)
     return df.groupBy(stratum).applyInPandas(pick, f"{stratum} {kinds[stratum]}, {id_} {kinds[id_]}, place long")
+
+
+def teacher_packs(questions: DataFrame, gold: DataFrame, notes: DataFrame) -> DataFrame:
+    """SM16: a row a question: its gold sessions in order, each with its notes."""
+    rows = gold.join(notes, "session_id", "left").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("session_id", "note"))).alias("sessions"))
+    return questions.join(rows, "question_id", "left")
+
+
+def occurrences(rows: DataFrame, case: str, id_: str, position: str) -> DataFrame:
+    """SS5: repeats of an id within a case are occurrences of their own, numbered in order."""
+    return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(case, id_).orderBy(position)).cast("long"))

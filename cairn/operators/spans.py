@@ -169,3 +169,12 @@ def compiled_context(payloads: DataFrame, budget: int) -> DataFrame:
     """SP16: the full payload if it fits the budget, else the reduced one."""
     fits = F.length("full") <= budget
     return payloads.withColumn("payload", F.when(fits, F.col("full")).otherwise(F.col("reduced"))).withColumn("reduced_used", ~fits)
+
+
+def compact_package(items: DataFrame, budget: int, envelope: int = 2) -> DataFrame:
+    """SP14, SP15: items (question_id, priority, position, item) whole, in order, while the JSON list of them fits the bytes.
+
+    An item costs its bytes and a comma; what does not fit is skipped. ``envelope`` is the empty list's size.
+    """
+    priced = items.withColumn("bytes", F.octet_length("item").cast("long") + 1)
+    return greedy_budget(priced.where(F.col("bytes") + envelope <= budget), budget - envelope, order=("priority", "position"), cost="bytes")

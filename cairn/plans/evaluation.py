@@ -301,3 +301,29 @@ def opaque_handles(spark, sf_dir):
     docs = tables.table(spark, sf_dir, "documents").select("source", "doc_id", F.col("doc_id").cast("string").alias("id"))
     rows = rank.ranked(docs, ["source"], [dates.handle_order(F.lit("memory"), F.col("source"), F.col("id")).asc(), F.asc("doc_id")], None, "n")
     return rows.select("source", "doc_id", "n", F.format_string("memory_%03d", F.col("n")).alias("handle"), dates.short_handle(F.col("id")).alias("short"))
+
+
+@query("publication_problems", """WITH p AS (SELECT doc_id % 900 AS question_id, coalesce(text, '') AS h FROM documents WHERE doc_id % 7 > 0), c AS (SELECT doc_id AS question_id FROM documents WHERE doc_id < 880)
+SELECT question_id, 'missing' AS problem FROM c WHERE question_id NOT IN (SELECT question_id FROM p) UNION SELECT question_id, 'unknown' FROM p WHERE question_id NOT IN (SELECT question_id FROM c)
+UNION SELECT question_id, 'repeated' FROM p GROUP BY 1 HAVING count(*) > 1 UNION SELECT question_id, 'secret' FROM p WHERE regexp_matches(h, '(?i)(sk-[a-z0-9_-]{12,}|AIza[a-z0-9_-]{12,}|Bearer\\s+[a-z0-9._-]{12,})')""")
+def publication_problems(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents")
+    predictions = docs.where("doc_id % 7 > 0").select((F.col("doc_id") % 900).alias("question_id"), F.coalesce("text", F.lit("")).alias("hypothesis"))
+    return reports.publication_problems(predictions, docs.where("doc_id < 880").select(F.col("doc_id").alias("question_id")))
+
+
+@query("macro_recall", f"""{METRICS}, r AS (SELECT n_gold > 1 AS several, len(list_filter(coalesce(ranks, []), lambda r: r <= 12)) / n_gold AS rec, first_rank, complete FROM metrics)
+SELECT several, count(*) AS n, round(avg(rec), 6) AS recall, count(*) FILTER (WHERE first_rank <= 12) AS hits, count(*) FILTER (WHERE complete) AS complete FROM r GROUP BY several""")
+def macro_recall(spark, sf_dir):
+    return reports.macro_recall(document_metrics(spark, sf_dir).withColumn("several", F.col("n_gold") > 1), ["several"])
+
+
+@query("compact_packages", f"""WITH RECURSIVE {sql.TURNS}, items AS (SELECT session_id % 10 AS question_id, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS priority, session_id * 1000 + turn_index AS position, strlen(content) + 1 AS bytes FROM turns),
+pool AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY priority, position) AS i FROM items WHERE bytes + 2 <= 3000),
+walk AS (SELECT question_id, i, bytes AS used, true AS kept FROM pool WHERE i = 1 UNION ALL
+  SELECT p.question_id, p.i, CASE WHEN w.used + p.bytes <= 2998 THEN w.used + p.bytes ELSE w.used END, w.used + p.bytes <= 2998 FROM walk w JOIN pool p ON p.question_id = w.question_id AND p.i = w.i + 1)
+SELECT question_id, position, CAST(bytes AS BIGINT) AS bytes FROM walk JOIN pool USING (question_id, i) WHERE kept""")
+def compact_packages(spark, sf_dir):
+    t = tables.turns(spark, sf_dir)
+    items = t.select((F.col("session_id") % 10).alias("question_id"), F.when(F.col("role") == "user", 0).otherwise(1).alias("priority"), (F.col("session_id") * 1000 + F.col("turn_index")).alias("position"), F.col("content").alias("item"))
+    return spans.compact_package(items, 3000).select("question_id", "position", "bytes")
