@@ -7,16 +7,19 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, skew_join, stored, text_hash
 
 #: Length of the repeated strings, and of the anchors, one of which every such string holds.
-LENGTH, ANCHOR = 200, 100
+LENGTH, ANCHOR = 200, 80
 SPAN = LENGTH - ANCHOR  # bytes on either side of an anchor that its strings can reach
+#: Bytes behind an anchor that are one symbol of a suffix array's text.
+BLOCK = 24
 #: Different surroundings of an anchor that one suffix array takes; anchors with more are counted string by string.
-GROUP = 512
+GROUP = 4096
 #: Bytes of a text worked on at once.
 CHUNK = 1 << 20
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
@@ -110,39 +113,38 @@ def repeated_strings(sides: list[tuple[bytes, bytes]]) -> list[tuple[int, int] |
     """For different surroundings (bytes before and after) of one anchor: the first and the last start, counted from
     the anchor, of strings of LENGTH over the anchor that another one also has; None without any.
 
-    The anchor, the same in all, is one symbol of the text whose suffixes are sorted; each surrounding ends in a
-    symbol of its own. A string is there twice if it is that of a neighbour in the order.
+    The anchor, the same in all, is one symbol of the text whose suffixes are sorted. Strings start before it, so the
+    bytes there are symbols; behind it blocks are, ranked like their bytes, so the order is still that of the bytes.
+    Each surrounding ends in a symbol of its own. A string is there twice if a neighbour in the order has it.
     """
     m = len(sides)
-    parts, starts, own = [], [], []
-    at = 0
-    for k, (left, right) in enumerate(sides):
-        parts.append(np.concatenate([np.frombuffer(left, np.uint8).astype(np.int32) + m, [m + 256], np.frombuffer(right, np.uint8).astype(np.int32) + m, [m - 1 - k]]))
-        # the string that starts o bytes before the anchor needs SPAN - o bytes behind it
-        fit = range(max(0, len(left) - SPAN), len(left) - max(0, SPAN - len(right)) + 1)
-        starts += range(at + fit.start, at + max(fit.start, fit.stop))
-        own += [k] * len(fit)
-        at += len(parts[-1])
-    text = np.concatenate(parts).astype(np.int32)
-    order = np.asarray(suffix_order(text.tolist()))
-    is_start = np.zeros(len(text), bool)
-    is_start[starts] = True
-    order = order[is_start[order]]
-    raw = text.tobytes()
-    width = 4 * (SPAN + 1)
-    cuts = [raw[4 * i : 4 * i + width] for i in order.tolist()]
-    same = np.fromiter((a == b for a, b in zip(cuts, cuts[1:], strict=False)), bool, max(len(cuts) - 1, 0))
-    twice = np.zeros(len(order), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    owner = np.zeros(len(text), int)
-    owner[starts] = own
+    blocks = [[right[i : i + BLOCK] for i in range(0, len(right), BLOCK)] for _, right in sides]
+    rank = {b: m + 257 + i for i, b in enumerate(sorted({b for bs in blocks for b in bs}))}
+    text, place = [], {}
+    for k, ((left, right), bs) in enumerate(zip(sides, blocks, strict=True)):
+        # the string that starts d bytes before the anchor needs SPAN - d bytes behind it
+        for i in range(max(0, len(left) - SPAN), len(left) - max(0, SPAN - len(right)) + 1):
+            place[len(text) + i] = (k, len(left) - i)
+        text += [c + m for c in left]
+        text.append(m + 256)
+        text += [rank[b] for b in bs]
+        text.append(m - 1 - k)
     out: list[tuple[int, int] | None] = [None] * m
-    bases = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    for i in order[twice].tolist():
-        k = int(owner[i])
-        o = i - int(bases[k]) - len(sides[k][0])
-        out[k] = (min(o, out[k][0]), max(o, out[k][1])) if out[k] else (o, o)
+    before, at = None, None
+    twice = set()
+    for i in suffix_order(text):
+        here = place.get(i)
+        if here is None:
+            continue
+        k, d = here
+        left, right = sides[k]
+        string = (left[len(left) - d :], right[: SPAN - d])
+        if string == before:
+            twice.add(at)
+            twice.add(here)
+        before, at = string, here
+    for k, d in twice:
+        out[k] = (min(-d, out[k][0]), max(-d, out[k][1])) if out[k] else (-d, -d)
     return out
 
 
@@ -170,11 +172,12 @@ def _sliding(x: np.ndarray, w: int, fold, fill) -> np.ndarray:
     return fold(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the text's anchors, their hashes and those of their surroundings.
+def anchors(text: bytes) -> tuple[np.ndarray, ...]:
+    """The text's anchors: position, hash, hash of the surroundings, bytes of those before the anchor, strings less one.
 
-    An anchor is a string of ANCHOR bytes whose hash is the least of some SPAN + 1 neighbours: of any LENGTH bytes
-    one start at least, and the same ones wherever the bytes are. Ties are all anchors.
+    An anchor is a string of ANCHOR bytes whose hash is the least of SPAN + 1 neighbours: the least of those in some
+    strings of LENGTH bytes, which are its strings and make up its surroundings. Every string has an anchor, the same
+    wherever the string is. Where hashes tie, all are anchors.
     """
     n, found = len(text), []
     up, down = _tables()
@@ -182,84 +185,121 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lo, hi = max(0, s - 3 * LENGTH), min(n, s + CHUNK + 3 * LENGTH)
         c = np.frombuffer(text, np.uint8)[lo:hi].astype(np.uint64) + np.uint64(1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * up[: len(c)])])
-        of = lambda i, j: _mixed((sums[j] - sums[i]) * down[i])  # noqa: B023, E731
-        starts = len(c) - ANCHOR + 1
-        h = _mixed((sums[ANCHOR:] - sums[:-ANCHOR]) * down[:starts])
+        h = _mixed((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: len(c) - ANCHOR + 1])
         least = _sliding(h, SPAN + 1, np.minimum, np.uint64((1 << 64) - 1))
         wide = np.concatenate([np.zeros(SPAN, np.uint64), least, np.zeros(SPAN, np.uint64)])
         at = np.flatnonzero(_sliding(wide, SPAN + 1, np.maximum, np.uint64(0)) == h)
         at = at[(at + lo >= s) & (at + lo < s + CHUNK)]
-        left, right = np.maximum(at - SPAN, 0), np.minimum(at + LENGTH, len(c))
-        around = _mixed(of(left, right) + (at - left).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
-        found.append((at + lo, h[at], around))
+        # strings of one least hash come in a row; an anchor's are those of its hash that reach over it
+        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        last = np.append(first[1:], len(least)) - 1
+        run = np.searchsorted(last, at - SPAN)
+        while (other := least[first[run]] != h[at]).any():
+            run = run + other
+        start, end = np.maximum(first[run], at - SPAN), np.minimum(last[run], at)
+        around = _mixed((sums[end + LENGTH] - sums[start]) * down[start] + (at - start).astype(np.uint64) * np.uint64(0x165667B19E3779F9) + (end - start).astype(np.uint64) * np.uint64(0x27D4EB2F165667C5))
+        found.append((at + lo, h[at], around, at - start, end - start))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+#: ``place`` of an anchor: 17 bits of the text's hash, 32 of the position, 7 of the bytes before, 7 of the strings.
+ROW_BITS = 17
+
+
+def _row(place):
+    return F.shiftrightunsigned(place, 46)
+
+
+def _unpacked(place: int) -> tuple[int, int, int]:
+    """Position, first byte and end of the surroundings."""
+    pos, before, strings = place >> 14 & 0xFFFFFFFF, place >> 7 & 127, place & 127
+    return pos, pos - before, pos - before + strings + LENGTH
+
+
+def _packed(batches):
+    """Texts under zstd, as they go through two shuffles."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        z = [None if t is None else squeeze(t) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(z, pa.binary())], ["doc_id", "row", "z"])
+
+
+def _texts(column) -> list[bytes]:
+    open_ = zstandard.ZstdDecompressor().decompress
+    return [open_(z) if z is not None else b"" for z in column.to_pylist()]
+
+
 def _anchor_rows(batches):
     for b in batches:
-        lens, pos, h, c = [], [], [], []
-        for text in b.column("text").to_pylist():
-            p, x, y = anchors(text or b"")
+        lens, h, c, place = [], [], [], []
+        for text, row in zip(b.column("text").to_pylist(), b.column("row").to_pylist(), strict=True):
+            p, x, y, before, strings = anchors(text or b"")
             lens.append(len(p))
-            pos.append(p), h.append(x), c.append(y)
+            h.append(x), c.append(y), place.append(row << 46 | p << 14 | before << 7 | strings)
         who = np.repeat(np.arange(len(lens)), lens)
         if len(who):
-            take = lambda name: b.column(name).take(pa.array(who))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([take("doc_id"), take("row"), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(c).view(np.int64))], ["doc_id", "row", "pos", "anchor", "around"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(who)), pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(c).view(np.int64)), pa.array(np.concatenate(place))], ["doc_id", "anchor", "around", "place"])
+
+
+def _batch(rows, spec: str):
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    named = [x.split() for x in spec.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[] for _ in named]
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(columns, named, strict=True)], [n for n, _ in named])
+
+
+SIDES, SPANS, STRINGS = "doc_id long, anchor long, place long, before binary, after binary", "doc_id long, row long, lo int, hi int", "doc_id long, row long, lo int, w1 long, w2 long"
 
 
 def _sides(batches):
     """The bytes on both sides of each anchor asked for."""
     for b in batches:
         rows = []
-        for doc_id, row, text, asked in zip(*[b.column(x).to_pylist() for x in ("doc_id", "row", "text", "asked")], strict=True):
+        for doc_id, text, asked in zip(b.column("doc_id").to_pylist(), _texts(b.column("z")), b.column("asked").to_pylist(), strict=True):
             for a in asked:
-                p = a["pos"]
-                rows.append((doc_id, row, p, a["anchor"], a["around"], text[max(0, p - SPAN) : p], text[p + ANCHOR : p + LENGTH]))
-        if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            names = ["doc_id", "row", "pos", "anchor", "around", "before", "after"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                pos, lo, hi = _unpacked(a["place"])
+                rows.append((doc_id, a["anchor"], a["place"], text[lo:pos], text[pos + ANCHOR : hi]))
+        yield _batch(rows, SIDES)
+
+
+def _rows(b):
+    return zip(*[b.column(x).to_pylist() for x in ("doc_id", "anchor", "place", "before", "after")], strict=True)
 
 
 def _sort_groups(batches):
     """Rows of one anchor come one after another: a suffix array an anchor, a span a row with repeated strings."""
 
     def solve(rows):
-        found = repeated_strings([(r[3], r[4]) for r in rows])
-        return [(r[0], r[1], r[2] + f[0], r[2] + f[1] + LENGTH) for r, f in zip(rows, found, strict=True) if f]
+        found = repeated_strings([(before, after) for *_, before, after in rows])
+        return [(doc_id, place >> 46, (place >> 14 & 0xFFFFFFFF) + f[0], (place >> 14 & 0xFFFFFFFF) + f[1] + LENGTH) for (doc_id, _, place, *_), f in zip(rows, found, strict=True) if f]
 
     held, key = [], None
     for b in batches:
         out = []
-        for doc_id, row, pos, anchor, before, after in zip(*[b.column(x).to_pylist() for x in ("doc_id", "row", "pos", "anchor", "before", "after")], strict=True):
-            if anchor != key and held:
+        for r in _rows(b):
+            if r[1] != key and held:
                 out += solve(held)
                 held = []
-            key = anchor
-            held.append((doc_id, row, pos, before, after))
-        yield _span_batch(out)
-    yield _span_batch(solve(held) if held else [])
-
-
-def _span_batch(rows):
-    columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "row", "lo", "hi"])
+            key = r[1]
+            held.append(r)
+        yield _batch(out, SPANS)
+    yield _batch(solve(held) if held else [], SPANS)
 
 
-def _windows(batches):
-    """Hash and place of each string over the anchor, for anchors with many surroundings."""
+def _strings(batches):
+    """Hash and place of each string of an anchor, for anchors with many surroundings."""
     for b in batches:
         rows = []
-        for doc_id, row, pos, anchor, before, after in zip(*[b.column(x).to_pylist() for x in ("doc_id", "row", "pos", "anchor", "before", "after")], strict=True):
-            for o in range(max(0, SPAN - len(after)), len(before) + 1):
-                if o <= SPAN:
-                    d = hashlib.blake2b(before[len(before) - o :] + b"|" + after[: SPAN - o] + anchor.to_bytes(8, "little", signed=True) + bytes((o,)), digest_size=16).digest()
-                    rows.append((doc_id, row, pos - o, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "row", "lo", "w1", "w2"])
+        for doc_id, anchor, place, before, after in _rows(b):
+            pos, lo, hi = _unpacked(place)
+            salt = anchor.to_bytes(8, "little", signed=True)
+            for start in range(lo, hi - LENGTH + 1):
+                d = pos - start
+                w = hashlib.blake2b(before[len(before) - d :] + after[: SPAN - d], digest_size=16, salt=salt, person=bytes((d,))).digest()
+                rows.append((doc_id, place >> 46, start, int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True)))
+        yield _batch(rows, STRINGS)
 
 
 def merged_spans(spans) -> list[tuple[int, int]]:
@@ -275,8 +315,8 @@ def merged_spans(spans) -> list[tuple[int, int]]:
 def _remove(batches):
     for b in batches:
         n, gone, runs, digest, kept = [], [], [], [], []
-        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-            text, at, left = text or b"", 0, []
+        for text, spans in zip(_texts(b.column("z")), b.column("spans").to_pylist(), strict=True):
+            at, left = 0, []
             merged = merged_spans(spans or [])
             for lo, hi in merged:
                 left.append(text[at:lo])
@@ -287,32 +327,32 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """``docs(doc_id, row, text as binary)`` -> (doc_id, row, lo, hi): spans covered by repeated strings.
 
     Two equal strings have an anchor at the same place in them. So: count anchors; where the whole surroundings of an
     anchor stand twice, all of it is repeated; where they differ, suffix arrays over them, one an anchor, find the
     strings shared. An anchor with over GROUP different surroundings has its strings counted by hash instead, spread
-    over the cluster.
+    over the cluster. Anchors are found twice rather than kept: that is cheaper than the disk for all of them.
     """
-    rows = docs.mapInArrow(_anchor_rows, "doc_id long, row long, pos int, anchor long, around long")
-    seen = stored(rows)
-    twice = seen.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("around") != F.max("around")).alias("differ")).where("n > 1")
-    near = stored(skew_join(seen, stored(twice), ["anchor"], "n", seen.count()))
-    kinds = stored(near.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.first("differ").alias("differ"), F.min(F.struct("doc_id", "row", "pos")).alias("first")))
-    whole = kinds.where("n > 1").select("anchor", "around", "n")
-    sure = skew_join(near.drop("differ"), whole, ["anchor", "around"], "n", near.count())
-    sure = sure.select("doc_id", "row", F.greatest(F.col("pos") - SPAN, F.lit(0)).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))
-    asked = kinds.where("differ").select("first.*", "anchor", "around")
-    lists = asked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("pos", "anchor", "around")).alias("asked"))
-    sides = stored(docs.join(lists, ["doc_id", "row"]).mapInArrow(_sides, "doc_id long, row long, pos int, anchor long, around long, before binary, after binary"))
-    many = sides.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("anchor")
-    few = sides.join(many, "anchor", "left_anti").drop("around")
-    sorted_ = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_groups, "doc_id long, row long, lo int, hi int")
-    windows = stored(sides.join(many, "anchor", "left_semi").drop("around").mapInArrow(_windows, "doc_id long, row long, lo int, w1 long, w2 long"))
-    shared = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
-    counted = skew_join(windows, stored(shared), ["w1", "w2"], "n", windows.count()).select("doc_id", "row", "lo", (F.col("lo") + LENGTH).alias("hi"))
-    return sure.unionByName(sorted_).unionByName(counted)
+    rows = docs.mapInArrow(_anchor_rows, "doc_id long, anchor long, around long, place long")
+    twice = stored(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    near = stored(rows.join(twice, "anchor"))
+    kinds = stored(near.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")))
+    sure = skew_join(near, kinds.where("n > 1").select("anchor", "around", "n"), ["anchor", "around"], "n", near.count())
+    pos = F.shiftright("place", 14).bitwiseAND(F.lit(0xFFFFFFFF)).cast("long") - F.shiftright("place", 7).bitwiseAND(F.lit(127))
+    sure = sure.select("doc_id", _row("place").alias("row"), pos.cast("int").alias("lo"), (pos + F.col("place").bitwiseAND(F.lit(127)) + LENGTH).cast("int").alias("hi"))
+    differ = stored(kinds.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"))
+    asked = kinds.join(differ.select("anchor"), "anchor").select("first.*", "anchor")
+    lists = asked.groupBy("doc_id", _row("place").alias("row")).agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))
+    sides = stored(packed.join(lists, ["doc_id", "row"]).mapInArrow(_sides, SIDES))
+    many = differ.where(F.col("m") > GROUP).select("anchor")
+    few = sides.join(many, "anchor", "left_anti")
+    arrays = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_groups, SPANS)
+    strings = stored(sides.join(many, "anchor", "left_semi").mapInArrow(_strings, STRINGS))
+    shared = stored(strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1"))
+    counted = skew_join(strings, shared, ["w1", "w2"], "n", strings.count()).select("doc_id", "row", "lo", (F.col("lo") + LENGTH).alias("hi"))
+    return sure.unionByName(arrays).unionByName(counted)
 
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:
@@ -320,14 +360,16 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
 
     A byte goes if a string of 200 bytes over it also starts anywhere else, in this or another document, overlaps
     included; strings are those of the input, and never cross documents. Null text is empty. Texts under 200 bytes
-    stay whole. Rows repeated in full are documents like any other, and so lose what they share; ids may be null.
+    stay whole. Rows repeated in full are documents like any other, and so lose what they share; ids may be null. Rows
+    of one id and different texts are told apart by 17 bits of the text's hash.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text_hash(), F.lit(0)).alias("row"), F.col("text").cast("binary").alias("text"))
-    spans = repeated_spans(rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "row", "text")).distinct()
-    lists = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).select(F.col("doc_id").alias("id2"), F.col("row").alias("row2"), "spans")
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    joined = rows.join(lists, (key == F.col("id2")) & (F.col("row") == F.col("row2")), "left").select("doc_id", "text", "spans")
+    none = F.lit(-(1 << 63))
+    row = F.coalesce(text_hash(), F.lit(0)).bitwiseAND(F.lit((1 << ROW_BITS) - 1)).cast("long")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), row.alias("row"), F.col("text").cast("binary").alias("text"))
+    packed = rows.mapInArrow(_packed, "doc_id long, row long, z binary")
+    lists = repeated_spans(rows, packed).groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    joined = packed.join(lists, ["doc_id", "row"], "left").select(F.nullif("doc_id", none).alias("doc_id"), "z", "spans")
     return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -19,12 +19,13 @@ def test_suffix_order():
 def test_anchor_in_every_string(monkeypatch):
     rnd = random.Random(3)
     for text in (bytes(rnd.choices(b"abcdef", k=3000)), b"ab" * 400, b"a" * 700, b"x" * 150, b""):
-        at, h, around = suffix.anchors(text)
-        assert all(any(s <= p <= s + suffix.SPAN for p in at) for s in range(len(text) - suffix.LENGTH + 1))
+        at, h, around, before, strings = suffix.anchors(text)
+        own = {s for p, b, n in zip(at, before, strings, strict=True) for s in range(p - b, p - b + n + 1) if s <= p <= s + suffix.SPAN}
+        assert own == set(range(len(text) - suffix.LENGTH + 1))
         monkeypatch.setattr(suffix, "CHUNK", 256)
         again = suffix.anchors(text)
         monkeypatch.undo()
-        assert (again[0] == at).all() and (again[1] == h).all()
+        assert all((x == y).all() for x, y in zip(again, (at, h, around, before, strings), strict=True))
 
 
 def brute(texts):
