@@ -261,3 +261,39 @@ def operand_updates(turns: DataFrame) -> DataFrame:
     ranges = user.select("session_id", "turn_index", F.lit("range").alias("kind"), F.explode(dates.number_ranges(c)).alias("o"))
     parts.append(ranges.select("session_id", "turn_index", "kind", F.concat_ws("-", F.col("o.lo").cast("string"), F.col("o.hi").cast("string")).alias("surface"), F.col("o.lo").alias("value"), "o.unit"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _untagged(node: dict):
+    """One tagged node, its children done before it; an entry of an object becomes a pair."""
+    kind = node.get("kind")
+    if kind is None and set(node) == {"key", "value"} and node["key"]:
+        return (node["key"], node["value"])
+    if kind in ("string", "number", "boolean") and set(node) == {"kind", "value"}:
+        return node["value"]
+    if kind == "null":
+        return None
+    if kind == "array":
+        return node["items"]
+    if kind == "object":
+        out = dict(node["entries"])
+        if len(out) < len(node["entries"]):
+            raise ValueError("duplicate key")
+        return out
+    raise ValueError(f"unknown kind {kind!r}")
+
+
+def decode_tagged(documents: DataFrame) -> DataFrame:
+    """FJ5, ST13: ``documents(id, json)`` in the tagged encoding -> (id, json, problem): plain JSON with sorted keys, or
+    null and what is wrong (a repeated key, an unknown kind, no JSON)."""
+
+    def decode(batches):
+        for b in batches:
+            out = []
+            for id_, doc in zip(b["id"], b["json"], strict=True):
+                try:
+                    out.append((id_, json.dumps(json.loads(doc, object_hook=_untagged), sort_keys=True), None))
+                except (ValueError, KeyError, TypeError) as e:
+                    out.append((id_, None, str(e)))
+            yield pd.DataFrame(out, columns=["id", "json", "problem"])
+
+    return documents.select("id", "json").mapInPandas(decode, "id long, json string, problem string")

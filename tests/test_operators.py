@@ -182,3 +182,11 @@ def test_patches(spark):
     cells = spark.createDataFrame([("/a/b", "1"), ("/a/c", "2"), ("/d", "3"), ("/e/f", "4")], "pointer string, value string")
     patches = spark.createDataFrame([("move", "/a", "/z", None), ("remove", "/e", None, None), ("replace", "/d", None, "5"), ("add", "/n", None, "6")], "op string, pointer string, to string, value string")
     assert sorted(tuple(r) for r in memory.patched(cells, patches).select("pointer", "value").collect()) == [("/d", "5"), ("/n", "6"), ("/z/b", "1"), ("/z/c", "2")]
+
+
+def test_tagged_trees(spark):
+    good = '{"kind": "object", "entries": [{"key": "b", "value": {"kind": "array", "items": [{"kind": "number", "value": 1}, {"kind": "null"}]}}, {"key": "a", "value": {"kind": "object", "entries": []}}]}'
+    twice = '{"kind": "object", "entries": [{"key": "a", "value": {"kind": "null"}}, {"key": "a", "value": {"kind": "null"}}]}'
+    got = {r.id: r for r in memory.decode_tagged(spark.createDataFrame([(1, good), (2, twice), (3, '{"kind": "odd"}'), (4, "no")], "id long, json string")).collect()}
+    assert got[1].json == '{"a": {}, "b": [1, null]}' and got[1].problem is None
+    assert got[2].problem == "duplicate key" and got[3].json is None and got[4].json is None
