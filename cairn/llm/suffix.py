@@ -18,8 +18,9 @@ LENGTH, ANCHOR = 200, 80
 SPAN = LENGTH - ANCHOR  # bytes on either side of an anchor that its strings can reach
 #: Bytes behind an anchor that are one symbol of a suffix array's text.
 BLOCK = 24
-#: Different surroundings of an anchor that one suffix array takes; anchors with more are counted string by string.
-GROUP = 4096
+#: Different surroundings of an anchor that one suffix array takes; those of anchors with more part by NARROW
+#: neighbouring starts and what these share, and what is crowded even so is counted string by string.
+GROUP, NARROW = 4096, 16
 #: Bytes of a text worked on at once.
 CHUNK = 1 << 20
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
@@ -288,17 +289,35 @@ def _sort_groups(batches):
     yield _batch(solve(held) if held else [], SPANS)
 
 
+def _narrowed(batches):
+    """Surroundings of a crowded anchor, cut for each NARROW neighbouring distances of a string's start to the anchor.
+
+    Equal strings of one such range also share what all strings of the range hold, so the anchor's name becomes the
+    hash of that: those who share less part, and those who share it with nobody drop out.
+    """
+    for b in batches:
+        rows = []
+        for doc_id, anchor, place, before, after in _rows(b):
+            salt = anchor.to_bytes(8, "little", signed=True)
+            least, most = SPAN - len(after), len(before)
+            for low in range(least - least % NARROW, most + 1, NARROW):
+                high = low + NARROW - 1
+                core = before[most - low :] + after[: max(0, SPAN - high)]
+                name = hashlib.blake2b(core, digest_size=8, salt=salt, person=bytes((low,))).digest()
+                rows.append((doc_id, int.from_bytes(name, "little", signed=True), place, before[max(0, most - high) :], after[: SPAN - max(low, least)]))
+        yield _batch(rows, SIDES)
+
+
 def _strings(batches):
-    """Hash and place of each string of an anchor, for anchors with many surroundings."""
+    """Hash and place of each string of an anchor, for what is crowded even so."""
     for b in batches:
         rows = []
         for doc_id, anchor, place, before, after in _rows(b):
-            pos, lo, hi = _unpacked(place)
+            pos, *_ = _unpacked(place)
             salt = anchor.to_bytes(8, "little", signed=True)
-            for start in range(lo, hi - LENGTH + 1):
-                d = pos - start
+            for d in range(SPAN - len(after), len(before) + 1):
                 w = hashlib.blake2b(before[len(before) - d :] + after[: SPAN - d], digest_size=16, salt=salt, person=bytes((d,))).digest()
-                rows.append((doc_id, place >> 46, start, int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True)))
+                rows.append((doc_id, place >> 46, pos - d, int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True)))
         yield _batch(rows, STRINGS)
 
 
@@ -332,8 +351,8 @@ def repeated_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
 
     Two equal strings have an anchor at the same place in them. So: count anchors; where the whole surroundings of an
     anchor stand twice, all of it is repeated; where they differ, suffix arrays over them, one an anchor, find the
-    strings shared. An anchor with over GROUP different surroundings has its strings counted by hash instead, spread
-    over the cluster. Anchors are found twice rather than kept: that is cheaper than the disk for all of them.
+    strings shared. An anchor with over GROUP different surroundings is parted by what its strings share, and if a part
+    is as large again its strings are counted by hash, spread over the cluster. Anchors are found twice rather than kept: that is cheaper than the disk for all of them.
     """
     rows = docs.mapInArrow(_anchor_rows, "doc_id long, anchor long, around long, place long")
     twice = stored(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
@@ -347,9 +366,11 @@ def repeated_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
     lists = asked.groupBy("doc_id", _row("place").alias("row")).agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))
     sides = stored(packed.join(lists, ["doc_id", "row"]).mapInArrow(_sides, SIDES))
     many = differ.where(F.col("m") > GROUP).select("anchor")
-    few = sides.join(many, "anchor", "left_anti")
+    narrow = stored(sides.join(many, "anchor", "left_semi").mapInArrow(_narrowed, SIDES))
+    again = stored(narrow.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"))
+    few = sides.join(many, "anchor", "left_anti").unionByName(narrow.join(again.where(F.col("m") <= GROUP), "anchor", "left_semi"))
     arrays = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_groups, SPANS)
-    strings = stored(sides.join(many, "anchor", "left_semi").mapInArrow(_strings, STRINGS))
+    strings = stored(narrow.join(again.where(F.col("m") > GROUP), "anchor", "left_semi").mapInArrow(_strings, STRINGS))
     shared = stored(strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1"))
     counted = skew_join(strings, shared, ["w1", "w2"], "n", strings.count()).select("doc_id", "row", "lo", (F.col("lo") + LENGTH).alias("hi"))
     return sure.unionByName(arrays).unionByName(counted)
