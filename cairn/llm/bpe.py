@@ -6,6 +6,7 @@ import gc
 import hashlib
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -228,7 +229,7 @@ def _encode(path: str, with_ids: bool):
                 digest.update(part.encode())
             decoded_hash.append(digest.hexdigest())
             if with_ids:
-                ids_out.append(ids)
+                ids_out.append(np.array(ids, np.int32))
         found = {"doc_id": b.column("doc_id"), "row": b.column("row"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(decoded_hash, pa.string())}
         if with_ids:
             found["ids"] = pa.array(ids_out, pa.list_(pa.int32()))
