@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -123,15 +124,127 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return skew_join(prints, named, ["fp"], "n", prints.count())
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their component, columns as they came; repeated rows of one count as copies.
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """Sorted hashes of the different ``width``-word shingles; A-Z folded; a shorter text is one shingle, no words: none."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(len(words) - width + 1, 1)
+    shingles = map(b" ".join, zip(*[words[k:] for k in range(width)], strict=False)) if len(words) >= width else iter([b" ".join(words)])
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingles."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        part = hashes[i : i + CHUNK]
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def _described(width: int, similarity: float):
+    def run(batches):
+        for b in batches:
+            node, fp, n, first = [], [], [], []
+            for text in b.column("text").to_pylist():
+                s = shingle_set(text, width)
+                node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED)), fp.append(set_fingerprint(s)), n.append(len(s))
+                # two sets this similar share one of their least hashes
+                first.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1].view(np.int64))
+            ends = np.cumsum([0, *map(len, first)])
+            least = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first)))
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *longs, pa.array(n, pa.int64()), least], ["doc_id", "row", "node", "fp", "n", "first"])
+
+    return lambda batches: run(b for b in batches if b.num_rows)
+
 
-    Rows without doc_id cannot name a component and stay.
+def _shingled(width: int):
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(text, width).tobytes() for text in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches):
+        for b in batches:
+            sets = [[np.frombuffer(x, np.uint64) for x in b.column(c).to_pylist()] for c in ("hu", "hv")]
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)]
+            ok = [k >= similarity * (len(x) + len(y) - k) - 1e-9 for k, x, y in zip(both, *sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("u", "v")], ["u", "v"])
+
+    return run
+
+
+def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """``docs(doc_id, text)`` -> (doc_id, row, node) of each row, and ``(u, v)``: links whose components are those of
+    all pairs of nodes with a Jaccard index of ``similarity`` or more.
+
+    A node is a set of shingles. Candidates share one of their least hashes (as many as any two such sets must share
+    one of), fit in size and differ in at most ``bits`` bits of the SimHash; each is then compared exactly. To keep a
+    large group of copies from being paired in full, a hash's members are first compared with its least and its
+    largest node; then only members that are not linked yet, with those of other components.
+    """
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("row"), F.col("text").cast("binary").alias("text"))
+    prints = cut(texts.mapInArrow(_described(shingle, similarity), "doc_id long, row long, node long, fp long, n long, first array<long>"))
+    nodes = cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("who"), F.min("fp").alias("fp"), F.min("n").alias("n")))
+    keyed = prints.select("node", F.explode("first").alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b"))
+    rows = cut(keyed.join(shared.select("key"), "key").distinct().join(nodes.select("node", "fp", "n"), "node"))
+
+    def close(a: str, b: str) -> Column:
+        fits = F.least(f"{a}.n", f"{b}.n") >= F.greatest(f"{a}.n", f"{b}.n") * F.lit(similarity) - 1e-9
+        return (F.col(f"{a}.node") != F.col(f"{b}.node")) & fits & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= bits)
+
+    def ends() -> list[Column]:
+        return [F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")]
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "who.*"), "node")
+        found = texts.join(asked, ["doc_id", "row"]).select("node", "text").mapInArrow(_shingled(shingle), "node long, hashes binary")
+        sets = cut(found.dropDuplicates(["node"]))
+        of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"h{end}"))
+        return cut(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "hu", "hv").mapInArrow(_alike(similarity), "u long, v long"))
+
+    one = F.struct("node", "fp", "n")
+    hubs = rows.groupBy("key").agg(F.array(F.min(one), F.max(one)).alias("hub")).select("key", F.explode("hub").alias("hub")).select("key", "hub.*")
+    near = cut(rows.alias("a").join(hubs.alias("b"), (F.col("a.key") == F.col("b.key")) & close("a", "b")).select(*ends()).distinct())
+    stars = linked(near)
+    named = components(stars)
+    labelled = cut(rows.join(named, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    held = labelled.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", "m").alias("top"), F.count("*").alias("labels"))
+    mixed = cut(labelled.join(held.where("labels > 1").select("key", "top"), "key"))
+    loose = mixed.where("label <> top")
+    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & close("a", "b")
+    rest = cut(loose.alias("a").join(mixed.alias("b"), across).select(*ends()).distinct().join(near, ["u", "v"], "left_anti"))
+    return prints.select("doc_id", "row", "node"), stars.unionByName(linked(rest))
+
+
+def one_of_each(docs: DataFrame, similarity: float | None = None, shingle: int = 5, bits: int = 28) -> DataFrame:
+    """The documents that stand for their group of near copies, columns as they came; repeated rows of one are copies.
+
+    Without ``similarity`` near copies are op3's: fingerprints that differ in at most two bits. With it they are texts
+    whose sets of ``shingle``-word shingles have that Jaccard index or more; ``bits`` is the budget of the SimHash that
+    spares comparisons, wide enough for 0.8. Of a group the smallest doc_id stays, and of its rows the one of the
+    smallest text hash. Rows without doc_id link nothing and stay.
     """
-    kept = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").groupBy("doc_id").agg(F.min("row").alias("_cairn_row")).withColumnRenamed("doc_id", "_cairn_id")
-    h = docs.withColumn("_cairn_h", F.coalesce(text_hash(), F.lit(0)))
-    stay = h.join(kept, (F.col("doc_id") == F.col("_cairn_id")) & (F.col("_cairn_h") == F.coalesce("_cairn_row", F.lit(0))), "left_semi")
-    return stay.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null").select("doc_id", "text")
+    if similarity is None:
+        prints = cut(fingerprints(named).select("doc_id", "row", F.col("fp").alias("node")))
+        found = components(links(prints.select(F.col("node").alias("fp"), F.col("node").alias("rep")).distinct()))
+    else:
+        prints, edges = similar_nodes(named, similarity, shingle, bits)
+        found = components(edges)
+    firsts = prints.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("who")).join(found, "node", "left")
+    kept = firsts.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("who").alias("who")).select(F.col("who.doc_id").alias("_cairn_id"), F.col("who.row").alias("_cairn_row"))
+    h = docs.withColumn("_cairn_h", text_hash())
+    stay = h.join(kept, (F.col("doc_id") == F.col("_cairn_id")) & (F.col("_cairn_h") == F.col("_cairn_row")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "_cairn_h"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
