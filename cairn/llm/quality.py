@@ -51,35 +51,58 @@ def base_rules(docs: DataFrame, **keep: Column) -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def boilerplate_words(docs: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(doc_id, row, gone): words of a document in lines that too many documents of its host hold.
+def host_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, host, line, words): the different lines of each document by hash; a null source is a host of its own."""
+    text = text_of()
+    parts = docs.select("doc_id", text_hash().alias("row"), host_of().alias("host"), F.explode(F.split(text, "\n")).alias("line"))
+    keyed = parts.select("doc_id", "row", "host", line_key(F.col("line")).alias("key")).where(F.length("key") > 0)
+    return cut(keyed.groupBy("doc_id", "row", "host", F.xxhash64("key").alias("line")).agg(F.sum(F.size(words_of(F.col("key")))).alias("words")))
+
+
+def host_of() -> Column:
+    return F.coalesce(F.xxhash64("source"), F.lit(0))
+
+
+def line_key(line: Column) -> Column:
+    return ascii_lower(strip_ws(line))
+
 
-    A line counts once a document, and exact copies of a text count as one document of their host. Its limit is the
-    larger of ``min_docs`` and ``share`` of the host's different texts. A null source is a host of its own.
+def common_lines(docs: DataFrame, min_docs: int, share: float | None) -> DataFrame:
+    """The rows of ``host_lines`` whose line too many documents of the host hold.
+
+    A line counts once a document. With ``share``, exact copies of a text count as one document of their host, and the
+    limit is the larger of ``min_docs`` and ``share`` of the host's different texts. Without, every document counts
+    and ``min_docs`` is the limit, however large the host is.
     """
-    text = text_of()
-    parts = docs.select("doc_id", text_hash().alias("row"), F.coalesce(F.xxhash64("source"), F.lit(0)).alias("host"), F.explode(F.split(text, "\n")).alias("line"))
-    keyed = parts.select("doc_id", "row", "host", ascii_lower(strip_ws(F.col("line"))).alias("key")).where(F.length("key") > 0)
-    lines = cut(keyed.groupBy("doc_id", "row", "host", F.xxhash64("key").alias("line")).agg(F.sum(F.size(words_of(F.col("key")))).alias("words")))
-    hosts = docs.select(F.coalesce(F.xxhash64("source"), F.lit(0)).alias("host"), text_hash().alias("row")).distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    held = lines.groupBy("host", "line", "row").agg(F.count("*").alias("n")).groupBy("host", "line").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") > min_docs)
-    common = cut(held.join(hosts, "host").where(F.col("docs") > F.greatest(F.lit(float(min_docs)), F.col("texts") * F.lit(float(share)))).select("host", "line", "n"))
-    return skew_join(lines, common, ["host", "line"], "n", lines.count()).groupBy("doc_id", "row").agg(F.sum("words").alias("gone"))
+    lines = host_lines(docs)
+    if share is None:
+        common = cut(lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs))
+    else:
+        hosts = docs.select(host_of().alias("host"), text_hash().alias("row")).distinct().groupBy("host").agg(F.count("*").alias("texts"))
+        held = lines.groupBy("host", "line", "row").agg(F.count("*").alias("n")).groupBy("host", "line").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") > min_docs)
+        common = cut(held.join(hosts, "host").where(F.col("docs") > F.greatest(F.lit(float(min_docs)), F.col("texts") * F.lit(float(share)))).select("host", "line", "n"))
+    return skew_join(lines, common, ["host", "line"], "n", lines.count())
 
 
-def quality(docs: DataFrame, min_docs: int = 20, share: float = 0.1, min_words: int = 10, min_left: float = 0.2) -> DataFrame:
+def quality(docs: DataFrame, min_docs: int = 20, share: float | None = 0.1, min_words: int = 10, min_left: float = 0.2, with_lines: bool = False) -> DataFrame:
     """``docs(doc_id, text, source)`` -> base rules, ``n_common_words`` and ``kept`` for each row.
 
     Native functions only. ``kept`` is false if the base rules fail, or if fewer than ``min_words`` words, or less
     than ``min_left`` of all words, remain without the lines common on the document's host. Null text has no words
-    and fails; null ids and sources are ordinary values; repeated rows get the same verdict.
+    and fails; null ids and sources are ordinary values; repeated rows get the same verdict. ``with_lines`` adds
+    ``host`` and ``common``, the hashes of the document's common lines (null: none), a row for each host of a document.
     """
-    base = cut(base_rules(docs, doc_id=F.col("doc_id"), row=text_hash()))
-    common = boilerplate_words(docs, min_docs, share).select(F.col("doc_id").alias("id2"), F.col("row").alias("row2"), "gone")
-    rows = base.join(common, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")), "left").withColumn("n_common_words", F.coalesce("gone", F.lit(0)))
+    hosted = {"host": host_of()} if with_lines else {}
+    base = cut(base_rules(docs, doc_id=F.col("doc_id"), row=text_hash(), **hosted))
+    by = ["doc_id", "row", *hosted]
+    extra = [F.collect_set("line").alias("common")] if with_lines else []
+    gone = common_lines(docs, min_docs, share).groupBy(*by).agg(F.sum("words").alias("gone"), *extra)
+    common = gone.withColumnsRenamed({c: f"{c}2" for c in by})
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("row") == F.col("row2"))
+    rows = base.join(common, same & (F.col("host") == F.col("host2")) if with_lines else same, "left").withColumn("n_common_words", F.coalesce("gone", F.lit(0)))
     left = F.col("n_words") - F.col("n_common_words")
     depleted = (left < min_words) | (left < F.col("n_words") * F.lit(min_left))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("id2", "row2", "gone")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~depleted).drop(*common.columns[: len(by)], "gone")
 
 
 def quality_filter(docs: DataFrame, **params) -> DataFrame:
@@ -89,6 +112,20 @@ def quality_filter(docs: DataFrame, **params) -> DataFrame:
     return h.join(kept, F.col("doc_id").eqNullSafe(F.col("_cairn_id")) & (F.col("_cairn_h") == F.col("_cairn_row")), "left_semi").select(*docs.columns)
 
 
+def quality_texts(docs: DataFrame, **params) -> DataFrame:
+    """Like ``quality_filter``, but ``text`` is without the lines common on the host, and ``n_chars`` follows it.
+
+    ``params`` are those of ``quality``. The other lines stay as they are, blank ones too.
+    """
+    rules = quality(docs.select("doc_id", "text", "source"), with_lines=True, **params).where("kept")
+    kept = rules.select(*[F.col(c).alias(f"_cairn_{c}") for c in ("doc_id", "row", "host", "common")]).dropDuplicates(["_cairn_doc_id", "_cairn_row", "_cairn_host"])
+    same = F.col("doc_id").eqNullSafe(F.col("_cairn_doc_id")) & (text_hash() == F.col("_cairn_row")) & (host_of() == F.col("_cairn_host"))
+    stay = F.filter(F.split(text_of(), "\n"), lambda x: ~F.array_contains(F.col("_cairn_common"), F.xxhash64(line_key(x))))
+    joined = docs.join(kept, same).withColumn("text", F.when(F.col("_cairn_common").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
+    new = {"n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return quality(docs).drop("row")

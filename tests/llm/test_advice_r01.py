@@ -2,7 +2,8 @@
 
 import random
 
-from cairn.llm import simhash
+import corpus_pipeline
+from cairn.llm import quality, simhash
 
 SCHEMA = "doc_id long, text string, source string, n_chars long"
 
@@ -31,3 +32,13 @@ def test_near_copies_by_similarity(spark):
     got = sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows), similarity=0.8).collect())
     assert got == sorted(set(want.values()))
     assert len(simhash.one_of_each(frame(spark, rows)).collect()) > 1.2 * len(got)  # two bits miss many
+
+
+def test_common_lines_leave_the_text(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, f" Menu\n{own(i)}\n\nMENU ", "h") for i in range(30)] + [(100, f"menu\n{own(100)}", "other"), (101, f"menu\n{own(101)}", None)]
+    rows += [(None, f"menu\n{own(102)}", "h"), (200, "menu\nshort", "h"), (0, rows[0][1], "other")]
+    want = sorted((str(i), s, "\n".join(x for x in t.split("\n") if s != "h" or x.strip().lower() != "menu")) for i, t, s in rows if i != 200)
+    got = corpus_pipeline.quality_rules(spark, frame(spark, rows), "").collect()
+    assert sorted((str(r.doc_id), r.source, r.text) for r in got) == want
+    assert all(r.n_chars == len(r.text) for r in got)
