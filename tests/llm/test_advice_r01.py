@@ -42,3 +42,15 @@ def test_common_lines_leave_the_text(spark):
     got = corpus_pipeline.quality_rules(spark, frame(spark, rows), "").collect()
     assert sorted((str(r.doc_id), r.source, r.text) for r in got) == want
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_limit_of_common_lines_is_absolute(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, own(i) + ("\nsubscribe now" if i < 21 else "\nread more" if i < 41 else ""), "large") for i in range(400)]
+    page = "this page moved\n" + own(1000)
+    rows += [(1000 + i, page, "copies") for i in range(21)] + [(2000 + i, page, "few") for i in range(20)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, frame(spark, rows), "").collect()}
+    assert all(got[i] == own(i) for i in range(21)) and all("read more" in got[i] for i in range(21, 41))
+    assert not any(1000 + i in got for i in range(21)) and all(got[2000 + i] == page for i in range(20))
+    counted = {r.doc_id: r.n_common_words for r in quality.quality(frame(spark, rows)).collect()}
+    assert not any(counted.values())  # op6 and its SQL: a tenth of the host's different texts
