@@ -18,9 +18,10 @@ def size_of(name: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(name), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def place_of(name: str = "doc_id") -> Column:
-    """A document's fixed place on the hash line, 0 to 2^60 - 1; documents without id share one."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(name).cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def place_of(name: str = "doc_id", text: str | None = None) -> Column:
+    """A document's fixed place on the hash line, 0 to 2^60 - 1; without id that of its ``text``, or else one for all."""
+    named = [F.col(name).cast("string"), *([F.col(text)] if text else []), F.lit("")]
+    return F.conv(F.substring(F.md5(F.coalesce(*named)), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: list[float], budget: float, cap: float) -> DataFrame:
@@ -83,15 +84,16 @@ def thresholds(sized: DataFrame, weights: list[float], budget: float, cap: float
     return cut(goal.drop("left").join(found, ["src", "none"], "left").withColumn("below", F.coalesce("below", F.when(F.col("target") > F.col("copies") * F.col("source_size"), F.lit(1 << HASH_BITS)).otherwise(F.lit(0))))), n
 
 
-def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), budget: float = 1.5, cap: float = 2.0, split_nulls: bool = False) -> DataFrame:
     """``docs(doc_id, text, source, ...)`` with ``_mix``: struct(size, source_size, target, copies).
 
     ``copies`` (0, 1 or 2 with the defaults) is how often the mix takes a document; it depends on doc_id and the
     corpus alone, so reruns agree and repeated rows fare alike. Null text has size 0, null source is a source of its
-    own, after all others. Other columns pass through.
+    own, after all others. Rows without doc_id share one place, as in op9's SQL, and so fare alike in a source; with
+    ``split_nulls`` their places are those of their texts. Other columns pass through.
     """
     own = docs.columns
-    keyed = docs.withColumns({"_cairn_src": F.coalesce(F.col("source"), F.lit("")), "_cairn_none": F.col("source").isNull(), "_cairn_place": place_of(), "_cairn_size": size_of()})
+    keyed = docs.withColumns({"_cairn_src": F.coalesce(F.col("source"), F.lit("")), "_cairn_none": F.col("source").isNull(), "_cairn_place": place_of(text="text" if split_nulls else None), "_cairn_size": size_of()})
     sized = cut(keyed.select(F.col("_cairn_src").alias("src"), F.col("_cairn_none").alias("none"), F.col("_cairn_place").alias("place"), F.col("_cairn_size").alias("size")))
     plan, n = thresholds(sized, list(weights), budget, cap)
     big = keyed.select(*[F.col(c).alias(f"_own_{i}") for i, c in enumerate(own)], F.col("_cairn_src").alias("src"), F.col("_cairn_none").alias("none"), F.col("_cairn_place").alias("place"), F.col("_cairn_size").alias("size"))

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from cairn.llm import quality, simhash
+from cairn.llm import mixing, quality, simhash
 
 SCHEMA = "doc_id long, text string, source string, n_chars long"
 
@@ -54,3 +54,13 @@ def test_limit_of_common_lines_is_absolute(spark):
     assert not any(1000 + i in got for i in range(21)) and all(got[2000 + i] == page for i in range(20))
     counted = {r.doc_id: r.n_common_words for r in quality.quality(frame(spark, rows)).collect()}
     assert not any(counted.values())  # op6 and its SQL: a tenth of the host's different texts
+
+
+def test_rows_without_id_meet_the_target(spark):
+    rows = [(None, f"word{i} " * 10, f"s{i % 3}") for i in range(600)]
+    size = {f"s{k}": 2000 for k in range(3)}
+    goal = {r.source: r._mix.target for r in mixing.mix(frame(spark, rows)).collect()}
+    taken = dict.fromkeys(size, 0)
+    for r in corpus_pipeline.mix_sources(spark, frame(spark, rows), "").collect():
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - goal[s]) <= 10 for s in size)
