@@ -64,3 +64,11 @@ def test_rows_without_id_meet_the_target(spark):
     for r in corpus_pipeline.mix_sources(spark, frame(spark, rows), "").collect():
         taken[r.source] += len(r.text.split())
     assert all(abs(taken[s] - goal[s]) <= 10 for s in size)
+
+
+def test_one_id_with_two_texts(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(1, own(1), "s"), (1, own(2), "s"), (1, own(2), "s"), (2, own(2), "s"), (3, own(3), "s")]
+    for similarity in (None, 0.8):
+        got = sorted((r.doc_id, r.text) for r in simhash.one_of_each(frame(spark, rows), similarity).collect())
+        assert got == sorted([(1, own(1)), (1, own(2)), (3, own(3))])
