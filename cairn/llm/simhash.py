@@ -185,9 +185,10 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
     all pairs of nodes with a Jaccard index of ``similarity`` or more.
 
     A node is a set of shingles. Candidates share one of their least hashes (as many as any two such sets must share
-    one of), fit in size and differ in at most ``bits`` bits of the SimHash; each is then compared exactly. To keep a
-    large group of copies from being paired in full, a hash's members are first compared with its least and its
-    largest node; then only members that are not linked yet, with those of other components.
+    one of), fit in size, differ in at most ``bits`` bits of the SimHash and share so many of their least hashes that
+    the rest can make up the index; each is then compared exactly. To keep a large group of copies from being paired in
+    full, members of a hash with over PAIRWISE are first compared with its least and its largest node, if half the bits
+    agree with that; then only members of different components are paired. Nothing is capped or left out.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("row"), F.col("text").cast("binary").alias("text"))
@@ -197,7 +198,7 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
     shared = cut(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b"))
     rows = cut(keyed.join(shared.select("key"), "key").distinct().join(nodes.select("node", "fp", "n"), "node"))
 
-    def close(a: str, b: str) -> Column:
+    def close(a: str, b: str, bits: int = bits) -> Column:
         fits = F.least(f"{a}.n", f"{b}.n") >= F.greatest(f"{a}.n", f"{b}.n") * F.lit(similarity) - 1e-9
         return (F.col(f"{a}.node") != F.col(f"{b}.node")) & fits & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= bits)
 
@@ -206,22 +207,26 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
 
     def linked(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "who.*"), "node")
-        found = texts.join(asked, ["doc_id", "row"]).select("node", "text").mapInArrow(_shingled(shingle), "node long, hashes binary")
-        sets = cut(found.dropDuplicates(["node"]))
+        found = texts.join(asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("node", "text")
+        sets = cut(found.mapInArrow(_shingled(shingle), "node long, hashes binary"))
         of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"h{end}"))
         return cut(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "hu", "hv").mapInArrow(_alike(similarity), "u long, v long"))
 
     one = F.struct("node", "fp", "n")
-    hubs = rows.groupBy("key").agg(F.array(F.min(one), F.max(one)).alias("hub")).select("key", F.explode("hub").alias("hub")).select("key", "hub.*")
-    near = cut(rows.alias("a").join(hubs.alias("b"), (F.col("a.key") == F.col("b.key")) & close("a", "b")).select(*ends()).distinct())
+    hubs = rows.groupBy("key").agg(F.count("*").alias("m"), F.array(F.min(one), F.max(one)).alias("hub")).where(F.col("m") > PAIRWISE).select("key", F.explode("hub").alias("hub")).select("key", "hub.*")
+    near = cut(rows.alias("a").join(hubs.alias("b"), (F.col("a.key") == F.col("b.key")) & close("a", "b", bits // 2)).select(*ends()).distinct())
     stars = linked(near)
     named = components(stars)
     labelled = cut(rows.join(named, "node", "left").withColumn("label", F.coalesce("label", "node")))
     held = labelled.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", "m").alias("top"), F.count("*").alias("labels"))
     mixed = cut(labelled.join(held.where("labels > 1").select("key", "top"), "key"))
     loose = mixed.where("label <> top")
-    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & close("a", "b")
-    rest = cut(loose.alias("a").join(mixed.alias("b"), across).select(*ends()).distinct().join(near, ["u", "v"], "left_anti"))
+    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))) & close("a", "b")
+    pairs = loose.alias("a").join(mixed.alias("b"), across).select(*ends(), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
+    shares = pairs.groupBy("u", "v").agg(F.count("*").alias("c"), F.least(F.min("na"), F.min("nb")).alias("lo"), F.greatest(F.max("na"), F.max("nb")).alias("hi"))
+    # of the set whose least hashes end first, those that are not shared are not in the other set at all
+    most = F.ceil(F.col("hi") * F.lit(similarity) - 1e-9) - 1 + F.col("c")
+    rest = cut(shares.where(most >= (F.col("lo") + F.col("hi")) * F.lit(similarity / (1 + similarity)) - 1e-9).select("u", "v").join(near, ["u", "v"], "left_anti"))
     return prints.select("doc_id", "row", "node"), stars.unionByName(linked(rest))
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from cairn.llm import mixing, quality, simhash
 
@@ -12,7 +14,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, s, len(t or "")) for i, t, s in rows], SCHEMA)
 
 
-def test_near_copies_by_similarity(spark):
+@pytest.mark.parametrize("pairwise", [64, 2])
+def test_near_copies_by_similarity(spark, monkeypatch, pairwise):
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
     rnd = random.Random(4)
     vocabulary = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(2000)]
     rows, want = [], {}
