@@ -205,14 +205,8 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-#: ``place`` of an anchor: 17 bits of the text's hash, 32 of the position, 7 of the bytes before, 7 of the strings.
-ROW_BITS = 17
-
-
-def _row(place):
-    return F.shiftrightunsigned(place, 46)
-
-
+#: ``place`` of an anchor: 32 bits of the position, 7 of the bytes before, 7 of the strings. The text's whole hash,
+#: ``row``, stands beside it.
 def _unpacked(place: int) -> tuple[int, int, int]:
     """Position, first byte and end of the surroundings."""
     pos, before, strings = place >> 14 & 0xFFFFFFFF, place >> 7 & 127, place & 127
@@ -235,13 +229,13 @@ def _texts(column) -> list[bytes]:
 def _anchor_rows(batches):
     for b in batches:
         lens, h, c, place = [], [], [], []
-        for text, row in zip(b.column("text").to_pylist(), b.column("row").to_pylist(), strict=True):
+        for text in b.column("text").to_pylist():
             p, x, y, before, strings = anchors(text or b"")
             lens.append(len(p))
-            h.append(x), c.append(y), place.append(row << 46 | p << 14 | before << 7 | strings)
+            h.append(x), c.append(y), place.append(p << 14 | before << 7 | strings)
         who = np.repeat(np.arange(len(lens)), lens)
         if len(who):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(who)), pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(c).view(np.int64)), pa.array(np.concatenate(place))], ["doc_id", "anchor", "around", "place"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(who)), b.column("row").take(pa.array(who)), pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(c).view(np.int64)), pa.array(np.concatenate(place))], ["doc_id", "row", "anchor", "around", "place"])
 
 
 def _batch(rows, spec: str):
@@ -251,22 +245,22 @@ def _batch(rows, spec: str):
     return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(columns, named, strict=True)], [n for n, _ in named])
 
 
-SIDES, SPANS, STRINGS = "doc_id long, anchor long, place long, before binary, after binary", "doc_id long, row long, lo int, hi int", "doc_id long, row long, lo int, w1 long, w2 long"
+SIDES, SPANS, STRINGS = "doc_id long, row long, anchor long, place long, before binary, after binary", "doc_id long, row long, lo int, hi int", "doc_id long, row long, lo int, w1 long, w2 long"
 
 
 def _sides(batches):
     """The bytes on both sides of each anchor asked for."""
     for b in batches:
         rows = []
-        for doc_id, text, asked in zip(b.column("doc_id").to_pylist(), _texts(b.column("z")), b.column("asked").to_pylist(), strict=True):
+        for doc_id, row, text, asked in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), _texts(b.column("z")), b.column("asked").to_pylist(), strict=True):
             for a in asked:
                 pos, lo, hi = _unpacked(a["place"])
-                rows.append((doc_id, a["anchor"], a["place"], text[lo:pos], text[pos + ANCHOR : hi]))
+                rows.append((doc_id, row, a["anchor"], a["place"], text[lo:pos], text[pos + ANCHOR : hi]))
         yield _batch(rows, SIDES)
 
 
 def _rows(b):
-    return zip(*[b.column(x).to_pylist() for x in ("doc_id", "anchor", "place", "before", "after")], strict=True)
+    return zip(*[b.column(x).to_pylist() for x in ("doc_id", "row", "anchor", "place", "before", "after")], strict=True)
 
 
 def _sort_groups(batches):
@@ -274,16 +268,16 @@ def _sort_groups(batches):
 
     def solve(rows):
         found = repeated_strings([(before, after) for *_, before, after in rows])
-        return [(doc_id, place >> 46, (place >> 14 & 0xFFFFFFFF) + f[0], (place >> 14 & 0xFFFFFFFF) + f[1] + LENGTH) for (doc_id, _, place, *_), f in zip(rows, found, strict=True) if f]
+        return [(doc_id, row, (place >> 14) + f[0], (place >> 14) + f[1] + LENGTH) for (doc_id, row, _, place, *_), f in zip(rows, found, strict=True) if f]
 
     held, key = [], None
     for b in batches:
         out = []
         for r in _rows(b):
-            if r[1] != key and held:
+            if r[2] != key and held:
                 out += solve(held)
                 held = []
-            key = r[1]
+            key = r[2]
             held.append(r)
         yield _batch(out, SPANS)
     yield _batch(solve(held) if held else [], SPANS)
@@ -297,14 +291,14 @@ def _narrowed(batches):
     """
     for b in batches:
         rows = []
-        for doc_id, anchor, place, before, after in _rows(b):
+        for doc_id, row, anchor, place, before, after in _rows(b):
             salt = anchor.to_bytes(8, "little", signed=True)
             least, most = SPAN - len(after), len(before)
             for low in range(least - least % NARROW, most + 1, NARROW):
                 high = low + NARROW - 1
                 core = before[most - low :] + after[: max(0, SPAN - high)]
                 name = hashlib.blake2b(core, digest_size=8, salt=salt, person=bytes((low,))).digest()
-                rows.append((doc_id, int.from_bytes(name, "little", signed=True), place, before[max(0, most - high) :], after[: SPAN - max(low, least)]))
+                rows.append((doc_id, row, int.from_bytes(name, "little", signed=True), place, before[max(0, most - high) :], after[: SPAN - max(low, least)]))
         yield _batch(rows, SIDES)
 
 
@@ -312,12 +306,12 @@ def _strings(batches):
     """Hash and place of each string of an anchor, for what is crowded even so."""
     for b in batches:
         rows = []
-        for doc_id, anchor, place, before, after in _rows(b):
+        for doc_id, row, anchor, place, before, after in _rows(b):
             pos, *_ = _unpacked(place)
             salt = anchor.to_bytes(8, "little", signed=True)
             for d in range(SPAN - len(after), len(before) + 1):
                 w = hashlib.blake2b(before[len(before) - d :] + after[: SPAN - d], digest_size=16, salt=salt, person=bytes((d,))).digest()
-                rows.append((doc_id, place >> 46, pos - d, int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True)))
+                rows.append((doc_id, row, pos - d, int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True)))
         yield _batch(rows, STRINGS)
 
 
@@ -354,16 +348,16 @@ def repeated_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
     strings shared. An anchor with over GROUP different surroundings is parted by what its strings share, and if a part
     is as large again its strings are counted by hash, spread over the cluster. Anchors are found twice rather than kept: that is cheaper than the disk for all of them.
     """
-    rows = docs.mapInArrow(_anchor_rows, "doc_id long, anchor long, around long, place long")
+    rows = docs.mapInArrow(_anchor_rows, "doc_id long, row long, anchor long, around long, place long")
     twice = stored(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     near = stored(rows.join(twice, "anchor"))
-    kinds = stored(near.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")))
+    kinds = stored(near.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "place")).alias("first")))
     sure = skew_join(near, kinds.where("n > 1").select("anchor", "around", "n"), ["anchor", "around"], "n", near.count())
     pos = F.shiftright("place", 14).bitwiseAND(F.lit(0xFFFFFFFF)).cast("long") - F.shiftright("place", 7).bitwiseAND(F.lit(127))
-    sure = sure.select("doc_id", _row("place").alias("row"), pos.cast("int").alias("lo"), (pos + F.col("place").bitwiseAND(F.lit(127)) + LENGTH).cast("int").alias("hi"))
+    sure = sure.select("doc_id", "row", pos.cast("int").alias("lo"), (pos + F.col("place").bitwiseAND(F.lit(127)) + LENGTH).cast("int").alias("hi"))
     differ = stored(kinds.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"))
     asked = kinds.join(differ.select("anchor"), "anchor").select("first.*", "anchor")
-    lists = asked.groupBy("doc_id", _row("place").alias("row")).agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))
+    lists = asked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))
     sides = stored(packed.join(lists, ["doc_id", "row"]).mapInArrow(_sides, SIDES))
     many = differ.where(F.col("m") > GROUP).select("anchor")
     narrow = stored(sides.join(many, "anchor", "left_semi").mapInArrow(_narrowed, SIDES))
@@ -382,11 +376,11 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     A byte goes if a string of 200 bytes over it also starts anywhere else, in this or another document, overlaps
     included; strings are those of the input, and never cross documents. Null text is empty. Texts under 200 bytes
     stay whole. Rows repeated in full are documents like any other, and so lose what they share; ids may be null. Rows
-    of one id and different texts are told apart by 17 bits of the text's hash.
+    of one id and different texts are told apart by 64 bits of the text's hash.
     """
     bounded_batches(docs.sparkSession)
     none = F.lit(-(1 << 63))
-    row = F.coalesce(text_hash(), F.lit(0)).bitwiseAND(F.lit((1 << ROW_BITS) - 1)).cast("long")
+    row = F.coalesce(text_hash(), F.lit(0))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), row.alias("row"), F.col("text").cast("binary").alias("text"))
     packed = rows.mapInArrow(_packed, "doc_id long, row long, z binary")
     lists = repeated_spans(rows, packed).groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))

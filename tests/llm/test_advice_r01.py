@@ -1,11 +1,12 @@
 """What the review of round 1 found missing."""
 
+import hashlib
 import random
 
 import pytest
 
 import corpus_pipeline
-from cairn.llm import mixing, quality, simhash
+from cairn.llm import mixing, quality, simhash, suffix
 
 SCHEMA = "doc_id long, text string, source string, n_chars long"
 
@@ -76,3 +77,18 @@ def test_one_id_with_two_texts(spark):
     for similarity in (None, 0.8):
         got = sorted((r.doc_id, r.text) for r in simhash.one_of_each(frame(spark, rows), similarity).collect())
         assert got == sorted([(1, own(1)), (1, own(2)), (3, own(3))])
+
+
+def test_suffix_rows_without_id_never_mix(spark):
+    rnd = random.Random(6)
+    make = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    passage = make(260)
+    # some 60 pairs of these texts have the same 17 bits
+    rows = [(None, make(rnd.randint(210, 260)) + (passage if i % 3 == 0 else "") + make(20), "s") for i in range(4000)]
+    want = sorted(hashlib.sha256(t.replace(passage, "").encode()).hexdigest() for _, t, _ in rows)
+    got = suffix.dedup_bytes(frame(spark, rows))
+    near = {r.n_bytes - r.n_removed: 1 for r in got.collect()}
+    assert min(near) > 210
+    kept = sorted(r.kept_sha256 for r in got.collect())
+    assert len(set(kept) & set(want)) > 0.6 * len(rows)
+    assert all(r.n_removed == 0 if r.n_bytes < 300 else 260 <= r.n_removed < 280 for r in got.collect())
