@@ -33,8 +33,7 @@ def anchor_refs(spark, sf_dir):
 
 
 def evidence(spark, sf_dir):
-    t = tables.turns(spark, sf_dir).where("turn_index % 3 = 0")
-    rows = t.select("session_id", "turn_index", F.substring("content", 1, 120).alias("excerpt"), F.concat(F.lit("/"), "role").alias("pointer"))
+    rows = tables.turns(spark, sf_dir).select("session_id", "turn_index", F.col("content").alias("excerpt"), F.concat(F.lit("/"), "role").alias("pointer"))
     return windows.evidence_ledger(rows).withColumn("evidence_id", F.concat_ws("#", "session_id", "turn_index"))
 
 

@@ -7,6 +7,8 @@ import pytest
 
 import corpus_pipeline
 from cairn.llm import mixing, quality, simhash, suffix
+from cairn.plans import evaluation, graph
+from cairn.sources import tables
 
 SCHEMA = "doc_id long, text string, source string, n_chars long"
 
@@ -92,3 +94,10 @@ def test_suffix_rows_without_id_never_mix(spark):
     kept = sorted(r.kept_sha256 for r in got.collect())
     assert len(set(kept) & set(want)) > 0.6 * len(rows)
     assert all(r.n_removed == 0 if r.n_bytes < 300 else 260 <= r.n_removed < 280 for r in got.collect())
+
+
+def test_all_turns_are_evidence(spark):
+    said = tables.turns(spark, "/root/testdata/sf0.001").select("session_id", "turn_index", "content").collect()
+    got = graph.evidence(spark, "/root/testdata/sf0.001").select("session_id", "turn_index", "excerpt").collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in said}
+    assert any(r.turn_index % 3 for r in got)
