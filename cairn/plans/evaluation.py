@@ -312,6 +312,15 @@ def publication_problems(spark, sf_dir):
     return reports.publication_problems(predictions, docs.where("doc_id < 880").select(F.col("doc_id").alias("question_id")))
 
 
+@query("publication_problems_all", """WITH p AS (SELECT doc_id AS question_id, coalesce(text, '') AS h FROM documents), c AS (SELECT doc_id AS question_id FROM labels)
+SELECT question_id, 'missing' AS problem FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.question_id = c.question_id) UNION SELECT question_id, 'unknown' FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.question_id = p.question_id)
+UNION SELECT question_id, 'repeated' FROM p GROUP BY 1 HAVING count(*) > 1 UNION SELECT question_id, 'secret' FROM p WHERE regexp_matches(h, '(?i)(sk-[a-z0-9_-]{12,}|AIza[a-z0-9_-]{12,}|Bearer\\s+[a-z0-9._-]{12,})')""")
+def publication_problems_all(spark, sf_dir):
+    """The whole check: every document is a prediction, every labelled id a case."""
+    predictions = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.coalesce("text", F.lit("")).alias("hypothesis"))
+    return reports.publication_problems(predictions, tables.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id")))
+
+
 @query("macro_recall", f"""{METRICS}, r AS (SELECT n_gold > 1 AS several, len(list_filter(coalesce(ranks, []), lambda r: r <= 12)) / n_gold AS rec, first_rank, complete FROM metrics)
 SELECT several, count(*) AS n, round(avg(rec), 6) AS recall, count(*) FILTER (WHERE first_rank <= 12) AS hits, count(*) FILTER (WHERE complete) AS complete FROM r GROUP BY several""")
 def macro_recall(spark, sf_dir):

@@ -101,3 +101,11 @@ def test_all_turns_are_evidence(spark):
     got = graph.evidence(spark, "/root/testdata/sf0.001").select("session_id", "turn_index", "excerpt").collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in said}
     assert any(r.turn_index % 3 for r in got)
+
+
+def test_publication_check_sees_every_document(spark, tmp_path):
+    rows = [(i, "key sk-abcdefghijklmnop" if i in (7, 8, 2800) else "plain", "s") for i in (0, 7, 8, 9, 2800, 2801)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i,) for i in (0, 7, 8, 2800, 3000)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {tuple(r) for r in evaluation.QUERIES["publication_problems_all"](spark, str(tmp_path)).collect()}
+    assert got == {(7, "secret"), (8, "secret"), (2800, "secret"), (3000, "missing"), (9, "unknown"), (2801, "unknown")}
