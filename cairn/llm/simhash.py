@@ -188,7 +188,8 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
     one of), fit in size, differ in at most ``bits`` bits of the SimHash and share so many of their least hashes that
     the rest can make up the index; each is then compared exactly. To keep a large group of copies from being paired in
     full, members of a hash with over PAIRWISE are first compared with its least and its largest node, if half the bits
-    agree with that; then only members of different components are paired. Nothing is capped or left out.
+    agree with that; then only members of different components are paired. No group is capped. All tests but the one of ``bits`` are exact;
+    that one can lose a pair in principle (at 0.8 some 10 of 64 bits differ on average); what it loses is not measured.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("row"), F.col("text").cast("binary").alias("text"))
