@@ -16,11 +16,9 @@ from .common import bounded_batches, skew_join, stored, text_hash
 #: Length of the repeated strings, and of the anchors, one of which every such string holds.
 LENGTH, ANCHOR = 200, 80
 SPAN = LENGTH - ANCHOR  # bytes on either side of an anchor that its strings can reach
-#: Bytes behind an anchor that are one symbol of a suffix array's text.
-BLOCK = 24
 #: Different surroundings of an anchor that one suffix array takes; those of anchors with more part by NARROW
 #: neighbouring starts and what these share, and what is crowded even so is counted string by string.
-GROUP, NARROW = 4096, 16
+GROUP, NARROW = 1024, 16
 #: Bytes of a text worked on at once.
 CHUNK = 1 << 20
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
@@ -37,17 +35,13 @@ def suffix_order(text: list[int]) -> list[int]:
     each takes the next place of its group.
     """
     n = len(text)
-    symbols = np.asarray(text)
-    order = np.argsort(symbols, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(symbols[order]) != 0]))
-    lengths = np.diff(np.append(heads, n))
-    size = np.zeros(n, int)
-    size[heads] = lengths
-    group = np.empty(n, int)
-    group[order] = np.repeat(heads, lengths)
-    at = np.empty(n, int)
-    at[order] = np.arange(n)
-    sa, at, group, size = order.tolist(), at.tolist(), group.tolist(), size.tolist()
+    sa = sorted(range(n), key=text.__getitem__)
+    at, group, size, first = [0] * n, [0] * n, [0] * n, 0
+    for r, i in enumerate(sa):
+        if text[i] != text[sa[first]]:
+            first = r
+        at[i], group[i] = r, first
+        size[first] += 1
     prev = list(range(-1, n - 1))
     end = n - 1
     while end >= 0:
@@ -110,42 +104,63 @@ def suffix_order(text: list[int]) -> list[int]:
     return out
 
 
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
+
+
+def starts(sides: list[tuple[bytes, bytes]]) -> list[int]:
+    """Distances from a string's start to the anchor, falling, at which a row of repeated strings can begin or end.
+
+    A string starts as far before the anchor as two surroundings agree there, or ends as far behind it; and how far any
+    two agree is how far some neighbours in sorted order do.
+    """
+    before, after = sorted(left[::-1] for left, _ in sides), sorted(right for _, right in sides)
+    back = {common_prefix(a, b) for a, b in zip(before, before[1:], strict=False)}
+    ahead = {max(0, SPAN - common_prefix(a, b)) for a, b in zip(after, after[1:], strict=False)}
+    return sorted((d for d in back | ahead if min(ahead) <= d <= max(back)), reverse=True)
+
+
 def repeated_strings(sides: list[tuple[bytes, bytes]]) -> list[tuple[int, int] | None]:
     """For different surroundings (bytes before and after) of one anchor: the first and the last start, counted from
     the anchor, of strings of LENGTH over the anchor that another one also has; None without any.
 
-    The anchor, the same in all, is one symbol of the text whose suffixes are sorted. Strings start before it, so the
-    bytes there are symbols; behind it blocks are, ranked like their bytes, so the order is still that of the bytes.
-    Each surrounding ends in a symbol of its own. A string is there twice if a neighbour in the order has it.
+    The text whose suffixes are sorted has blocks for symbols: the bytes between two of the ``starts``, and behind the
+    anchor those between the ends of the strings that begin there. So each such string is the same number of symbols
+    in a row, and stands twice if a neighbour in the order begins with them. Each surrounding ends in a symbol of its
+    own.
     """
-    m = len(sides)
-    blocks = [[right[i : i + BLOCK] for i in range(0, len(right), BLOCK)] for _, right in sides]
-    rank = {b: m + 257 + i for i, b in enumerate(sorted({b for bs in blocks for b in bs}))}
+    m, cuts = len(sides), starts(sides)
+    out: list[tuple[int, int] | None] = [None] * m
+    if not cuts:
+        return out
+    before, after = list(zip(cuts, [*cuts[1:], 0], strict=True)), list(zip([0, *(SPAN - d for d in cuts)], [SPAN - d for d in cuts], strict=False))
+    rank: dict[tuple[int, bytes], int] = {}
     text, place = [], {}
-    for k, ((left, right), bs) in enumerate(zip(sides, blocks, strict=True)):
-        # the string that starts d bytes before the anchor needs SPAN - d bytes behind it
-        for i in range(max(0, len(left) - SPAN), len(left) - max(0, SPAN - len(right)) + 1):
-            place[len(text) + i] = (k, len(left) - i)
-        text += [c + m for c in left]
-        text.append(m + 256)
-        text += [rank[b] for b in bs]
+    for k, (left, right) in enumerate(sides):
+        n = len(left)
+        for i, (d, e) in enumerate(before):
+            if d <= n:
+                if SPAN - d <= len(right):
+                    place[len(text)] = (k, d)
+                text.append(rank.setdefault((i, left[n - d : n - e]), m + 1 + len(rank)))
+        text.append(m)
+        for i, (d, e) in enumerate(after):
+            if e > len(right):
+                break
+            text.append(rank.setdefault((-1 - i, right[d:e]), m + 1 + len(rank)))
         text.append(m - 1 - k)
-    out: list[tuple[int, int] | None] = [None] * m
-    before, at = None, None
-    twice = set()
+    width = len(cuts) + 2
+    last, at = None, None
     for i in suffix_order(text):
         here = place.get(i)
         if here is None:
             continue
-        k, d = here
-        left, right = sides[k]
-        string = (left[len(left) - d :], right[: SPAN - d])
-        if string == before:
-            twice.add(at)
-            twice.add(here)
-        before, at = string, here
-    for k, d in twice:
-        out[k] = (min(-d, out[k][0]), max(-d, out[k][1])) if out[k] else (-d, -d)
+        string = text[i : i + width]
+        if string == last:
+            for k, d in (at, here):
+                out[k] = (min(-d, out[k][0]), max(-d, out[k][1])) if out[k] else (-d, -d)
+        last, at = string, here
     return out
 
 
