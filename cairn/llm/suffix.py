@@ -109,57 +109,67 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
 
 
-def starts(sides: list[tuple[bytes, bytes]]) -> list[int]:
-    """Distances from a string's start to the anchor, falling, at which a row of repeated strings can begin or end.
+def agreement(strings: list[bytes]) -> tuple[list[int], set[int]]:
+    """Of each string, the longest prefix that another one also has, and lengths of what any two have in common.
 
-    A string starts as far before the anchor as two surroundings agree there, or ends as far behind it; and how far any
-    two agree is how far some neighbours in sorted order do.
+    In sorted order a neighbour has the longest, and what two have in common some neighbours between them have.
     """
-    before, after = sorted(left[::-1] for left, _ in sides), sorted(right for _, right in sides)
-    back = {common_prefix(a, b) for a, b in zip(before, before[1:], strict=False)}
-    ahead = {max(0, SPAN - common_prefix(a, b)) for a, b in zip(after, after[1:], strict=False)}
-    return sorted((d for d in back | ahead if min(ahead) <= d <= max(back)), reverse=True)
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    out, lengths = [0] * len(strings), set()
+    for a, b in zip(order, order[1:], strict=False):
+        n = common_prefix(strings[a], strings[b])
+        lengths.add(n)
+        out[a], out[b] = max(out[a], n), max(out[b], n)
+    return out, lengths
 
 
 def repeated_strings(sides: list[tuple[bytes, bytes]]) -> list[tuple[int, int] | None]:
     """For different surroundings (bytes before and after) of one anchor: the first and the last start, counted from
     the anchor, of strings of LENGTH over the anchor that another one also has; None without any.
 
-    The text whose suffixes are sorted has blocks for symbols: the bytes between two of the ``starts``, and behind the
-    anchor those between the ends of the strings that begin there. So each such string is the same number of symbols
-    in a row, and stands twice if a neighbour in the order begins with them. Each surrounding ends in a symbol of its
-    own.
+    How far a surrounding agrees with any other, before and behind the anchor, bounds where its strings can start, and
+    those that agree too little on both sides leave. A row of repeated strings begins as far before the anchor as two
+    surroundings agree there, or ends as far behind it, so the text whose suffixes are sorted has blocks for symbols:
+    the bytes between two such starts, and behind the anchor those between the ends of the strings that begin there.
+    Each such string is the same number of symbols in a row, and stands twice if a neighbour in the order begins with
+    them. Each surrounding ends in a symbol of its own.
     """
-    m, cuts = len(sides), starts(sides)
-    out: list[tuple[int, int] | None] = [None] * m
-    if not cuts:
-        return out
-    before, after = list(zip(cuts, [*cuts[1:], 0], strict=True)), list(zip([0, *(SPAN - d for d in cuts)], [SPAN - d for d in cuts], strict=False))
+    out: list[tuple[int, int] | None] = [None] * len(sides)
+    who, fewer = list(range(len(sides))), True
+    while fewer:
+        (back, begin), (ahead, reach) = agreement([sides[k][0][::-1] for k in who]), agreement([sides[k][1] for k in who])
+        stay = [i for i in range(len(who)) if back[i] + ahead[i] >= SPAN]
+        fewer, who = 2 * len(stay) < len(who), [who[i] for i in stay]
+        back, ahead = [back[i] for i in stay], [ahead[i] for i in stay]
+    m, cuts = len(who), sorted(begin | {max(0, SPAN - e) for e in reach}, reverse=True)
     rank: dict[tuple[int, bytes], int] = {}
     text, place = [], {}
-    for k, (left, right) in enumerate(sides):
-        n = len(left)
-        for i, (d, e) in enumerate(before):
-            if d <= n:
-                if SPAN - d <= len(right):
-                    place[len(text)] = (k, d)
-                text.append(rank.setdefault((i, left[n - d : n - e]), m + 1 + len(rank)))
+    for k, (most, far) in enumerate(zip(back, ahead, strict=True)):
+        left, right = sides[who[k]]
+        n, least = len(left), SPAN - far
+        own = [i for i, d in enumerate(cuts) if least <= d <= most]  # never none: ``most`` is one
+        for i in range(own[0], len(cuts)):
+            d, e = cuts[i], cuts[i + 1] if i + 1 < len(cuts) else 0
+            if d >= least:
+                place[len(text)] = (k, d)
+            text.append(rank.setdefault((i, left[n - d : n - e]), m + 1 + len(rank)))
         text.append(m)
-        for i, (d, e) in enumerate(after):
-            if e > len(right):
-                break
-            text.append(rank.setdefault((-1 - i, right[d:e]), m + 1 + len(rank)))
+        end = 0
+        for i in range(own[-1] + 1):
+            d, end = end, SPAN - cuts[i]
+            text.append(rank.setdefault((-1 - i, right[d:end]), m + 1 + len(rank)))
         text.append(m - 1 - k)
     width = len(cuts) + 2
     last, at = None, None
-    for i in suffix_order(text):
+    for i in suffix_order(text) if text else []:
         here = place.get(i)
         if here is None:
             continue
         string = text[i : i + width]
         if string == last:
             for k, d in (at, here):
-                out[k] = (min(-d, out[k][0]), max(-d, out[k][1])) if out[k] else (-d, -d)
+                f = out[who[k]]
+                out[who[k]] = (min(-d, f[0]), max(-d, f[1])) if f else (-d, -d)
         last, at = string, here
     return out
 

@@ -62,5 +62,27 @@ def test_removal_is_brute_force(spark, monkeypatch, group):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_repeated_strings_of_an_anchor():
+    rnd = random.Random(5)
+    for _ in range(600):
+        alphabet, m = rnd.choice([b"a", b"ab", b"abcdefgh"]), rnd.randint(1, 8)
+        base = [bytes(rnd.choices(alphabet, k=240)) for _ in range(2)]
+        sides = set()
+        for _ in range(m):
+            b = bytearray(rnd.choice(base))
+            for _ in range(rnd.randint(0, 3)):
+                b[rnd.randrange(240)] = 120
+            first, end = rnd.randint(0, 120), rnd.randint(120, 240)
+            if end - first >= 120:
+                sides.add((bytes(b[first:120]), bytes(b[120:end])))
+        sides = sorted(sides)
+        strings = [{d: (left[len(left) - d :], right[: 120 - d]) for d in range(max(0, 120 - len(right)), len(left) + 1)} for left, right in sides]
+        want = []
+        for k, own in enumerate(strings):
+            again = [-d for d, x in own.items() if any(o.get(d) == x for j, o in enumerate(strings) if j != k)]
+            want.append((min(again), max(again)) if again else None)
+        assert suffix.repeated_strings(sides) == want
+
+
 def test_empty(spark):
     assert suffix.dedup_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
