@@ -5,7 +5,7 @@ Conventions used by every operator here:
 * a document is named by ``doc_id`` *and* the hash of its text, so rows that repeat an id with another text
   never mix, and rows repeated in full all get the same answer;
 * tables are read only with Spark's readers, and cut points go to the folder in ``spark.checkpoint.dir``;
-* extra input columns never reach a plan: every operator selects what it needs first.
+* extra input columns never reach a plan, or ride in one struct (``carried``), so no name of theirs can clash.
 """
 
 from __future__ import annotations
@@ -29,15 +29,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, or else the context's; only a local session gets one of its own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="cairn-shared-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder; files go when the result is garbage."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def carried(docs: DataFrame, **more: Column) -> DataFrame:
+    """The rows of ``docs`` as one struct ``own``, whose names clash with none, and ``more`` columns beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *[c.alias(k) for k, c in more.items()])
+
+
+def own_columns(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``own``; those named in ``new`` replaced."""
+    return [(new[c] if c in new else F.col(f"own.`{c}`")).alias(c) for c in docs.columns]
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to Python workers that are not told where it lies."""
     root = Path(__file__).resolve().parents[2]
@@ -109,8 +128,6 @@ def let(value: Column, body) -> Column:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="cairn-tables-")
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, skew_join, strip_ws, text_hash, text_of
+from .common import ascii_lower, carried, cut, own_columns, skew_join, strip_ws, text_hash, text_of
 
 
 def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -29,20 +29,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     A line's key is the line without white space at its ends, A-Z in lower case. Keys of ``min_chars`` or more code
     points that two documents hold stay only in the smallest doc_id (all their lines there stay). Null or empty
     text: one empty line. Rows without doc_id keep all lines and are no holders. Repeated rows each get the same
-    result. Input columns of the three new names are replaced; columns named ``_cairn_*`` are not supported.
+    result, and rows of one id with different texts hold lines as one document. Texts of any length are read whole;
+    an empty table gives an empty one. Input columns of the three new names are replaced, all others pass through.
     """
-    gone = dropped_lines(docs.select("doc_id", "text"), min_chars).select(F.col("doc_id").alias("_cairn_id"), F.col("row").alias("_cairn_row"), "gone").withColumnRenamed("gone", "_cairn_gone")
-    own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    joined = docs.select(*own).withColumn("_cairn_h", text_hash()).join(gone, (F.col("doc_id") == F.col("_cairn_id")) & (F.col("_cairn_h") == F.col("_cairn_row")), "left")
-    lines = F.split(text_of(), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_cairn_lines") - 1), F.col("_cairn_gone"))
-    kept = F.array_join(F.transform(stay, lambda p: F.get(F.col("_cairn_lines"), p)), "\n")
-    return (
-        joined.withColumn("_cairn_lines", lines)
-        .withColumn("kept_text", F.when(F.col("_cairn_gone").isNull(), text_of()).otherwise(kept))
-        .withColumn("n_lines", F.size("_cairn_lines").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_cairn_gone"), F.lit(0)).cast("long"))
-        .select(*own, "kept_text", "n_lines", "n_dropped")
+    gone = dropped_lines(docs.select("doc_id", "text"), min_chars)
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("kept_text", "n_lines", "n_dropped")])
+    joined = carried(own, doc_id=F.col("doc_id"), row=text_hash()).join(gone, ["doc_id", "row"], "left")
+    text = F.coalesce(F.col("own.text"), F.lit(""))
+    split = joined.withColumn("lines", F.split(text, "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(stay, lambda p: F.get(F.col("lines"), p)), "\n")
+    return split.select(
+        *own_columns(own),
+        F.when(F.col("gone").isNull(), text).otherwise(kept).alias("kept_text"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

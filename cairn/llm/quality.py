@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, let, skew_join, spaced, strip_ws, text_hash, text_of, words_of
+from .common import ascii_lower, carried, cut, let, own_columns, skew_join, spaced, strip_ws, text_of, words_of
 
 WINDOW = 5
 
@@ -52,13 +52,21 @@ def base_rules(docs: DataFrame, **keep: Column) -> DataFrame:
 
 
 def host_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, host, line, words): the different lines of each document by hash; a null source is a host of its own."""
+    """(doc_id, row, host, line, words): the different lines of each document by hash; a null source is a host of its own.
+
+    ``words`` are those of the line wherever it stands, so a row that is there twice has them twice.
+    """
     text = text_of()
-    parts = docs.select("doc_id", text_hash().alias("row"), host_of().alias("host"), F.explode(F.split(text, "\n")).alias("line"))
+    parts = docs.select("doc_id", row_of().alias("row"), host_of().alias("host"), F.explode(F.split(text, "\n")).alias("line"))
     keyed = parts.select("doc_id", "row", "host", line_key(F.col("line")).alias("key")).where(F.length("key") > 0)
     return cut(keyed.groupBy("doc_id", "row", "host", F.xxhash64("key").alias("line")).agg(F.sum(F.size(words_of(F.col("key")))).alias("words")))
 
 
+def row_of() -> Column:
+    """64 bits that tell the texts of one id apart; null is as empty."""
+    return F.xxhash64(F.lit("row"), text_of())
+
+
 def host_of() -> Column:
     return F.coalesce(F.xxhash64("source"), F.lit(0))
 
@@ -67,7 +75,7 @@ def line_key(line: Column) -> Column:
     return ascii_lower(strip_ws(line))
 
 
-def common_lines(docs: DataFrame, min_docs: int, share: float | None) -> DataFrame:
+def common_lines(docs: DataFrame, base: DataFrame, min_docs: int, share: float | None) -> DataFrame:
     """The rows of ``host_lines`` whose line too many documents of the host hold.
 
     A line counts once a document. With ``share``, exact copies of a text count as one document of their host, and the
@@ -78,88 +86,89 @@ def common_lines(docs: DataFrame, min_docs: int, share: float | None) -> DataFra
     if share is None:
         common = cut(lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs))
     else:
-        hosts = docs.select(host_of().alias("host"), text_hash().alias("row")).distinct().groupBy("host").agg(F.count("*").alias("texts"))
-        held = lines.groupBy("host", "line", "row").agg(F.count("*").alias("n")).groupBy("host", "line").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") > min_docs)
-        common = cut(held.join(hosts, "host").where(F.col("docs") > F.greatest(F.lit(float(min_docs)), F.col("texts") * F.lit(float(share)))).select("host", "line", "n"))
+        texts = base.select("host", "row").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+        held = cut(lines.groupBy("host", "line", "row").agg(F.count("*").alias("n")).groupBy("host", "line").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") > min_docs))
+        hosts = cut(held.groupBy("host").agg(F.count("*").alias("of_host")).join(texts, "host"))
+        limits = skew_join(held, hosts, ["host"], "of_host", held.count())
+        common = cut(limits.where(F.col("docs") > F.greatest(F.lit(float(min_docs)), F.col("texts") * F.lit(float(share)))).select("host", "line", "n"))
     return skew_join(lines, common, ["host", "line"], "n", lines.count())
 
 
-def quality(docs: DataFrame, min_docs: int = 20, share: float | None = 0.1, min_words: int = 10, min_left: float = 0.2, with_lines: bool = False) -> DataFrame:
-    """``docs(doc_id, text, source)`` -> base rules, ``n_common_words`` and ``kept`` for each row.
+def quality(docs: DataFrame, min_docs: int = 20, share: float | None = 0.1, min_words: int = 10, min_left: float = 0.2) -> DataFrame:
+    """``docs(doc_id, text, source)`` -> base rules, ``n_common_words``, ``kept``, ``host`` and ``common`` for each row.
 
     Native functions only. ``kept`` is false if the base rules fail, or if fewer than ``min_words`` words, or less
-    than ``min_left`` of all words, remain without the lines common on the document's host. Null text has no words
-    and fails; null ids and sources are ordinary values; repeated rows get the same verdict. ``with_lines`` adds
-    ``host`` and ``common``, the hashes of the document's common lines (null: none), a row for each host of a document.
+    than ``min_left`` of all words, remain without the lines common on the document's host; ``common`` has the hashes
+    of these lines (null: none). Null text has no words and fails; null ids and sources are ordinary values. A row that
+    is there several times gets in each place what it would get alone, and counts as one document of its host; rows
+    of one id that differ in text or source are judged each by its own. Texts of any length are read whole; an empty
+    table gives an empty result; extra columns are ignored.
     """
-    hosted = {"host": host_of()} if with_lines else {}
-    base = cut(base_rules(docs, doc_id=F.col("doc_id"), row=text_hash(), **hosted))
-    by = ["doc_id", "row", *hosted]
-    extra = [F.collect_set("line").alias("common")] if with_lines else []
-    gone = common_lines(docs, min_docs, share).groupBy(*by).agg(F.sum("words").alias("gone"), *extra)
-    common = gone.withColumnsRenamed({c: f"{c}2" for c in by})
-    same = F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("row") == F.col("row2"))
-    rows = base.join(common, same & (F.col("host") == F.col("host2")) if with_lines else same, "left").withColumn("n_common_words", F.coalesce("gone", F.lit(0)))
+    base = cut(base_rules(docs, doc_id=F.col("doc_id"), row=row_of(), host=host_of()))
+    by = ["doc_id", "row", "host"]
+    lines = common_lines(docs, base, min_docs, share).groupBy(*by).agg(F.sum("words").alias("gone"), F.collect_set("line").alias("common"))
+    copies = base.groupBy(*by).agg(F.count("*").alias("copies")).where("copies > 1").select(*by, F.lit(0).cast("long").alias("gone"), F.lit(None).cast("array<long>").alias("common"), "copies")
+    found = lines.withColumn("copies", F.lit(1).cast("long")).unionByName(copies).groupBy(*by).agg(F.max("gone").alias("gone"), F.max("copies").alias("copies"), F.max("common").alias("common"))
+    found = found.where("gone > 0").select(*[F.col(c).alias(f"{c}2") for c in by], (F.col("gone") / F.col("copies")).cast("long").alias("gone"), "common")
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("row") == F.col("row2")) & (F.col("host") == F.col("host2"))
+    rows = base.join(found, same, "left").withColumn("n_common_words", F.coalesce("gone", F.lit(0)))
     left = F.col("n_words") - F.col("n_common_words")
     depleted = (left < min_words) | (left < F.col("n_words") * F.lit(min_left))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~depleted).drop(*common.columns[: len(by)], "gone")
-
-
-def quality_filter(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the input's columns."""
-    kept = quality(docs.select("doc_id", "text", "source"), **params).where("kept").select(F.col("doc_id").alias("_cairn_id"), F.col("row").alias("_cairn_row")).distinct()
-    h = docs.withColumn("_cairn_h", text_hash())
-    return h.join(kept, F.col("doc_id").eqNullSafe(F.col("_cairn_id")) & (F.col("_cairn_h") == F.col("_cairn_row")), "left_semi").select(*docs.columns)
+    return rows.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("doc_id2", "row2", "host2", "gone")
 
 
-def quality_texts(docs: DataFrame, **params) -> DataFrame:
-    """Like ``quality_filter``, but ``text`` is without the lines common on the host, and ``n_chars`` follows it.
+def quality_texts(docs: DataFrame, with_lines: bool = False, **params) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with the input's columns; ``params`` are those of ``quality``.
 
-    ``params`` are those of ``quality``. The other lines stay as they are, blank ones too.
+    ``text`` is without the lines common on the host, and ``n_chars``, if there is one, follows it; ``with_lines``
+    leaves both as they came. The other lines stay as they are, blank ones too.
     """
-    rules = quality(docs.select("doc_id", "text", "source"), with_lines=True, **params).where("kept")
-    kept = rules.select(*[F.col(c).alias(f"_cairn_{c}") for c in ("doc_id", "row", "host", "common")]).dropDuplicates(["_cairn_doc_id", "_cairn_row", "_cairn_host"])
-    same = F.col("doc_id").eqNullSafe(F.col("_cairn_doc_id")) & (text_hash() == F.col("_cairn_row")) & (host_of() == F.col("_cairn_host"))
-    stay = F.filter(F.split(text_of(), "\n"), lambda x: ~F.array_contains(F.col("_cairn_common"), F.xxhash64(line_key(x))))
-    joined = docs.join(kept, same).withColumn("text", F.when(F.col("_cairn_common").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
-    new = {"n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
-    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    rules = quality(docs.select("doc_id", "text", "source"), **params).where("kept").select("doc_id", "row", "host", "common").dropDuplicates(["doc_id", "row", "host"])
+    kept = rules.withColumnsRenamed({c: f"{c}2" for c in ("doc_id", "row", "host")})
+    rows = carried(docs, doc_id=F.col("doc_id"), row=row_of(), host=host_of())
+    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("row") == F.col("row2")) & (F.col("host") == F.col("host2")))
+    if with_lines:
+        return joined.select(*own_columns(docs))
+    text = F.col("own.text")
+    stay = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("common"), F.xxhash64(line_key(x))))
+    new = joined.withColumn("text", F.when(F.col("common").isNull(), text).otherwise(F.array_join(stay, "\n")))
+    return new.select(*own_columns(docs, text=F.col("text"), n_chars=F.length("text").cast("long")))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return quality(docs).drop("row")
+    return quality(docs).drop("row", "host", "common")
 
 
 OP6_SQL = r"""
 WITH base AS (
-  SELECT doc_id, source, coalesce(text, '') AS text, md5(coalesce(text, '')) AS body,
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, md5(coalesce(text, '')) AS body,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 wins AS (
-  SELECT doc_id, i, list_slice(w, i, i + 4) AS win
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM base WHERE len(w) >= 5)),
-twice AS (SELECT doc_id, i FROM wins QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
-rep AS (SELECT doc_id, count(DISTINCT j) AS r FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM twice) GROUP BY doc_id),
-lines AS (SELECT doc_id, source, body, unnest(string_split(text, chr(10))) AS line FROM base),
+  SELECT rid, i, list_slice(w, i, i + 4) AS win
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM base WHERE len(w) >= 5)),
+twice AS (SELECT rid, i FROM wins QUALIFY count(*) OVER (PARTITION BY rid, win) > 1),
+rep AS (SELECT rid, count(DISTINCT j) AS r FROM (SELECT rid, unnest(range(i, i + 5)) AS j FROM twice) GROUP BY rid),
+lines AS (SELECT rid, source, body, unnest(string_split(text, chr(10))) AS line FROM base),
 dups AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS d FROM lines
-  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+  SELECT rid, count(*) - count(DISTINCT line) AS d FROM lines
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 keyed AS (
-  SELECT doc_id, source, body, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  SELECT rid, source, body, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
 hosts AS (SELECT source, count(DISTINCT body) AS texts FROM base GROUP BY source),
 common AS (
   SELECT k.source, k.key FROM keyed k JOIN hosts h ON k.source IS NOT DISTINCT FROM h.source WHERE k.key <> ''
   GROUP BY k.source, k.key HAVING count(DISTINCT k.body) > greatest(20.0, 0.1 * any_value(h.texts))),
 gone AS (
-  SELECT k.doc_id, CAST(sum(len(regexp_extract_all(k.key, '[^\x20\x09-\x0D]+'))) AS BIGINT) AS g
-  FROM keyed k JOIN common c ON k.source IS NOT DISTINCT FROM c.source AND k.key = c.key GROUP BY k.doc_id),
+  SELECT k.rid, CAST(sum(len(regexp_extract_all(k.key, '[^\x20\x09-\x0D]+'))) AS BIGINT) AS g
+  FROM keyed k JOIN common c ON k.source IS NOT DISTINCT FROM c.source AND k.key = c.key GROUP BY k.rid),
 facts AS (
   SELECT b.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words,
          CAST(coalesce(g, 0) AS BIGINT) AS n_common_words
-  FROM base b LEFT JOIN dups USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+  FROM base b LEFT JOIN dups USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM facts)
 SELECT *, NOT base_failed AND NOT (n_words - n_common_words < 10 OR n_words - n_common_words < n_words * 0.2::DOUBLE) AS kept
 FROM judged

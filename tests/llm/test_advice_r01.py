@@ -51,6 +51,19 @@ def test_common_lines_leave_the_text(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_repeated_rows_are_judged_alike(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(14))
+    line = "one line of thirteen words that very many documents of this host hold"
+    rows = [(i, f"{line}\n{own(i)}", "h") for i in range(30)] + [(50, f"{line}\n{own(50)}", "h")] * 3
+    rows += [(50, own(51), "h"), (50, f"{line}\n{own(50)}", "elsewhere"), (None, f"{line}\n{own(52)}", "h"), (None, f"{line}\n{own(52)}", "h"), (None, f"{line}\n{line}", "h")]
+    for share in (0.1, None):
+        got = quality.quality(frame(spark, rows), share=share).collect()
+        h = next(r.host for r in got if r.doc_id == 0)
+        assert len(got) == len(rows) and all(r.kept == (r.n_words != 26) for r in got)
+        assert all(r.n_common_words == (13 if r.n_words == 27 and r.host == h else 26 if r.n_words == 26 else 0) for r in got)
+    assert len(quality.quality_texts(frame(spark, rows)).collect()) == len(rows) - 1
+
+
 def test_limit_of_common_lines_is_absolute(spark):
     own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
     rows = [(i, own(i) + ("\nsubscribe now" if i < 21 else "\nread more" if i < 41 else ""), "large") for i in range(400)]
