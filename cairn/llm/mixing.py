@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, carried, cut, own_columns
 
 #: Bits of a document's place on the hash line, and bits that one histogram resolves.
 HASH_BITS, STEP = 60, 12
@@ -18,10 +18,26 @@ def size_of(name: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(name), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def place_of(name: str = "doc_id", text: str | None = None) -> Column:
-    """A document's fixed place on the hash line, 0 to 2^60 - 1; without id that of its ``text``, or else one for all."""
-    named = [F.col(name).cast("string"), *([F.col(text)] if text else []), F.lit("")]
-    return F.conv(F.substring(F.md5(F.coalesce(*named)), 1, HASH_BITS // 4), 16, 10).cast("long")
+def place_of() -> Column:
+    """A document's fixed place on the hash line, 0 to 2^60 - 1; without doc_id that of its text, or else that of none."""
+    named = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
+    return F.conv(F.substring(F.md5(named), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def running(rows: DataFrame, order: list[str], *sums: str) -> DataFrame:
+    """``rows`` with ``i``, how many come before in ``order``, and ``before_<x>`` and ``all_<x>`` of each of ``sums``.
+
+    Rows are dealt out by ranges, so no task holds all; only sums a range are put in order at once.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    ranges = dealt.groupBy("part").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"part_{x}") for x in sums])
+    ahead, whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    ranges = ranges.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"), *[F.coalesce(F.sum(f"part_{x}").over(ahead), F.lit(0.0)).alias(f"part_{x}") for x in sums], *[F.sum(f"part_{x}").over(whole).alias(f"all_{x}") for x in sums])
+    inside = Window.partitionBy("part").orderBy(*order)
+    out = dealt.join(F.broadcast(ranges), "part").withColumn("i", F.col("first") + F.row_number().over(inside) - 1)
+    for x in sums:
+        out = out.withColumn(f"before_{x}", F.col(f"part_{x}") + F.coalesce(F.sum(x).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    return out.drop("part", "first", *[f"part_{x}" for x in sums])
 
 
 def targets(sizes: DataFrame, weights: list[float], budget: float, cap: float) -> DataFrame:
@@ -29,17 +45,16 @@ def targets(sizes: DataFrame, weights: list[float], budget: float, cap: float) -
 
     Sources in order of code points, null last, get ``weights`` in turn and share ``budget`` times all sizes; a
     target stops at ``cap`` times the source, and the excess goes to the others by weight. In order of cap to weight,
-    the sources that stop are a prefix, so running sums find them at once. The windows see a row a source.
+    the sources that stop are a prefix, so running sums find them at once.
     """
-    ranked = sizes.withColumn("i", (F.row_number().over(Window.orderBy("none", "src")) - 1) % len(weights))
-    w = ranked.withColumn("w", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("i") + 1).cast("int"))).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    by = Window.orderBy(F.col("most") / F.col("w"), "none", "src")
-    before, rest = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy()) * F.lit(float(budget))
-    level = (total - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(rest)
-    open_ = w.withColumn("level", level).withColumn("fits", F.col("level") * F.col("w") <= F.col("most"))
-    share = F.min(F.when(F.col("fits"), F.struct((F.col("most") / F.col("w")).alias("r"), "level"))).over(Window.partitionBy())["level"]
-    return open_.withColumn("target", F.least(F.coalesce(share * F.col("w"), F.col("most")), F.col("most"))).select("src", "none", "source_size", "target")
+    given = running(sizes, ["none", "src"]).withColumn("w", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("i") % len(weights) + 1).cast("int")))
+    by_ratio = given.drop("i").withColumn("most", F.col("source_size") * F.lit(float(cap))).withColumn("ratio", F.col("most") / F.col("w")).withColumn("size", F.col("source_size").cast("double"))
+    w = running(by_ratio, ["ratio", "none", "src"], "most", "w", "size")
+    level = (F.col("all_size") * F.lit(float(budget)) - F.col("before_most")) / (F.col("all_w") - F.col("before_w"))
+    open_ = cut(w.select("src", "none", "source_size", "w", "most", "ratio", level.alias("level")))
+    share = open_.where(F.col("level") * F.col("w") <= F.col("most")).agg(F.min(F.struct("ratio", "level"))["level"].alias("share"))
+    out = open_.crossJoin(F.broadcast(share))  # one row
+    return out.select("src", "none", "source_size", F.least(F.coalesce(F.col("share") * F.col("w"), F.col("most")), F.col("most")).alias("target"))
 
 
 def join_sources(big: DataFrame, sources: DataFrame, n: int) -> DataFrame:
@@ -84,28 +99,30 @@ def thresholds(sized: DataFrame, weights: list[float], budget: float, cap: float
     return cut(goal.drop("left").join(found, ["src", "none"], "left").withColumn("below", F.coalesce("below", F.when(F.col("target") > F.col("copies") * F.col("source_size"), F.lit(1 << HASH_BITS)).otherwise(F.lit(0))))), n
 
 
-def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), budget: float = 1.5, cap: float = 2.0, split_nulls: bool = False) -> DataFrame:
+def planned(docs: DataFrame, weights: list[float], budget: float, cap: float) -> DataFrame:
+    """``own`` (the row) and size, source_size, target, copies of each document."""
+    keyed = carried(docs, src=F.coalesce(F.col("source"), F.lit("")), none=F.col("source").isNull(), place=place_of(), size=size_of())
+    plan, n = thresholds(cut(keyed.drop("own")), list(weights), budget, cap)
+    copies = (F.col("copies") + F.when(F.col("place") < F.col("below"), 1).otherwise(0)).cast("int")
+    return join_sources(keyed, plan, n).select("own", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``docs(doc_id, text, source, ...)`` with ``_mix``: struct(size, source_size, target, copies).
 
     ``copies`` (0, 1 or 2 with the defaults) is how often the mix takes a document; it depends on doc_id and the
-    corpus alone, so reruns agree and repeated rows fare alike. Null text has size 0, null source is a source of its
-    own, after all others. Rows without doc_id share one place, as in op9's SQL, and so fare alike in a source; with
-    ``split_nulls`` their places are those of their texts. Other columns pass through.
+    corpus alone, so reruns agree and repeated rows fare alike. Null or empty text has size 0, texts of any length are
+    counted whole, null source is a source of its own, after all others. Rows without doc_id have the places of their
+    texts. An empty table gives an empty one. An input column ``_mix`` is replaced, all others pass through.
     """
-    own = docs.columns
-    keyed = docs.withColumns({"_cairn_src": F.coalesce(F.col("source"), F.lit("")), "_cairn_none": F.col("source").isNull(), "_cairn_place": place_of(text="text" if split_nulls else None), "_cairn_size": size_of()})
-    sized = cut(keyed.select(F.col("_cairn_src").alias("src"), F.col("_cairn_none").alias("none"), F.col("_cairn_place").alias("place"), F.col("_cairn_size").alias("size")))
-    plan, n = thresholds(sized, list(weights), budget, cap)
-    big = keyed.select(*[F.col(c).alias(f"_own_{i}") for i, c in enumerate(own)], F.col("_cairn_src").alias("src"), F.col("_cairn_none").alias("none"), F.col("_cairn_place").alias("place"), F.col("_cairn_size").alias("size"))
-    out = join_sources(big, plan, n)
-    copies = (F.col("copies") + F.when(F.col("place") < F.col("below"), 1).otherwise(0)).cast("int")
-    return out.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(own)], F.struct("size", "source_size", "target", copies.alias("copies")).alias("_mix"))
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "_mix"])
+    return planned(own, weights, budget, cap).select(*own_columns(own), F.struct("size", "source_size", "target", "copies").alias("_mix"))
 
 
-def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The mix itself: the input's columns, each document as often as it is taken."""
-    m = mix(docs, **params)
-    return m.withColumn("_cairn_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies")))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mix itself: the input's columns, each document as often as it is taken; see ``mix`` for the odd cases."""
+    taken = planned(docs, weights, budget, cap).select("own", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return taken.select(*own_columns(docs))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -117,7 +134,7 @@ def op9(spark, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST(concat('0x', substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) AS place
+         CAST(concat('0x', substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15)) AS BIGINT) AS place
   FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
