@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, skew_join, text_hash
+from .common import bounded_batches, carried, cut, own_columns, skew_join, text_hash
 from .components import components
 
 SHINGLE, SEED, CHUNK = 3, 42, 1 << 16
@@ -19,6 +19,10 @@ SHINGLE, SEED, CHUNK = 3, 42, 1 << 16
 WIDTHS, TAU = (9, 9, 9, 9, 9, 9, 10), 2
 #: Fingerprints that may share a candidate key and still be compared pair by pair.
 PAIRWISE = 64
+#: A key that leaves at most so many bits open is shared by few enough, 2^OPEN at most.
+OPEN = 6
+#: Most common shingles that go to every task.
+COMMON = 1 << 20
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -52,61 +56,81 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def ring() -> list[tuple[int, list[tuple[int, int]]]]:
-    """The candidate keys: (mask that must agree, [(mask, budget) of the chain]).
+def mask(bits) -> int:
+    return sum(1 << int(b) for b in bits)
+
+
+def ring(bits: list[int], widths: tuple[int, ...]) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The candidate keys over ``bits``, a start each: (mask that must agree, [(mask, budget) of the longer chains]).
 
     With m segments and at most TAU differing bits, some start has every chain of l consecutive segments within
-    l * TAU / m. Chains of budget 0 are exact, and give the key. Where the next chains may hold one bit, one half
-    of them is exact too, so a key takes that half in: two keys a start, each of some 40 bits.
+    l * TAU / m. Chains of budget 0 are exact, and give the key.
     """
-    m = len(WIDTHS)
-    at = np.concatenate([[0], np.cumsum(WIDTHS)])
-    bits = [[*range(at[i], at[i + 1])] for i in range(m)]
-    mask = lambda bs: sum(1 << int(b) for b in bs)
+    m, at = len(widths), [0, *np.cumsum(widths).tolist()]
+    segments = [bits[at[i] : at[i + 1]] for i in range(m)]
     keys = []
     for start in range(m):
-        order = [bits[(start + k) % m] for k in range(m)]
-        chains = [(sum(order[:n], []), n * TAU // m) for n in range(1, m + 1)]
-        exact = max((c for c, budget in chains if budget == 0), key=len)
-        single = [b for b in max((c for c, budget in chains if budget == 1), key=len) if b not in exact]
-        tests = [(mask(c), budget) for c, budget in chains if budget]
-        for half in (single[: len(single) // 2], single[len(single) // 2 :]):
-            keys.append((mask(exact + half), tests))
+        order = [segments[(start + k) % m] for k in range(m)]
+        chains = [(mask(sum(order[:n], [])), n * TAU // m) for n in range(1, m + 1)]
+        keys.append((max(c for c, budget in chains if budget == 0), [(c, budget) for c, budget in chains if budget]))
     return keys
 
 
-def chain_test(a: Column, b: Column, t: Column) -> Column:
+def first_keys() -> list[tuple[int, list[tuple[int, int]]]]:
+    """The keys of whole fingerprints. Where the next chains may hold one bit, one half of them is exact too, so a key
+    takes that half in: two keys a start, each of some 40 bits."""
+    keys, out = ring([*range(64)], WIDTHS), []
+    for exact, tests in keys:
+        wide = max(c for c, budget in tests if budget == 1)
+        single = [b for b in range(64) if (wide & ~exact) >> b & 1]
+        out += [(exact | mask(half), tests) for half in (single[: len(single) // 2], single[len(single) // 2 :])]
+    return out
+
+
+def finer_keys(keys: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For each key a ring of three segments over the bits that it leaves open: three keys, in a row."""
+    out = []
+    for exact, _ in keys:
+        rest = [b for b in range(64) if not exact >> b & 1]
+        n = len(rest)
+        out += [(exact | k, tests) for k, tests in ring(rest, (n // 3, (n + 1) // 3, n - n // 3 - (n + 1) // 3))]
+    return out
+
+
+def chain_test(keys, a: Column, b: Column, t: Column) -> Column:
     """Do the chains of key ``t`` stay within their budgets, and the whole within TAU?"""
-    keys, differ = ring(), a.bitwiseXOR(b)
-    ok = F.lit(True)
+    differ, ok = a.bitwiseXOR(b), F.lit(True)
     for k in range(len(keys[0][1])):
         masks = F.array(*[F.lit(_signed(tests[k][0])).cast("long") for _, tests in keys])
         ok = ok & (F.bit_count(differ.bitwiseAND(F.get(masks, t))) <= keys[0][1][k][1])
     return ok & (F.bit_count(differ) <= TAU)
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """``classes(fp, rep)``, a row a fingerprint -> ``(u, v)`` of reps: edges whose components are those of all links.
+def links(prints: DataFrame) -> DataFrame:
+    """``prints(fp)``, each once -> ``(u, v)``: fingerprints whose components are those of all links.
 
-    Keys that up to PAIRWISE fingerprints share are compared pair by pair behind the chain test. The fingerprints of
-    fuller keys go through their one-bit variants instead: two differ in at most two bits exactly if they share a
-    variant, a variant has at most 65 of them, and a star a variant joins those. Nothing is capped or left out.
+    Fingerprints that share a key are compared behind its chain test. A key that over PAIRWISE of them share is first
+    made finer by a ring over the bits that it leaves open, again and again: they are a third fewer each time, and few
+    bits hold few fingerprints, so no key stays crowded and nothing is capped or left out.
     """
-    keys = [k for k, _ in ring()]
-    parts = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(k)).cast("long")).alias("key")) for t, k in enumerate(keys)]))
-    keyed = classes.select("fp", "rep", parts.alias("k")).select("fp", "rep", "k.t", "k.key")
-    shared = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    rows = cut(keyed.join(shared, ["t", "key"]))
-    few = rows.where(F.col("n") <= PAIRWISE).select("t", "key", "fp", "rep")
-    a, b = few.alias("a"), few.alias("b")
-    near = (F.col("a.fp") < F.col("b.fp")) & chain_test(F.col("a.fp"), F.col("b.fp"), F.col("a.t"))
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
-    dense = rows.where(F.col("n") > PAIRWISE).select("fp", "rep").distinct()
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i)).cast("long")) for i in range(64)])
-    variants = dense.select("rep", F.explode(flips).alias("variant"))
-    stars = variants.groupBy("variant").agg(F.collect_list("rep").alias("reps")).where(F.size("reps") > 1)
-    spokes = stars.select(F.array_min("reps").alias("u"), F.explode("reps").alias("v")).where("u <> v")
-    return pairs.unionByName(spokes).distinct()
+    keys, found = first_keys(), None
+    at = F.explode(F.array(*[F.lit(t) for t in range(len(keys))]))
+    todo = prints.select("fp", at.alias("t"))
+    while True:
+        masks = F.array(*[F.lit(_signed(k)).cast("long") for k, _ in keys])
+        keyed = todo.select("fp", "t", F.col("fp").bitwiseAND(F.get(masks, F.col("t"))).alias("key"))
+        shared = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
+        rows = cut(keyed.join(shared, ["t", "key"]))
+        narrow = all(64 - k.bit_count() <= OPEN for k, _ in keys)
+        few = rows.where((F.col("n") <= PAIRWISE) | F.lit(narrow)).select("t", "key", "fp")
+        a, b = few.alias("a"), few.alias("b")
+        near = (F.col("a.fp") < F.col("b.fp")) & chain_test(keys, F.col("a.fp"), F.col("b.fp"), F.col("a.t"))
+        pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+        found = pairs if found is None else found.unionByName(pairs)
+        dense = rows.where(F.col("n") > PAIRWISE)
+        if narrow or not dense.limit(1).count():
+            return found.distinct()
+        todo, keys = dense.select("fp", F.explode(F.sequence(3 * F.col("t"), 3 * F.col("t") + 2)).alias("t")), finer_keys(keys)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -114,13 +138,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Fingerprints that differ in at most two bits link; ``component_id`` is the smallest doc_id reachable. Exact
     copies and repeated rows share a fingerprint and so a class; empty and null texts have fingerprint 0 and link
-    like any other. Rows without doc_id get their class's component but never name one (null if the class has no
-    id). Extra columns are ignored; an empty table gives an empty result.
+    like any other; texts of any length are read whole. Rows of one id with different texts are in the class of their
+    own text. Rows without doc_id get their class's component but never name one (null if the class has no id). Extra
+    columns are ignored; an empty table gives an empty result.
     """
     prints = cut(fingerprints(docs))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    found = components(links(classes.where("rep is not null").select("fp", "rep")))
-    named = cut(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", F.coalesce("label", "rep").alias("component_id")))
+    found = components(links(classes.where("rep is not null").select("fp")))
+    labelled = cut(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    names = labelled.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("fps"))
+    named = cut(skew_join(labelled, names, ["label"], "fps", labelled.count()).select("fp", "n", "component_id"))
     return skew_join(prints, named, ["fp"], "n", prints.count())
 
 
@@ -143,21 +170,31 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _described(width: int, similarity: float):
+def _all_shingles(width: int):
     def run(batches):
         for b in batches:
-            node, fp, n, first = [], [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, width) for t in b.column("text").to_pylist())]).view(np.int64))], ["key"])
+
+    return run
+
+
+def _described(width: int, similarity: float, common):
+    def run(batches):
+        late = common.value
+        for b in batches:
+            node, fp, n, first = [], [], [], [np.zeros(0, np.int64)]
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, width)
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED)), fp.append(set_fingerprint(s)), n.append(len(s))
-                # two sets this similar share one of their least hashes
-                first.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1].view(np.int64))
-            ends = np.cumsum([0, *map(len, first)])
-            least = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first)))
+                at = np.searchsorted(late, s)
+                last = late[np.minimum(at, len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
+                # two sets this similar share one of the first of their hashes, in any order that all texts keep
+                first.append(np.concatenate([s[~last], s[last]])[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1].view(np.int64))
+            least = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first[1:])]), pa.int32()), pa.array(np.concatenate(first)))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *longs, pa.array(n, pa.int64()), least], ["doc_id", "row", "node", "fp", "n", "first"])
 
-    return lambda batches: run(b for b in batches if b.num_rows)
+    return run
 
 
 def _shingled(width: int):
@@ -180,28 +217,41 @@ def _alike(similarity: float):
     return run
 
 
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of the shingles that over PAIRWISE texts hold, the COMMON commonest if there are more.
+
+    They only order the candidates' keys, so which of them are left out changes the work and no result.
+    """
+    counts = texts.mapInArrow(_all_shingles(width), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE)
+    return np.sort(counts.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+
+
 def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text)`` -> (doc_id, row, node) of each row, and ``(u, v)``: links whose components are those of
     all pairs of nodes with a Jaccard index of ``similarity`` or more.
 
-    A node is a set of shingles. Candidates share one of their least hashes (as many as any two such sets must share
-    one of), fit in size, differ in at most ``bits`` bits of the SimHash and share so many of their least hashes that
-    the rest can make up the index; each is then compared exactly. To keep a large group of copies from being paired in
-    full, members of a hash with over PAIRWISE are first compared with its least and its largest node, if half the bits
-    agree with that; then only members of different components are paired. No group is capped. All tests but the one of ``bits`` are exact;
-    that one can lose a pair in principle (at 0.8 some 10 of 64 bits differ on average); what it loses is not measured.
+    A node is a set of shingles. All sets are ordered alike, shingles that many texts hold last, and two so similar
+    share one of their first hashes: those are the keys. Candidates share a key, fit in size, have enough hashes left
+    behind it in both to make up the index, and differ in at most ``bits`` bits of the SimHash; each is then compared
+    exactly. To keep a large group of copies from being paired in full, members of a key that over PAIRWISE hold are
+    first compared with its least and its largest node; then only members of different components are paired. No group
+    is capped. All tests but the one of ``bits`` are exact; at 0.8 some 10 of 64 bits differ on average, 3 more or
+    less, so the budget of 28 is six deviations away.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("row"), F.col("text").cast("binary").alias("text"))
-    prints = cut(texts.mapInArrow(_described(shingle, similarity), "doc_id long, row long, node long, fp long, n long, first array<long>"))
-    nodes = cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("who"), F.min("fp").alias("fp"), F.min("n").alias("n")))
-    keyed = prints.select("node", F.explode("first").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b"))
-    rows = cut(keyed.join(shared.select("key"), "key").distinct().join(nodes.select("node", "fp", "n"), "node"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle))
+    prints = cut(texts.mapInArrow(_described(shingle, similarity, common), "doc_id long, row long, node long, fp long, n long, first array<long>"))
+    nodes = cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("who"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("first").alias("first")))
+    keyed = nodes.select("node", "fp", "n", F.posexplode("first").alias("pos", "key"))
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    rows = cut(keyed.join(shared, "key"))
 
     def close(a: str, b: str, bits: int = bits) -> Column:
-        fits = F.least(f"{a}.n", f"{b}.n") >= F.greatest(f"{a}.n", f"{b}.n") * F.lit(similarity) - 1e-9
-        return (F.col(f"{a}.node") != F.col(f"{b}.node")) & fits & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= bits)
+        x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+        fits = F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9
+        left = F.least(x - F.col(f"{a}.pos"), y - F.col(f"{b}.pos")) >= (x + y) * F.lit(similarity / (1 + similarity)) - 1e-9
+        return (F.col(f"{a}.node") != F.col(f"{b}.node")) & fits & left & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= bits)
 
     def ends() -> list[Column]:
         return [F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")]
@@ -213,21 +263,18 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
         of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"h{end}"))
         return cut(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "hu", "hv").mapInArrow(_alike(similarity), "u long, v long"))
 
-    one = F.struct("node", "fp", "n")
-    hubs = rows.groupBy("key").agg(F.count("*").alias("m"), F.array(F.min(one), F.max(one)).alias("hub")).where(F.col("m") > PAIRWISE).select("key", F.explode("hub").alias("hub")).select("key", "hub.*")
+    one = F.struct("node", "fp", "n", "pos")
+    hubs = rows.where(F.col("m") > PAIRWISE).groupBy("key").agg(F.array(F.min(one), F.max(one)).alias("hub")).select("key", F.explode("hub").alias("hub")).select("key", "hub.*")
     near = cut(rows.alias("a").join(hubs.alias("b"), (F.col("a.key") == F.col("b.key")) & close("a", "b", bits // 2)).select(*ends()).distinct())
     stars = linked(near)
     named = components(stars)
-    labelled = cut(rows.join(named, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    labelled = cut(rows.drop("m").join(named, "node", "left").withColumn("label", F.coalesce("label", "node")))
     held = labelled.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", "m").alias("top"), F.count("*").alias("labels"))
     mixed = cut(labelled.join(held.where("labels > 1").select("key", "top"), "key"))
     loose = mixed.where("label <> top")
     across = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))) & close("a", "b")
-    pairs = loose.alias("a").join(mixed.alias("b"), across).select(*ends(), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
-    shares = pairs.groupBy("u", "v").agg(F.count("*").alias("c"), F.least(F.min("na"), F.min("nb")).alias("lo"), F.greatest(F.max("na"), F.max("nb")).alias("hi"))
-    # of the set whose least hashes end first, those that are not shared are not in the other set at all
-    most = F.ceil(F.col("hi") * F.lit(similarity) - 1e-9) - 1 + F.col("c")
-    rest = cut(shares.where(most >= (F.col("lo") + F.col("hi")) * F.lit(similarity / (1 + similarity)) - 1e-9).select("u", "v").join(near, ["u", "v"], "left_anti"))
+    pairs = loose.alias("a").join(mixed.alias("b"), across).select(*ends()).distinct()
+    rest = cut(pairs.join(near, ["u", "v"], "left_anti"))
     return prints.select("doc_id", "row", "node"), stars.unionByName(linked(rest))
 
 
@@ -237,20 +284,21 @@ def one_of_each(docs: DataFrame, similarity: float | None = None, shingle: int =
     Without ``similarity`` near copies are op3's: fingerprints that differ in at most two bits. With it they are texts
     whose sets of ``shingle``-word shingles have that Jaccard index or more; ``bits`` is the budget of the SimHash that
     spares comparisons, wide enough for 0.8. Of a group the smallest doc_id stays, and of its rows the one of the
-    smallest text hash. Rows without doc_id link nothing and stay.
+    smallest text hash. Null and empty texts have no shingle and are copies of each other. Rows without doc_id link
+    nothing and stay. An empty table gives an empty one.
     """
     named = docs.where("doc_id is not null").select("doc_id", "text")
     if similarity is None:
         prints = cut(fingerprints(named).select("doc_id", "row", F.col("fp").alias("node")))
-        found = components(links(prints.select(F.col("node").alias("fp"), F.col("node").alias("rep")).distinct()))
+        found = components(links(prints.select(F.col("node").alias("fp")).distinct()))
     else:
         prints, edges = similar_nodes(named, similarity, shingle, bits)
         found = components(edges)
     firsts = prints.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("who")).join(found, "node", "left")
-    kept = firsts.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("who").alias("who")).select(F.col("who.doc_id").alias("_cairn_id"), F.col("who.row").alias("_cairn_row"))
-    h = docs.withColumn("_cairn_h", text_hash())
-    stay = h.join(kept, (F.col("doc_id") == F.col("_cairn_id")) & (F.col("_cairn_h") == F.col("_cairn_row")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_cairn_h"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = firsts.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("who").alias("who")).select("who.doc_id", "who.row")
+    rows = carried(docs, doc_id=F.col("doc_id").cast("long"), row=text_hash())
+    stay = rows.join(kept, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+    return stay.unionByName(rows.where("doc_id is null")).select(*own_columns(docs))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
