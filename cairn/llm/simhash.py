@@ -21,8 +21,8 @@ WIDTHS, TAU = (9, 9, 9, 9, 9, 9, 10), 2
 PAIRWISE = 64
 #: A key that leaves at most so many bits open is shared by few enough, 2^OPEN at most.
 OPEN = 6
-#: Most common shingles that go to every task.
-COMMON = 1 << 20
+#: Most common shingles that go to every task; the upper half of the hashes counts as rare unseen.
+COMMON, RARE_ABOVE = 1 << 20, np.uint64(1 << 63)
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -152,13 +152,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted hashes of the different ``width``-word shingles; A-Z folded; a shorter text is one shingle, no words: none."""
+    """Sorted hashes of the different ``width``-word shingles; A-Z folded; a shorter text is one shingle, no words: none.
+
+    A shingle's hash is made of its words' hashes in order.
+    """
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    n = max(len(words) - width + 1, 1)
-    shingles = map(b" ".join, zip(*[words[k:] for k in range(width)], strict=False)) if len(words) >= width else iter([b" ".join(words)])
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    width = min(width, len(w))
+    h = w[: len(w) - width + 1]
+    for k in range(1, width):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + w[k : len(w) - width + 1 + k]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return np.unique(h ^ (h >> np.uint64(31)))
 
 
 def set_fingerprint(hashes: np.ndarray) -> int:
@@ -170,10 +177,12 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _all_shingles(width: int):
+def _low_shingles(width: int):
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, width) for t in b.column("text").to_pylist())]).view(np.int64))], ["key"])
+            sets = (shingle_set(t, width) for t in b.column("text").to_pylist())
+            low = [x[: np.searchsorted(x, RARE_ABOVE)] for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *low]).view(np.int64))], ["key"])
 
     return run
 
@@ -218,11 +227,12 @@ def _alike(similarity: float):
 
 
 def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of the shingles that over PAIRWISE texts hold, the COMMON commonest if there are more.
+    """Sorted hashes below RARE_ABOVE of the shingles that over PAIRWISE texts hold, the COMMON commonest if there are more.
 
-    They only order the candidates' keys, so which of them are left out changes the work and no result.
+    They only order the candidates' keys, of which a text has a fifth of its hashes at 0.8, so which of them are left
+    out changes the work and no result.
     """
-    counts = texts.mapInArrow(_all_shingles(width), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE)
+    counts = texts.mapInArrow(_low_shingles(width), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE)
     return np.sort(counts.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -243,9 +253,12 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle))
     prints = cut(texts.mapInArrow(_described(shingle, similarity, common), "doc_id long, row long, node long, fp long, n long, first array<long>"))
     nodes = cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("who"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("first").alias("first")))
-    keyed = nodes.select("node", "fp", "n", F.posexplode("first").alias("pos", "key"))
+    keyed = nodes.select("node", F.posexplode("first").alias("pos", "key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    rows = cut(keyed.join(shared, "key"))
+    rows = cut(keyed.join(shared, "key").join(nodes.select("node", "fp", "n"), "node"))
+    asked = rows.select("node").distinct().join(nodes.select("node", "who.*"), "node")
+    found = texts.join(asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("node", "text")
+    sets = cut(found.mapInArrow(_shingled(shingle), "node long, hashes binary"))
 
     def close(a: str, b: str, bits: int = bits) -> Column:
         x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -257,9 +270,6 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
         return [F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")]
 
     def linked(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "who.*"), "node")
-        found = texts.join(asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("node", "text")
-        sets = cut(found.mapInArrow(_shingled(shingle), "node long, hashes binary"))
         of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"h{end}"))
         return cut(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "hu", "hv").mapInArrow(_alike(similarity), "u long, v long"))
 
