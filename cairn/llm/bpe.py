@@ -16,7 +16,7 @@ from .common import bounded_batches, text_hash
 from .pretokens import PieceCache, read_ranks, stretches
 
 #: States that are kept; beyond them transitions are made each time. A bound on memory, never on results.
-STATES = 200_000
+STATES = 80_000
 
 
 class State:

@@ -10,6 +10,7 @@ Conventions used by every operator here:
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -47,6 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that nothing refers to any more; it does so when the JVM collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def carried(docs: DataFrame, **more: Column) -> DataFrame:
     """The rows of ``docs`` as one struct ``own``, whose names clash with none, and ``more`` columns beside it."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *[c.alias(k) for k, c in more.items()])

@@ -10,7 +10,7 @@ import regex
 
 PATTERN = public_tokenizers.PATTERN
 #: Entries after which a worker starts its cache anew; a bound on memory, never on results.
-CACHE = 200_000
+CACHE = 120_000
 #: Characters of a stretch beyond which it is not cached.
 LONG = 64
 

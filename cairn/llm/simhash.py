@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, carried, cut, own_columns, skew_join, text_hash
+from .common import bounded_batches, carried, cut, let, own_columns, release, skew_join, text_hash
 from .components import components
 
 SHINGLE, SEED, CHUNK = 3, 42, 1 << 16
@@ -19,10 +19,12 @@ SHINGLE, SEED, CHUNK = 3, 42, 1 << 16
 WIDTHS, TAU = (9, 9, 9, 9, 9, 9, 10), 2
 #: Fingerprints that may share a candidate key and still be compared pair by pair.
 PAIRWISE = 64
+#: Members of a component that one round compares a key's others with, and pairs a row that need no more rounds.
+HUBS, WORK = 8, 4
 #: A key that leaves at most so many bits open is shared by few enough, 2^OPEN at most.
 OPEN = 6
-#: Most common shingles that go to every task; the upper half of the hashes counts as rare unseen.
-COMMON, RARE_ABOVE = 1 << 20, np.uint64(1 << 63)
+#: Most common shingles that go to every task.
+COMMON = 1 << 20
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -177,12 +179,10 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _low_shingles(width: int):
+def _all_shingles(width: int):
     def run(batches):
         for b in batches:
-            sets = (shingle_set(t, width) for t in b.column("text").to_pylist())
-            low = [x[: np.searchsorted(x, RARE_ABOVE)] for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *low]).view(np.int64))], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, width) for t in b.column("text").to_pylist())]).view(np.int64))], ["key"])
 
     return run
 
@@ -227,13 +227,15 @@ def _alike(similarity: float):
 
 
 def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes below RARE_ABOVE of the shingles that over PAIRWISE texts hold, the COMMON commonest if there are more.
+    """Sorted hashes of the shingles that over PAIRWISE texts hold, the COMMON commonest if there are more.
 
-    They only order the candidates' keys, of which a text has a fifth of its hashes at 0.8, so which of them are left
-    out changes the work and no result.
+    They only order the candidates' keys, so which of them are left out changes the work and no result.
     """
-    counts = texts.mapInArrow(_low_shingles(width), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE)
-    return np.sort(counts.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+    counts = texts.mapInArrow(_all_shingles(width), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE)
+    found = np.sort(counts.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+    del counts
+    release(texts.sparkSession)
+    return found
 
 
 def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -244,8 +246,8 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
     share one of their first hashes: those are the keys. Candidates share a key, fit in size, have enough hashes left
     behind it in both to make up the index, and differ in at most ``bits`` bits of the SimHash; each is then compared
     exactly. To keep a large group of copies from being paired in full, members of a key that over PAIRWISE hold are
-    first compared with its least and its largest node; then only members of different components are paired. No group
-    is capped. All tests but the one of ``bits`` are exact; at 0.8 some 10 of 64 bits differ on average, 3 more or
+    compared with up to HUBS members of the key's largest component, round by round, until few are left out of it or
+    a round no longer helps; then all members of different components are paired. No group is capped. All tests but the one of ``bits`` are exact; at 0.8 some 10 of 64 bits differ on average, 3 more or
     less, so the budget of 28 is six deviations away.
     """
     bounded_batches(docs.sparkSession)
@@ -273,19 +275,38 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
         of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"h{end}"))
         return cut(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "hu", "hv").mapInArrow(_alike(similarity), "u long, v long"))
 
-    one = F.struct("node", "fp", "n", "pos")
-    hubs = rows.where(F.col("m") > PAIRWISE).groupBy("key").agg(F.array(F.min(one), F.max(one)).alias("hub")).select("key", F.explode("hub").alias("hub")).select("key", "hub.*")
-    near = cut(rows.alias("a").join(hubs.alias("b"), (F.col("a.key") == F.col("b.key")) & close("a", "b", bits // 2)).select(*ends()).distinct())
-    stars = linked(near)
-    named = components(stars)
-    labelled = cut(rows.drop("m").join(named, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    held = labelled.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", "m").alias("top"), F.count("*").alias("labels"))
-    mixed = cut(labelled.join(held.where("labels > 1").select("key", "top"), "key"))
+    enough, tested, found, named, last = WORK * rows.count(), None, None, None, None
+    for round_ in count():
+        label = F.col("node") if named is None else F.coalesce("label", "node")
+        labelled = cut((rows if named is None else rows.join(named, "node", "left")).withColumn("label", label))
+        held = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("labels"))
+        mixed = cut(labelled.join(held.where("labels > 1").select("key", "all", F.col("top.label").alias("top"), F.col("top.c").alias("of_top")), "key"))
+        many = mixed.where(F.col("all") > PAIRWISE)
+        work = many.where("label <> top").agg(F.sum("all")).first()[0] or 0
+        if work <= enough or (round_ > 2 and work > 0.7 * last):
+            break
+        last = work
+        part = F.pmod(F.xxhash64(F.lit(round_), "node"), F.lit(HUBS))
+        hubs = many.where("label = top").groupBy("key", part).agg(F.min(F.struct("node", "fp", "n", "pos")).alias("hub")).select("key", "hub.*")
+        near = many.where("label <> top").alias("a").join(hubs.alias("b"), (F.col("a.key") == F.col("b.key")) & close("a", "b", bits // 2)).select(*ends()).distinct()
+        near = cut(near if tested is None else near.join(tested, ["u", "v"], "left_anti"))
+        tested = near if tested is None else tested.unionByName(near)
+        found = linked(near) if found is None else cut(found.unionByName(linked(near)))
+        named = components(found)
+    shared_keys = rows.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("keys"))
+    mixed = cut(mixed.select("key", "node", "pos", "fp", "n", "label", "top").join(shared_keys, "node"))
     loose = mixed.where("label <> top")
-    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))) & close("a", "b")
+    rest = F.greatest(*[F.col(f"{x}.n") - F.floor(F.col(f"{x}.n") * F.lit(1 - similarity) + 1e-9) - 1 for x in "ab"])
+
+    def first_and_enough(both: Column) -> Column:
+        """Is this the pair's first key, and can those shared and what lies behind all keys make up the index?"""
+        return (both[0] == F.col("a.key")) & (F.size(both) + rest >= (F.col("a.n") + F.col("b.n")) * F.lit(similarity / (1 + similarity)) - 1e-9)
+
+    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))) & close("a", "b") & let(F.array_intersect("a.keys", "b.keys"), first_and_enough)
     pairs = loose.alias("a").join(mixed.alias("b"), across).select(*ends()).distinct()
-    rest = cut(pairs.join(near, ["u", "v"], "left_anti"))
-    return prints.select("doc_id", "row", "node"), stars.unionByName(linked(rest))
+    rest = linked(cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")))
+    found = rest if found is None else found.unionByName(rest)
+    return prints.select("doc_id", "row", "node"), found
 
 
 def one_of_each(docs: DataFrame, similarity: float | None = None, shingle: int = 5, bits: int = 28) -> DataFrame:

@@ -20,6 +20,7 @@ def frame(spark, rows):
 @pytest.mark.parametrize("pairwise", [64, 2])
 def test_near_copies_by_similarity(spark, monkeypatch, pairwise):
     monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    monkeypatch.setattr(simhash, "WORK", 1 if pairwise == 2 else simhash.WORK)
     rnd = random.Random(4)
     vocabulary = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(2000)]
     rows, want = [], {}
