@@ -26,7 +26,7 @@ QUERIES = 256
 
 def unit(vectors) -> np.ndarray:
     x = np.asarray(np.stack(vectors), np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.finfo(float).tiny)
 
 
 def build_graph(x: np.ndarray) -> np.ndarray:
@@ -151,25 +151,27 @@ def split_shards(members: DataFrame, sizes: list, seed: int) -> DataFrame:
 def shards(classes: DataFrame) -> DataFrame:
     """``classes(rep, label, vector, copies)`` -> the same with ``shard``, several rows a vector, and ``tile``.
 
-    Shards start as one a label and length, and are split around centroids of a bounded sample until none holds
-    more than TASK vectors or a round no longer helps. A shard that stays larger (a dense ball) is cut into chunks by
-    hash, and each pair of chunks is a tile of its own, so no task takes more than TASK vectors and no pair is lost.
+    Shards start as one a label and length, and are split around centroids of a bounded sample, the largest first and
+    as many a round as CENTROIDS allows, for as many rounds as it takes until none holds more than TASK vectors or
+    splitting no longer makes it smaller. A shard that stays larger (a dense ball) is cut into chunks by hash, and each
+    pair of chunks is a tile of its own, so no task takes more than TASK vectors and no pair is lost.
     """
     start = F.concat_ws("x", F.col("label").cast("string"), F.size("vector").cast("string"))
-    members, before = cut(classes.withColumn("shard", start)), {}
-    for round_ in range(12):
-        sizes = [(r.shard, r.n) for r in members.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > (2 * SHARD if round_ == 0 else TASK)).orderBy(F.desc("n"), "shard").limit(CENTROIDS // 2).collect()]
+    members, round_ = cut(classes.withColumn("shard", start).withColumn("of", F.lit(None).cast("long"))), 0
+    while True:
+        sizes = members.groupBy("shard").agg(F.count("*").alias("n"), F.max("of").alias("of"))
+        smaller = F.col("of").isNull() & (F.col("n") > 2 * SHARD) | (F.col("n") > TASK) & (F.col("n") <= 0.9 * F.col("of"))
         todo, left = [], CENTROIDS
-        for s, n in sizes:
-            if n <= 0.9 * before.get(s.rpartition("/")[0], 1 << 60) and left > 0:
-                todo.append((s, n))
-                left -= min(FANOUT, -(-n // SHARD))
+        for r in sizes.where(smaller).orderBy(F.desc("n"), "shard").limit(CENTROIDS // 2).collect():
+            if left > 0:
+                todo.append((r.shard, r.n))
+                left -= min(FANOUT, -(-r.n // SHARD))
         if not todo:
             break
-        before |= dict(todo)
-        picked = members.sparkSession.createDataFrame(todo, "shard string, n long").select("shard")
-        split = split_shards(members.join(F.broadcast(picked), "shard"), todo, round_)
-        members = cut(split.unionByName(members.join(F.broadcast(picked), "shard", "left_anti")))
+        picked = F.broadcast(members.sparkSession.createDataFrame(todo, "shard string, n long"))
+        split = split_shards(members.join(picked, "shard").withColumn("of", F.col("n")).select(*members.columns), todo, round_)
+        members, round_ = cut(split.unionByName(members.join(picked, "shard", "left_anti"))), round_ + 1
+    members = members.drop("of")
     sizes = members.groupBy("shard").agg(F.count("*").alias("n"))
     large = cut(sizes.where(F.col("n") > TASK).withColumn("chunks", F.ceil(F.col("n") / (TASK // 2)).cast("int")))
     # fewer than rows / TASK shards are large; those beyond a broadcast's size join by a shuffle
@@ -218,14 +220,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 
     Vectors link if their labels are equal and their cosine, in double, is at least ``threshold``. Null labels; null
     or zero vectors, and such with null or non-finite components; vectors of different lengths: no link. Exact copies
-    share a class that is searched once. Rows that repeat a vec_id are one vector, the smallest (label, embedding);
+    share a class that is searched once. Rows that repeat a vec_id are one vector, the smallest (label, embedding), null labels last;
     rows without vec_id come back without links and component. Other columns are ignored.
 
     Each shard's graph is built alone, the adjacency lists of a vector's shards are united, and each shard is searched
     on the united lists. Counts of links and a spanning star a local component leave a task, never the pairs.
     """
     ship_package(vectors.sparkSession)
-    named = vectors.where("vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", F.col("v.embedding").cast("array<double>").alias("vector"))
+    named = vectors.where("vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.struct(F.col("label").isNull(), "label", "embedding")).alias("v")).select("vec_id", "v.label", F.col("v.embedding").cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = cut(named.withColumn("usable", usable))
@@ -252,16 +254,19 @@ def audit_recall(vectors: DataFrame, result: DataFrame, threshold: float = 0.98,
 
     Queries go in blocks of ``block`` to every partition of the vectors, and come back as counts.
     """
-    rows = vectors.where("vec_id is not null and label is not null and embedding is not null").select("vec_id", "label", "embedding")
-    queries = rows.where(F.col("vec_id") % every == 0).orderBy("vec_id").toPandas()
+    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    rows = vectors.where("vec_id is not null and label is not null and embedding is not null").where(sound).select("vec_id", "label", "embedding")
+    queries = rows.where(F.col("vec_id") % every == 0).orderBy(F.size("embedding"), "vec_id").toPandas()
     found = result.where(F.col("vec_id") % every == 0).agg(F.sum("n_links")).first()[0] or 0
     there = 0
-    for s in range(0, len(queries), block):
-        part = queries.iloc[s : s + block]
+    for part in (g.iloc[s : s + block] for _, g in queries.groupby(queries["embedding"].map(len)) for s in range(0, len(g), block)):
         q, ql, qi = unit(part["embedding"].tolist()), part["label"].to_numpy(), part["vec_id"].to_numpy()
 
         def count(batches, q=q, ql=ql, qi=qi):
             for b in batches:
+                b = b[b["embedding"].map(len) == q.shape[1]]
+                if not len(b):
+                    continue
                 hit = (unit(b["embedding"].tolist()) @ q.T >= threshold) & (b["label"].to_numpy()[:, None] == ql) & (b["vec_id"].to_numpy()[:, None] != qi)
                 yield pd.DataFrame({"n": [int(hit.sum())]})
 

@@ -1,9 +1,12 @@
 """Token counts, vectors, language ID and resampling against libraries, brute force and held-out rows."""
 
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import xxhash
 from tokenizers import Tokenizer
 
 from cairn.llm import langid, resampling, tokencount, vectors
@@ -92,6 +95,64 @@ def test_language_chunks_lose_no_ngram(monkeypatch):
     assert (langid.counts_of(text) == whole).all() and whole.sum() == 3 * len(text) - 3
 
 
+def plain_buckets(text):
+    """Buckets of 1- to 3-grams by whole numbers, a gram at a time."""
+    full, out, mix = (1 << 64) - 1, Counter(), [int(x) for x in langid._MIX]
+    codes = [ord(c) for c in text.lower()]
+    for i, c in enumerate(codes):
+        gram = c * mix[0] & full
+        for n in range(3):
+            if n:
+                if i + n >= len(codes):
+                    break
+                gram = ((gram ^ gram >> 29) * mix[1] + codes[i + n] * mix[2]) & full
+            out[(gram * mix[0] & full) >> 50] += 1
+    return out
+
+
+def test_language_is_plain_naive_bayes(spark, monkeypatch):
+    rnd = random.Random(6)
+    make = lambda letters: "".join(rnd.choices(letters, k=rnd.randint(1, 60)))
+    rows = [(i, make("abc é" if i % 2 else "xbç "), ("fr" if i % 2 else "pt") if i % 5 else None) for i in range(80)] + [(3, "abc", "fr"), (3, "abc", "fr"), (900, "a" * 400, None)]
+    learned = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    langs = sorted({lang for _, lang in learned})
+    sums = {x: sum((plain_buckets(t) for t, lang in learned if lang == x), Counter()) for x in langs}
+    want = Counter()
+    for i, t, _ in rows:
+        c = plain_buckets(t)
+        total = [np.log(sum(x == y for _, y in learned) / len(learned)) + sum(n * np.log((sums[x][g] + 0.5) / (sums[x].total() + 0.5 * (1 << 14))) for g, n in c.items()) for x in langs]
+        best = int(np.argmax(total))
+        letters = any(ch.isalpha() for ch in t)
+        want[i, langs[best] if letters else "und", round(1 / sum(np.exp(v - total[best]) for v in total), 6) if letters else 0.0] += 1
+    monkeypatch.setattr(langid, "CHUNK", 100)
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in got) == want
+    parts = langid.sparse_counts([t for _, t, _ in rows])
+    ends = [*parts[0][1:], len(parts[1])]
+    assert all(dict(zip(parts[1][a:b], parts[2][a:b], strict=True)) == plain_buckets(t) for (_, t, _), a, b in zip(rows, parts[0], ends, strict=True))
+
+
+def test_resampling_weights_are_plain_counts(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choices(["Alpha", "beta", "gamma", "delta\n", "é"], k=rnd.randint(0, 12)))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 9 == 0)) for i in range(30)], "doc_id long, quality int, toxic int")
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w, seed=42) for w in text.encode().lower().split()]
+        pair = lambda a, b: ((a * 0x9E3779B97F4A7C15 + b) * 0xC2B2AE3D27D4EB4F) & (1 << 64) - 1
+        return Counter(x >> 50 for x in [*h, *map(pair, h, h[1:])])
+
+    raw = sum((grams(t) for _, t in rows), Counter())
+    target = sum((grams(t) for i, t in rows if i < 30 and i % 3 == 0 and i % 9), Counter())
+    part = lambda c, g: np.log((c[g] + 1) / (c.total() + (1 << 14)))
+    got = {r.doc_id: r for r in resampling.resample(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    for i, t in rows:
+        c = grams(t)
+        assert got[i].n_grams == c.total() and abs(got[i].log_weight - sum(n * (part(target, g) - part(raw, g)) for g, n in c.items())) < 1e-9
+    kept = sorted(r.gumbel_key for r in got.values() if r.kept)
+    assert len(kept) == round(len(rows) * 6 / 30) and kept == sorted(r.gumbel_key for r in got.values())[-len(kept) :]
+
+
 def test_resampling(spark, monkeypatch):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
