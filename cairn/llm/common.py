@@ -13,6 +13,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -49,9 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of results that nothing refers to any more; it does so when the JVM collects."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of results that nothing refers to any more; it does so when the JVM collects.
+
+    The first round lets go of what Python's objects held in the JVM, the second finds it free.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def carried(docs: DataFrame, **more: Column) -> DataFrame:

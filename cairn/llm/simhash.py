@@ -232,10 +232,7 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     They only order the candidates' keys, so which of them are left out changes the work and no result.
     """
     counts = texts.mapInArrow(_all_shingles(width), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE)
-    found = np.sort(counts.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
-    del counts
-    release(texts.sparkSession)
-    return found
+    return np.sort(counts.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
 
 
 def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -255,12 +252,14 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle))
     prints = cut(texts.mapInArrow(_described(shingle, similarity, common), "doc_id long, row long, node long, fp long, n long, first array<long>"))
     nodes = cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("who"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("first").alias("first")))
+    release(docs.sparkSession)  # the counts' shuffle is twice the input
     keyed = nodes.select("node", F.posexplode("first").alias("pos", "key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     rows = cut(keyed.join(shared, "key").join(nodes.select("node", "fp", "n"), "node"))
     asked = rows.select("node").distinct().join(nodes.select("node", "who.*"), "node")
     found = texts.join(asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("node", "text")
     sets = cut(found.mapInArrow(_shingled(shingle), "node long, hashes binary"))
+    release(docs.sparkSession)
 
     def close(a: str, b: str, bits: int = bits) -> Column:
         x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
