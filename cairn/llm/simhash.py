@@ -23,8 +23,8 @@ PAIRWISE = 64
 HUBS, WORK = 8, 4
 #: A key that leaves at most so many bits open is shared by few enough, 2^OPEN at most.
 OPEN = 6
-#: Most common shingles that go to every task.
-COMMON = 1 << 20
+#: Most common shingles that go to every task; most names of texts that are broadcast, beyond it the texts are shuffled.
+COMMON, BROADCAST = 1 << 20, 500_000
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -182,7 +182,8 @@ def set_fingerprint(hashes: np.ndarray) -> int:
 def _all_shingles(width: int):
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, width) for t in b.column("text").to_pylist())]).view(np.int64))], ["key"])
+            h = np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, width) for t in b.column("text").to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["key"])
 
     return run
 
@@ -195,8 +196,8 @@ def _described(width: int, similarity: float, common):
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, width)
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED)), fp.append(set_fingerprint(s)), n.append(len(s))
-                at = np.searchsorted(late, s)
-                last = late[np.minimum(at, len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
+                half = (s >> np.uint64(32)).astype(np.uint32)
+                last = late[np.minimum(np.searchsorted(late, half), len(late) - 1)] == half if len(late) else np.zeros(len(s), bool)
                 # two sets this similar share one of the first of their hashes, in any order that all texts keep
                 first.append(np.concatenate([s[~last], s[last]])[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1].view(np.int64))
             least = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first[1:])]), pa.int32()), pa.array(np.concatenate(first)))
@@ -227,12 +228,12 @@ def _alike(similarity: float):
 
 
 def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of the shingles that over PAIRWISE texts hold, the COMMON commonest if there are more.
+    """Sorted halves of the hashes of shingles that over PAIRWISE texts hold, the COMMON commonest if there are more.
 
     They only order the candidates' keys, so which of them are left out changes the work and no result.
     """
-    counts = texts.mapInArrow(_all_shingles(width), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE)
-    return np.sort(counts.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+    counts = texts.mapInArrow(_all_shingles(width), "key int").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE)
+    return np.sort(counts.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()["key"].to_numpy(np.int32).view(np.uint32))
 
 
 def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -256,8 +257,8 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
     keyed = nodes.select("node", F.posexplode("first").alias("pos", "key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     rows = cut(keyed.join(shared, "key").join(nodes.select("node", "fp", "n"), "node"))
-    asked = rows.select("node").distinct().join(nodes.select("node", "who.*"), "node")
-    found = texts.join(asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("node", "text")
+    asked = cut(rows.select("node").distinct().join(nodes.select("node", "who.*"), "node"))
+    found = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST else asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("node", "text")
     sets = cut(found.mapInArrow(_shingled(shingle), "node long, hashes binary"))
     release(docs.sparkSession)
 
