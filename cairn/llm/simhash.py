@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, carried, cut, let, own_columns, release, skew_join, text_hash
+from .common import bounded_batches, carried, cut, let, own_columns, release, skew_join, stored, text_hash
 from .components import components
 
 SHINGLE, SEED, CHUNK = 3, 42, 1 << 16
@@ -251,15 +251,15 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("row"), F.col("text").cast("binary").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle))
-    prints = cut(texts.mapInArrow(_described(shingle, similarity, common), "doc_id long, row long, node long, fp long, n long, first array<long>"))
-    nodes = cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("who"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("first").alias("first")))
+    prints = stored(texts.mapInArrow(_described(shingle, similarity, common), "doc_id long, row long, node long, fp long, n long, first array<long>"))
+    nodes = stored(prints.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("who"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("first").alias("first")))
     release(docs.sparkSession)  # the counts' shuffle is twice the input
     keyed = nodes.select("node", F.posexplode("first").alias("pos", "key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    rows = cut(keyed.join(shared, "key").join(nodes.select("node", "fp", "n"), "node"))
+    rows = stored(keyed.join(shared, "key").join(nodes.select("node", "fp", "n"), "node"))
     asked = cut(rows.select("node").distinct().join(nodes.select("node", "who.*"), "node"))
     found = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST else asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("node", "text")
-    sets = cut(found.mapInArrow(_shingled(shingle), "node long, hashes binary"))
+    sets = stored(found.mapInArrow(_shingled(shingle), "node long, hashes binary"))
     release(docs.sparkSession)
 
     def close(a: str, b: str, bits: int = bits) -> Column:
@@ -278,9 +278,9 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
     enough, tested, found, named, last = WORK * rows.count(), None, None, None, None
     for round_ in count():
         label = F.col("node") if named is None else F.coalesce("label", "node")
-        labelled = cut((rows if named is None else rows.join(named, "node", "left")).withColumn("label", label))
+        labelled = stored((rows if named is None else rows.join(named, "node", "left")).withColumn("label", label))
         held = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("labels"))
-        mixed = cut(labelled.join(held.where("labels > 1").select("key", "all", F.col("top.label").alias("top"), F.col("top.c").alias("of_top")), "key"))
+        mixed = stored(labelled.join(held.where("labels > 1").select("key", "all", F.col("top.label").alias("top"), F.col("top.c").alias("of_top")), "key"))
         many = mixed.where(F.col("all") > PAIRWISE)
         work = many.where("label <> top").agg(F.sum("all")).first()[0] or 0
         if work <= enough or (round_ > 2 and work > 0.7 * last):
@@ -294,7 +294,7 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
         found = linked(near) if found is None else cut(found.unionByName(linked(near)))
         named = components(found)
     shared_keys = rows.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("keys"))
-    mixed = cut(mixed.select("key", "node", "pos", "fp", "n", "label", "top").join(shared_keys, "node"))
+    mixed = stored(mixed.select("key", "node", "pos", "fp", "n", "label", "top").join(shared_keys, "node"))
     loose = mixed.where("label <> top")
     rest = F.greatest(*[F.col(f"{x}.n") - F.floor(F.col(f"{x}.n") * F.lit(1 - similarity) + 1e-9) - 1 for x in "ab"])
 
