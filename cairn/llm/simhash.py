@@ -293,17 +293,22 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
         tested = near if tested is None else tested.unionByName(near)
         found = linked(near) if found is None else cut(found.unionByName(linked(near)))
         named = components(found)
-    shared_keys = rows.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("keys"))
-    mixed = stored(mixed.select("key", "node", "pos", "fp", "n", "label", "top").join(shared_keys, "node"))
-    loose = mixed.where("label <> top")
     rest = F.greatest(*[F.col(f"{x}.n") - F.floor(F.col(f"{x}.n") * F.lit(1 - similarity) + 1e-9) - 1 for x in "ab"])
 
     def first_and_enough(both: Column) -> Column:
         """Is this the pair's first key, and can those shared and what lies behind all keys make up the index?"""
         return (both[0] == F.col("a.key")) & (F.size(both) + rest >= (F.col("a.n") + F.col("b.n")) * F.lit(similarity / (1 + similarity)) - 1e-9)
 
-    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))) & close("a", "b") & let(F.array_intersect("a.keys", "b.keys"), first_and_enough)
-    pairs = loose.alias("a").join(mixed.alias("b"), across).select(*ends()).distinct()
+    def crossed(members: DataFrame, *more: Column) -> DataFrame:
+        across = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))) & close("a", "b")
+        for condition in more:
+            across = across & condition
+        return members.where("label <> top").alias("a").join(members.alias("b"), across).select(*ends())
+
+    few = mixed.where(F.col("all") <= PAIRWISE).select("key", "node", "pos", "fp", "n", "label", "top")
+    shared_keys = rows.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("keys"))
+    many = stored(mixed.where(F.col("all") > PAIRWISE).select(*few.columns).join(shared_keys, "node"))
+    pairs = crossed(few).unionByName(crossed(many, let(F.array_intersect("a.keys", "b.keys"), first_and_enough))).distinct()
     rest = linked(cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")))
     found = rest if found is None else found.unionByName(rest)
     return prints.select("doc_id", "row", "node"), found
