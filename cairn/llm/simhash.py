@@ -283,12 +283,13 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
         mixed = stored(labelled.join(held.where("labels > 1").select("key", "all", F.col("top.label").alias("top"), F.col("top.c").alias("of_top")), "key"))
         many = mixed.where(F.col("all") > PAIRWISE)
         work = many.where("label <> top").agg(F.sum("all")).first()[0] or 0
-        if work <= enough or (round_ > 2 and work > 0.7 * last):
+        if work <= enough or (round_ and work > 0.7 * last):
             break
         last = work
         part = F.pmod(F.xxhash64(F.lit(round_), "node"), F.lit(HUBS))
-        hubs = many.where("label = top").groupBy("key", part).agg(F.min(F.struct("node", "fp", "n", "pos")).alias("hub")).select("key", "hub.*")
-        near = many.where("label <> top").alias("a").join(hubs.alias("b"), (F.col("a.key") == F.col("b.key")) & close("a", "b", bits // 2)).select(*ends()).distinct()
+        # at first no component is there, and any member may be a hub
+        hubs = (many.where("label = top") if round_ else many).groupBy("key", part).agg(F.min(F.struct("node", "fp", "n", "pos")).alias("hub")).select("key", "hub.*")
+        near = (many.where("label <> top") if round_ else many).alias("a").join(hubs.alias("b"), (F.col("a.key") == F.col("b.key")) & close("a", "b", bits // 2)).select(*ends()).distinct()
         near = cut(near if tested is None else near.join(tested, ["u", "v"], "left_anti"))
         tested = near if tested is None else tested.unionByName(near)
         found = linked(near) if found is None else cut(found.unionByName(linked(near)))
