@@ -48,3 +48,8 @@ SECRET_FIELDS = ["api_key", "authorization", "authorization_header", "auth_heade
 STEM_STEP_2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
 STEM_STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
 STEM_STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+
+# The stemmer's own tests. A y that is not the first letter counts as a vowel; a syllable is closed if it
+# ends consonant, vowel, consonant, the last not w, x or y, and a middle y counts in words of four letters or more.
+HOLDS_VOWEL = r"[aeiou]|.[yY]"
+CLOSED_SYLLABLE = r"[^aeiou][aeiou][^aeiouwxyY]$|.[^aeiou][yY][^aeiouwxyY]$"

@@ -1,91 +1,87 @@
-"""FN6: the suffix-stripping English stemmer, table driven over consonant-vowel shapes."""
+"""FN6: the suffix-stripping English stemmer as Column expressions, every step a chain of regular expressions.
 
-from __future__ import annotations
+Written from the published description of the algorithm. A y behind a consonant is a vowel; the others are written Y
+until the end, so that the classes below tell vowels and consonants apart by the letter alone.
+"""
 
-import re
-from functools import lru_cache
+from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import fixed
 
-_syllable = re.compile("v+c+")
+VOWEL, CONSONANT = "[aeiouy]", "[^aeiouy]"
+#: A vowel sequence followed by a consonant sequence, once at least, and twice.
+ONCE = VOWEL + CONSONANT
+TWICE = f"{VOWEL}{CONSONANT}+{VOWEL}+{CONSONANT}"
+
+
+def let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def cut(w: Column, k: int) -> Column:
+    return F.substring(w, F.lit(1), F.length(w) - k)
 
 
-def shape(word: str) -> str:
-    """A ``v`` or ``c`` for each letter; y is a vowel behind a consonant."""
-    out = ""
-    for ch in word:
-        out += "v" if ch in "aeiou" or (ch == "y" and out.endswith("c")) else "c"
+def add_e(w: Column) -> Column:
+    return F.concat(w, F.lit("e"))
+
+
+def short(w: Column) -> Column:
+    """One vowel sequence, and a last syllable that is closed."""
+    return w.rlike(ONCE) & ~w.rlike(TWICE) & w.rlike(fixed.CLOSED_SYLLABLE)
+
+
+def replaced(w: Column, rules: list[tuple[str, str]], least: str, otherwise: Column | None = None) -> Column:
+    """The first rule whose suffix fits decides: what is left has to hold ``least``."""
+    out = w if otherwise is None else otherwise
+    for suffix, other in reversed(rules):
+        left = cut(w, len(suffix))
+        out = F.when(w.endswith(suffix), F.when(left.rlike(least), F.concat(left, F.lit(other))).otherwise(w)).otherwise(out)
     return out
 
 
-def measure(word: str) -> int:
-    return len(_syllable.findall(shape(word)))
-
-
-def vowelled(word: str) -> bool:
-    return any(ch in "aeiou" for ch in word) or "y" in word[1:]
-
-
-def closed(word: str) -> bool:
-    """Ends consonant, vowel, consonant, the last not w, x or y; a middle y counts in words of four letters or more."""
-    if len(word) < 3 or word[-1] in "aeiouwxy" or word[-3] in "aeiou":
-        return False
-    return word[-2] in "aeiou" or (word[-2] == "y" and len(word) > 3)
-
-
-def mended(word: str) -> str:
-    """What an ``ed`` or ``ing`` left behind, made a word again."""
-    if word.endswith(("at", "bl", "iz")):
-        return word + "e"
-    if len(word) > 1 and word[-1] == word[-2] and word[-1] not in "lsz":
-        return word[:-1]
-    return word + "e" if measure(word) == 1 and closed(word) else word
-
-
-def swapped(word: str, rules: list[tuple[str, str]], least: int) -> tuple[str, bool]:
-    """The first rule whose suffix fits: applied if what is left measures enough; and whether one fitted."""
-    for suffix, other in rules:
-        if word.endswith(suffix):
-            left = word[: -len(suffix)]
-            return (left + other if measure(left) > least else word), True
-    return word, False
-
-
-@lru_cache(maxsize=100_000)
-def stem(word: str) -> str:
-    if len(word) <= 2:
-        return word
-    if word.endswith(("sses", "ies")):
-        word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
-        word = word[:-1]
-    if word.endswith("eed"):
-        word = word[:-1] if measure(word[:-3]) > 0 else word
-    else:
-        for suffix in ("ed", "ing"):
-            if word.endswith(suffix):
-                left = word[: -len(suffix)]
-                word = mended(left) if vowelled(left) else word
-                break
-    if word.endswith("y") and vowelled(word[:-1]):
-        word = word[:-1] + "i"
-    word, _ = swapped(word, fixed.STEM_STEP_2, 0)
-    word, _ = swapped(word, fixed.STEM_STEP_3, 0)
-    word, fitted = swapped(word, [(s, "") for s in fixed.STEM_STEP_4], 1)
-    if not fitted and re.search("[st]ion$", word) and measure(word[:-3]) > 1:
-        word = word[:-3]
-    if word.endswith("e"):
-        left = word[:-1]
-        if measure(left) > 1 or (measure(left) == 1 and not closed(left)):
-            word = left
-    return word[:-1] if word.endswith("ll") and measure(word) > 1 else word
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def udf_stems(s: pd.Series) -> pd.Series:
+def plural(w: Column) -> Column:
+    return F.when(w.rlike("(sses|ies)$"), cut(w, 2)).when(w.rlike("(^|[^s])s$"), cut(w, 1)).otherwise(w)
+
+
+def past(w: Column) -> Column:
+    def whole(left: Column) -> Column:
+        return F.when(left.rlike("(at|bl|iz)$") | short(left) & ~left.rlike(r"(?i)([^lsz])\1$"), add_e(left)).when(left.rlike(r"(?i)([^lsz])\1$"), cut(left, 1)).otherwise(left)
+
+    def without(k: int) -> Column:
+        return let(cut(w, k), lambda left: F.when(left.rlike(fixed.HOLDS_VOWEL), whole(left)).otherwise(w))
+
+    eed = F.when(cut(w, 3).rlike(ONCE), cut(w, 1)).otherwise(w)
+    return F.when(w.endswith("eed"), eed).when(w.endswith("ed"), without(2)).when(w.endswith("ing"), without(3)).otherwise(w)
+
+
+def last_y(w: Column) -> Column:
+    left = cut(w, 1)
+    return F.when(w.rlike("[yY]$") & left.rlike(fixed.HOLDS_VOWEL), F.concat(left, F.lit("i"))).otherwise(w)
+
+
+def endings(w: Column) -> Column:
+    ion = F.when(w.rlike("[st]ion$") & cut(w, 3).rlike(TWICE), cut(w, 3)).otherwise(w)
+    return replaced(w, [(s, "") for s in fixed.STEM_STEP_4], TWICE, ion)
+
+
+def tidy(w: Column) -> Column:
+    left = cut(w, 1)
+    bare = F.when(w.endswith("e") & (left.rlike(TWICE) | left.rlike(ONCE) & ~short(left)), left).otherwise(w)
+    return let(bare, lambda x: F.when(x.endswith("ll") & x.rlike(TWICE), cut(x, 1)).otherwise(x))
+
+
+def stem(word: Column) -> Column:
+    """The stem of a word in lower case; words of one or two letters stay; null stays null."""
+    w = F.regexp_replace(word, "(^|[aeiouy])y", "$1Y")
+    for step in (plural, past, last_y, lambda x: replaced(x, fixed.STEM_STEP_2, ONCE), lambda x: replaced(x, fixed.STEM_STEP_3, ONCE), endings, tidy):
+        w = let(w, step)
+    return F.when(F.length(word) <= 2, word).otherwise(F.translate(w, "Y", "y"))
+
+
+def stems(words: Column) -> Column:
     """Stems of an array of words; null stays null."""
-    return s.map(lambda xs: None if xs is None else [stem(x) for x in xs])
+    return F.transform(words, stem)

@@ -138,7 +138,7 @@ def redaction(spark, sf_dir):
 @query("stems")
 def stems(spark, sf_dir):
     """The suffix-stripping stemmer over the turns' words."""
-    return tables.turns(spark, sf_dir).select("session_id", "turn_index", joined(stemmer.udf_stems(text.plain_terms(F.col("content")))).alias("stems"))
+    return tables.turns(spark, sf_dir).select("session_id", "turn_index", joined(stemmer.stems(text.plain_terms(F.col("content")))).alias("stems"))
 
 
 @query("canonical_payloads")
