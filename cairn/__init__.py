@@ -1 +1 @@
-"""Conversational-memory analytics on PySpark DataFrames."""
+"""Analytics of long conversations on PySpark DataFrames."""

@@ -1,4 +1,4 @@
-"""State over time: property graph, memory cells, guards on citations (GR, ST, PF9-PF17)."""
+"""State over time: property graph, cells, guards on citations (GR, ST, PF9-PF17)."""
 
 from __future__ import annotations
 
@@ -104,16 +104,20 @@ def apply_updates(updates: DataFrame) -> DataFrame:
 
 
 def leaf_pointers(documents: DataFrame) -> DataFrame:
-    """FJ3, FJ4: ``documents(id, json)`` -> (id, pointer, value) of each leaf; arrays and references are leaves."""
+    """FJ3, FJ4: ``documents(id, json)`` -> (id, pointer, value) of each leaf; arrays and references are leaves.
+
+    A root that is no object has no pointer, and an empty object no leaf.
+    """
 
     def leaves(batches):
         for b in batches:
             out = []
             for id_, doc in zip(b["id"], b["json"], strict=True):
-                todo = [("", json.loads(doc))] if doc else []
+                root = json.loads(doc) if doc else None
+                todo = [("", root)] if isinstance(root, dict) and "$ref" not in root else []
                 while todo:
                     at, value = todo.pop()
-                    if isinstance(value, dict) and value and "$ref" not in value:
+                    if isinstance(value, dict) and "$ref" not in value:
                         todo += [(at + "/" + k.replace("~", "~0").replace("/", "~1"), v) for k, v in value.items()]
                     else:
                         out.append((id_, at, json.dumps(value, sort_keys=True)))

@@ -82,10 +82,14 @@ def route(index: DataFrame, queries: DataFrame, top: int = 8) -> DataFrame:
 
 
 def grep(lines: DataFrame, patterns: DataFrame, limit: int = 20) -> DataFrame:
-    """PF7: ``lines(session_id, line)`` with any of at most five literal patterns, in input order; score: patterns."""
-    few = patterns.select(F.trim("pattern").alias("pattern")).where("pattern <> ''").orderBy("pattern").limit(5).agg(F.collect_list("pattern").alias("ps"))
+    """PF7: ``lines(session_id, line_no, line)`` with any of the first five of ``patterns(position, pattern)``, which are
+    literal and fold case, in input order, by session and line; score: how many of them. Blank patterns do not count.
+    """
+    given = patterns.select("position", F.trim("pattern").alias("pattern")).where("pattern <> ''")
+    few = given.orderBy("position").limit(5).agg(F.collect_list("pattern").alias("ps"))
     hits = lines.crossJoin(F.broadcast(few)).withColumn("score", F.size(F.filter("ps", lambda p: F.contains(F.lower("line"), F.lower(p))))).where("score > 0").drop("ps")
-    return ranked(hits.withColumn("all", F.lit(0)), ["all"], [F.asc("session_id"), F.asc("line_no")], limit).drop("all")
+    first = hits.orderBy("session_id", "line_no").limit(limit)  # at most ``limit`` rows are numbered
+    return ranked(first.withColumn("all", F.lit(0)), ["all"], [F.asc("session_id"), F.asc("line_no")], limit).drop("all")
 
 
 def sweep(docs: DataFrame, queries: DataFrame, grid: list[tuple[float, float]], k: int = 10) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import channels, memory, spans, stages, windows
+from ..operators import channels, ledger, spans, stages, windows
 from ..sources import tables
 from . import retrieval, sql
 
@@ -78,7 +78,7 @@ SELECT id, n IS NOT NULL AND u.session_id % 2 = 0 AND turn_index < n AS accepted
 def source_checks(spark, sf_dir):
     turns = tables.turns(spark, sf_dir)
     d = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 130).alias("session_id"), (F.col("doc_id") % 8).alias("turn_index"))
-    return memory.valid_sources(d, turns, turns.where("session_id % 2 = 0"))
+    return ledger.valid_sources(d, turns, turns.where("session_id % 2 = 0"))
 
 
 @query("session_audit", """WITH b AS (SELECT DISTINCT conv_id AS s FROM conversations), c AS (SELECT s FROM b WHERE s % 3 = 0 UNION SELECT 100000), i AS (SELECT s FROM b WHERE s % 2 = 0)
@@ -86,7 +86,7 @@ SELECT s AS session_id, CASE WHEN s = 100000 THEN 'outside' WHEN s % 6 = 0 THEN
 def session_audit(spark, sf_dir):
     b = tables.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")).distinct()
     cited = b.where("session_id % 3 = 0").unionByName(spark.createDataFrame([(100000,)], "session_id long"))
-    return memory.session_audit(cited, b.where("session_id % 2 = 0"), b)
+    return ledger.session_audit(cited, b.where("session_id % 2 = 0"), b)
 
 
 @query("admission", f"""WITH fused_top AS ({retrieval.FUSION}), r AS (SELECT question_id, session_id, rank FROM fused_top),

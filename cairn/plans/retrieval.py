@@ -144,11 +144,13 @@ def best_turns(spark, sf_dir):
 
 
 @query("literal_grep", f"""WITH {sql.TURNS}, hits AS (
-  SELECT session_id, turn_index AS line_no, CAST(CAST(contains(lower(content), 'license') AS INT) + CAST(contains(lower(content), 'the') AS INT) + CAST(contains(lower(content), 'password') AS INT) AS INTEGER) AS score FROM turns)
+  SELECT session_id, turn_index AS line_no, CAST(CAST(contains(lower(content), 'license') AS INT) + CAST(contains(lower(content), 'the') AS INT) + CAST(contains(lower(content), 'password') AS INT) + CAST(contains(lower(content), 'zyxw') AS INT) + CAST(contains(lower(content), 'quux') AS INT) AS INTEGER) AS score FROM turns)
 SELECT session_id, line_no, score, row_number() OVER (ORDER BY session_id, line_no) AS rank FROM hits WHERE score > 0 QUALIFY rank <= 20""")
 def literal_grep(spark, sf_dir):
     lines = tables.turns(spark, sf_dir).select("session_id", F.col("turn_index").alias("line_no"), F.col("content").alias("line"))
-    patterns = spark.createDataFrame([("license",), (" the ",), ("Password",), (" ",)], "pattern string")
+    # the sixth that is not blank, though first by alphabet, no longer counts
+    given = ["license", " the ", "Password", " ", "zyxw", "quux", "a"]
+    patterns = spark.createDataFrame(list(enumerate(given)), "position int, pattern string")
     return rank.grep(lines, patterns).drop("line")
 
 

@@ -1,10 +1,10 @@
-"""Queries over state: property graph, memory cells, citations, streams' batch twins."""
+"""Queries over state: property graph, cells, citations, streams' batch twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import memory, rank, windows
+from ..operators import ledger, rank, windows
 from ..sources import tables
 from ..streaming import flows
 from . import retrieval, sql
@@ -35,20 +35,20 @@ CLAIMS = "c AS (SELECT user_id AS subject, user_id % 2 AS predicate, event_type
 SELECT *, coalesce(lead(valid_from) OVER (PARTITION BY subject, predicate ORDER BY valid_from, seq), -1) AS valid_to,
 CASE WHEN lead(valid_from) OVER (PARTITION BY subject, predicate ORDER BY valid_from, seq) IS NULL THEN 'active' ELSE 'contradicted' END AS status FROM k""")
 def contradictions(spark, sf_dir):
-    return memory.close_contradictions(claims(spark, sf_dir)).withColumn("valid_to", F.coalesce("valid_to", F.lit(-1)))
+    return ledger.close_contradictions(claims(spark, sf_dir)).withColumn("valid_to", F.coalesce("valid_to", F.lit(-1)))
 
 
 @query("observations", f"""WITH {CLAIMS}, k AS (SELECT * FROM c QUALIFY lag(value) OVER (PARTITION BY subject ORDER BY valid_from, seq) IS DISTINCT FROM value)
 SELECT subject AS pointer, arg_max(value, (valid_from, seq)) AS current, count(*) - 1 AS history FROM k GROUP BY subject""")
 def observations(spark, sf_dir):
     c = claims(spark, sf_dir)
-    return memory.observations(c.select(F.col("subject").alias("pointer"), "value", F.col("valid_from").alias("effective_at"), "seq"))
+    return ledger.observations(c.select(F.col("subject").alias("pointer"), "value", F.col("valid_from").alias("effective_at"), "seq"))
 
 
 @query("latest_properties", f"WITH {CLAIMS} SELECT subject AS entity, predicate AS name, arg_max(value, (valid_from, seq)) AS value FROM c GROUP BY ALL")
 def latest_properties(spark, sf_dir):
     c = claims(spark, sf_dir)
-    return memory.latest_properties(c.select(F.col("subject").alias("entity"), F.col("predicate").alias("name"), "value", F.col("valid_from").alias("at"), "seq"))
+    return ledger.latest_properties(c.select(F.col("subject").alias("entity"), F.col("predicate").alias("name"), "value", F.col("valid_from").alias("at"), "seq"))
 
 
 @query("two_hop", """WITH RECURSIVE r AS (SELECT DISTINCT s_nationkey AS a, 100 + s_suppkey % 7 AS b FROM supplier), both_ways AS (SELECT a, b FROM r UNION SELECT b, a FROM r),
@@ -57,7 +57,7 @@ SELECT CAST(seed AS BIGINT) AS seed, CAST(node AS BIGINT) AS node, CAST(min(hop)
 def two_hop(spark, sf_dir):
     s = tables.table(spark, sf_dir, "supplier")
     relations = s.select(F.col("s_nationkey").cast("long").alias("a"), (100 + F.col("s_suppkey") % 7).cast("long").alias("b")).distinct()
-    return memory.two_hop(relations.select(F.col("a").alias("seed")).distinct(), relations)
+    return ledger.two_hop(relations.select(F.col("a").alias("seed")).distinct(), relations)
 
 
 @query("entity_resolution", """WITH k AS (SELECT n_nationkey AS id, trim(regexp_replace(lower(n_name), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS key FROM nation),
@@ -68,21 +68,21 @@ def entity_resolution(spark, sf_dir):
     nation, customer = tables.table(spark, sf_dir, "nation"), tables.table(spark, sf_dir, "customer")
     entities = nation.select(F.col("n_nationkey").cast("long").alias("entity_id"), F.lit("place").alias("kind"), F.col("n_name").alias("alias"))
     mentions = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").cast("long").alias("mention_id"), F.lit("place").alias("kind"), F.when(F.col("c_custkey") % 5 == 0, "nowhere").otherwise(F.upper("n_name")).alias("name"))
-    return memory.resolve_entities(mentions, entities)
+    return ledger.resolve_entities(mentions, entities)
 
 
-@query("memory_cells")
-def memory_cells(spark, sf_dir):
+@query("state_cells")
+def state_cells(spark, sf_dir):
     e = tables.table(spark, sf_dir, "events")
     mode = F.when(F.col("event_id") % 3 == 0, "append").when(F.col("event_id") % 3 == 1, "set").otherwise("observe")
     pointer = F.concat(F.lit("/"), "event_type", F.when(F.col("event_id") % 2 == 0, F.lit("/last")).otherwise(""))
     kind = F.when(F.col("event_id") % 11 == 0, "list").otherwise("state")
-    return memory.apply_updates(e.select((F.col("user_id") % 50).cast("long").alias("case_id"), F.col("event_id").cast("long").alias("seq"), pointer.alias("pointer"), kind.alias("memory_type"), mode.alias("mode"), F.col("value").cast("string").alias("value")))
+    return ledger.apply_updates(e.select((F.col("user_id") % 50).cast("long").alias("case_id"), F.col("event_id").cast("long").alias("seq"), pointer.alias("pointer"), kind.alias("memory_type"), mode.alias("mode"), F.col("value").cast("string").alias("value")))
 
 
 @query("leaf_pointers")
 def leaf_pointers(spark, sf_dir):
-    return memory.leaf_pointers(tables.table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("id"), F.col("props").alias("json")))
+    return ledger.leaf_pointers(tables.table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("id"), F.col("props").alias("json")))
 
 
 @query("pointer_prefixes", """WITH s AS (SELECT doc_id, '/' || lang || '/' || source || '/' || doc_id % 3 AS pointer FROM documents), p AS (SELECT DISTINCT '/' || lang AS root FROM documents UNION SELECT DISTINCT '/' || lang || '/' || source FROM documents WHERE lang = 'de')
@@ -91,7 +91,7 @@ def pointer_prefixes(spark, sf_dir):
     d = tables.table(spark, sf_dir, "documents")
     sources = d.select("doc_id", F.concat_ws("/", F.lit(""), "lang", "source", (F.col("doc_id") % 3).cast("string")).alias("pointer"))
     roots = d.select(F.concat(F.lit("/"), "lang").alias("pointer")).unionByName(d.where("lang = 'de'").select(F.concat_ws("/", F.lit(""), "lang", "source").alias("pointer"))).distinct()
-    return memory.under_pointer(sources, roots)
+    return ledger.under_pointer(sources, roots)
 
 
 @query("redundant_parents", """WITH u AS (SELECT doc_id, doc_id // 10 AS batch, '/' || lang || CASE WHEN doc_id % 2 = 0 THEN '/' || source ELSE '' END AS pointer FROM documents)
@@ -99,7 +99,7 @@ SELECT doc_id, batch, pointer FROM u WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v
 def redundant_parents(spark, sf_dir):
     d = tables.table(spark, sf_dir, "documents")
     pointer = F.concat(F.lit("/"), "lang", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/"), "source")).otherwise(""))
-    return memory.redundant_parents(d.select("doc_id", F.floor(F.col("doc_id") / 10).alias("batch"), pointer.alias("pointer"))).select("doc_id", "batch", "pointer")
+    return ledger.redundant_parents(d.select("doc_id", F.floor(F.col("doc_id") / 10).alias("batch"), pointer.alias("pointer"))).select("doc_id", "batch", "pointer")
 
 
 CITED = """cited AS (SELECT item_id AS question_id, i AS position, (item_id * 7 + i) % (SELECT max(session_id) + 3 FROM turns) AS session_id, CASE WHEN i % 4 = 3 THEN NULL ELSE (item_id + i) % 9 END AS turn_index
@@ -117,7 +117,7 @@ def citation_kinds(spark, sf_dir):
     items = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("question_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("position"))
     cited = items.crossJoin(F.broadcast(most)).select("question_id", "position", ((F.col("question_id") * 7 + F.col("position")) % F.col("m")).alias("session_id"), F.when(F.col("position") % 4 != 3, (F.col("question_id") + F.col("position")) % 9).alias("turn_index"))
     chosen = cited.select("question_id", "session_id").distinct().join(turns.select("session_id", "turn_index"), "session_id").where((F.col("turn_index") % 2 == 0) & ((F.col("question_id") + F.col("session_id")) % 3 > 0))
-    return memory.citation_kinds(cited, turns, chosen)
+    return ledger.citation_kinds(cited, turns, chosen)
 
 
 @query("date_filtered", f"""WITH top AS ({retrieval.SESSIONS}),
@@ -127,7 +127,7 @@ SELECT question_id, session_id, row_number() OVER (PARTITION BY question_id ORDE
 def date_filtered(spark, sf_dir):
     hits = retrieval.session_ranks(spark, sf_dir).select("question_id", "session_id", tables.date_of(F.col("session_id")).alias("date"), "rank")
     ranges = tables.questions(spark, sf_dir).select("question_id", F.lit("2023/01/10").alias("lo"), F.lit("2023/02/20").alias("hi"))
-    return memory.date_filter(hits, ranges).select("question_id", "session_id", "rank")
+    return ledger.date_filter(hits, ranges).select("question_id", "session_id", "rank")
 
 
 @query("count_batches", f"""WITH {sql.TURNS}, b AS (SELECT session_id, turn_index, (row_number() OVER (PARTITION BY session_id ORDER BY turn_index) - 1) // 3 AS batch, count(*) OVER (PARTITION BY session_id) AS n FROM turns)
@@ -147,21 +147,24 @@ def token_windows(spark, sf_dir):
     return flows.window_load(tables.table(spark, sf_dir, "events"), "event_type", 3600, "value").select("event_id", F.round("load", 4).alias("load"), "active")
 
 
-@query("hash_chain", """WITH RECURSIVE e AS (SELECT user_id % 20 AS stream, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS sequence, event_type AS payload, event_id FROM events)
-SELECT stream, sequence, payload FROM e WHERE event_id % 97 = 0 AND sequence > 0""")
+@query("hash_chain", """WITH e AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence, event_id FROM events),
+m AS (SELECT *, count(*) FILTER (WHERE event_id % 83 = 0) OVER (PARTITION BY stream ORDER BY sequence) AS lost FROM e)
+SELECT stream, CAST(sequence AS INTEGER) AS sequence, event_id FROM m WHERE event_id % 83 <> 0 AND (event_id % 97 = 0 OR event_id % 89 = 0 OR lost > 0)""")
 def hash_chain(spark, sf_dir):
-    """Rows that were tampered with, found by their own hash; links are rebuilt over hashes as stored."""
-    e = tables.table(spark, sf_dir, "events")
-    rows = tables.numbered(e.select((F.col("user_id") % 20).alias("stream"), F.col("event_type").alias("payload"), "event_id"), ["stream"], ["event_id"])
-    stored = rows.withColumn("h", F.sha2(F.col("event_id").cast("string"), 256))
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("stream").orderBy("sequence")
-    chained = stored.withColumn("previous", F.coalesce(F.lag("h").over(by), F.lit("")))
-    own = F.sha2(F.concat_ws("|", F.col("sequence").cast("string"), "previous", "payload"), 256)
-    # the stored hash stands for the row; every 97th was changed after hashing
-    broken = chained.withColumn("hash", F.when(F.col("event_id") % 97 == 0, F.lit("changed")).otherwise(own)).where((F.col("hash") != own))
-    return broken.select("stream", "sequence", "payload")
+    """A chain of hashes a user, then tampered with: payloads changed, links changed, and rows taken out."""
+    e = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.struct("event_id", F.col("event_type").alias("payload")).alias("e"))
+    start = F.struct(F.lit("").alias("hash"), F.array().cast("array<struct<sequence:int,event_id:bigint,payload:string,previous:string,hash:string>>").alias("rows"))
+
+    def add(held, x):
+        n = F.size(held["rows"]) + 1
+        own = F.sha2(F.concat_ws("|", n.cast("string"), held["hash"], x["payload"]), 256)
+        row = F.struct(n.alias("sequence"), x["event_id"].cast("long").alias("event_id"), x["payload"].alias("payload"), held["hash"].alias("previous"), own.alias("hash"))
+        return F.struct(own.alias("hash"), F.concat(held["rows"], F.array(row)).alias("rows"))
+
+    chain = e.groupBy("stream").agg(F.array_sort(F.collect_list("e")).alias("es")).select("stream", F.explode(F.aggregate("es", start, add)["rows"]).alias("r")).select("stream", "r.*")
+    hit = lambda n: F.col("event_id") % n == 0
+    tampered = chain.where(~hit(83)).withColumn("payload", F.when(hit(97), F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))).withColumn("previous", F.when(hit(89), F.lit("elsewhere")).otherwise(F.col("previous")))
+    return flows.verify_chain(tampered).select("stream", "sequence", "event_id")
 
 
 @query("call_cache", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'miss' WHEN event_id % 7 = 0 THEN 'mismatch' ELSE 'hit' END AS cache FROM events")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import dates, stemmer, text
-from cairn.operators import memory, rank, reports, sampling, spans, windows
+from cairn.operators import ledger, rank, reports, sampling, spans, windows
 from cairn.sources import tables
 from cairn.streaming import flows
 
@@ -87,7 +87,7 @@ def test_set_cover_prefers_new_facets(spark):
 
 def test_memory_updates(spark):
     rows = [(1, 1, "/a", "state", "set", "x"), (1, 2, "/a", "state", "set", "y"), (1, 3, "/a/b", "state", "observe", "z"), (1, 4, "/a", "list", "append", "w"), (1, 5, "/l", "list", "append", "w"), (1, 6, "/l", "list", "append", "w")]
-    got = memory.apply_updates(spark.createDataFrame(rows, "case_id long, seq long, pointer string, memory_type string, mode string, value string")).orderBy("seq").collect()
+    got = ledger.apply_updates(spark.createDataFrame(rows, "case_id long, seq long, pointer string, memory_type string, mode string, value string")).orderBy("seq").collect()
     assert [(r.pointer, r.accepted) for r in got] == [("/a", True), ("/a", True), ("/a", True), ("/a", False), ("/l", True), ("/l", True)]
     assert '"history": ["x", "y"]' in got[2].cell and '"current": ["w"]' in got[5].cell
 
@@ -95,10 +95,10 @@ def test_memory_updates(spark):
 def test_relocation_and_coverage(spark):
     turns = spark.createDataFrame([(1, 0, "I said “hello there” twice"), (1, 1, "nothing"), (1, 2, "bye on Monday 7")], "session_id long, turn_index long, content string")
     evidence = spark.createDataFrame([(1, 1, 0, '"hello there" twice'), (2, 1, 1, "bye on monday".title().replace("On", "on")), (3, 1, 1, "absent")], "id long, session_id long, turn_index long, excerpt string")
-    assert {r.id: (r.turn_index, r.how) for r in memory.relocate(evidence, turns).collect()}[3] == (None, "lost")
+    assert {r.id: (r.turn_index, r.how) for r in ledger.relocate(evidence, turns).collect()}[3] == (None, "lost")
     signals = spark.createDataFrame([(1, 1, 2, "bye on Monday 7"), (2, 1, 0, "three of them")], "id long, session_id long, turn_index long, sentence string")
     updates = spark.createDataFrame([(1, 2, "monday 7"), (1, 0, "none")], "session_id long, turn_index long, value string")
-    assert {r.id: r.coverage for r in memory.signal_coverage(signals, updates).collect()} == {1: "graph_covered", 2: "session_index_fallback"}
+    assert {r.id: r.coverage for r in ledger.signal_coverage(signals, updates).collect()} == {1: "graph_covered", 2: "session_index_fallback"}
 
 
 def test_reports(spark):
@@ -168,25 +168,25 @@ def test_redacted_json(spark):
 def test_fuzzy_relocation(spark):
     turns = spark.createDataFrame([(1, 0, "we went to the old red barn by the river today"), (1, 1, "something else entirely was said here by them")], "session_id long, turn_index long, content string")
     evidence = spark.createDataFrame([(1, 1, "went to the old red barn by a river"), (2, 1, "not said at all anywhere")], "id long, session_id long, excerpt string")
-    got = memory.relocate_fuzzy(evidence, turns).collect()
+    got = ledger.relocate_fuzzy(evidence, turns).collect()
     assert [(r.id, r.turn_index) for r in got] == [(1, 0)] and got[0].score == pytest.approx(8 / 9)
 
 
 def test_operand_updates(spark):
     turns = spark.createDataFrame([(1, 0, "user", "I ran three weeks, 2 times a week, 3-5 days"), (1, 1, "assistant", "for two weeks")], "session_id long, turn_index long, role string, content string")
-    got = sorted((r.kind, r.value, r.unit) for r in memory.operand_updates(turns).collect())
+    got = sorted((r.kind, r.value, r.unit) for r in ledger.operand_updates(turns).collect())
     assert got == [("duration", 3.0, "week"), ("duration", 5.0, "day"), ("frequency", 2.0, "times_per_week"), ("range", 3.0, "day")]
 
 
 def test_patches(spark):
     cells = spark.createDataFrame([("/a/b", "1"), ("/a/c", "2"), ("/d", "3"), ("/e/f", "4")], "pointer string, value string")
     patches = spark.createDataFrame([("move", "/a", "/z", None), ("remove", "/e", None, None), ("replace", "/d", None, "5"), ("add", "/n", None, "6")], "op string, pointer string, to string, value string")
-    assert sorted(tuple(r) for r in memory.patched(cells, patches).select("pointer", "value").collect()) == [("/d", "5"), ("/n", "6"), ("/z/b", "1"), ("/z/c", "2")]
+    assert sorted(tuple(r) for r in ledger.patched(cells, patches).select("pointer", "value").collect()) == [("/d", "5"), ("/n", "6"), ("/z/b", "1"), ("/z/c", "2")]
 
 
 def test_tagged_trees(spark):
     good = '{"kind": "object", "entries": [{"key": "b", "value": {"kind": "array", "items": [{"kind": "number", "value": 1}, {"kind": "null"}]}}, {"key": "a", "value": {"kind": "object", "entries": []}}]}'
     twice = '{"kind": "object", "entries": [{"key": "a", "value": {"kind": "null"}}, {"key": "a", "value": {"kind": "null"}}]}'
-    got = {r.id: r for r in memory.decode_tagged(spark.createDataFrame([(1, good), (2, twice), (3, '{"kind": "odd"}'), (4, "no")], "id long, json string")).collect()}
+    got = {r.id: r for r in ledger.decode_tagged(spark.createDataFrame([(1, good), (2, twice), (3, '{"kind": "odd"}'), (4, "no")], "id long, json string")).collect()}
     assert got[1].json == '{"a": {}, "b": [1, null]}' and got[1].problem is None
     assert got[2].problem == "duplicate key" and got[3].json is None and got[4].json is None

@@ -43,7 +43,11 @@ def test_oracle(spark, oracle, name):
     assert got == Counter(tuple(canon(r[i]) for i in order) for r in result.fetchall())
 
 
+#: Their cues do not occur in the smallest tables.
+NO_ROWS = {"personal_signals", "operands"}
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_rows_only(spark, name):
     df = catalog.queries()[name](spark, DATA)
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() > (-1 if name in NO_ROWS else 0)
