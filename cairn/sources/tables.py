@@ -105,11 +105,19 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(question_id, doc_id): documents that hold the item's text verbatim. For metrics only.
 
-    Items and documents meet on the item's longest inner word, so no pair without it is ever compared.
+    Items and documents meet on the item's longest inner word, which spaces bound in both. An item of one or two words
+    has none; it meets the documents on its first word, or its last, as the end, or the beginning, of one of theirs.
     """
-    q = questions(spark, sf_dir)
+    q = questions(spark, sf_dir).where("question <> ''").withColumn("ws", F.split("question", " "))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    inner = F.slice(F.split("question", " "), 2, F.greatest(F.size(F.split("question", " ")) - 2, F.lit(1)))
+    inner = F.slice("ws", 2, F.size("ws") - 2)
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w")).join(q.select("question_id", longest.alias("w")), "w").select("doc_id", "question_id").distinct()
-    return held.join(docs, "doc_id").join(q, "question_id").where(F.contains("text", F.col("question"))).select("question_id", "doc_id")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
+    asked = q.where(F.size("ws") > 2).select("question_id", longest.alias("w"))
+    held = words.join(asked, "w").select("doc_id", "question_id")
+    few = q.where(F.size("ws") <= 2).select("question_id", F.col("ws")[0].alias("part"), (F.size("ws") == 1).alias("alone"))
+    n = few.select(F.length("part").alias("k"), "alone").distinct()
+    ends = F.when(F.col("alone"), F.transform(F.sequence(F.lit(1), F.length("w") - F.col("k") + 1), lambda i: F.substring("w", i, F.col("k")))).otherwise(F.array(F.substring(F.col("w"), F.length("w") - F.col("k") + 1, F.col("k"))))
+    pieces = words.join(F.broadcast(n), F.length("w") >= F.col("k")).select("doc_id", "alone", F.explode(ends).alias("part"))
+    held = held.unionByName(pieces.join(few, ["part", "alone"]).select("doc_id", "question_id")).distinct()
+    return held.join(docs, "doc_id").join(q.drop("ws"), "question_id").where(F.contains("text", F.col("question"))).select("question_id", "doc_id")

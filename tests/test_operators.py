@@ -190,3 +190,12 @@ def test_tagged_trees(spark):
     got = {r.id: r for r in ledger.decode_tagged(spark.createDataFrame([(1, good), (2, twice), (3, '{"kind": "odd"}'), (4, "no")], "id long, json string")).collect()}
     assert got[1].json == '{"a": {}, "b": [1, null]}' and got[1].problem is None
     assert got[2].problem == "duplicate key" and got[3].json is None and got[4].json is None
+
+
+def test_gold_of_any_length(spark, tmp_path):
+    items = [(1, "one"), (2, "two words"), (3, "three words here"), (4, "é x"), (5, "")]
+    texts = ["stone", "one", "my two wordsmiths", "two  words", "all three words here.", "three words hereafter", "café xy", "é", "", "none two words three words here"]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted((i, d) for i, x in items if x for d, t in enumerate(texts) if x in t)
+    assert sorted(tuple(r) for r in tables.gold(spark, str(tmp_path)).collect()) == want
