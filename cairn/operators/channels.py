@@ -99,7 +99,7 @@ def reader_focus(pairs: DataFrame, queries: DataFrame, sessions: int = 21, turns
     counts; the best sessions, and of each the best pairs while their turns fit."""
     hits = bm25(pairs, queries, None, keep=("session_id", "start_turn", "end_turn", "digits")).join(queries.select("question_id", "question"), "question_id")
     counts = F.lower("question").rlike(fixed.AGGREGATE_WORDS)
-    hits = hits.withColumn("score", F.col("score") + F.when(counts & F.col("digits"), 3.0).otherwise(0.0)).drop("rank", "question")
+    hits = hits.withColumn("score", F.col("score") + F.when(counts & F.col("digits"), 3.0).otherwise(0.0)).drop("question")
     order = ranked(hits.groupBy("question_id", "session_id").agg(F.max("score").alias("top")), ["question_id"], [best("top"), F.asc("session_id")], sessions, "session_rank")
     rows = ranked(hits.join(order, ["question_id", "session_id"]), ["question_id", "session_id"], [best("score"), F.asc("start_turn")])
     from pyspark.sql import Window

@@ -18,27 +18,27 @@ def best(column: str) -> Column:
     return F.round(column, 9).desc()
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, boost: float = 0.0, repeats: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, boost: float = 0.0, repeats: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """RK1-RK4: ``docs(doc_id, text)`` against ``queries(question_id, question)``, the ``k`` best of each.
 
-    Documents without a term still count in N and the mean length. Only terms of some query reach the postings'
+    Without ``k`` all hits come back, and nothing numbers them. A posting carries its document's length, so documents
+    are cut into terms once for the postings and once for their number and mean length, and never joined back. Documents without a term still count in N and the mean length. Only terms of some query reach the postings'
     shuffle, with an aggregate on the map side. ``boost`` adds to the score for each temporal term shared, and
     ``repeats`` counts a query's repeated terms.
     """
     toks = docs.select("doc_id", *keep, text.tokens(F.col("text")).alias("toks"))
-    lengths = toks.select("doc_id", *keep, F.size("toks").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avg_len"))
     asked = queries.select("question_id", F.explode(text.tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qtf"))
     terms = asked.select("term").distinct()
-    postings = toks.select("doc_id", F.explode("toks").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    postings = toks.select("doc_id", *keep, F.size("toks").alias("len"), F.explode("toks").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", *keep, "len", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weight = dates.bm25_idf(F.col("n"), F.col("df"))
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     part = part * F.col("qtf") if repeats else part
     dated = F.array_contains(text.words(fixed.TEMPORAL_WORDS), F.col("term")) | F.col("term").rlike("[0-9]")
-    hits = asked.join(df, "term").join(postings, "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
+    hits = asked.join(df, "term").join(postings, "term").crossJoin(F.broadcast(stats))
     scored = hits.groupBy("question_id", "doc_id", *keep).agg((F.sum(part) + boost * F.sum(F.when(dated, 1).otherwise(0))).alias("score"), F.count("*").alias("matched"))
-    return ranked(scored, ["question_id"], [best("score"), F.desc("matched"), F.asc("doc_id")], k)
+    return scored if k is None else ranked(scored, ["question_id"], [best("score"), F.desc("matched"), F.asc("doc_id")], k)
 
 
 def session_ranks(hits: DataFrame, how: str = "max", k: int | None = None) -> DataFrame:
