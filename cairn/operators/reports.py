@@ -94,9 +94,10 @@ def gate(summary: DataFrame, thresholds: dict[str, float]) -> DataFrame:
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """AG20: the element at n // 2 of the sorted values, which for even n is not the median between."""
-    by = Window.partitionBy(*keys).orderBy(value)
-    rows = df.withColumn("i", F.row_number().over(by) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    return rows.where(F.col("i") == F.floor(F.col("n") / 2)).select(*keys, F.col(value).alias("upper_median"))
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("same"))  # only different values reach the window
+    by = Window.partitionBy(*keys)
+    rows = counts.withColumn("upto", F.sum("same").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("i", F.floor(F.sum("same").over(by) / 2))
+    return rows.where((F.col("i") < F.col("upto")) & (F.col("i") >= F.col("upto") - F.col("same"))).select(*keys, F.col(value).alias("upper_median"))
 
 
 def coverage_class(n: Column, total: Column) -> Column:

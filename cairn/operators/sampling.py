@@ -69,19 +69,30 @@ def interleaved(cases: DataFrame, arms: list[str]) -> DataFrame:
     return cases.select("*", arm).withColumn("turn", F.pmod(F.col("arm_index") - F.col("case_index"), F.lit(n)).cast("long"))
 
 
+def beside(df: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> DataFrame:
+    """``df`` with aggregates of each group beside its rows, by partial sums and a join that can split a hot group."""
+    own = [f"_key_{k}" for k in keys]
+    groups = df.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)]).agg(*[c.alias(n) for n, c in aggregates.items()])
+    same = F.lit(True)
+    for k, o in zip(keys, own, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(o))
+    return df.join(groups, same).drop(*own)
+
+
 def scaled(df: DataFrame, strata: list[str], features: list[str]) -> DataFrame:
     """FM6: min-max a stratum; a constant feature is 0."""
-    by = Window.partitionBy(*strata)
-    lo = lambda c: F.min(c).over(by)
-    hi = lambda c: F.max(c).over(by)
-    return df.withColumns({c: F.when(hi(c) > lo(c), (F.col(c) - lo(c)) / (hi(c) - lo(c))).otherwise(0.0) for c in features})
+    lo, hi = {c: f"_lo_{c}" for c in features}, {c: f"_hi_{c}" for c in features}
+    rows = beside(df, strata, {lo[c]: F.min(c) for c in features} | {hi[c]: F.max(c) for c in features})
+    part = lambda c: (F.col(c) - F.col(lo[c])) / (F.col(hi[c]) - F.col(lo[c]))
+    return rows.withColumns({c: F.when(F.col(hi[c]) > F.col(lo[c]), part(c)).otherwise(0.0) for c in features}).drop(*lo.values(), *hi.values())
 
 
 def medoids(df: DataFrame, strata: list[str], features: list[str], id_: str, seed: str) -> DataFrame:
     """SM2: the row nearest its stratum's centroid, ties by seeded order."""
-    by = Window.partitionBy(*strata)
-    parts = sum(((F.col(c) - F.avg(c).over(by)) ** 2 for c in features), F.lit(0.0))
-    return ranked(df.withColumn("distance", F.round(F.sqrt(parts), 9)), strata, [F.asc("distance"), seeded(seed, id_).asc()], 1, "n").drop("n")
+    mean = {c: f"_mean_{c}" for c in features}
+    parts = sum(((F.col(c) - F.col(m)) ** 2 for c, m in mean.items()), F.lit(0.0))
+    rows = beside(df, strata, {m: F.avg(c) for c, m in mean.items()}).withColumn("distance", F.round(F.sqrt(parts), 9)).drop(*mean.values())
+    return ranked(rows, strata, [F.asc("distance"), seeded(seed, id_).asc()], 1, "n").drop("n")
 
 
 def farthest_first(df: DataFrame, stratum: str, features: list[str], id_: str, quota: int) -> DataFrame:
