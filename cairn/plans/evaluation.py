@@ -303,13 +303,13 @@ def opaque_handles(spark, sf_dir):
     return rows.select("source", "doc_id", "n", F.format_string("memory_%03d", F.col("n")).alias("handle"), dates.short_handle(F.col("id")).alias("short"))
 
 
-@query("publication_problems", """WITH p AS (SELECT doc_id % 900 AS question_id, coalesce(text, '') AS h FROM documents WHERE doc_id % 7 > 0), c AS (SELECT doc_id AS question_id FROM documents WHERE doc_id < 880)
+@query("publication_problems", """WITH p AS (SELECT doc_id AS question_id, coalesce(text, '') AS h FROM documents), c AS (SELECT item_id AS question_id FROM benchmark)
 SELECT question_id, 'missing' AS problem FROM c WHERE question_id NOT IN (SELECT question_id FROM p) UNION SELECT question_id, 'unknown' FROM p WHERE question_id NOT IN (SELECT question_id FROM c)
 UNION SELECT question_id, 'repeated' FROM p GROUP BY 1 HAVING count(*) > 1 UNION SELECT question_id, 'secret' FROM p WHERE regexp_matches(h, '(?i)(sk-[a-z0-9_-]{12,}|AIza[a-z0-9_-]{12,}|Bearer\\s+[a-z0-9._-]{12,})')""")
 def publication_problems(spark, sf_dir):
-    docs = tables.table(spark, sf_dir, "documents")
-    predictions = docs.where("doc_id % 7 > 0").select((F.col("doc_id") % 900).alias("question_id"), F.coalesce("text", F.lit("")).alias("hypothesis"))
-    return reports.publication_problems(predictions, docs.where("doc_id < 880").select(F.col("doc_id").alias("question_id")))
+    """Every document is a prediction, every benchmark item a case."""
+    predictions = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.coalesce("text", F.lit("")).alias("hypothesis"))
+    return reports.publication_problems(predictions, tables.questions(spark, sf_dir).select("question_id"))
 
 
 @query("publication_problems_all", """WITH p AS (SELECT doc_id AS question_id, coalesce(text, '') AS h FROM documents), c AS (SELECT doc_id AS question_id FROM labels)

@@ -180,10 +180,10 @@ def windowed_counts(spark, sf_dir):
     return rows.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("evidence_ledger", f"""WITH {sql.TURNS}, p AS (SELECT session_id, turn_index, left(content, 40) AS excerpt, '/' || role AS pointer FROM turns UNION ALL SELECT session_id, turn_index, left(content, 40), '/all' FROM turns)
+@query("evidence_ledger", f"""WITH {sql.TURNS}, p AS (SELECT session_id, turn_index, content AS excerpt, '/' || role AS pointer FROM turns UNION ALL SELECT session_id, turn_index, content, '/all' FROM turns)
 SELECT session_id, turn_index, excerpt, array_to_string(list_sort(list(DISTINCT pointer)), ' ') AS pointers, regexp_matches(lower(excerpt), '\\b(?:before|after|ago|when|how long|days?|weeks?|months?|years?)\\b') AS temporal FROM p GROUP BY session_id, turn_index, excerpt""")
 def evidence_ledger(spark, sf_dir):
-    t = tables.turns(spark, sf_dir).select("session_id", "turn_index", F.substring("content", 1, 40).alias("excerpt"), F.concat(F.lit("/"), "role").alias("pointer"))
+    t = tables.turns(spark, sf_dir).select("session_id", "turn_index", F.col("content").alias("excerpt"), F.concat(F.lit("/"), "role").alias("pointer"))
     return windows.evidence_ledger(t.unionByName(t.withColumn("pointer", F.lit("/all")))).withColumn("pointers", F.array_join("pointers", " "))
 
 
