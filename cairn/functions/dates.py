@@ -168,3 +168,8 @@ def adjacent_turns(role: Column, i: Column, n: Column) -> Column:
     """FA4: a user turn, the next and the one before; else the one before, the turn, the next; in bounds."""
     order = F.when(role == "user", F.array(i, i + 1, i - 1)).otherwise(F.array(i - 1, i, i + 1))
     return F.filter(order, lambda x: x.between(0, n - 1))
+
+
+def comparable_time(c: Column) -> Column:
+    """FD7: milliseconds since 1970 of an ISO time, null for what is none."""
+    return F.unix_millis(F.try_to_timestamp(c))

@@ -53,3 +53,11 @@ STEM_STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement",
 # ends consonant, vowel, consonant, the last not w, x or y, and a middle y counts in words of four letters or more.
 HOLDS_VOWEL = r"[aeiou]|.[yY]"
 CLOSED_SYLLABLE = r"[^aeiou][aeiou][^aeiouwxyY]$|.[^aeiou][yY][^aeiouwxyY]$"
+
+# The answer that stands in for a blank one, dollars a million tokens in and out, answer modes by type.
+UNAVAILABLE = "The available memory does not contain this information."
+ANSWER_PRICES = (0.05, 0.40)
+ANSWER_MODES = [
+    ("temporal-reasoning", "temporal_comparison"), ("knowledge-update", "knowledge_update"), ("multi-session", "multi_session"),
+    ("single-session-preference", "preference"), ("single-session-assistant", "assistant_answer"),
+]

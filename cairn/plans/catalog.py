@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, graph, relational, retrieval, scalar, state
+from . import evaluation, graph, reader, relational, retrieval, scalar, state
 
-MODULES = [retrieval, evaluation, scalar, state, relational, graph]
+MODULES = [retrieval, evaluation, scalar, state, relational, graph, reader]
 
 
 def flagship(spark, sf_dir):
