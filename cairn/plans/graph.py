@@ -59,7 +59,7 @@ def five_channels(spark, sf_dir):
     cells = windows.session_index(turns).select(F.col("session_id").alias("doc_id"), ids, F.array_join("terms", " ").alias("text"))
     summaries = windows.session_index(turns).select(F.col("session_id").alias("doc_id"), ids, F.col("opener").alias("text"))
     loose = windows.claims(turns).where("claim_no = 1").select(F.col("session_id").alias("doc_id"), ids, F.col("sentence").alias("text"))
-    tail = whole.where("doc_id % 25 = 0")
+    tail = whole.orderBy(F.desc("doc_id")).limit(5)  # the newest sessions, which no batch has taken in yet
     docs = channels.channel_documents(whole, cells, summaries, loose, tail)
     return channels.five_channels(docs, tables.questions(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
