@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,12 @@ def suffix_order(text: list[int]) -> list[int]:
     each takes the next place of its group.
     """
     n = len(text)
-    sa = sorted(range(n), key=text.__getitem__)
-    at, group, size, first = [0] * n, [0] * n, [0] * n, 0
-    for r, i in enumerate(sa):
-        if text[i] != text[sa[first]]:
-            first = r
-        at[i], group[i] = r, first
-        size[first] += 1
+    symbols = np.array(text, np.int64)
+    order = np.argsort(symbols, kind="stable")
+    heads = np.flatnonzero(np.diff(symbols[order], prepend=-1))
+    sizes, ranks, groups, counts = np.diff(heads, append=n), np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
+    ranks[order], groups[order], counts[heads] = np.arange(n), np.repeat(heads, sizes), sizes
+    sa, at, group, size = order.tolist(), ranks.tolist(), groups.tolist(), counts.tolist()
     prev = list(range(-1, n - 1))
     end = n - 1
     while end >= 0:
@@ -127,8 +128,9 @@ def repeated_strings(sides: list[tuple[bytes, bytes]]) -> list[tuple[int, int] |
     """For different surroundings (bytes before and after) of one anchor: the first and the last start, counted from
     the anchor, of strings of LENGTH over the anchor that another one also has; None without any.
 
-    How far a surrounding agrees with any other, before and behind the anchor, bounds where its strings can start, and
-    those that agree too little on both sides leave. A row of repeated strings begins as far before the anchor as two
+    How far a surrounding agrees with any other, before and behind the anchor, bounds where its strings can start; those
+    that agree too little on both sides leave, and the others are cut to what they share. Cut ones that stand twice are
+    one text, all of whose strings are repeated. A row of repeated strings begins as far before the anchor as two
     surroundings agree there, or ends as far behind it, so the text whose suffixes are sorted has blocks for symbols:
     the bytes between two such starts, and behind the anchor those between the ends of the strings that begin there.
     Each such string is the same number of symbols in a row, and stands twice if a neighbour in the order begins with
@@ -141,36 +143,42 @@ def repeated_strings(sides: list[tuple[bytes, bytes]]) -> list[tuple[int, int] |
         stay = [i for i in range(len(who)) if back[i] + ahead[i] >= SPAN]
         fewer, who = 2 * len(stay) < len(who), [who[i] for i in stay]
         back, ahead = [back[i] for i in stay], [ahead[i] for i in stay]
-    m, cuts = len(who), sorted(begin | {max(0, SPAN - e) for e in reach}, reverse=True)
-    rank: dict[tuple[int, bytes], int] = {}
-    text, place = [], {}
-    for k, (most, far) in enumerate(zip(back, ahead, strict=True)):
-        left, right = sides[who[k]]
-        n, least = len(left), SPAN - far
-        own = [i for i, d in enumerate(cuts) if least <= d <= most]  # never none: ``most`` is one
-        for i in range(own[0], len(cuts)):
-            d, e = cuts[i], cuts[i + 1] if i + 1 < len(cuts) else 0
-            if d >= least:
-                place[len(text)] = (k, d)
-            text.append(rank.setdefault((i, left[n - d : n - e]), m + 1 + len(rank)))
+    same: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
+    for k, most, far in zip(who, back, ahead, strict=True):
+        left, right = sides[k]
+        same[left[len(left) - most :], right[:far]].append(k)
+    spans: list[tuple[int, int] | None] = [(-len(left), len(right) - SPAN) if len(ks) > 1 else None for (left, right), ks in same.items()]
+    m, cuts = len(same), sorted(begin | {max(0, SPAN - e) for e in reach}, reverse=True)
+    width, down = len(cuts) + 2, [-d for d in cuts]
+    symbol = count(m + 1).__next__
+    steps = [0, *(SPAN - d for d in cuts)]
+    ahead_of = [(defaultdict(symbol), slice(d, e)) for d, e in zip(steps, steps[1:], strict=False)]
+    behind = [(defaultdict(symbol), slice(d, e)) for d, e in zip(steps[1:], [*steps[2:], SPAN], strict=False)]
+    text: list[int] = []
+    owner: list[tuple[int, int] | None] = []
+    for k, (left, right) in enumerate(same if None in spans else ()):
+        left, most, least = left.rjust(SPAN), len(left), SPAN - len(right)
+        lo, hi = bisect_left(down, -most), bisect_right(down, -least)  # never none: ``most`` is one
+        text += [r[left[s]] for r, s in behind[lo:]]
         text.append(m)
-        end = 0
-        for i in range(own[-1] + 1):
-            d, end = end, SPAN - cuts[i]
-            text.append(rank.setdefault((-1 - i, right[d:end]), m + 1 + len(rank)))
+        text += [r[right[s]] for r, s in ahead_of[:hi]]
         text.append(m - 1 - k)
-    width = len(cuts) + 2
-    last, at = None, None
-    for i in suffix_order(text) if text else []:
-        here = place.get(i)
+        owner += [(k, d) for d in down[lo:hi]]
+        owner += [None] * (len(text) - len(owner))
+    last, before = None, None
+    for i in suffix_order(text) if text else ():
+        here = owner[i]
         if here is None:
             continue
         string = text[i : i + width]
         if string == last:
-            for k, d in (at, here):
-                f = out[who[k]]
-                out[who[k]] = (min(-d, f[0]), max(-d, f[1])) if f else (-d, -d)
-        last, at = string, here
+            for k, d in (before, here):
+                f = spans[k]
+                spans[k] = (min(d, f[0]), max(d, f[1])) if f else (d, d)
+        last, before = string, here
+    for ks, f in zip(same.values(), spans, strict=True):
+        for k in ks:
+            out[k] = f
     return out
 
 

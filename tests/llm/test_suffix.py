@@ -28,6 +28,22 @@ def test_anchor_in_every_string(monkeypatch):
         assert all((x == y).all() for x, y in zip(again, (at, h, around, before, strings), strict=True))
 
 
+def test_repeated_strings_is_brute_force():
+    rnd = random.Random(5)
+    for _ in range(200):
+        base = [rnd.choices(b"ab", k=suffix.SPAN) for _ in range(2)]
+        sides = set()
+        for _ in range(rnd.randint(2, 40)):
+            x, y = (bytes(c if rnd.random() > rnd.choice([0, 0.005, 0.05]) else 99 for c in b) for b in base)
+            n = rnd.choice([suffix.SPAN, rnd.randint(0, suffix.SPAN)])
+            sides.add((x[suffix.SPAN - n :], y[: rnd.choice([suffix.SPAN, rnd.randint(suffix.SPAN - n, suffix.SPAN)])]))
+        sides = sorted(sides)
+        strings = [{d: (a + b"|" + b)[len(a) - d :][: suffix.SPAN + 1] for d in range(suffix.SPAN - len(b), len(a) + 1)} for a, b in sides]
+        seen = Counter((d, s) for row in strings for d, s in row.items())
+        hit = [[d for d, s in row.items() if seen[d, s] > 1] for row in strings]
+        assert suffix.repeated_strings(sides) == [(-max(h), -min(h)) if h else None for h in hit]
+
+
 def brute(texts):
     windows = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
     out = []
