@@ -21,8 +21,8 @@ SPAN = LENGTH - ANCHOR  # bytes on either side of an anchor that its strings can
 #: Different surroundings of an anchor that one suffix array takes; those of anchors with more part by NARROW
 #: neighbouring starts and what these share, and what is crowded even so is counted string by string.
 GROUP, NARROW = 1024, 16
-#: Bytes of a text worked on at once.
-CHUNK = 1 << 20
+#: Bytes of a long text, and of short ones together, worked on at once.
+CHUNK, TOGETHER = 1 << 20, 1 << 17
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 _powers: dict[str, np.ndarray] = {}
 
@@ -206,6 +206,33 @@ def _sliding(x: np.ndarray, w: int, fold, fill) -> np.ndarray:
     return fold(back[: n - w + 1], ahead[w - 1 : n])
 
 
+def _in_row(bytes_: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Anchors of bytes in a row, of which the strings at ``whole`` starts count (None: all); see ``anchors``."""
+    up, down = _tables()
+    c = bytes_.astype(np.uint64) + np.uint64(1)
+    sums = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum(c * up[: len(c)], out=sums[1:])
+    h = _mixed((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: len(c) - ANCHOR + 1]) | np.uint64(1)  # 0 marks strings that do not count
+    least = _sliding(h, SPAN + 1, np.minimum, np.uint64((1 << 64) - 1))
+    if whole is not None:
+        least[~whole] = 0
+    wide = np.concatenate([np.zeros(SPAN, np.uint64), least, np.zeros(SPAN, np.uint64)])
+    most = _sliding(wide, SPAN + 1, np.maximum, np.uint64(0))
+    at = np.flatnonzero(most == h)
+    # strings of one least hash come in a row; an anchor's are those of its hash that reach over it
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    last = np.append(first[1:], len(least)) - 1
+    run = np.searchsorted(last, at - SPAN)
+    while (other := least[first[run]] != h[at]).any():
+        run = run + other
+    start, end = np.maximum(first[run], at - SPAN), np.minimum(last[run], at)
+    around = _mixed((sums[end + LENGTH] - sums[start]) * down[start] + (at - start).astype(np.uint64) * np.uint64(0x165667B19E3779F9) + (end - start).astype(np.uint64) * np.uint64(0x27D4EB2F165667C5))
+    return at, h[at], around, at - start, end - start
+
+
+NO_ANCHORS = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def anchors(text: bytes) -> tuple[np.ndarray, ...]:
     """The text's anchors: position, hash, hash of the surroundings, bytes of those before the anchor, strings less one.
 
@@ -213,28 +240,40 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...]:
     strings of LENGTH bytes, which are its strings and make up its surroundings. Every string has an anchor, the same
     wherever the string is. Where hashes tie, all are anchors.
     """
-    n, found = len(text), []
-    up, down = _tables()
+    n, found = len(text), [NO_ANCHORS]
     for s in range(0, n - ANCHOR + 1 if n >= LENGTH else 0, CHUNK):
         lo, hi = max(0, s - 3 * LENGTH), min(n, s + CHUNK + 3 * LENGTH)
-        c = np.frombuffer(text, np.uint8)[lo:hi].astype(np.uint64) + np.uint64(1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * up[: len(c)])])
-        h = _mixed((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: len(c) - ANCHOR + 1])
-        least = _sliding(h, SPAN + 1, np.minimum, np.uint64((1 << 64) - 1))
-        wide = np.concatenate([np.zeros(SPAN, np.uint64), least, np.zeros(SPAN, np.uint64)])
-        at = np.flatnonzero(_sliding(wide, SPAN + 1, np.maximum, np.uint64(0)) == h)
-        at = at[(at + lo >= s) & (at + lo < s + CHUNK)]
-        # strings of one least hash come in a row; an anchor's are those of its hash that reach over it
-        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        last = np.append(first[1:], len(least)) - 1
-        run = np.searchsorted(last, at - SPAN)
-        while (other := least[first[run]] != h[at]).any():
-            run = run + other
-        start, end = np.maximum(first[run], at - SPAN), np.minimum(last[run], at)
-        around = _mixed((sums[end + LENGTH] - sums[start]) * down[start] + (at - start).astype(np.uint64) * np.uint64(0x165667B19E3779F9) + (end - start).astype(np.uint64) * np.uint64(0x27D4EB2F165667C5))
-        found.append((at + lo, h[at], around, at - start, end - start))
-    if not found:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        at, *more = _in_row(np.frombuffer(text, np.uint8)[lo:hi])
+        own = (at + lo >= s) & (at + lo < s + CHUNK)
+        found.append((at[own] + lo, *(x[own] for x in more)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Number of the text, then as ``anchors``, for many texts; short ones are worked on TOGETHER bytes at once."""
+    found, held, size = [(np.zeros(0, np.int64), *NO_ANCHORS)], [], 0
+
+    def together():
+        lens = np.array([len(texts[k]) for k in held])
+        ends = np.cumsum(lens)
+        n = int(ends[-1])
+        whole = np.repeat(ends, lens)[: n - LENGTH + 1] - np.arange(n - LENGTH + 1) >= LENGTH
+        at, *more = _in_row(np.frombuffer(b"".join([texts[k] for k in held]), np.uint8), whole)
+        k = np.searchsorted(ends, at, side="right")
+        found.append((np.array(held)[k], at - (ends - lens)[k], *more))
+
+    for k, text in enumerate(texts):
+        if len(text) > TOGETHER:
+            more = anchors(text)
+            found.append((np.full(len(more[0]), k), *more))
+        elif len(text) >= LENGTH:
+            held.append(k)
+            size += len(text)
+            if size > TOGETHER:
+                together()
+                held, size = [], 0
+    if held:
+        together()
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -261,14 +300,10 @@ def _texts(column) -> list[bytes]:
 
 def _anchor_rows(batches):
     for b in batches:
-        lens, h, c, place = [], [], [], []
-        for text in b.column("text").to_pylist():
-            p, x, y, before, strings = anchors(text or b"")
-            lens.append(len(p))
-            h.append(x), c.append(y), place.append(p << 14 | before << 7 | strings)
-        who = np.repeat(np.arange(len(lens)), lens)
+        who, p, h, around, before, strings = anchors_of([t or b"" for t in b.column("text").to_pylist()])
         if len(who):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(who)), b.column("row").take(pa.array(who)), pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(c).view(np.int64)), pa.array(np.concatenate(place))], ["doc_id", "row", "anchor", "around", "place"])
+            place = p << 14 | before << 7 | strings
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(who)), b.column("row").take(pa.array(who)), pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), pa.array(place)], ["doc_id", "row", "anchor", "around", "place"])
 
 
 def _batch(rows, spec: str):

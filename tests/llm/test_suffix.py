@@ -28,6 +28,16 @@ def test_anchor_in_every_string(monkeypatch):
         assert all((x == y).all() for x, y in zip(again, (at, h, around, before, strings), strict=True))
 
 
+def test_anchors_together(monkeypatch):
+    rnd = random.Random(4)
+    texts = [b"", b"a" * 450, b"ab" * 300, b"x" * 199, b"y" * 200] + [bytes(rnd.choices(b"abc\xc3\xa9\n", k=rnd.randint(0, 900))) for _ in range(60)]
+    texts += texts[-5:] + [texts[-1][:-1]]
+    for together in (1, 500, 1 << 17):
+        monkeypatch.setattr(suffix, "TOGETHER", together)
+        got = sorted(zip(*[x.tolist() for x in suffix.anchors_of(texts)], strict=True))
+        assert got == sorted((k, *r) for k, t in enumerate(texts) for r in zip(*[x.tolist() for x in suffix.anchors(t)], strict=True))
+
+
 def test_repeated_strings_is_brute_force():
     rnd = random.Random(5)
     for _ in range(200):
