@@ -355,7 +355,7 @@ def _narrowed(batches):
     """Surroundings of a crowded anchor, cut for each NARROW neighbouring distances of a string's start to the anchor.
 
     Equal strings of one such range also share what all strings of the range hold, so the anchor's name becomes the
-    hash of that: those who share less part, and those who share it with nobody drop out.
+    hash of that: those who share less part, and those who share it with nobody drop out. ``same`` names what is left.
     """
     for b in batches:
         rows = []
@@ -366,8 +366,10 @@ def _narrowed(batches):
                 high = low + NARROW - 1
                 core = before[most - low :] + after[: max(0, SPAN - high)]
                 name = hashlib.blake2b(core, digest_size=8, salt=salt, person=bytes((low,))).digest()
-                rows.append((doc_id, row, int.from_bytes(name, "little", signed=True), place, before[max(0, most - high) :], after[: SPAN - max(low, least)]))
-        yield _batch(rows, SIDES)
+                left, right = before[max(0, most - high) :], after[: SPAN - max(low, least)]
+                same = hashlib.blake2b(left + right, digest_size=8, salt=salt, person=bytes((low, len(left)))).digest()
+                rows.append((doc_id, row, int.from_bytes(name, "little", signed=True), place, left, right, int.from_bytes(same, "little", signed=True)))
+        yield _batch(rows, f"{SIDES}, same long")
 
 
 def _strings(batches):
@@ -413,8 +415,9 @@ def repeated_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
 
     Two equal strings have an anchor at the same place in them. So: count anchors; where the whole surroundings of an
     anchor stand twice, all of it is repeated; where they differ, suffix arrays over them, one an anchor, find the
-    strings shared. An anchor with over GROUP different surroundings is parted by what its strings share, and if a part
-    is as large again its strings are counted by hash, spread over the cluster. Anchors are found twice rather than kept: that is cheaper than the disk for all of them.
+    strings shared. An anchor with over GROUP different surroundings is parted by what its strings share; in a part,
+    cut surroundings that stand twice are repeated whole, and one of each goes to the part's suffix array. If a part has
+    over GROUP different ones even so, their strings are counted by hash, spread over the cluster. Anchors are found twice rather than kept: that is cheaper than the disk for all of them.
     """
     rows = docs.mapInArrow(_anchor_rows, "doc_id long, row long, anchor long, around long, place long")
     twice = stored(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
@@ -428,14 +431,20 @@ def repeated_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
     lists = asked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))
     sides = stored(packed.join(lists, ["doc_id", "row"]).mapInArrow(_sides, SIDES))
     many = differ.where(F.col("m") > GROUP).select("anchor")
-    narrow = stored(sides.join(many, "anchor", "left_semi").mapInArrow(_narrowed, SIDES))
-    again = stored(narrow.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"))
-    few = sides.join(many, "anchor", "left_anti").unionByName(narrow.join(again.where(F.col("m") <= GROUP), "anchor", "left_semi"))
+    narrow = stored(sides.join(many, "anchor", "left_semi").mapInArrow(_narrowed, f"{SIDES}, same long"))
+    part = narrow.groupBy("anchor", "same").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "place", "before", "after")).alias("first"))
+    alike = stored(part.select("anchor", "same", "n", "first.*"))
+    at = F.shiftright("place", 14).bitwiseAND(F.lit(0xFFFFFFFF)).cast("long")
+    whole = skew_join(narrow, alike.where("n > 1").select("anchor", "same", "n"), ["anchor", "same"], "n", narrow.count())
+    whole = whole.select("doc_id", "row", (at - F.octet_length("before")).cast("int").alias("lo"), (at + ANCHOR + F.octet_length("after")).cast("int").alias("hi"))
+    again = stored(alike.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"))
+    apart = alike.select(*sides.columns)
+    few = sides.join(many, "anchor", "left_anti").unionByName(apart.join(again.where(F.col("m") <= GROUP), "anchor", "left_semi"))
     arrays = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_groups, SPANS)
-    strings = stored(narrow.join(again.where(F.col("m") > GROUP), "anchor", "left_semi").mapInArrow(_strings, STRINGS))
+    strings = stored(apart.join(again.where(F.col("m") > GROUP), "anchor", "left_semi").mapInArrow(_strings, STRINGS))
     shared = stored(strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1"))
     counted = skew_join(strings, shared, ["w1", "w2"], "n", strings.count()).select("doc_id", "row", "lo", (F.col("lo") + LENGTH).alias("hi"))
-    return sure.unionByName(arrays).unionByName(counted)
+    return sure.unionByName(whole).unionByName(arrays).unionByName(counted)
 
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:
