@@ -53,12 +53,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Generations:
     """A cache of two generations: what is not asked for again while one fills is forgotten."""
 
-    def __init__(self):
-        self.young, self.old = {}, {}
+    def __init__(self, size: int = CACHE):
+        self.size, self.young, self.old = size, {}, {}
 
     def missing(self, keys: set) -> list:
         """The keys that are not known; the others are in ``young`` afterwards."""
-        if len(self.young) > CACHE:
+        if len(self.young) > self.size:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         new = []

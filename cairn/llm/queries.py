@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linededup, mixing, quality, resampling, simhash, suffix, tokencount, vectors
+from . import bpe, langid, linededup, mixing, negatives, quality, resampling, simhash, suffix, tokencount, tokenfiles, vectors, whitening
 
 QUERIES = {
     "op1_embedding_near_dedup": vectors.op1,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_suffix_array_dedup": suffix.op8,
     "op9_mixing": mixing.op9,
     "op10_language_id": langid.op10,
+    "op11_embedding_whitening": whitening.op11,
+    "op12_token_files": tokenfiles.op12,
+    "op13_hard_negatives": negatives.op13,
 }
 SQL = {
     "op4_line_dedup": linededup.OP4_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }
