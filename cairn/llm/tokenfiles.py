@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -37,9 +38,12 @@ CACHE = 250_000
 #: The tokenizers whose texts may be cut at spaces: how they normalise, and the pieces that they keep.
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_pieces = regex.compile(PIECES).findall
-#: ASCII and Latin letters and signs that print and have a lower case of one letter; U+0130 has not.
-_plain = regex.compile("[!-~\u00a1-\u012f\u0131-\u017e]*").fullmatch
+#: White space of ASCII, and the letters, numbers and signs of Latin that print and have a lower case of one letter (U+0130
+#: has not); in texts of these alone the pieces are these classes.
+_SPACE, _PRINTS = r"\t\n\x0b\x0c\r ", [chr(c) for c in (*range(33, 127), *range(0xA1, 0x130), *range(0x131, 0x17F))]
+_LETTERS, _NUMBERS = ("".join(c for c in _PRINTS if regex.match(kind, c)) for kind in (r"\p{L}", r"\p{N}"))
+_pieces = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[^{_SPACE}{_LETTERS}{_NUMBERS}]+|[{_NUMBERS}]").findall
+_odd = re.compile(f"[^{_SPACE}!-~\u00a1-\u012f\u0131-\u017e]").search
 SEGMENTS = "part int, segment int, first long, doc_ids array<long>, ends array<long>, blocks array<int>, words binary, escaped binary"
 
 
@@ -130,14 +134,18 @@ def unpack_range(words: np.ndarray, blocks: np.ndarray, escaped: np.ndarray, n:
     return part[start - low * BLOCK : stop - low * BLOCK]
 
 
+def plain_text(text: str) -> bool:
+    """Whether ``text`` has plain Latin and ASCII white space alone, and nothing that could be a special string."""
+    return not _odd(text) and "<|" not in text
+
+
 class Encoder:
     """Ids of whole texts, as the ``tokenizers`` library gives them, stretch by stretch where that is the same.
 
-    A tokenizer that keeps only matches of PIECES, after NFC and lower case, encodes each stretch between spaces and line
-    feeds alone, as nothing in it reaches across white space. Stretches met before come from a cache. A new one of plain
-    Latin letters, which NFC leaves alone and which lower case maps one by one, is cut into pieces here, and the library's
-    model is asked for the pieces that are new; any other stretch, and all texts of other tokenizers, go through the
-    whole library.
+    A tokenizer that keeps only matches of PIECES, after NFC and lower case, never looks across white space. A text of
+    plain Latin letters, which NFC leaves alone and which lower case maps one by one, is cut into pieces here, and the
+    library's model is asked for pieces that no cache knows. Of other texts the stretches between spaces and line feeds
+    are cached: plain ones are cut likewise, the rest, and whole texts of other tokenizers, go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -158,33 +166,39 @@ class Encoder:
         text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
-    def learn(self, new: list[str]) -> None:
-        known = self.known.young
-        plain = [s for s in new if self.cuts and _plain(s) and "<|" not in s]
-        split = [_pieces(s.lower()) for s in plain]
-        fresh = self.pieces.missing(set(chain.from_iterable(split)))
+    def joined(self, parts: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pieces."""
+        new = self.pieces.missing(set(chain.from_iterable(parts)))
         pieces = self.pieces.young
-        pieces.update((p, self.piece(p)) for p in fresh)
-        known.update((s, b"".join(map(pieces.__getitem__, ps))) for s, ps in zip(plain, split, strict=True))
-        for p in fresh:
+        pieces.update((p, self.piece(p)) for p in new)
+        out = [b"".join(map(pieces.__getitem__, p)) for p in parts]
+        for p in new:
             if len(p) > LONG:
                 del pieces[p]
-        other = [s for s in new if s not in known]
-        found = self.library.encode_batch_fast(other, add_special_tokens=False)
-        known.update((s, array("I", e.ids).tobytes()) for s, e in zip(other, found, strict=True))
+        return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def by_stretch(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") if self.cuts else [t] for t in texts]
         new = self.known.missing(set(chain.from_iterable(parts)))
-        self.learn(new)
-        of = self.known.young.__getitem__
-        out = [np.frombuffer(b"".join(map(of, p)), np.uint32) for p in parts]
+        known = self.known.young
+        plain = [s for s in new if self.cuts and plain_text(s)]
+        known.update(zip(plain, self.joined([_pieces(s.lower()) for s in plain]), strict=True))
+        other = [s for s in new if s not in known]
+        found = self.library.encode_batch_fast(other, add_special_tokens=False)
+        known.update((s, array("I", e.ids).tobytes()) for s, e in zip(other, found, strict=True))
+        out = [b"".join(map(known.__getitem__, p)) for p in parts]
         for s in new:
             if len(s) > LONG:
-                del self.known.young[s]
+                del known[s]
         return out
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        plain = [self.cuts and plain_text(t) for t in texts]
+        cut = iter(self.joined([_pieces(t.lower()) for t, p in zip(texts, plain, strict=True) if p]))
+        rest = iter(self.by_stretch([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [np.frombuffer(next(cut) if p else next(rest), np.uint32) for p in plain]
+
 
 def drops_space(spec: dict) -> bool:
     """Whether a tokenizer file is one of NFC, white space to one space and lower case, and keeps only matches of PIECES."""
