@@ -61,3 +61,19 @@ ANSWER_MODES = [
     ("temporal-reasoning", "temporal_comparison"), ("knowledge-update", "knowledge_update"), ("multi-session", "multi_session"),
     ("single-session-preference", "preference"), ("single-session-assistant", "assistant_answer"),
 ]
+
+# Keys of a tree, those that would reach an object's own machinery, those of transcripts, and empty updates.
+SNAKE_CASE = r"[a-z][a-z0-9]*(?:_[a-z0-9]+)*"
+DANGEROUS_KEYS = ["__proto__", "prototype", "constructor"]
+FORBIDDEN_KEYS = ["master", "master_graph", "context", "schema_version", "revision", "provenance", "provenance_by_pointer", "session", "sessions", "session_id", "turn", "turns", "role", "content", "message", "messages", "batch"]
+NOTHING_NEW = r"\bno new (?:durable )?(?:information|memory)\b"
+
+# Words that mark no name at a question's start, and endings of contractions.
+FRAMING_WORDS = ["a", "an", "are", "can", "could", "describe", "did", "do", "does", "explain", "give", "had", "has", "have", "how", "i", "identify", "is", "list", "me", "my", "our", "please", "should", "tell", "the", "us", "was", "we", "were", "what", "when", "where", "which", "who", "why", "would"]
+CONTRACTIONS = ["d", "ll", "m", "re", "s", "ve"]
+
+# Names and quotes as a question shows them, and what a restatement wraps around it.
+CAPITALISED = r"\p{Lu}[\p{L}\p{N}]*(?:[-'’][\p{L}\p{N}]+)*"
+QUOTED = r"[\"“]([^\"”\n]{2,120})[\"”]"
+CONTRACTED = r"^(.+?)['’](\p{L}+)$"
+WRAPPERS = [r"^(?:the )?user (?:asked|asks)\s+", r"^(?:the )?(?:question|query)(?: is| was| asked| asks)?\s+"]

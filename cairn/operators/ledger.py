@@ -69,38 +69,44 @@ CELLS = "case_id long, seq long, pointer string, accepted boolean, reason string
 
 
 def apply_updates(updates: DataFrame) -> DataFrame:
-    """ST1, ST3, ST4: updates (case_id, seq, pointer, memory_type, mode, value) applied in order, a decision each.
+    """ST1, ST3, ST4: updates (case_id, seq, pointer, kind, mode, value) applied in order, a decision each.
 
     ``set`` replaces and keeps the old value as history, ``append`` adds what is not there yet, ``observe`` is a set
-    that goes to the nearest existing parent cell. An update that does not fit is rejected and the rest goes on. A case
-    is folded in one task; cases run side by side.
+    that goes to the nearest existing parent cell. An update that does not fit is rejected and the rest goes on. Cases
+    are sorted, not grouped: a task holds the cells of one case at a time. ``tree.decisions`` is the whole fold, with
+    history by content, late observations and provenance.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        cells, out = {}, []
-        for r in rows.sort_values("seq").itertuples():
-            at, reason = r.pointer, ""
-            if r.mode == "observe" and at not in cells:
-                parents = [at[:i] for i in range(len(at) - 1, 0, -1) if at[i] == "/"]
-                at = next((p for p in parents if p in cells), at)
-            cell = cells.get(at)
-            if cell and cell["type"] != r.memory_type:
-                reason = "type conflict"
-            elif r.mode == "append" and cell and not isinstance(cell["current"], list):
-                reason = "not a list"
-            elif r.mode == "append":
-                cell = cells.setdefault(at, {"type": r.memory_type, "current": [], "history": []})
-                if r.value not in cell["current"]:
-                    cell["current"].append(r.value)
-            elif cell is None:
-                cell = cells[at] = {"type": r.memory_type, "current": r.value, "history": []}
-            elif cell["current"] != r.value:
-                cell["history"].append(cell["current"])
-                cell["current"] = r.value
-            out.append((r.case_id, r.seq, at, not reason, reason, json.dumps(cells.get(at), sort_keys=True)))
-        return pd.DataFrame(out, columns=["case_id", "seq", "pointer", "accepted", "reason", "cell"])
-
-    return updates.groupBy("case_id").applyInPandas(fold, CELLS)
+    def fold(batches):
+        case, cells = None, {}
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                if r.case_id != case:
+                    case, cells = r.case_id, {}
+                at, reason = r.pointer, ""
+                if r.mode == "observe" and at not in cells:
+                    parents = [at[:i] for i in range(len(at) - 1, 0, -1) if at[i] == "/"]
+                    at = next((p for p in parents if p in cells), at)
+                cell = cells.get(at)
+                if cell and cell["type"] != r.kind:
+                    reason = "type conflict"
+                elif r.mode == "append" and cell and not isinstance(cell["current"], list):
+                    reason = "not a list"
+                elif r.mode == "append":
+                    cell = cells.setdefault(at, {"type": r.kind, "current": [], "history": []})
+                    if r.value not in cell["current"]:
+                        cell["current"].append(r.value)
+                elif cell is None:
+                    cell = cells[at] = {"type": r.kind, "current": r.value, "history": []}
+                elif cell["current"] != r.value:
+                    cell["history"].append(cell["current"])
+                    cell["current"] = r.value
+                out.append((r.case_id, r.seq, at, not reason, reason, json.dumps(cells.get(at), sort_keys=True)))
+            yield pd.DataFrame(out, columns=["case_id", "seq", "pointer", "accepted", "reason", "cell"])
+
+    rows = updates.select("case_id", "seq", "pointer", "kind", "mode", "value")
+    return rows.repartition("case_id").sortWithinPartitions("case_id", "seq").mapInPandas(fold, CELLS)
 
 
 def leaf_pointers(documents: DataFrame) -> DataFrame:
@@ -229,11 +235,10 @@ def valid_sources(updates: DataFrame, turns: DataFrame, batch: DataFrame) -> Dat
     return rows.select("id", (reason == "").alias("accepted"), reason.alias("reason"))
 
 
-def relocate_fuzzy(evidence: DataFrame, turns: DataFrame, least: float = 0.84, margin: float = 0.08) -> DataFrame:
-    """ST11: evidence (id, session_id, excerpt) -> the turn of its session whose best window of as many tokens shares the
-    most, repeats counted, if that is ``least`` or more and ``margin`` better than any other turn's."""
-    wanted = evidence.select("id", "session_id", text.plain_terms(F.col("excerpt")).alias("want"))
-    held = turns.select("session_id", "turn_index", text.plain_terms(F.col("content")).alias("have"))
+def windows_covered(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``score`` for ``want`` and ``have`` (arrays of tokens): the share of ``want``, repeats counted, that the
+    best window of as many tokens of ``have`` holds."""
+    others = [c for c in pairs.columns if c not in ("want", "have")]
 
     def score(batches):
         from collections import Counter
@@ -242,13 +247,27 @@ def relocate_fuzzy(evidence: DataFrame, turns: DataFrame, least: float = 0.84, m
             out = []
             for want, have in zip(b["want"], b["have"], strict=True):
                 n, need = len(want), Counter(want)
-                best = 0
-                for i in range(max(len(have) - n, 0) + 1):
-                    best = max(best, sum((need & Counter(have[i : i + n])).values()))
+                held = Counter(have[:n])
+                hit = best = sum((need & held).values())
+                for gone, new in zip(have, have[n:], strict=False):  # the window moves by one token
+                    hit -= held[gone] <= need[gone]
+                    held[gone] -= 1
+                    held[new] += 1
+                    hit += held[new] <= need[new]
+                    best = max(best, hit)
                 out.append(best / n if n else 0.0)
-            yield b[["id", "turn_index"]].assign(score=out)
+            yield b[others].assign(score=out)
 
-    rows = wanted.join(held, "session_id").select("id", "turn_index", "want", "have").mapInPandas(score, "id long, turn_index long, score double")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*others).schema)
+    return pairs.mapInPandas(score, schema + ", score double")
+
+
+def relocate_fuzzy(evidence: DataFrame, turns: DataFrame, least: float = 0.84, margin: float = 0.08) -> DataFrame:
+    """ST11: evidence (id, session_id, excerpt) -> the turn of its session whose best window of as many tokens shares the
+    most, repeats counted, if that is ``least`` or more and ``margin`` better than any other turn's."""
+    wanted = evidence.select("id", "session_id", text.plain_terms(F.col("excerpt")).alias("want"))
+    held = turns.select("session_id", "turn_index", text.plain_terms(F.col("content")).alias("have"))
+    rows = windows_covered(wanted.join(held, "session_id").select("id", "turn_index", "want", "have"))
     by = Window.partitionBy("id").orderBy(F.desc("score"), "turn_index")
     two = rows.withColumn("n", F.row_number().over(by)).withColumn("next", F.lead("score").over(by)).where("n = 1")
     return two.where((F.col("score") >= least) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= margin)).select("id", "turn_index", "score")

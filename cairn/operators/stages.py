@@ -22,7 +22,7 @@ CONTRACTS = {
     "extract": "session_id long, claims array<struct<text:string,turn_index:int>>",
     "digest": "question_id long, facts array<string>, conflicts array<array<string>>, members array<string>, omitted string",
     "answer": "question_id long, hypothesis string, evidence array<struct<session_id:long,turn_index:long>>, support string",
-    "update": "case_id long, seq long, pointer string, memory_type string, mode string, value string",
+    "update": "case_id long, seq long, pointer string, kind string, mode string, value string",
     "consolidate": "case_id long, seq long, operation string, payload string",
     "judge": "question_id long, correct boolean",
     "date_range": "question_id long, inferred boolean, lo date, hi date",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger, rank, windows
 from ..sources import tables
-from ..streaming import flows
+from ..streaming import flows, replay
 from . import retrieval, sql
 
 QUERIES, SQL = {}, {}
@@ -77,7 +77,7 @@ def state_cells(spark, sf_dir):
     mode = F.when(F.col("event_id") % 3 == 0, "append").when(F.col("event_id") % 3 == 1, "set").otherwise("observe")
     pointer = F.concat(F.lit("/"), "event_type", F.when(F.col("event_id") % 2 == 0, F.lit("/last")).otherwise(""))
     kind = F.when(F.col("event_id") % 11 == 0, "list").otherwise("state")
-    return ledger.apply_updates(e.select((F.col("user_id") % 50).cast("long").alias("case_id"), F.col("event_id").cast("long").alias("seq"), pointer.alias("pointer"), kind.alias("memory_type"), mode.alias("mode"), F.col("value").cast("string").alias("value")))
+    return ledger.apply_updates(e.select(F.col("user_id").cast("long").alias("case_id"), F.col("event_id").cast("long").alias("seq"), pointer.alias("pointer"), kind.alias("kind"), mode.alias("mode"), F.col("value").cast("string").alias("value")))
 
 
 @query("leaf_pointers")
@@ -152,16 +152,8 @@ m AS (SELECT *, count(*) FILTER (WHERE event_id % 83 = 0) OVER (PARTITION BY str
 SELECT stream, CAST(sequence AS INTEGER) AS sequence, event_id FROM m WHERE event_id % 83 <> 0 AND (event_id % 97 = 0 OR event_id % 89 = 0 OR lost > 0)""")
 def hash_chain(spark, sf_dir):
     """A chain of hashes a user, then tampered with: payloads changed, links changed, and rows taken out."""
-    e = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.struct("event_id", F.col("event_type").alias("payload")).alias("e"))
-    start = F.struct(F.lit("").alias("hash"), F.array().cast("array<struct<sequence:int,event_id:bigint,payload:string,previous:string,hash:string>>").alias("rows"))
-
-    def add(held, x):
-        n = F.size(held["rows"]) + 1
-        own = F.sha2(F.concat_ws("|", n.cast("string"), held["hash"], x["payload"]), 256)
-        row = F.struct(n.alias("sequence"), x["event_id"].cast("long").alias("event_id"), x["payload"].alias("payload"), held["hash"].alias("previous"), own.alias("hash"))
-        return F.struct(own.alias("hash"), F.concat(held["rows"], F.array(row)).alias("rows"))
-
-    chain = e.groupBy("stream").agg(F.array_sort(F.collect_list("e")).alias("es")).select("stream", F.explode(F.aggregate("es", start, add)["rows"]).alias("r")).select("stream", "r.*")
+    e = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("order"), "event_id", F.col("event_type").alias("payload"))
+    chain = replay.chained(e).withColumn("sequence", F.col("sequence").cast("int"))
     hit = lambda n: F.col("event_id") % n == 0
     tampered = chain.where(~hit(83)).withColumn("payload", F.when(hit(97), F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))).withColumn("previous", F.when(hit(89), F.lit("elsewhere")).otherwise(F.col("previous")))
     return flows.verify_chain(tampered).select("stream", "sequence", "event_id")

@@ -85,9 +85,9 @@ def test_set_cover_prefers_new_facets(spark):
     assert [r.session_id for r in spans.set_cover(rows, 3).orderBy("place").collect()] == [1, 3, 2]
 
 
-def test_memory_updates(spark):
+def test_cell_updates(spark):
     rows = [(1, 1, "/a", "state", "set", "x"), (1, 2, "/a", "state", "set", "y"), (1, 3, "/a/b", "state", "observe", "z"), (1, 4, "/a", "list", "append", "w"), (1, 5, "/l", "list", "append", "w"), (1, 6, "/l", "list", "append", "w")]
-    got = ledger.apply_updates(spark.createDataFrame(rows, "case_id long, seq long, pointer string, memory_type string, mode string, value string")).orderBy("seq").collect()
+    got = ledger.apply_updates(spark.createDataFrame(rows, "case_id long, seq long, pointer string, kind string, mode string, value string")).orderBy("seq").collect()
     assert [(r.pointer, r.accepted) for r in got] == [("/a", True), ("/a", True), ("/a", True), ("/a", False), ("/l", True), ("/l", True)]
     assert '"history": ["x", "y"]' in got[2].cell and '"current": ["w"]' in got[5].cell
 
