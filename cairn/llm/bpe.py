@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, text_hash
 from .pretokens import PieceCache, read_ranks, stretches
 
-#: States that are kept; beyond them transitions are made each time. A bound on memory, never on results.
+#: States that are kept; beyond them transitions are made each time. It bounds the room taken, never the results.
 STATES = 80_000
 
 

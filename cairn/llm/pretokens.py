@@ -9,7 +9,7 @@ import public_tokenizers
 import regex
 
 PATTERN = public_tokenizers.PATTERN
-#: Entries after which a worker starts its cache anew; a bound on memory, never on results.
+#: Entries after which a worker starts its cache anew; it bounds the room taken, never the results.
 CACHE = 120_000
 #: Characters of a stretch beyond which it is not cached.
 LONG = 64

@@ -33,7 +33,7 @@ OF_COUNT[COUNTS[2:]] = np.arange(2, 16)
 SHORT_BITS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
 #: Ids of a block, which can be decoded alone, and ids after which a segment (a row of a file) is closed.
 BLOCK, SEGMENT = 4096, 1 << 18
-#: Stretches of text of a generation of a worker's cache; a bound on memory, never on results.
+#: Stretches of text of a generation of a worker's cache; it bounds the room taken, never the results.
 CACHE = 250_000
 #: The tokenizers whose texts may be cut at spaces: how they normalise, and the pieces that they keep.
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
