@@ -77,3 +77,6 @@ CAPITALISED = r"\p{Lu}[\p{L}\p{N}]*(?:[-'’][\p{L}\p{N}]+)*"
 QUOTED = r"[\"“]([^\"”\n]{2,120})[\"”]"
 CONTRACTED = r"^(.+?)['’](\p{L}+)$"
 WRAPPERS = [r"^(?:the )?user (?:asked|asks)\s+", r"^(?:the )?(?:question|query)(?: is| was| asked| asks)?\s+"]
+
+# Characters beside which a text is in compatibility form: not ASCII, nor Latin letters that NFKC leaves alone.
+MAY_CHANGE = "[^\\x00-\\x7f¡-§©«¬®°±¶·»¿-ıĴ-ľŁ-ňŊ-ž]"

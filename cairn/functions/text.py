@@ -28,9 +28,17 @@ def udf_nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def compatible(c: Column) -> Column:
+    """NFKC; ASCII and Latin texts that are in that form anyway come back as they are.
+
+    Python sees only the texts with a character that could change: all but ASCII and precomposed Latin letters.
+    """
+    return F.when(c.rlike(fixed.MAY_CHANGE), udf_nfkc(F.when(c.rlike(fixed.MAY_CHANGE), c))).otherwise(c)
+
+
 def normalise_full(c: Column) -> Column:
-    """FN1: ASCII text skips the compatibility step, the only one that needs Python."""
-    return normalise(F.when(F.octet_length(c) == F.length(c), c).otherwise(udf_nfkc(c)))
+    """FN1: with compatibility forms."""
+    return normalise(compatible(c))
 
 
 def runs(c: Column, pattern: str = r"[\p{L}\p{N}]+") -> Column:
@@ -156,23 +164,6 @@ def excerpt(c: Column, n: int, head: float = 0.65) -> Column:
     return F.when(F.length(c) <= n, c).otherwise(marked)
 
 
-def anchors_quoted(c: Column) -> Column:
-    """FN23: quoted phrases of a surface."""
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(F.translate(c, "“”", '""'), F.lit('"([^"]+)"'), F.lit(1)), F.trim), lambda x: x != ""))
-
-
-def anchors_capitalised(c: Column) -> Column:
-    """FN23: sequences of capitalised words, possessive endings off."""
-    found = F.regexp_extract_all(c, F.lit(r"\p{Lu}[\p{L}\p{N}'’-]*(?:\s+\p{Lu}[\p{L}\p{N}'’-]*)*"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "['’]s?$", "")))
-
-
-def restates(question: Column, answer: Column) -> Column:
-    """FN24: is the answer the question again, wrappers and case aside?"""
-    strip = lambda x: F.regexp_replace(surface_key(x), r"^(?:the question (?:is|asks)|question)\s+", "")
-    return strip(question) == strip(answer)
-
-
 def render(template: str, values: dict[str, Column]) -> Column:
     """FN25: fill ``{{name}}``; names that are missing or not used are errors."""
     wanted = set(re.findall(r"\{\{(\w+)\}\}", template))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, graph, reader, relational, retrieval, scalar, state, versions
+from . import evaluation, graph, grounded, reader, relational, retrieval, scalar, state, versions
 
-MODULES = [retrieval, evaluation, scalar, state, relational, graph, reader, versions]
+MODULES = [retrieval, evaluation, scalar, state, relational, graph, reader, versions, grounded]
 
 
 def flagship(spark, sf_dir):
