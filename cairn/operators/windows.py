@@ -41,10 +41,15 @@ def user_windows(turns: DataFrame, width: int, stride: int, repeat: int = 1) ->
 
 
 def role_view(turns: DataFrame, role: str | None) -> DataFrame:
-    """DB5: one document a session of one role's turns (None: all), numbered within the role."""
-    rows = sessions(turns if role is None else turns.where(F.col("role") == role))
-    lines = F.transform("turns", lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), t.content))
-    return rows.select("session_id", "date", F.array_join(lines, "\n").alias("text"))
+    """DB5: one document a session of one role's turns (None: all), numbered from 0 within the view, under the view's name.
+
+    A session without a turn of the role is a document without lines.
+    """
+    said = turns if role is None else turns.where(F.col("role") == role)
+    lines = F.transform("turns", lambda t, i: F.concat(F.lit("["), t.role, F.lit(" turn "), i.cast("string"), F.lit("] "), t.content))
+    text_ = sessions(said).select("session_id", F.array_join(lines, "\n").alias("text"))
+    every = turns.select("session_id", "date").distinct().join(text_, "session_id", "left")
+    return every.select("session_id", "date", F.concat(F.lit(f"[source_view] {role or 'all'}\n"), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def notes_documents(notes: DataFrame, days: DataFrame) -> DataFrame:

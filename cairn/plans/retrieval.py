@@ -82,7 +82,8 @@ def session_ranks_top3(spark, sf_dir):
 
 def role_docs(role: str | None) -> str:
     where = f"WHERE role = '{role}'" if role else ""
-    return f"SELECT session_id AS doc_id, string_agg('[' || n || '] ' || content, chr(10) ORDER BY turn_index) AS text FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_index) AS n FROM turns {where}) GROUP BY session_id"
+    lines = f"SELECT session_id, string_agg('[' || role || ' turn ' || n || '] ' || content, chr(10) ORDER BY turn_index) AS text FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_index) - 1 AS n FROM turns {where}) GROUP BY session_id"
+    return f"SELECT session_id AS doc_id, '[source_view] {role or 'all'}' || chr(10) || coalesce(text, '') AS text FROM (SELECT DISTINCT session_id FROM turns) LEFT JOIN ({lines}) USING (session_id)"
 
 
 FUSION = f"""WITH {sql.TURNS}, u AS ({role_docs('user')}), a AS ({role_docs('assistant')}), t AS ({role_docs(None)}),
