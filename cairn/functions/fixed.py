@@ -80,3 +80,6 @@ WRAPPERS = [r"^(?:the )?user (?:asked|asks)\s+", r"^(?:the )?(?:question|query)(
 
 # Characters beside which a text is in compatibility form: not ASCII, nor Latin letters that NFKC leaves alone.
 MAY_CHANGE = "[^\\x00-\\x7f¡-§©«¬®°±¶·»¿-ıĴ-ľŁ-ňŊ-ž]"
+
+# Bytes of a final package, and characters that count as a token.
+PACKAGE_BYTES, CHARS_PER_TOKEN = 36_000, 4

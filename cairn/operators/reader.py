@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,26 @@ def sanitised_refs(chosen: DataFrame, candidates: DataFrame, sizes: DataFrame) -
     return refs, told.select("question_id", "session_id", problem.alias("problem")).where("problem is not null")
 
 
+def sanitised_pointers(chosen: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """PF10: of ``chosen(question_id, pointer)`` those in ``allowed``, each once; and a warning for each that is not."""
+    once, pair = chosen.select("question_id", "pointer").distinct(), ["question_id", "pointer"]
+    gone = once.join(allowed.select(*pair), pair, "left_anti")
+    return once.join(allowed.select(*pair), pair, "left_semi"), gone.select("question_id", F.concat(F.lit("reader removed unknown graph pointer: "), "pointer").alias("warning"))
+
+
+def fact_warnings(facts: DataFrame, candidates: DataFrame, pointers: DataFrame, sizes: DataFrame) -> DataFrame:
+    """PF10: (question_id, fact_id, warning) for supports that name no known candidate or pointer, and facts left without any.
+
+    ``facts(question_id, fact_id, session_id, pointer)`` has a row a support, and one with neither for a fact without support.
+    """
+    known = candidates.select("question_id", "session_id").join(sizes.select("session_id"), "session_id", "left_semi").distinct().withColumn("s", F.lit(True))
+    rows = facts.distinct().join(known, ["question_id", "session_id"], "left").join(pointers.select("question_id", "pointer", F.lit(True).alias("p")).distinct(), ["question_id", "pointer"], "left")
+    said = F.when(F.col("session_id").isNotNull() & F.col("s").isNull(), F.concat(F.lit("reader removed unknown fact session: "), F.col("session_id").cast("string"))).when(F.col("pointer").isNotNull() & F.col("p").isNull(), F.concat(F.lit("reader removed unknown fact pointer: "), "pointer"))
+    stray = rows.select("question_id", "fact_id", said.alias("warning")).where("warning is not null")
+    bare = rows.groupBy("question_id", "fact_id").agg(F.count_if(F.col("s").isNotNull() | F.col("p").isNotNull()).alias("n")).where("n = 0")
+    return stray.unionByName(bare.select("question_id", "fact_id", F.lit("reader removed unsupported evidence fact").alias("warning")))
+
+
 def sanitised_facts(facts: DataFrame, candidates: DataFrame, pointers: DataFrame) -> DataFrame:
     """PF10: ``facts(question_id, fact_id, session_id, pointer)``, a row a support -> facts with supports that stand.
 
@@ -39,9 +61,10 @@ def sanitised_facts(facts: DataFrame, candidates: DataFrame, pointers: DataFrame
     return rows.groupBy("question_id", "fact_id").agg(F.count_distinct("session_id").alias("sessions"), F.count_distinct("pointer").alias("pointers"))
 
 
-def reader_verdict(plans: DataFrame, refs: DataFrame, facts: DataFrame) -> DataFrame:
-    """PF10: a plan of which no ref and no fact stands abstains as insufficient; the others keep what they said."""
-    stands = refs.select("question_id").union(facts.select("question_id")).distinct().withColumn("stands", F.lit(True))
+def reader_verdict(plans: DataFrame, refs: DataFrame, facts: DataFrame, pointers: DataFrame | None = None) -> DataFrame:
+    """PF10: a plan of which no ref, no pointer and no fact stands abstains as insufficient; the others keep what they said."""
+    found = [refs, facts] if pointers is None else [refs, facts, pointers]
+    stands = reduce(DataFrame.union, [df.select("question_id") for df in found]).distinct().withColumn("stands", F.lit(True))
     rows, void = plans.join(stands, "question_id", "left"), F.col("stands").isNull()
     return rows.withColumn("support_status", F.when(void, "insufficient").otherwise(F.col("support_status"))).withColumn("answer_mode", F.when(void, "abstain").otherwise(F.col("answer_mode"))).drop("stands")
 
@@ -70,7 +93,7 @@ def repaired(items: DataFrame, anchors: DataFrame, shapes: DataFrame, turns: Dat
     has = chosen.select("question_id").distinct().withColumn("has", F.lit(True))
     asked = shapes.join(has, "question_id", "left").where(F.col("shape").isin("aggregate", "order") | F.col("has").isNull())
     bag = around(anchors.join(asked, "question_id"), turns)
-    own = F.when(F.col("has"), "coverage").otherwise("fallback")
+    own = F.when(F.col("shape").isin("aggregate", "order"), "coverage").otherwise("fallback")
     extra = bag.select("question_id", F.lit(1).alias("phase"), "position", "step", "session_id", "turn_index", F.when(F.col("own"), own).otherwise("adjacent").alias("why"))
     place = [F.asc("phase"), F.asc("position"), F.asc("step"), F.asc("session_id"), F.asc("turn_index")]
     once = ranked(chosen.unionByName(extra), ["question_id", "session_id", "turn_index"], place, 1, "copy").drop("copy")

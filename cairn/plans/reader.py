@@ -104,9 +104,9 @@ def around_sql(refs: str, why: str, phase: int) -> str:
 
 @query("repaired_selection", f"""WITH routed AS ({ROUTED}), {sql.TURNS}, shapes AS (SELECT item_id AS question_id, CASE item_id % 4 WHEN 0 THEN 'aggregate' WHEN 1 THEN 'order' ELSE 'lookup' END AS shape FROM benchmark),
 items AS (SELECT question_id, rank AS position, session_id, rank AS turn_index FROM routed WHERE question_id % 3 > 0 AND rank <= 4), anchors AS (SELECT question_id, rank AS position, session_id, 0 AS turn_index FROM routed),
-c AS ({around_sql('items', 'chosen', 0)}), asked AS (SELECT question_id, question_id IN (SELECT question_id FROM c) AS has FROM shapes WHERE shape <> 'lookup' OR question_id NOT IN (SELECT question_id FROM c)),
+c AS ({around_sql('items', 'chosen', 0)}), asked AS (SELECT question_id, shape <> 'lookup' AS gathers FROM shapes WHERE shape <> 'lookup' OR question_id NOT IN (SELECT question_id FROM c)),
 bag AS ({around_sql('anchors', 'own', 1)}),
-u AS (SELECT * FROM c UNION ALL SELECT question_id, phase, position, step, session_id, turn_index, CASE WHEN why = 'adjacent' THEN why WHEN has THEN 'coverage' ELSE 'fallback' END FROM bag JOIN asked USING (question_id)),
+u AS (SELECT * FROM c UNION ALL SELECT question_id, phase, position, step, session_id, turn_index, CASE WHEN why = 'adjacent' THEN why WHEN gathers THEN 'coverage' ELSE 'fallback' END FROM bag JOIN asked USING (question_id)),
 once AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY question_id, session_id, turn_index ORDER BY phase, position, step) = 1)
 SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY phase, position, step, session_id, turn_index) AS place, session_id, turn_index, why FROM once QUALIFY place <= 40""")
 def repaired_selection(spark, sf_dir):

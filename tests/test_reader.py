@@ -43,6 +43,34 @@ def test_repair(spark):
     assert [tuple(r)[2:] for r in counted][4:] == [(11, 0, "coverage"), (11, 1, "adjacent")]
 
 
+def test_gathering_questions_without_items_are_covered(spark):
+    turns = spark.createDataFrame([(10, 0, "user")], "session_id long, turn_index long, role string")
+    columns = "question_id long, position long, session_id long, turn_index long"
+    got = reader.repaired(spark.createDataFrame([], columns), spark.createDataFrame([(1, 1, 10, 0), (2, 1, 10, 0)], columns), spark.createDataFrame([(1, "aggregate"), (2, "lookup")], "question_id long, shape string"), turns)
+    assert {(r.question_id, r.why) for r in got.collect()} == {(1, "coverage"), (2, "fallback")}
+
+
+def test_pointers_stand_and_are_warned_of(spark):
+    chosen = spark.createDataFrame([(1, "/context/a"), (1, "/context/a"), (1, "/context/b"), (2, "/context/a")], "question_id long, pointer string")
+    kept, told = reader.sanitised_pointers(chosen, spark.createDataFrame([(1, "/context/a")], "question_id long, pointer string"))
+    assert [tuple(r) for r in kept.collect()] == [(1, "/context/a")]
+    assert {tuple(r) for r in told.collect()} == {(1, "reader removed unknown graph pointer: /context/b"), (2, "reader removed unknown graph pointer: /context/a")}
+    plans = spark.createDataFrame([(1, "sufficient", "direct"), (2, "sufficient", "direct")], "question_id long, support_status string, answer_mode string")
+    none = spark.createDataFrame([], "question_id long")
+    got = {r.question_id: r.answer_mode for r in reader.reader_verdict(plans, none, none, kept).collect()}
+    assert got == {1: "direct", 2: "abstain"}
+
+
+def test_fact_warnings(spark):
+    facts = [(1, 1, 10, None), (1, 1, 11, None), (1, 2, None, "/p"), (1, 2, None, "/q"), (1, 3, 12, None), (1, 4, None, None)]
+    candidates = spark.createDataFrame([(1, 10), (1, 12)], "question_id long, session_id long")
+    got = reader.fact_warnings(spark.createDataFrame(facts, "question_id long, fact_id long, session_id long, pointer string"), candidates, spark.createDataFrame([(1, "/p")], "question_id long, pointer string"), spark.createDataFrame([(10,), (11,)], "session_id long"))
+    assert sorted((r.fact_id, r.warning) for r in got.collect()) == [
+        (1, "reader removed unknown fact session: 11"), (2, "reader removed unknown fact pointer: /q"), (3, "reader removed unknown fact session: 12"),
+        (3, "reader removed unsupported evidence fact"), (4, "reader removed unsupported evidence fact"),
+    ]
+
+
 def test_history_as_text_and_json(spark):
     turns = spark.createDataFrame([(2, 0, "user", 'a "b"', "2023/01/02"), (1, 1, "assistant", "d", "2023/01/03"), (1, 0, "user", "c\n", "2023/01/03")], "session_id long, turn_index long, role string, content string, date string")
     case = F.lit(1)
