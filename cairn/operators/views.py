@@ -13,28 +13,32 @@ HOT, SALTS = 100_000, 32
 POOL, HITS = 24, 10
 
 
-def lane_hits(docs: DataFrame, lanes: DataFrame, k: int | None = HITS, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, boost: float = fixed.TEMPORAL_BOOST) -> DataFrame:
+def lane_hits(docs: DataFrame, lanes: DataFrame, k: int | None = HITS, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, boost: float = fixed.TEMPORAL_BOOST, within: tuple[str, ...] = ()) -> DataFrame:
     """``docs(view, session_id, text)`` against ``lanes(question_id, lane, query)``: the ``k`` best of each lane in each view.
 
     A view is an index of its own, with its own number, mean length and document frequencies. Documents are cut into terms
     once for all views, lanes and questions; a posting is weighed before it meets the lanes that ask for its term, and
-    terms with many postings are dealt over several tasks. Rows: question_id, lane, view, session_id, score, matched, terms, rank.
+    terms with many postings are dealt over several tasks. Columns ``within`` of both sides part the documents further: a lane
+    searches only those of its own case, which are indexes of their own.
+    Rows: ``within``, question_id, lane, view, session_id, score, matched, terms, rank.
     """
-    toks = docs.select("view", "session_id", text.tokens(F.col("text")).alias("toks"))
-    stats = toks.groupBy("view").agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avg_len"))  # a row a view
-    asked = lanes.select("question_id", "lane", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
-    terms = asked.select("term").distinct()
-    held = toks.select("view", "session_id", F.size("toks").alias("len"), F.explode("toks").alias("term")).join(terms, "term", "left_semi")
-    postings = held.groupBy("view", "session_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("view", "term").agg(F.count("*").alias("df"))
-    hot = df.groupBy("term").agg(F.sum("df").alias("all")).withColumn("salts", F.when(F.col("all") > HOT, SALTS).otherwise(1)).drop("all")
-    weighed = postings.join(df, ["view", "term"]).join(hot, "term").join(F.broadcast(stats), "view")
+    of = list(within)
+    toks = docs.select(*of, "view", "session_id", text.tokens(F.col("text")).alias("toks"))
+    stats = toks.groupBy(*of, "view").agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avg_len"))
+    asked = lanes.select(*of, "question_id", "lane", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
+    terms = asked.select(*of, "term").distinct()
+    held = toks.select(*of, "view", "session_id", F.size("toks").alias("len"), F.explode("toks").alias("term")).join(terms, [*of, "term"], "left_semi")
+    postings = held.groupBy(*of, "view", "session_id", "len", "term").agg(F.count("*").alias("tf"))
+    df = postings.groupBy(*of, "view", "term").agg(F.count("*").alias("df"))
+    hot = df.groupBy(*of, "term").agg(F.sum("df").alias("all")).withColumn("salts", F.when(F.col("all") > HOT, SALTS).otherwise(1)).drop("all")
+    weighed = postings.join(df, [*of, "view", "term"]).join(hot, [*of, "term"])
+    weighed = weighed.join(stats, [*of, "view"]) if of else weighed.join(F.broadcast(stats), "view")  # a row a view
     dated = F.array_contains(text.words(fixed.TEMPORAL_WORDS), F.col("term")) | F.col("term").rlike("[0-9]")
     share = dates.bm25_idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))) + F.when(dated, boost).otherwise(0.0)
-    weighed = weighed.select("term", F.pmod(F.xxhash64("view", "session_id"), F.col("salts")).alias("salt"), "view", "session_id", share.alias("share"))
-    met = asked.join(hot, "term").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))).drop("salts").join(weighed, ["term", "salt"])
-    scored = met.groupBy("question_id", "lane", "view", "session_id").agg(F.sum("share").alias("score"), F.count("*").alias("matched"), F.array_sort(F.collect_list("term")).alias("terms"))
-    return scored if k is None else ranked(scored, ["question_id", "lane", "view"], [best("score"), F.desc("matched"), F.asc("session_id")], k)
+    weighed = weighed.select(*of, "term", F.pmod(F.xxhash64("view", "session_id"), F.col("salts")).alias("salt"), "view", "session_id", share.alias("share"))
+    dealt = asked.join(hot, [*of, "term"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))).drop("salts")
+    scored = dealt.join(weighed, [*of, "term", "salt"]).groupBy(*of, "question_id", "lane", "view", "session_id").agg(F.sum("share").alias("score"), F.count("*").alias("matched"), F.array_sort(F.collect_list("term")).alias("terms"))
+    return scored if k is None else ranked(scored, [*of, "question_id", "lane", "view"], [best("score"), F.desc("matched"), F.asc("session_id")], k)
 
 
 def pooled(hits: DataFrame, lanes: DataFrame, top: int = POOL) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, graph, grounded, lanes, reader, relational, retrieval, scalar, state, versions
+from . import cases, evaluation, graph, grounded, lanes, reader, relational, retrieval, scalar, state, versions
 
-MODULES = [retrieval, evaluation, scalar, state, relational, graph, reader, versions, grounded, lanes]
+MODULES = [retrieval, evaluation, scalar, state, relational, graph, reader, versions, grounded, lanes, cases]
 
 
 def flagship(spark, sf_dir):

@@ -113,3 +113,23 @@ def test_no_packages(spark):
     assert json.loads(one.payload)["sessions"] == [] and one.bytes == len(one.payload)
     with pytest.raises(ValueError):
         package.evidence_packages(chosen_of(spark, {}), turns, 0)
+
+
+def test_packages_of_the_tables(spark):
+    from cairn.plans import cases
+
+    data = "/root/testdata/sf0.001"
+    c, turns = cases.chosen(spark, data)
+    said = {}
+    for r in turns.orderBy("session_id", "turn_index").collect():
+        said.setdefault(str(r.session_id), (r.date, []))[1].append((r.role, r.content))
+    plans = {r.question_id: {"plan": (r.support_status, r.answer_mode), "selected": [], "cited": [], "facts": [], "conflicts": [], "values": []} for r in c.plans.collect()}
+    for r in c.selected.orderBy("place").collect():
+        plans[r.question_id]["selected"].append((str(r.session_id), r.purpose, r.turn_index))
+    for r in c.facts.orderBy("place").collect():
+        plans[r.question_id]["facts"].append((r.statement, r.session_ids, r.pointers))
+    got = {r.question_id: r for r in cases.evidence_packages(spark, data).collect()}
+    assert set(got) == set(plans)
+    for q, case in plans.items():
+        payload, omitted = plain(case, said, 4000)
+        assert json.loads(got[q].payload) == payload and sorted(got[q].omitted.split()) == sorted(omitted) and got[q].bytes == len(got[q].payload.encode())
