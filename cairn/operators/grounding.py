@@ -151,11 +151,13 @@ def enforced(p: Plan, turns: DataFrame, values: DataFrame) -> Grounded:
     """PF11: stray facts go first, so that one does not discard the others; then a plan with any issue left abstains whole.
 
     ``turns(session_id, turn_index, content)`` are all there are; ``values(question_id, pointer, value, type)`` what pointers
-    lead to (``tree.evaluated``). Every test is a join on the question or the session, with no Python but NFKC.
+    lead to (``tree.evaluated``). Every test is a join on the question or the session, with no Python but NFKC. The tables of a
+    plan, its anchors and its issues are cached, as each is used several times; they are small beside the turns, which are not.
     """
-    kept, removed = pruned(p)
-    marked = matched_anchors(kept, turns, values)
-    wrong = issues(kept, turns, values, marked)
+    kept, removed = pruned(Plan(*[getattr(p, f).persist() for f in ("plans", "selected", "pointers", "facts", "supports")]))
+    kept = Plan(kept.plans, kept.selected, kept.pointers, kept.facts.persist(), kept.supports.persist())
+    marked = matched_anchors(kept, turns, values).persist()
+    wrong = issues(kept, turns, values, marked).persist()
     void = wrong.select("question_id").distinct()
     ok = lambda df: df.join(void, "question_id", "left_anti")
     plans = p.plans.join(void.withColumn("void", F.lit(True)), "question_id", "left")

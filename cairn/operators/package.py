@@ -102,11 +102,11 @@ def evidence_packages(c: Chosen, turns: DataFrame, budget: int = fixed.PACKAGE_B
     """
     if budget < 1:
         raise ValueError("the byte budget must be positive")
-    asked = requests(c, turns)
+    asked = requests(c, turns).persist()
     heads = headers(asked)
     tried = items(c, asked, turns)
     head = heads.select("question_id", F.col("session_id").cast("string").alias("session_id"), "home", "header")
-    rows = tried.join(head, ["question_id", "session_id"], "left")
+    rows = tried.join(head, ["question_id", "session_id"], "left").persist()  # sizes are read first, then the bodies of what is kept
     size = F.struct("phase", "a", "b", "id", "session_id", F.coalesce(F.octet_length("header") + 2, F.lit(0)).alias("head"), F.octet_length("body").alias("bytes"))
     lists = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(size)).alias("todo"))
     blank = F.lit("")
@@ -127,7 +127,7 @@ def evidence_packages(c: Chosen, turns: DataFrame, budget: int = fixed.PACKAGE_B
         )
 
     empty = F.array().cast("array<struct<phase:int,a:bigint,b:bigint,id:string,session_id:string,head:int,bytes:int>>")
-    folded = priced.withColumn("f", F.aggregate(F.coalesce("todo", empty), start, add)).select("question_id", "support_status", "answer_mode", "base", "f.*")
+    folded = priced.withColumn("f", F.aggregate(F.coalesce("todo", empty), start, add)).select("question_id", "support_status", "answer_mode", "base", "f.*").persist()
     kept = folded.select("question_id", F.posexplode("kept").alias("place", "id")).join(rows, ["question_id", "id"])
     listed = lambda order, value, between: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), between)
     blocks = kept.where("phase < 2").groupBy("question_id", "session_id", "header").agg(F.min("place").alias("place"), listed("place", "body", ",").alias("said"))

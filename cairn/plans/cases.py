@@ -34,7 +34,7 @@ def case_inputs(spark, sf_dir):
     days = turns.select(case_of().alias("case_id"), "session_id", "date").distinct()
     sessions = days.withColumn("position", F.row_number().over(by.orderBy("session_id")) - 1).withColumn("n", F.count("*").over(by))
     tracked = sessions.select("case_id", (F.col("n") - F.col("n") % 3).alias("count")).distinct()
-    index = windows.session_index(turns).join(sessions, "session_id").where(F.col("position") < F.col("n") - F.col("n") % 3)
+    index = windows.session_index(turns).join(sessions, "session_id").where(F.col("position") < F.col("n") - F.col("n") % 3).persist()
     batch = F.concat(F.lit("b"), F.floor(F.col("position") / 3).cast("string"))
     name = F.col("session_id").cast("string")
     source = F.array(F.struct(name.alias("session_id"), F.lit(0).cast("long").alias("turn_index"), F.col("date").alias("date"), batch.alias("batch_id")))
@@ -43,7 +43,7 @@ def case_inputs(spark, sf_dir):
         "case_id", F.col("session_id").alias("seq"), batch.alias("batch_id"), F.lit("chats").alias("domain"), F.array(F.concat(F.lit("chat_"), name), F.lit("opener")).alias("path"), F.lit("fact").alias("kind"), F.lit("set").alias("mode"),
         F.expr("substr(to_json(array(opener)), 2, length(to_json(array(opener))) - 2)").alias("value"), empty.alias("effective_at"), F.col("date").alias("observed_at"), empty.alias("unit"), F.lit("").alias("reason"), empty.alias("problem"), source.alias("sources"),
     )
-    done = tree.decisions(updates)
+    done = tree.decisions(updates).persist()  # a row a session, used for cells, history and provenance
     excerpts = turns.where("turn_index = 0").select(case_of().alias("case_id"), name.alias("session_id"), "turn_index", F.col("content").alias("excerpt"))
     cells = hybrid.cell_documents(tree.cells(done), tree.history(done), tree.provenance(done), excerpts)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("session_id", "terms"))), lambda x: F.concat_ws(" ", x.session_id.cast("string"), F.array_join(x.terms, " ")))
@@ -62,7 +62,7 @@ def case_documents(spark, sf_dir):
 def case_candidates(spark, sf_dir):
     """Each session's first user turn, asked of its case: what the five channels find."""
     first = tables.turns(spark, sf_dir).where("role = 'user'").groupBy("session_id").agg(F.min_by("content", "turn_index").alias("question"))
-    found = hybrid.candidates(case_inputs(spark, sf_dir), first.select(case_of().alias("case_id"), F.col("session_id").alias("question_id"), "question"))
+    found = hybrid.candidates(case_inputs(spark, sf_dir).persist(), first.select(case_of().alias("case_id"), F.col("session_id").alias("question_id"), "question"))
     return found.select("question_id", "channel", "doc_id", F.array_join("session_ids", " ").alias("session_ids"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -70,7 +70,7 @@ def chosen(spark, sf_dir) -> tuple[package.Chosen, object]:
     """Routed sessions with their best turns are selected; each best turn is a fact of its session."""
     turns, q = tables.turns(spark, sf_dir), tables.questions(spark, sf_dir)
     routed = retrieval.session_routing(spark, sf_dir).select("question_id", "session_id", F.col("rank").alias("at"))
-    best = retrieval.best_turns(spark, sf_dir).join(routed, ["question_id", "session_id"]).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("at", "rank")) - 1)
+    best = retrieval.best_turns(spark, sf_dir).join(routed, ["question_id", "session_id"]).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("at", "rank")) - 1).persist()
     selected = best.select("question_id", "place", "session_id", F.when(F.col("rank") == 1, "direct_answer").otherwise("context").alias("purpose"), F.col("line_no").alias("turn_index"))
     facts = best.join(turns.select("session_id", F.col("turn_index").alias("line_no"), "content"), ["session_id", "line_no"]).select("question_id", "place", F.col("content").alias("statement"), F.array(F.col("session_id").cast("string")).alias("session_ids"), F.array().cast("array<string>").alias("pointers"))
     none = lambda schema: spark.createDataFrame([], schema)

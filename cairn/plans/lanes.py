@@ -23,7 +23,7 @@ def query(name: str, oracle: str):
 
 def inputs(spark, sf_dir):
     turns, q = tables.turns(spark, sf_dir), tables.questions(spark, sf_dir)
-    index = windows.session_index(turns)
+    index = windows.session_index(turns).persist()  # a row a session, used for notes, documents and excerpts
     fact = F.struct(F.col("opener").alias("text"), F.lit(0).cast("long").alias("turn_index"))
     event = "array<struct<text:string,date_hint:string,turn_index:bigint>>"
     notes = index.select("session_id", F.when(F.col("opener") != "", F.array(fact)).otherwise(F.array().cast("array<struct<text:string,turn_index:bigint>>")).alias("facts"), F.array().cast(event).alias("events"), F.col("terms").alias("keyphrases"))
@@ -85,5 +85,5 @@ j AS (SELECT question_id, lane, view, session_id, string_agg(line, ' | ' ORDER B
 SELECT question_id, session_id, lane, view, view || ': ' || CASE WHEN t IS NULL THEN CASE WHEN view = 'notes' THEN '(no structured notes)' ELSE '(no ' || view || ' evidence)' END ELSE {cut('t', 360)} END AS excerpt FROM hits LEFT JOIN j USING (question_id, lane, view, session_id)""")
 def lane_excerpts(spark, sf_dir):
     turns, notes, lanes = inputs(spark, sf_dir)
-    hits = views.lane_hits(views.view_documents(turns, notes), lanes)
+    hits = views.lane_hits(views.view_documents(turns, notes), lanes).persist()
     return views.excerpts(hits, lanes, views.lines_of(turns, notes))
