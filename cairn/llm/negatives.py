@@ -273,8 +273,8 @@ WITH v AS (
 ), p AS (
   SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
 )
-SELECT p.anchor_id, p.other AS positive_id, row_number() OVER w AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+SELECT p.anchor_id, p.other AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
 FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score
-QUALIFY row_number() OVER w <= 3
 WINDOW w AS (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other)
+QUALIFY row_number() OVER w <= 3
 """

@@ -237,3 +237,16 @@ def test_planes_leave_no_pair_that_counts():
         bar = int(np.quantile(exact.astype(float), 0.98))
         a, r, s = negatives.planes_down(q, x, np.ones(exact.shape, bool), lambda a, lower, upper, alive, bar=bar: upper >= bar)
         assert sorted(zip(a.tolist(), r.tolist(), s.tolist(), strict=True)) == [(i, j, exact[i, j]) for i in range(20) for j in range(300) if exact[i, j] >= bar]
+
+
+def test_op13_over_the_table_is_its_sql(spark):
+    import duckdb
+
+    source = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
+    rows = [(r.vec_id, r.embedding, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label) for r in source]
+    got = sorted(tuple(r[c] for c in ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")) for r in negatives.op13(spark, DATA).collect())
+    assert got == brute_negatives(rows, [r.vec_id for r in source if r.vec_id % 50 == 0]) and got
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{DATA}/embeddings.parquet')")
+    told = con.execute(negatives.OP13_SQL)
+    assert [d[0] for d in told.description] == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"] and sorted(told.fetchall()) == got
