@@ -88,13 +88,14 @@ def evidence_packages(spark, sf_dir):
 
 
 def order_cases(spark, sf_dir):
-    """Orders as cases: line items are sessions, returned ones evidence, the priority a kind; an order on a Monday abstains."""
+    """Orders as cases: line items are sessions, returned ones evidence (counted as one, two or more), the priority a kind; an order
+    on a Monday abstains."""
     lines, orders = tables.table(spark, sf_dir, "lineitem"), tables.table(spark, sf_dir, "orders")
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     at = lines.select("l_orderkey", "l_suppkey", "l_quantity", (F.col("l_returnflag") == "R").alias("hit"), (F.row_number().over(by) - 1).alias("i"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"))
     place = F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))
     of = at.groupBy("l_orderkey").agg(
-        F.count("*").cast("double").alias("session_count"), F.sum("l_quantity").cast("double").alias("context_chars"), F.count_distinct("l_suppkey").cast("double").alias("turn_count"), F.count_if("hit").cast("double").alias("evidence_count"),
+        F.count("*").cast("double").alias("session_count"), F.sum("l_quantity").cast("double").alias("context_chars"), F.count_distinct("l_suppkey").cast("double").alias("turn_count"), F.least(F.count_if("hit"), F.lit(3)).cast("double").alias("evidence_count"),
         F.avg(F.when(F.col("hit"), place)).alias("evidence_mean_position"), (F.max(F.when(F.col("hit"), place)) - F.min(F.when(F.col("hit"), place))).alias("evidence_span"),
     ).where("evidence_count > 0")
     rows = orders.join(of, F.col("o_orderkey") == F.col("l_orderkey"))
@@ -109,7 +110,7 @@ ORDER_CASES = """placed AS (SELECT l_orderkey, l_suppkey, l_quantity, l_returnfl
 
 
 @query("case_features", f"""WITH {ORDER_CASES},
-f AS (SELECT l_orderkey, count(*) AS sessions, count(*) FILTER (WHERE hit) AS evidence, avg(i / greatest(n - 1, 1)) FILTER (WHERE hit) AS mean, max(i / greatest(n - 1, 1)) FILTER (WHERE hit) - min(i / greatest(n - 1, 1)) FILTER (WHERE hit) AS span FROM placed GROUP BY 1 HAVING count(*) FILTER (WHERE hit) > 0)
+f AS (SELECT l_orderkey, count(*) AS sessions, least(count(*) FILTER (WHERE hit), 3) AS evidence, avg(i / greatest(n - 1, 1)) FILTER (WHERE hit) AS mean, max(i / greatest(n - 1, 1)) FILTER (WHERE hit) - min(i / greatest(n - 1, 1)) FILTER (WHERE hit) AS span FROM placed GROUP BY 1 HAVING count(*) FILTER (WHERE hit) > 0)
 SELECT o_orderkey AS question_id, CAST(sessions AS DOUBLE) AS session_count, CAST(evidence AS DOUBLE) AS evidence_count, round(mean, 6) AS mean_position, round(span, 6) AS span, dayofweek(o_orderdate) = 1 AS abstention, CAST(least(3, floor(round(mean, 9) * 4)) AS INTEGER) AS quartile FROM f JOIN orders ON o_orderkey = l_orderkey""")
 def case_features(spark, sf_dir):
     rows = order_cases(spark, sf_dir)
@@ -118,7 +119,7 @@ def case_features(spark, sf_dir):
 
 @query("canary_sample")
 def canary_sample(spark, sf_dir):
-    """A sample of eight orders of each priority and one that abstains, as far as that many exist, spread and repaired."""
+    """A sample of twelve orders of each priority and two that abstain, as far as that many exist, spread and repaired."""
     cases = order_cases(spark, sf_dir).withColumn("quartile", canary.quartile(F.round("evidence_mean_position", 9)))
-    quotas = {(r.kind, r.abstention): min(r["count"], 1 if r.abstention else 8) for r in cases.groupBy("kind", "abstention").count().collect()}
+    quotas = {(r.kind, r.abstention): min(r["count"], 2 if r.abstention else 12) for r in cases.groupBy("kind", "abstention").count().collect()}
     return canary.canary(cases, quotas, seed="orders").select("question_id", "kind", "abstention", "quartile", "evidence_count")
