@@ -14,14 +14,16 @@ from .components import components
 #: Vectors a shard aims at, and that one task takes at most; a shard that no split makes smaller is tiled.
 SHARD, TASK = 1024, 4096
 #: Centroids of all shards that one round splits, vectors sampled for each, and parts of one shard.
-CENTROIDS, SAMPLED, FANOUT = 8192, 8, 256
-#: Shards that hold each vector, a round.
-OVERLAP = 2
-#: The graph: nearest candidates, edges kept, far edges added; the prune's factor.
-NEAREST, DEGREE, FAR, ALPHA = 48, 20, 4, 1.2
-#: The search: nodes expanded on the way, and how far below the threshold a node still is expanded.
-BEAM, SLACK = 24, 0.08
+CENTROIDS, SAMPLED, FANOUT = 4096, 16, 256
+#: Shards that hold a vector after a split, on average of the sample, and the largest part; else fewer parts are tried.
+GROWTH, LARGEST = 3.0, 0.7
+#: The graph beyond the range of links: nearest candidates, edges kept, edges that lead back, random ones; the prune's factor.
+NEAREST, DEGREE, BACK, FAR, ALPHA = 48, 20, 16, 4, 1.2
+#: The search: nodes expanded on the way there, and the most medoids it starts from.
+BEAM, MEDOIDS = 16, 64
 QUERIES = 256
+#: Rounding that a comparison of two similarities leaves room for.
+EPS = 1e-9
 
 
 def unit(vectors) -> np.ndarray:
@@ -29,76 +31,158 @@ def unit(vectors) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.finfo(float).tiny)
 
 
-def build_graph(x: np.ndarray) -> np.ndarray:
-    """Adjacency (n x DEGREE + FAR, -1 where empty) of unit vectors: nearest candidates, robust-pruned, and far edges.
+def medoids(x: np.ndarray) -> np.ndarray:
+    """Positions of the vectors nearest to about sqrt(n) cluster means, in order."""
+    c = x[np.linspace(0, len(x) - 1, min(MEDOIDS, len(x), int(np.ceil(len(x) ** 0.5)))).astype(int)]
+    for _ in range(3):
+        near = (x @ c.T).argmax(axis=1)
+        c = np.stack([x[near == i].sum(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    return np.unique((x @ c.T).argmax(axis=0))
 
-    The prune takes a node's nearest candidate and drops those that are ALPHA times nearer to it than to the node.
-    Far edges, a fixed pseudo-random few, keep every node reachable from the medoid.
-    """
-    n = len(x)
-    sims = x @ x.T
-    np.fill_diagonal(sims, -2)
-    c = min(NEAREST, n - 1)
-    rows = np.arange(n)[:, None]
-    cand = np.argpartition(-sims, c - 1, axis=1)[:, :c] if c else np.zeros((n, 0), int)
-    cand = np.take_along_axis(cand, np.argsort(-sims[rows, cand], axis=1), axis=1)
-    far_from_node = np.sqrt(np.maximum(0, 2 - 2 * sims[rows, cand]))
-    alive = np.ones(cand.shape, bool)
-    adj = np.full((n, DEGREE + FAR), -1)
-    for slot in range(min(DEGREE, c)):
-        some = alive.any(axis=1)
-        if not some.any():
-            break
-        first = alive.argmax(axis=1)
-        pick = cand[np.arange(n), first]
-        adj[some, slot] = pick[some]
-        alive[np.arange(n), first] = False
-        from_pick = np.sqrt(np.maximum(0, 2 - 2 * sims[pick[:, None], cand]))
-        alive &= ALPHA * from_pick > far_from_node
-    if n > 1:
-        adj[:, DEGREE:] = np.random.default_rng(n).integers(0, n, (n, FAR))
-    return adj
-
-
-def range_search(x: np.ndarray, adj: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean n x n: what a greedy search from the medoid, then expanding within the range, finds for each vector.
-
-    Each query expands its BEAM nearest known nodes one by one, then every known node within SLACK of the threshold
-    until none is new. All queries of a block move together. Links are those of at least ``threshold``, in double.
+
+def range_search(x: np.ndarray, q: np.ndarray, starts: np.ndarray, adj: list[np.ndarray], threshold: float, own=None) -> np.ndarray:
+    """Similarities (queries x nodes, -2 where not met) that a greedy search from ``starts``, and from the query's ``own``
+    node, meets.
+
+    Each query expands its BEAM nearest known nodes one by one, then every known node within twice the range of a link
+    until none is new. All queries move together; ``adj`` are arrays of edges, a row a node and -1 where empty.
     """
-    n = len(x)
-    found = np.zeros((n, n), bool)
-    medoid = int(np.argmax(x @ x.mean(axis=0)))
-    for s in range(0, n, QUERIES):
-        q = x[s : s + QUERIES]
-        m, who = len(q), np.arange(len(q))
-        sims = np.full((m, n), -2.0)
-        sims[:, medoid] = q @ x[medoid]
-        expanded = np.zeros((m, n), bool)
-
-        def expand(qi, node):
-            expanded[qi, node] = True
-            near = adj[node]
+    m, n, who = len(q), len(x), np.arange(len(q))
+    sims = np.full((m, n), -2.0)
+    sims[:, starts] = q @ x[starts].T
+    if own is not None:
+        sims[who, own] = 1.0
+    expanded, piece = np.zeros((m, n), bool), max(1, (1 << 22) // x.shape[1])
+    # chords: a node at distance r of the target is at most 2r from a query at r of it
+    reach = 4 * threshold - 3 - EPS
+
+    def meet(pair_q, pair_n):
+        for i in range(0, len(pair_q), piece):
+            a, b = pair_q[i : i + piece], pair_n[i : i + piece]
+            sims[a, b] = np.einsum("ij,ij->i", q[a], x[b])
+
+    def expand(qi, node):
+        expanded[qi, node] = True
+        for edges in adj:
+            near = edges[node]
             pair_q, pair_n = np.repeat(qi, near.shape[1]), near.ravel()
             fresh = (pair_n >= 0) & (sims[pair_q, pair_n] == -2)
             code = np.unique(pair_q[fresh] * n + pair_n[fresh])
-            pair_q, pair_n = code // n, code % n
-            for i in range(0, len(code), 1 << 17):
-                a, b = pair_q[i : i + (1 << 17)], pair_n[i : i + (1 << 17)]
-                sims[a, b] = np.einsum("ij,ij->i", q[a], x[b])
-
-        for _ in range(min(BEAM, n)):
-            best = np.where(expanded, -3.0, sims).argmax(axis=1)
-            open_ = ~expanded[who, best] & (sims[who, best] > -2)
-            if not open_.any():
-                break
-            expand(who[open_], best[open_])
-        while True:
-            qi, node = np.nonzero(~expanded & (sims >= threshold - SLACK))
-            if not len(qi):
+            meet(code // n, code % n)
+
+    for _ in range(min(BEAM, n)):
+        best = np.where(expanded, -3.0, sims).argmax(axis=1)
+        open_ = ~expanded[who, best] & (sims[who, best] > -2)
+        if not open_.any():
+            break
+        expand(who[open_], best[open_])
+    table = None  # who leads where, for steps that expand many nodes at once
+    while True:
+        todo = ~expanded & (sims >= reach) & (sims == -2).any(axis=1)[:, None]
+        count = int(todo.sum())
+        if not count:
+            return sims
+        if count <= n:
+            expand(*np.nonzero(todo))
+            continue
+        if table is None:
+            table = np.zeros((n, n + 1), np.float32)  # the last column takes the empty places
+            for edges in adj:
+                table[np.arange(n)[:, None], edges] = 1
+        expanded |= todo
+        meet(*np.nonzero((todo.astype(np.float32) @ table[:, :n] > 0) & (sims == -2)))
+
+
+class Graph:
+    """Flat graph over unit vectors that grows in batches, each searched in what stands before it joins.
+
+    Within the range of links a node drops an edge only if one it keeps is nearer to that neighbour, and no number of
+    edges is capped. So for each two nodes in range, known to the search, an edge or a path of ever nearer nodes leads
+    from one to the other, none of them further than twice the range: expanding that far from a node meets all its links.
+    Beyond the range, DEGREE robust-pruned edges, up to BACK that lead back and FAR fixed pseudo-random ones guide the way.
+    """
+
+    def __init__(self, x: np.ndarray, threshold: float):
+        n = len(x)
+        self.x, self.threshold, self.starts = x, threshold, medoids(x)
+        self.near, self.n_near = np.full((n, 8), -1), np.zeros(n, int)
+        self.far, self.n_back = np.full((n, DEGREE + BACK + FAR), -1), np.zeros(n, int)
+        rng = np.random.default_rng(n)
+        if n > 1:
+            self.far[:, -FAR:] = rng.integers(0, n, (n, FAR))
+        order = np.concatenate([self.starts, np.setdiff1d(rng.permutation(n), self.starts, assume_unique=True)])
+        for s in range(0, n, QUERIES):
+            self.join(order[s : s + QUERIES])
+
+    def join(self, batch: np.ndarray) -> None:
+        x = self.x
+        sims = range_search(x, x[batch], self.starts, [self.near, self.far], self.threshold)
+        sims[:, batch] = x[batch] @ x[batch].T
+        sims[np.arange(len(batch)), batch] = -2
+        linked = sims >= self.threshold
+        for i, node in enumerate(batch):
+            self.link(node, np.nonzero(linked[i])[0], sims[i, linked[i]])
+        for node in np.setdiff1d(np.nonzero(linked.any(axis=0))[0], batch):
+            self.link(node, batch[linked[:, node]], sims[linked[:, node], node])
+        self.lead(batch, np.where(linked, -2.0, sims))
+
+    def link(self, node: int, new: np.ndarray, sims: np.ndarray) -> None:
+        """Edges from ``node`` to those of ``new`` that no edge kept is nearer to."""
+        if not len(new):
+            return
+        order, have = np.argsort(-sims, kind="stable"), self.near[node, : self.n_near[node]]
+        new, sims, kept = new[order], sims[order], []
+        alive = ~np.isin(new, have)
+        if len(have):
+            alive &= ~(self.x[new] @ self.x[have].T > sims[:, None] + EPS).any(axis=1)
+        while alive.any():
+            i = int(alive.argmax())
+            kept.append(new[i])
+            alive[i] = False
+            alive &= self.x[new] @ self.x[new[i]] <= sims + EPS
+        end = len(have) + len(kept)
+        if end > self.near.shape[1]:
+            self.near = np.pad(self.near, ((0, 0), (0, max(end, 2 * self.near.shape[1]) - self.near.shape[1])), constant_values=-1)
+        self.near[node, len(have) : end] = kept
+        self.n_near[node] = end
+
+    def lead(self, batch: np.ndarray, sims: np.ndarray) -> None:
+        """Robust-pruned edges beyond the range, and edges back: the nearest candidate goes in, those ALPHA times nearer to it go."""
+        c, rows = min(NEAREST, sims.shape[1]), np.arange(len(batch))
+        cand = np.argpartition(-sims, c - 1, axis=1)[:, :c]
+        cand = np.take_along_axis(cand, np.argsort(-sims[rows[:, None], cand], axis=1, kind="stable"), axis=1)
+        own = sims[rows[:, None], cand]
+        alive, from_node, at = own > -2, np.sqrt(np.maximum(0, 2 - 2 * own)), self.x[cand]
+        for slot in range(min(DEGREE, c)):
+            some = np.nonzero(alive.any(axis=1))[0]
+            if not len(some):
                 break
-            expand(qi, node)
-        found[s : s + m] = sims >= threshold
+            first = alive[some].argmax(axis=1)
+            self.far[batch[some], slot] = cand[some, first]
+            alive[some, first] = False
+            between = np.einsum("ijk,ik->ij", at[some], at[some, first])
+            alive[some] &= ALPHA * np.sqrt(np.maximum(0, 2 - 2 * between)) > from_node[some]
+        to, back = self.far[batch, :DEGREE].ravel(), np.repeat(batch, DEGREE)
+        to, back = to[to >= 0], back[to >= 0]
+        order = np.argsort(to, kind="stable")
+        to, back = to[order], back[order]
+        nodes, first, n = np.unique(to, return_index=True, return_counts=True)
+        place = np.arange(len(to)) - np.repeat(first, n)
+        self.far[to, DEGREE + (self.n_back[to] + place) % BACK] = back
+        self.n_back[nodes] += n
+
+    def edges(self) -> np.ndarray:
+        return np.concatenate([self.near, self.far], axis=1)
+
+
+def links_of(x: np.ndarray, adj: np.ndarray, threshold: float) -> np.ndarray:
+    """Boolean n x n: links that searches for each vector, from the medoids and from itself, find; in double."""
+    n, starts = len(x), medoids(x)
+    found = np.zeros((n, n), bool)
+    for s in range(0, n, QUERIES):
+        own = np.arange(s, min(s + QUERIES, n))
+        found[own] = range_search(x, x[own], starts, [adj], threshold, own) >= threshold
     np.fill_diagonal(found, False)
     return found | found.T
 
@@ -114,22 +198,42 @@ def local_components(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def split_shards(members: DataFrame, sizes: list, seed: int) -> DataFrame:
-    """Members of the shards in ``sizes`` [(shard, n)] go to the OVERLAP nearest centroids of their shard."""
+def homes_of(x: np.ndarray, c: np.ndarray, margin: float) -> np.ndarray:
+    """Boolean vectors x centroids: the nearest centroid, and each whose border with that one is within ``margin``.
+
+    Of two vectors at most 2 * margin apart, one lies within ``margin`` of the border between their nearest centroids,
+    so it is in the other's part too, and the two meet.
+    """
+    sims = x @ c.T
+    home = sims.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]
+    return sims[np.arange(len(x)), home][:, None] - sims <= margin * apart + EPS
+
+
+def centroids_of(x: np.ndarray, parts: int, margin: float) -> np.ndarray | None:
+    """Means of at most ``parts`` clusters of half the sample; fewer if the other half says that borders are too crowded."""
+    while parts > 1:
+        fit, held = x[::2], x[1::2]
+        c = fit[np.linspace(0, len(fit) - 1, min(parts, len(fit))).astype(int)]
+        for _ in range(8):
+            near = (fit @ c.T).argmax(axis=1)
+            c = np.stack([fit[near == i].sum(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        if len(held):
+            inside = homes_of(held, c, margin)
+            if inside.sum(axis=1).mean() <= GROWTH and inside.mean(axis=0).max() <= LARGEST:
+                return c
+        parts //= 4 if parts >= 8 else 2
+    return None
+
+
+def split_shards(members: DataFrame, sizes: list, seed: int, margin: float) -> DataFrame:
+    """Members of the shards in ``sizes`` [(shard, n)] go to the centroids of their shard that ``homes_of`` names."""
     parts = {s: min(FANOUT, -(-n // SHARD)) for s, n in sizes}
     rate = members.sparkSession.createDataFrame([(s, min(1.0, SAMPLED * parts[s] / n)) for s, n in sizes], "shard string, rate double")
     spread = F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = members.join(F.broadcast(rate), "shard").where(spread <= F.col("rate")).select("shard", "rep", "vector").orderBy("shard", "rep").toPandas()
-    centroids = {}
-    for shard, rows in sample.groupby("shard"):
-        x = unit(rows["vector"].tolist())
-        k = min(parts[shard], len(x))
-        c = x[np.linspace(0, len(x) - 1, k).astype(int)]
-        for _ in range(8):
-            near = (x @ c.T).argmax(axis=1)
-            c = np.stack([x[near == i].sum(axis=0) if (near == i).any() else c[i] for i in range(k)])
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        centroids[shard] = c
+    centroids = {shard: centroids_of(unit(rows["vector"].tolist()), parts[shard], margin) for shard, rows in sample.groupby("shard")}
     shared = members.sparkSession.sparkContext.broadcast(centroids)
 
     def assign(batches):
@@ -140,23 +244,25 @@ def split_shards(members: DataFrame, sizes: list, seed: int) -> DataFrame:
                 if c is None:
                     out.append(rows)
                     continue
-                near = np.argsort(-(unit(rows["vector"].tolist()) @ c.T), axis=1)[:, :OVERLAP]
-                out += [rows.assign(shard=[f"{shard}/{i}" for i in near[:, k]]) for k in range(near.shape[1])]
-            yield pd.concat(out) if out else b
-        return
+                row, part = np.nonzero(homes_of(unit(rows["vector"].tolist()), c, margin))
+                out.append(rows.iloc[row].assign(shard=[f"{shard}/{k}" for k in part]))
+            if out:
+                yield pd.concat(out)
 
     return members.mapInPandas(assign, members.schema)
 
 
-def shards(classes: DataFrame) -> DataFrame:
+def shards(classes: DataFrame, threshold: float) -> DataFrame:
     """``classes(rep, label, vector, copies)`` -> the same with ``shard``, several rows a vector, and ``tile``.
 
     Shards start as one a label and length, and are split around centroids of a bounded sample, the largest first and
     as many a round as CENTROIDS allows, for as many rounds as it takes until none holds more than TASK vectors or
-    splitting no longer makes it smaller. A shard that stays larger (a dense ball) is cut into chunks by hash, and each
+    splitting no longer makes it smaller. Parts overlap by half the length of a link, so the two ends of a link always
+    share a shard. A shard that stays larger (a dense ball) is cut into chunks by hash, and each
     pair of chunks is a tile of its own, so no task takes more than TASK vectors and no pair is lost.
     """
     start = F.concat_ws("x", F.col("label").cast("string"), F.size("vector").cast("string"))
+    margin = float(np.sqrt(2 - 2 * threshold)) / 2
     members, round_ = cut(classes.withColumn("shard", start).withColumn("of", F.lit(None).cast("long"))), 0
     while True:
         sizes = members.groupBy("shard").agg(F.count("*").alias("n"), F.max("of").alias("of"))
@@ -169,7 +275,7 @@ def shards(classes: DataFrame) -> DataFrame:
         if not todo:
             break
         picked = F.broadcast(members.sparkSession.createDataFrame(todo, "shard string, n long"))
-        split = split_shards(members.join(picked, "shard").withColumn("of", F.col("n")).select(*members.columns), todo, round_)
+        split = split_shards(members.join(picked, "shard").withColumn("of", F.col("n")).select(*members.columns), todo, round_, margin)
         members, round_ = cut(split.unionByName(members.join(picked, "shard", "left_anti"))), round_ + 1
     members = members.drop("of")
     sizes = members.groupBy("shard").agg(F.count("*").alias("n"))
@@ -181,11 +287,14 @@ def shards(classes: DataFrame) -> DataFrame:
     return tiled.drop("chunks", "other")
 
 
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("rep", ignore_index=True)
-    adj = build_graph(unit(rows["vector"].tolist()))
-    reps = rows["rep"].to_numpy()
-    return pd.DataFrame({"rep": reps, "edges": [reps[np.unique(a[a >= 0])] for a in adj]})
+def _build(threshold: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep", ignore_index=True)
+        adj = Graph(unit(rows["vector"].tolist()), threshold).edges()
+        reps = rows["rep"].to_numpy()
+        return pd.DataFrame({"rep": reps, "edges": [reps[np.unique(a[a >= 0])] for a in adj]})
+
+    return run
 
 
 def _search(threshold: float):
@@ -198,7 +307,7 @@ def _search(threshold: float):
             ids[i, : len(e)] = np.searchsorted(reps, e)  # edges to nodes of other shards do not lead on here
             at = np.minimum(ids[i, : len(e)], len(reps) - 1)
             ids[i, : len(e)] = np.where(reps[at] == e, at, -1)
-        links = range_search(unit(rows["vector"].tolist()), ids, threshold)
+        links = links_of(unit(rows["vector"].tolist()), ids, threshold)
         # a pair counts in the first shard that both are in; in a tile of two chunks, only across them
         homes = rows["homes"].tolist()
         names = {h: i for i, h in enumerate(sorted({h for hs in homes for h in hs}))}
@@ -223,8 +332,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     share a class that is searched once. Rows that repeat a vec_id are one vector, the smallest (label, embedding), null labels last;
     rows without vec_id come back without links and component. Other columns are ignored.
 
-    Each shard's graph is built alone, the adjacency lists of a vector's shards are united, and each shard is searched
-    on the united lists. Counts of links and a spanning star a local component leave a task, never the pairs.
+    Shards overlap so that the ends of a link share one. Each shard's graph grows by searches in itself, the adjacency
+    lists of a vector's shards are united, and each shard is searched on the united lists, from its medoids and from each
+    vector. A link is lost only if no search of the growing graph came near it; ``audit_recall`` measures that. Vectors
+    of any length are read whole; an empty table gives an empty one. Counts of links and a spanning star a local component leave a task, never the pairs.
     """
     ship_package(vectors.sparkSession)
     named = vectors.where("vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.struct(F.col("label").isNull(), "label", "embedding")).alias("v")).select("vec_id", "v.label", F.col("v.embedding").cast("array<double>").alias("vector"))
@@ -233,9 +344,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     rows = cut(named.withColumn("usable", usable))
     good = rows.where("usable").select("vec_id", "label", "vector")
     classes = cut(good.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    placed = cut(shards(classes.select("rep", "label", "vector", "copies")))
+    placed = cut(shards(classes.select("rep", "label", "vector", "copies"), threshold))
     homes = placed.select("rep", "shard").distinct().groupBy("rep").agg(F.collect_list("shard").alias("homes"))
-    edges = placed.select("tile", "rep", "vector").groupBy("tile").applyInPandas(_build, "rep long, edges array<long>")
+    edges = placed.select("tile", "rep", "vector").groupBy("tile").applyInPandas(_build(threshold), "rep long, edges array<long>")
     united = edges.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
     ready = placed.join(united.join(homes, "rep"), "rep").select("tile", "shard", "chunk", "rep", "vector", "copies", "edges", "homes")
     found = cut(ready.groupBy("tile").applyInPandas(_search(threshold), "rep long, linked long, low long"))
@@ -252,26 +363,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 def audit_recall(vectors: DataFrame, result: DataFrame, threshold: float = 0.98, every: int = 50, block: int = 1024) -> tuple[int, int]:
     """(links found, links there are) of the vectors whose id ``every`` divides, by brute force against all rows.
 
-    Queries go in blocks of ``block`` to every partition of the vectors, and come back as counts.
+    Queries go in blocks of ``block`` to every partition of the vectors, and come back as a count each. Rows that repeat
+    a vec_id are one, as in ``near_duplicates``; a vector of more links than there are counts as none found.
     """
+    one = vectors.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct(F.col("label").isNull(), "label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding")
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.where("vec_id is not null and label is not null and embedding is not null").where(sound).select("vec_id", "label", "embedding")
+    rows = cut(one.where("label is not null and embedding is not null").where(sound))
     queries = rows.where(F.col("vec_id") % every == 0).orderBy(F.size("embedding"), "vec_id").toPandas()
-    found = result.where(F.col("vec_id") % every == 0).agg(F.sum("n_links")).first()[0] or 0
-    there = 0
+    told = dict(result.where(F.col("vec_id") % every == 0).select("vec_id", "n_links").toPandas().itertuples(index=False))
+    found = there = 0
     for part in (g.iloc[s : s + block] for _, g in queries.groupby(queries["embedding"].map(len)) for s in range(0, len(g), block)):
         q, ql, qi = unit(part["embedding"].tolist()), part["label"].to_numpy(), part["vec_id"].to_numpy()
 
         def count(batches, q=q, ql=ql, qi=qi):
             for b in batches:
                 b = b[b["embedding"].map(len) == q.shape[1]]
-                if not len(b):
-                    continue
-                hit = (unit(b["embedding"].tolist()) @ q.T >= threshold) & (b["label"].to_numpy()[:, None] == ql) & (b["vec_id"].to_numpy()[:, None] != qi)
-                yield pd.DataFrame({"n": [int(hit.sum())]})
-
-        there += rows.mapInPandas(count, StructType().add("n", "long")).agg(F.sum("n")).first()[0] or 0
-    return found, there
+                if len(b):
+                    hit = (unit(b["embedding"].tolist()) @ q.T >= threshold) & (b["label"].to_numpy()[:, None] == ql) & (b["vec_id"].to_numpy()[:, None] != qi)
+                    yield pd.DataFrame({"vec_id": qi, "n": hit.sum(axis=0)})
+
+        counts = rows.mapInPandas(count, StructType().add("vec_id", "long").add("n", "long")).groupBy("vec_id").agg(F.sum("n").alias("n"))
+        for i, n in counts.toPandas().itertuples(index=False):
+            there += n
+            found += told.get(i, 0) if told.get(i, 0) <= n else 0
+    return int(found), int(there)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
