@@ -53,17 +53,18 @@ def range_search(x: np.ndarray, q: np.ndarray, starts: np.ndarray, adj: list[np.
     sims[:, starts] = q @ x[starts].T
     if own is not None:
         sims[who, own] = 1.0
-    expanded, piece = np.zeros((m, n), bool), max(1, (1 << 22) // x.shape[1])
+    piece = max(1, (1 << 22) // x.shape[1])
+    waiting = sims.copy()  # met and not expanded yet
     # chords: a node at distance r of the target is at most 2r from a query at r of it
     reach = 4 * threshold - 3 - EPS
 
     def meet(pair_q, pair_n):
         for i in range(0, len(pair_q), piece):
             a, b = pair_q[i : i + piece], pair_n[i : i + piece]
-            sims[a, b] = np.einsum("ij,ij->i", q[a], x[b])
+            sims[a, b] = waiting[a, b] = np.einsum("ij,ij->i", q[a], x[b])
 
     def expand(qi, node):
-        expanded[qi, node] = True
+        waiting[qi, node] = -2.0
         for edges in adj:
             near = edges[node]
             pair_q, pair_n = np.repeat(qi, near.shape[1]), near.ravel()
@@ -72,14 +73,16 @@ def range_search(x: np.ndarray, q: np.ndarray, starts: np.ndarray, adj: list[np.
             meet(code // n, code % n)
 
     for _ in range(min(BEAM, n)):
-        best = np.where(expanded, -3.0, sims).argmax(axis=1)
-        open_ = ~expanded[who, best] & (sims[who, best] > -2)
+        best = waiting.argmax(axis=1)
+        open_ = waiting[who, best] > -2
         if not open_.any():
             break
         expand(who[open_], best[open_])
     table = None  # who leads where, for steps that expand many nodes at once
     while True:
-        todo = ~expanded & (sims >= reach) & (sims == -2).any(axis=1)[:, None]
+        todo = waiting >= reach
+        if todo.any():
+            todo &= (sims == -2).any(axis=1)[:, None]
         count = int(todo.sum())
         if not count:
             return sims
@@ -90,7 +93,7 @@ def range_search(x: np.ndarray, q: np.ndarray, starts: np.ndarray, adj: list[np.
             table = np.zeros((n, n + 1), np.float32)  # the last column takes the empty places
             for edges in adj:
                 table[np.arange(n)[:, None], edges] = 1
-        expanded |= todo
+        waiting[todo] = -2.0
         meet(*np.nonzero((todo.astype(np.float32) @ table[:, :n] > 0) & (sims == -2)))
 
 
@@ -176,12 +179,13 @@ class Graph:
         return np.concatenate([self.near, self.far], axis=1)
 
 
-def links_of(x: np.ndarray, adj: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean n x n: links that searches for each vector, from the medoids and from itself, find; in double."""
+def links_of(x: np.ndarray, adj: np.ndarray, threshold: float, queries: np.ndarray | None = None) -> np.ndarray:
+    """Boolean n x n: links that searches for each of ``queries`` (default: all), from the medoids and from itself, find."""
     n, starts = len(x), medoids(x)
+    queries = np.arange(n) if queries is None else queries
     found = np.zeros((n, n), bool)
-    for s in range(0, n, QUERIES):
-        own = np.arange(s, min(s + QUERIES, n))
+    for s in range(0, len(queries), QUERIES):
+        own = queries[s : s + QUERIES]
         found[own] = range_search(x, x[own], starts, [adj], threshold, own) >= threshold
     np.fill_diagonal(found, False)
     return found | found.T
@@ -244,8 +248,9 @@ def split_shards(members: DataFrame, sizes: list, seed: int, margin: float) -> D
                 if c is None:
                     out.append(rows)
                     continue
-                row, part = np.nonzero(homes_of(unit(rows["vector"].tolist()), c, margin))
-                out.append(rows.iloc[row].assign(shard=[f"{shard}/{k}" for k in part]))
+                x = unit(rows["vector"].tolist())
+                row, part = np.nonzero(homes_of(x, c, margin))
+                out.append(rows.iloc[row].assign(shard=[f"{shard}/{k}" for k in part], home=(x @ c.T).argmax(axis=1)[row] == part))
             if out:
                 yield pd.concat(out)
 
@@ -253,17 +258,17 @@ def split_shards(members: DataFrame, sizes: list, seed: int, margin: float) -> D
 
 
 def shards(classes: DataFrame, threshold: float) -> DataFrame:
-    """``classes(rep, label, vector, copies)`` -> the same with ``shard``, several rows a vector, and ``tile``.
+    """``classes(rep, label, vector, copies)`` -> the same with ``shard``, several rows a vector, ``home`` and ``tile``.
 
     Shards start as one a label and length, and are split around centroids of a bounded sample, the largest first and
     as many a round as CENTROIDS allows, for as many rounds as it takes until none holds more than TASK vectors or
     splitting no longer makes it smaller. Parts overlap by half the length of a link, so the two ends of a link always
-    share a shard. A shard that stays larger (a dense ball) is cut into chunks by hash, and each
+    share a shard, one of them as the part of its nearest centroid: its ``home``. A shard that stays larger (a dense ball) is cut into chunks by hash, and each
     pair of chunks is a tile of its own, so no task takes more than TASK vectors and no pair is lost.
     """
     start = F.concat_ws("x", F.col("label").cast("string"), F.size("vector").cast("string"))
     margin = float(np.sqrt(2 - 2 * threshold)) / 2
-    members, round_ = cut(classes.withColumn("shard", start).withColumn("of", F.lit(None).cast("long"))), 0
+    members, round_ = cut(classes.withColumn("shard", start).withColumn("of", F.lit(None).cast("long")).withColumn("home", F.lit(True))), 0
     while True:
         sizes = members.groupBy("shard").agg(F.count("*").alias("n"), F.max("of").alias("of"))
         smaller = F.col("of").isNull() & (F.col("n") > 2 * SHARD) | (F.col("n") > TASK) & (F.col("n") <= 0.9 * F.col("of"))
@@ -307,16 +312,17 @@ def _search(threshold: float):
             ids[i, : len(e)] = np.searchsorted(reps, e)  # edges to nodes of other shards do not lead on here
             at = np.minimum(ids[i, : len(e)], len(reps) - 1)
             ids[i, : len(e)] = np.where(reps[at] == e, at, -1)
-        links = links_of(unit(rows["vector"].tolist()), ids, threshold)
-        # a pair counts in the first shard that both are in; in a tile of two chunks, only across them
+        links = links_of(unit(rows["vector"].tolist()), ids, threshold, np.nonzero(rows["home"].to_numpy())[0])
+        # a pair counts in the first shard that both are in and one has as home; in a tile of two chunks, only across them
         homes = rows["homes"].tolist()
-        names = {h: i for i, h in enumerate(sorted({h for hs in homes for h in hs}))}
-        member = np.zeros((len(rows), len(names)), bool)
+        names = {h: i for i, h in enumerate(sorted({h["shard"] for hs in homes for h in hs}))}
+        member, home = np.zeros((len(rows), len(names)), np.float32), np.zeros((len(rows), len(names)), np.float32)
         for i, hs in enumerate(homes):
-            member[i, [names[h] for h in hs]] = True
+            member[i, [names[h["shard"]] for h in hs]] = 1
+            home[i, [names[h["shard"]] for h in hs if h["home"]]] = 1
         here = names[rows["shard"].iloc[0]]
-        earlier = (member[:, :here].astype(np.float32) @ member[:, :here].T.astype(np.float32)) > 0
-        counted = links & ~earlier
+        earlier = home[:, :here] @ member[:, :here].T > 0
+        counted = links & ~(earlier | earlier.T)
         if len(set(chunk)) > 1:
             counted &= chunk[:, None] != chunk[None, :]
         return pd.DataFrame({"rep": reps, "linked": counted @ copies, "low": reps[local_components(links)]})
@@ -345,10 +351,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     good = rows.where("usable").select("vec_id", "label", "vector")
     classes = cut(good.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     placed = cut(shards(classes.select("rep", "label", "vector", "copies"), threshold))
-    homes = placed.select("rep", "shard").distinct().groupBy("rep").agg(F.collect_list("shard").alias("homes"))
+    homes = placed.select("rep", "shard", "home").distinct().groupBy("rep").agg(F.collect_list(F.struct("shard", "home")).alias("homes"))
     edges = placed.select("tile", "rep", "vector").groupBy("tile").applyInPandas(_build(threshold), "rep long, edges array<long>")
     united = edges.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
-    ready = placed.join(united.join(homes, "rep"), "rep").select("tile", "shard", "chunk", "rep", "vector", "copies", "edges", "homes")
+    ready = placed.join(united.join(homes, "rep"), "rep").select("tile", "shard", "home", "chunk", "rep", "vector", "copies", "edges", "homes")
     found = cut(ready.groupBy("tile").applyInPandas(_search(threshold), "rep long, linked long, low long"))
     label = components(found.select(F.col("rep").alias("u"), F.col("low").alias("v")))
     links = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
