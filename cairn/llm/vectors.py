@@ -19,8 +19,9 @@ CENTROIDS, SAMPLED, FANOUT = 4096, 16, 256
 GROWTH, LARGEST = 3.0, 0.7
 #: The graph beyond the range of links: nearest candidates, edges kept, edges that lead back, random ones; the prune's factor.
 NEAREST, DEGREE, BACK, FAR, ALPHA = 48, 20, 16, 4, 1.2
-#: The search: nodes expanded on the way there, and the most medoids it starts from.
-BEAM, MEDOIDS = 16, 64
+#: The search: nodes expanded on the way there by a vector that joins, and by one that has its own edges, and the most
+#: medoids it starts from.
+BEAM, OWN_BEAM, MEDOIDS = 16, 8, 64
 QUERIES = 256
 #: Rounding that a comparison of two similarities leaves room for.
 EPS = 1e-9
@@ -45,7 +46,7 @@ def range_search(x: np.ndarray, q: np.ndarray, starts: np.ndarray, adj: list[np.
     """Similarities (queries x nodes, -2 where not met) that a greedy search from ``starts``, and from the query's ``own``
     node, meets.
 
-    Each query expands its BEAM nearest known nodes one by one, then every known node within twice the range of a link
+    Each query expands its BEAM (with an own node OWN_BEAM) nearest known nodes one by one, then every known node within twice the range of a link
     until none is new. All queries move together; ``adj`` are arrays of edges, a row a node and -1 where empty.
     """
     m, n, who = len(q), len(x), np.arange(len(q))
@@ -72,7 +73,7 @@ def range_search(x: np.ndarray, q: np.ndarray, starts: np.ndarray, adj: list[np.
             code = np.unique(pair_q[fresh] * n + pair_n[fresh])
             meet(code // n, code % n)
 
-    for _ in range(min(BEAM, n)):
+    for _ in range(min(BEAM if own is None else OWN_BEAM, n)):
         best = waiting.argmax(axis=1)
         open_ = waiting[who, best] > -2
         if not open_.any():
