@@ -11,8 +11,8 @@ from pyspark.sql.types import StructType
 from .common import cut, ship_package, skew_join
 from .components import components
 
-#: Vectors a shard aims at, and that one task takes at most; a shard that no split makes smaller is tiled.
-SHARD, TASK = 1024, 4096
+#: Vectors a shard aims at (larger ones share fewer vectors), and that one task takes at most; a shard that no split makes smaller is tiled.
+SHARD, TASK = 2048, 4096
 #: Centroids of all shards that one round splits, vectors sampled for each, and parts of one shard.
 CENTROIDS, SAMPLED, FANOUT = 4096, 16, 256
 #: Shards that hold a vector after a split, on average of the sample, and the largest part; else fewer parts are tried.
