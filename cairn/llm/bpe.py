@@ -151,37 +151,94 @@ class Transducer:
         return (*out, *state.live[-1][2])
 
 
+def _utf8_steps() -> list[bytes]:
+    """For each byte, the state it leads to from each state (the index), as a table for ``bytes.translate``.
+
+    States: 0 between characters; 1 to 3, so many continuation bytes to come; 4 to 7, a continuation byte from
+    A0 on, up to 9F, from 90 on, up to 8F, then one, one, two, two more; 8, no UTF-8 (it stays there).
+    """
+    narrowed = {4: (0xA0, 0xBF, 1), 5: (0x80, 0x9F, 1), 6: (0x90, 0xBF, 2), 7: (0x80, 0x8F, 2)}
+    leads = [(0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)]
+    table = []
+    for byte in range(256):
+        to = [8] * 256
+        to[0] = next((state for lo, hi, state in leads if lo <= byte <= hi), 8)
+        if 0x80 <= byte <= 0xBF:
+            to[1:4] = 0, 1, 2
+        for state, (lo, hi, rest) in narrowed.items():
+            to[state] = rest if lo <= byte <= hi else 8
+        table.append(bytes(to))
+    return table
+
+
+UTF8_STEPS = _utf8_steps()
+REJECTED = 8
+ALL_STATES = bytes(range(9))
+
+
+def utf8_path(data: bytes) -> bytes:
+    """Where ``data`` leads from each of the nine states: its bytes' steps put one after the other."""
+    path = ALL_STATES
+    for byte in data:
+        path = path.translate(UTF8_STEPS[byte])
+    return path
+
+
 class Utf8Machine:
-    """Incremental UTF-8: feed bytes, get whole characters; bytes that cannot go on raise."""
+    """Incremental UTF-8: feed bytes or ids, get the bytes of whole characters; what cannot go on raises.
+
+    Bytes move the state one by one. An id moves it by the path of its bytes, composed once a vocabulary; a run of
+    ids that all lead from between characters to between characters is passed as a whole.
+    """
 
-    def __init__(self):
-        self.held = b""
+    def __init__(self, texts: dict[int, bytes] | None = None, paths: dict[int, bytes] | None = None):
+        self.texts, self.paths, self.state, self.held = texts or {}, paths or {}, 0, b""
+        self.cut = {i for i, path in self.paths.items() if path[0]}
 
-    @staticmethod
-    def needed(lead: int) -> int:
-        return 1 if lead < 0x80 else 2 if 0xC2 <= lead < 0xE0 else 3 if 0xE0 <= lead < 0xF0 else 4 if 0xF0 <= lead < 0xF5 else 0
+    def restart(self) -> None:
+        self.state, self.held = 0, b""
 
-    def feed(self, data: bytes) -> str:
+    def _emit(self, data: bytes) -> bytes:
+        """Whole characters of what was held and ``data``; the state says whether the last one waits."""
         data = self.held + data
         end = len(data)
-        back = end - 1
-        while back >= 0 and end - back < 4 and data[back] & 0xC0 == 0x80:
-            back -= 1
-        if back >= 0 and self.needed(data[back]) > end - back:
-            end = back
+        if self.state:
+            end -= 1
+            while data[end] & 0xC0 == 0x80:
+                end -= 1
         self.held = data[end:]
-        return data[:end].decode("utf-8")
+        return data[:end]
+
+    def _refuse(self, data: bytes, at: int):
+        raise UnicodeDecodeError("utf-8", self.held + data, len(self.held) + at, len(self.held) + at + 1, "the bytes cannot go on")
+
+    def feed(self, data: bytes) -> str:
+        for at, byte in enumerate(data):
+            self.state = UTF8_STEPS[byte][self.state]
+            if self.state == REJECTED:
+                self._refuse(data, at)
+        return self._emit(data).decode()
+
+    def feed_ids(self, ids: list[int]) -> bytes:
+        if self.state or not self.cut.isdisjoint(ids):
+            state, paths = self.state, self.paths
+            for i in ids:
+                state = paths[i][state]
+            if state == REJECTED:
+                self._refuse(b"".join(map(self.texts.__getitem__, ids)), 0)
+            self.state = state
+        return self._emit(b"".join(map(self.texts.__getitem__, ids)))
 
     def close(self) -> None:
-        if self.held:
+        if self.state:
             raise ValueError("the ids end inside a character")
 
 
-def decode_stream(ids: list[int], texts: dict[int, bytes], chunk: int = 8192):
-    """Texts of ids, a chunk at a time; a character cut by the chunk waits for the next."""
-    machine = Utf8Machine()
+def decode_stream(ids: list[int], machine: Utf8Machine, chunk: int = 8192):
+    """UTF-8 of ids, a chunk at a time; a character cut by the chunk waits for the next."""
+    machine.restart()
     for i in range(0, len(ids), chunk):
-        yield machine.feed(b"".join(map(texts.__getitem__, ids[i : i + chunk])))
+        yield machine.feed_ids(ids[i : i + chunk])
     machine.close()
 
 
@@ -189,6 +246,7 @@ class Codec:
     def __init__(self, path: str):
         machine = Transducer(read_ranks(path))
         self.texts = machine.texts
+        self.decoder = Utf8Machine(self.texts, {i: utf8_path(t) for i, t in self.texts.items()})
         self.digits = {i: str(i) for i in self.texts}
         encode = machine.encode
         self.cache = PieceCache(lambda pieces: [encode(p.encode()) for p in pieces], lambda found: found[0] if len(found) == 1 else tuple(chain.from_iterable(found)))
@@ -225,8 +283,8 @@ def _encode(path: str, with_ids: bool):
             n.append(len(ids))
             ids_hash.append(hashlib.sha256(" ".join(map(c.digits.__getitem__, ids)).encode()).hexdigest())
             digest = hashlib.sha256()
-            for part in decode_stream(ids, c.texts):
-                digest.update(part.encode())
+            for part in decode_stream(ids, c.decoder):
+                digest.update(part)
             decoded_hash.append(digest.hexdigest())
             if with_ids:
                 ids_out.append(np.array(ids, np.int32))

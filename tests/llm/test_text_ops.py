@@ -122,6 +122,40 @@ def test_utf8_machine_waits_and_refuses():
         bpe.Utf8Machine().feed(b"\xff")
 
 
+def test_utf8_machine_decides_as_a_decoder_does():
+    rnd = random.Random(5)
+    parts = [bytes([b]) for b in range(256)] + [c.encode() for c in "aé߿ࠀ漢퟿�\U00010000\U0010ffff"]
+    for _ in range(4000):
+        data = b"".join(rnd.choices(parts, k=rnd.randint(0, 5)))
+        path = bpe.utf8_path(data)
+        cut = rnd.randint(0, len(data))
+        assert path == bytes(bpe.utf8_path(data[cut:])[s] for s in bpe.utf8_path(data[:cut]))
+        try:
+            want = data.decode()
+        except UnicodeDecodeError as e:
+            # a cut last character waits, anything else is refused
+            assert (path[0] != bpe.REJECTED) == (e.reason == "unexpected end of data")
+        else:
+            assert path[0] == 0
+            assert bpe.Utf8Machine().feed(data) == want
+
+
+def test_decode_stream_over_every_cut():
+    data = "aé漢😀 b😀漢".encode()
+    texts = {i: bytes([i]) for i in range(256)} | {300: "é漢".encode(), 301: "漢".encode()[1:] + b"\xf0", 302: "😀".encode()[1:]}
+    machine = bpe.Utf8Machine(texts, {i: bpe.utf8_path(t) for i, t in texts.items()})
+    for ids, want in (list(data), data), ([97, 300, 0xE6, 301, 302, 98], "aé漢漢😀b".encode()), ([], b""):
+        for chunk in range(1, len(ids) + 2):
+            found = list(bpe.decode_stream(ids, machine, chunk))
+            assert b"".join(found) == want
+            for part in found:
+                part.decode()
+    for bad in [302], [301], [97, 0xE6, 97], [0xC0]:
+        with pytest.raises(ValueError):
+            list(bpe.decode_stream(bad, machine))
+    assert b"".join(bpe.decode_stream([97], machine)) == b"a"
+
+
 def test_line_dedup(spark, corpus):
     strip = " \t\n\x0b\x0c\r"
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
