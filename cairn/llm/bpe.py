@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, text_hash
 from .pretokens import PieceCache, read_ranks, stretches
 
+#: Entries of a generation of the caches of pieces and stretches; they bound the room taken, never the results.
+ENTRIES = 300_000
 #: States that are kept; beyond them transitions are made each time. It bounds the room taken, never the results.
 STATES = 80_000
 
@@ -249,7 +251,7 @@ class Codec:
         self.decoder = Utf8Machine(self.texts, {i: utf8_path(t) for i, t in self.texts.items()})
         self.digits = {i: str(i) for i in self.texts}
         encode = machine.encode
-        self.cache = PieceCache(lambda pieces: [encode(p.encode()) for p in pieces], lambda found: found[0] if len(found) == 1 else tuple(chain.from_iterable(found)))
+        self.cache = PieceCache(lambda pieces: [encode(p.encode()) for p in pieces], lambda found: found[0] if len(found) == 1 else tuple(chain.from_iterable(found)), ENTRIES)
 
     def encode_batch(self, texts: list[str]):
         for i in range(0, len(texts), 64):

@@ -74,8 +74,8 @@ class Generations:
 class PieceCache:
     """Map each stretch of a batch of texts by ``solve(list of new pieces) -> list of values`` and ``join``."""
 
-    def __init__(self, solve, join):
-        self.solve, self.join, self.pieces, self.known = solve, join, Generations(), Generations()
+    def __init__(self, solve, join, size: int = CACHE):
+        self.solve, self.join, self.pieces, self.known = solve, join, Generations(size), Generations(size)
 
     def values(self, parts: list[list]) -> list[list]:
         """For each list of stretches the list of their joined values."""
