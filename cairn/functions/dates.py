@@ -37,6 +37,15 @@ def preferred_range(flag: Column, lo: Column, hi: Column, inferred: Column) -> C
     return F.when(F.coalesce(flag, F.lit(False)) & lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi"))).otherwise(inferred)
 
 
+def resolved_range(found: Column, question: Column, day: Column, pad: int = 0) -> Column:
+    """FD3 over a side table's struct(has_temporal_constraint, start_date, end_date), padded as the inferred range is.
+
+    Dates are read from their first ten characters; a range that is not flagged, not whole or no date gives way to the inferred one.
+    """
+    read = lambda c: F.try_to_timestamp(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")).cast("date")
+    return preferred_range(found.has_temporal_constraint, F.date_sub(read(found.start_date), pad), F.date_add(read(found.end_date), pad), question_range(question, day, pad))
+
+
 def relative_day(phrase: Column, day: Column) -> Column:
     """FD4: today, yesterday, tomorrow, last/next weekday; else null."""
     p = F.lower(F.trim(phrase))

@@ -83,3 +83,20 @@ MAY_CHANGE = "[^\\x00-\\x7f¡-§©«¬®°±¶·»¿-ıĴ-ľŁ-ňŊ-ž]"
 
 # Bytes of a final package, and characters that count as a token.
 PACKAGE_BYTES, CHARS_PER_TOKEN = 36_000, 4
+
+#: Headings and sentences of formatted packages and digests.
+SELECTED_HEADING = "## SELECTED (matched the question)"
+SUPPORTING_HEADING = "## SUPPORTING (same sessions; use when they bear on the question)"
+NO_TURNS = "## NO MATCHING TURNS FOUND\n(empty selected set; do not invent members)"
+FACTS_HEADING = "## FACTS (normalized from the context package)"
+CONFLICTS_HEADING = "## CONFLICTS (same entity, disagreeing claims — do not resolve)"
+MEMBERS_HEADING = "## SET MEMBERS (candidate members for count/order questions)"
+OMITTED_HEADING = "## OMITTED / UNCERTAIN"
+
+#: The bound of an excerpt in UTF-16 units, the share of its head, and the mark between head and tail.
+EXCERPT_UNITS = 600
+HEAD_SHARE = 0.65
+OMISSION = "\n…\n"
+
+#: Fixed value: what stands where no span was found.
+NO_SPANS = "(no memory retrieved)"

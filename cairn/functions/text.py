@@ -156,12 +156,38 @@ def series_prefix(c: Column) -> Column:
     return F.regexp_replace(c, "_[0-9]+$", "")
 
 
-def excerpt(c: Column, n: int, head: float = 0.65) -> Column:
-    """FN18 by code points: head and tail of a long text around a marker that counts what is left out."""
-    first = int(n * head)
-    last = n - first
-    marked = F.concat(F.substring(c, 1, first), F.lit(" [… "), (F.length(c) - n).cast("string"), F.lit(" omitted …] "), F.right(c, F.lit(last)))
-    return F.when(F.length(c) <= n, c).otherwise(marked)
+def utf16_units(c: Column) -> Column:
+    """Length in UTF-16 code units: characters beyond the first plane count twice."""
+    return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]+", ""))
+
+
+def excerpt(c: Column, units: int = fixed.EXCERPT_UNITS, head: float = fixed.HEAD_SHARE) -> Column:
+    """FN18: head and tail of a text of over ``units`` UTF-16 units around a mark; no grapheme is split.
+
+    Either end takes whole graphemes until the next one does not fit, so an end may stay short, or empty.
+    """
+    room = units - len(fixed.OMISSION)
+    first = int(room * head)
+
+    def taken(graphemes: Column, budget: int) -> Column:
+        """How many of the first graphemes fit; one that does not fit ends it."""
+        start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+        def step(a: Column, g: Column) -> Column:
+            fits = a.open & (a.used + utf16_units(g) <= budget)
+            return F.struct(F.when(fits, a.used + utf16_units(g)).otherwise(a.used).alias("used"), (a.n + fits.cast("int")).alias("n"), fits.alias("open"))
+
+        # no grapheme has fewer than one unit, so the first ``budget`` of them are enough
+        return F.aggregate(F.slice(graphemes, 1, budget), start, step, lambda a: a.n)
+
+    def marked(ahead: Column) -> Column:
+        behind = F.reverse(ahead)
+        tail = F.reverse(F.slice(behind, 1, taken(behind, room - first)))
+        return F.concat(F.array_join(F.slice(ahead, 1, taken(ahead, first)), ""), F.lit(fixed.OMISSION), F.array_join(tail, ""))
+
+    # through an array of one, so that the text is cut once
+    graphemes = F.array(F.regexp_extract_all(c, F.lit(r"\X"), F.lit(0)))
+    return F.when(utf16_units(c) <= units, c).otherwise(F.transform(graphemes, marked)[0])
 
 
 def render(template: str, values: dict[str, Column]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -95,6 +97,25 @@ def medoids(df: DataFrame, strata: list[str], features: list[str], id_: str, see
     return ranked(rows, strata, [F.asc("distance"), seeded(seed, id_).asc()], 1, "n").drop("n")
 
 
+def slices(asked: DataFrame, told: DataFrame, good_rank: int = 5, few: int = 12, beside_hard: int = 17, lost: int = 999) -> DataFrame:
+    """SM9: ``asked(question_id, position, abstains)`` and ``told(question_id, worst)`` -> (slice, part, question_id, worst, position).
+
+    ``told`` has the questions that were ranked and have an answer; ``worst`` is the rank of their last answer, null if one was
+    not found, which counts as ``lost``. Slices: ``all``, ``answerable`` (those that do not abstain), ``hard`` (worst rank above
+    ``good_rank``), ``hard12`` (the first ``few`` of them) and ``hard50`` (all hard ones, then, as part 1, the first ``beside_hard``
+    others). A slice is in order by part, then in a hard part the worst rank from the highest, then position; no window numbers it.
+    """
+    known = asked.where(~F.col("abstains")).join(told, "question_id").withColumn("worst", F.coalesce(F.col("worst"), F.lit(lost)).cast("int"))
+    hard, good = known.where(F.col("worst") > good_rank), known.where(F.col("worst") <= good_rank)
+    named = lambda rows, name, part=0: rows.select(F.lit(name).alias("slice"), F.lit(part).alias("part"), "question_id", F.col("worst").cast("int").alias("worst"), "position")
+    plain = asked.withColumn("worst", F.lit(None))
+    parts = [
+        named(plain, "all"), named(plain.where(~F.col("abstains")), "answerable"), named(hard, "hard"),
+        named(hard.orderBy(F.desc("worst"), "position").limit(few), "hard12"), named(hard, "hard50"), named(good.orderBy("position").limit(beside_hard), "hard50", 1),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def farthest_first(df: DataFrame, stratum: str, features: list[str], id_: str, quota: int) -> DataFrame:
     """SM3, SM4: from the medoid on, always the row farthest from those taken; pools of a stratum are small."""
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cases, evaluation, graph, grounded, lanes, reader, relational, retrieval, scalar, state, versions
+from . import cases, evaluation, graph, grounded, lanes, reader, relational, retrieval, scalar, state, texts, versions
 
-MODULES = [retrieval, evaluation, scalar, state, relational, graph, reader, versions, grounded, lanes, cases]
+MODULES = [retrieval, evaluation, scalar, state, relational, graph, reader, versions, grounded, lanes, cases, texts]
 
 
 def flagship(spark, sf_dir):

@@ -25,7 +25,7 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """SRC5-SRC7: session annotations, blank facts, phrases and events dropped."""
+    """SRC5, SRC6: session annotations, blank facts, phrases and events dropped."""
     raw = spark.read.schema(NOTES_SCHEMA).option("multiLine", True).json(path)
     return raw.select(
         "session_id",
@@ -35,6 +35,40 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+RANGE = "struct<has_temporal_constraint:boolean,start_date:string,end_date:string>"
+
+
+def read_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """SRC7: (question_id, found) of date ranges: one file, a folder's ``_index.json``, or else a file a question.
+
+    A file of many holds an object of ranges by question, or has it under ``ranges``. A file of one names its question, or is
+    named after it; files whose names begin with ``_`` are none.
+    """
+    under = F.from_json("value", f"struct<ranges:map<string,{RANGE}>>").ranges
+    many = lambda rows: rows.select(F.explode(F.coalesce(under, F.from_json("value", f"map<string,{RANGE}>"))).alias("question_id", "found"))
+    if path.endswith(".json"):
+        return many(spark.read.option("wholetext", True).text(path))
+    index = spark._jvm.org.apache.hadoop.fs.Path(path, "_index.json")
+    held = index.getFileSystem(spark._jsc.hadoopConfiguration())
+    if held.exists(index):
+        # Spark's readers pass over names that begin with "_"; this one file holds a line a question
+        stream = held.open(index)
+        try:
+            value = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return many(spark.createDataFrame([(value,)], "value string"))
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    stem = F.regexp_replace(F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1)), r"\.json$", "")
+    own = files.select(stem.alias("stem"), F.from_json("value", f"struct<question_id:string,{RANGE[7:-1]}>").alias("r"))
+    return own.select(F.coalesce(F.nullif("r.question_id", F.lit("")), "stem").alias("question_id"), F.struct("r.has_temporal_constraint", "r.start_date", "r.end_date").alias("found"))
+
+
+def official_predictions(predictions: DataFrame) -> DataFrame:
+    """SNK6: the two columns that a benchmark's judge reads, as JSON lines with sorted keys."""
+    return predictions.select(F.to_json(F.struct(F.col("hypothesis"), F.col("question_id")), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def exposed_ids(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """SRC10: ids of ``ids(id)`` that some file under ``path`` names between quotes."""
     found = spark.read.option("recursiveFileLookup", True).text(path).select(F.explode(F.regexp_extract_all("value", F.lit('"([^"]+)"'), F.lit(1))).alias("id"))
