@@ -249,11 +249,12 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
     less, so the budget of 28 is six deviations away.
     """
     bounded_batches(docs.sparkSession)
+    release(docs.sparkSession)  # what was computed before left shuffles as large as its input
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("row"), F.col("text").cast("binary").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle))
+    release(docs.sparkSession)  # the counts' shuffle is twice the input
     prints = stored(texts.mapInArrow(_described(shingle, similarity, common), "doc_id long, row long, node long, fp long, n long, first array<long>"))
     nodes = stored(prints.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("who"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("first").alias("first")))
-    release(docs.sparkSession)  # the counts' shuffle is twice the input
     keyed = nodes.select("node", F.posexplode("first").alias("pos", "key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     rows = stored(keyed.join(shared, "key").join(nodes.select("node", "fp", "n"), "node"))
