@@ -83,7 +83,7 @@ def session_index_texts(spark, sf_dir):
 @query("bounded_excerpts", """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, CASE WHEN length(text) <= 600 THEN text ELSE text[1:388] || chr(10) || '…' || chr(10) || text[-209:] END AS excerpt FROM d""")
 def bounded_excerpts(spark, sf_dir):
-    """The SQL holds for texts whose graphemes are single characters of the first plane, as all in these tables are."""
+    """The SQL holds for texts whose graphemes are single characters of the first plane; so they are in the tables it was held against."""
     return tables.table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.coalesce("text", F.lit(""))).alias("excerpt"))
 
 
