@@ -23,8 +23,11 @@ PAIRWISE = 64
 HUBS, WORK = 8, 4
 #: A key that leaves at most so many bits open is shared by few enough, 2^OPEN at most.
 OPEN = 6
-#: Most common shingles that go to every task; most names of texts that are broadcast, beyond it the texts are shuffled.
-COMMON, BROADCAST = 1 << 20, 500_000
+#: Most names of texts that are broadcast, beyond it the texts are shuffled.
+BROADCAST = 500_000
+#: The ring of a set of shingles: its parts, the shingles that it takes in at most, factors of the places in a chain.
+PARTS, RING_TOP = 32, 64
+CHAIN = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(PARTS)], np.uint64)
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -179,30 +182,72 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _all_shingles(width: int):
-    def run(batches):
-        for b in batches:
-            h = np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, width) for t in b.column("text").to_pylist())])
-            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["key"])
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-    return run
+
+def differing(size: int, similarity: float) -> int:
+    """Shingles in which two sets of at most ``size`` differ at most, both ways together, if their Jaccard index is ``similarity``."""
+    return math.floor(2 * size * (1 - similarity) / (1 + similarity) + 1e-9)
 
 
-def _described(width: int, similarity: float, common):
+def parted(hashes: np.ndarray, level: int, start_of: np.ndarray) -> tuple[np.ndarray, int]:
+    """The ring of a set at ``level``: for each start a key of the chain of parts ``start_of`` (0: nothing in it), and a bit a part.
+
+    The hashes' space, above RING_TOP shingles its first 2^-k alone, is a ring of PARTS parts. A part's segment is the
+    SimHash of the shingles in it.
+    """
+    deep = max(level - RING_TOP.bit_length() + 1, 0)
+    part = (hashes[: np.searchsorted(hashes, np.uint64(1 << (64 - deep)))] if deep else hashes) >> np.uint64(64 - deep - PARTS.bit_length() + 1)
+    n, ring = np.bincount(part.astype(np.int64), minlength=PARTS), np.zeros(PARTS, np.uint64)
+    if len(part):
+        bits = np.unpackbits(hashes[: len(part)].view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
+        full = np.flatnonzero(n)
+        ones = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(n[full])[:-1]]), axis=0, dtype=np.int64)
+        ring[full] = np.packbits(2 * ones > n[full][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    ring = _mixed(ring + np.uint64(0x9E3779B97F4A7C15))
+    width = start_of.shape[1]
+    keys = _mixed((ring[start_of] * CHAIN[:width]).sum(axis=1, dtype=np.uint64) ^ np.uint64(level << 8) ^ np.arange(PARTS, dtype=np.uint64))
+    return np.where(n[start_of].any(axis=1), keys, np.uint64(0)), int(np.packbits(ring >> np.uint64(63) > 0, bitorder="little").view(np.uint32)[0])
+
+
+def chains(level: int, similarity: float) -> tuple[int, np.ndarray]:
+    """Parts in which the rings of a level may differ, and the parts of each start's longest chain that must not.
+
+    Of a share of the hashes the bound holds on average only: it gives the chains, and all other parts may differ.
+    """
+    budget = min(differing(min(1 << level, RING_TOP), similarity), PARTS - 1)
+    start_of = (np.arange(PARTS)[:, None] + np.arange((PARTS - 1) // max(budget, 1))) % PARTS
+    return PARTS if 1 << level > RING_TOP else budget, start_of
+
+
+def rings(hashes: np.ndarray, similarity: float) -> list[tuple[int, np.ndarray, int]]:
+    """(budget, keys, bits) of the set's ring at its level and, where it may be alike to a set above, at the next levels."""
+    level, top, out = max(len(hashes) - 1, 0).bit_length(), math.floor(len(hashes) / similarity + 1e-9), []
+    while len(hashes) and (not out or 1 << (level - 1) < top):
+        budget, start_of = chains(level, similarity)
+        out.append((budget, *parted(hashes, level, start_of)) if budget else (0, np.zeros(PARTS, np.uint64), 0))
+        level += 1
+    return out
+
+
+def _described(width: int, similarity: float):
     def run(batches):
-        late = common.value
         for b in batches:
-            node, fp, n, first = [], [], [], [np.zeros(0, np.int64)]
+            node, fp, n, found, at = [], [], [], [], [0]
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, width)
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED)), fp.append(set_fingerprint(s)), n.append(len(s))
-                half = (s >> np.uint64(32)).astype(np.uint32)
-                last = late[np.minimum(np.searchsorted(late, half), len(late) - 1)] == half if len(late) else np.zeros(len(s), bool)
-                # two sets this similar share one of the first of their hashes, in any order that all texts keep
-                first.append(np.concatenate([s[~last], s[last]])[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1].view(np.int64))
-            least = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first[1:])]), pa.int32()), pa.array(np.concatenate(first)))
+                found += rings(s, similarity)
+                at.append(len(found))
+            own = lambda values, kind: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
+            keys = np.concatenate([np.zeros(0, np.uint64), *(k for _, k, _ in found)]).view(np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(np.array(at) * PARTS, pa.int32()), pa.array(keys))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *longs, pa.array(n, pa.int64()), least], ["doc_id", "row", "node", "fp", "n", "first"])
+            columns = [b.column("doc_id"), b.column("row"), *longs, pa.array(n, pa.int64()), keys, own([r for *_, r in found], pa.int64()), own([h for h, *_ in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "node", "fp", "n", "keys", "rings", "budgets"])
 
     return run
 
@@ -227,47 +272,49 @@ def _alike(similarity: float):
     return run
 
 
-def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Sorted halves of the hashes of shingles that over PAIRWISE texts hold, the COMMON commonest if there are more.
-
-    They only order the candidates' keys, so which of them are left out changes the work and no result.
-    """
-    counts = texts.mapInArrow(_all_shingles(width), "key int").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE)
-    return np.sort(counts.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()["key"].to_numpy(np.int32).view(np.uint32))
-
-
 def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text)`` -> (doc_id, row, node) of each row, and ``(u, v)``: links whose components are those of
     all pairs of nodes with a Jaccard index of ``similarity`` or more.
 
-    A node is a set of shingles. All sets are ordered alike, shingles that many texts hold last, and two so similar
-    share one of their first hashes: those are the keys. Candidates share a key, fit in size, have enough hashes left
-    behind it in both to make up the index, and differ in at most ``bits`` bits of the SimHash; each is then compared
-    exactly. To keep a large group of copies from being paired in full, members of a key that over PAIRWISE hold are
-    compared with up to HUBS members of the key's largest component, round by round, until few are left out of it or
-    a round no longer helps; then all members of different components are paired. No group is capped. All tests but the one of ``bits`` are exact; at 0.8 some 10 of 64 bits differ on average, 3 more or
-    less, so the budget of 28 is six deviations away.
+    A node is a set of shingles. Their hashes' space is a ring of PARTS parts, and the SimHash of a part's shingles is
+    the ring's segment. Two sets so similar differ in a bounded number of shingles, so in no more segments, and by the
+    pigeonring principle from some start each chain of l segments differs in no more than l / PARTS of the bound.
+    Chains whose bound is below one are exact, and give the key; the longer ones are tested behind it on a bit a
+    segment. Sets of like size (powers of two) have rings alike, and a set stands in the next level too where it may be
+    similar to a set there. Above RING_TOP shingles the ring covers a share of the hashes, the same for all sets of the
+    level; the bound then holds on average, so longer chains are not tested, and two sets at 0.8 share some 13 of 32 keys.
+    Candidates share a key, fit in size, and differ in at most ``bits`` bits of the whole SimHash (at 0.8 some 10 of 64
+    differ on average, 3 more or less, so 28 is six deviations away); each is then compared exactly.
+
+    To keep a large group of copies from being paired in full, members of a key that over PAIRWISE hold are compared
+    with up to HUBS members of the key's largest component, round by round, until few are left out of it or a round no
+    longer helps; then all members of different components are paired. No group is capped.
     """
     bounded_batches(docs.sparkSession)
     release(docs.sparkSession)  # what was computed before left shuffles as large as its input
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("row"), F.col("text").cast("binary").alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle))
-    release(docs.sparkSession)  # the counts' shuffle is twice the input
-    prints = stored(texts.mapInArrow(_described(shingle, similarity, common), "doc_id long, row long, node long, fp long, n long, first array<long>"))
-    nodes = stored(prints.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("who"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("first").alias("first")))
-    keyed = nodes.select("node", F.posexplode("first").alias("pos", "key"))
+    described = stored(texts.mapInArrow(_described(shingle, similarity), "doc_id long, row long, node long, fp long, n long, keys array<long>, rings array<long>, budgets array<int>"))
+    prints = described.select("doc_id", "row", "node")
+    once = ("fp", "n", "rings", "budgets", "keys")
+    nodes = stored(described.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("who"), *[F.first(c).alias(c) for c in once]))
+    keyed = nodes.select("node", F.posexplode("keys").alias("pos", "key")).where("key <> 0")
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    rows = stored(keyed.join(shared, "key").join(nodes.select("node", "fp", "n"), "node"))
+    level = F.floor(F.col("pos") / PARTS).cast("int")
+    facts = (F.pmod("pos", F.lit(PARTS)).alias("start"), F.get("rings", level).alias("ring"), F.get("budgets", level).alias("budget"))
+    rows = stored(keyed.join(shared.select("key"), "key").join(nodes.drop("keys", "who"), "node").select("key", "node", "fp", "n", *facts))
     asked = cut(rows.select("node").distinct().join(nodes.select("node", "who.*"), "node"))
     found = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST else asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("node", "text")
     sets = stored(found.mapInArrow(_shingled(shingle), "node long, hashes binary"))
     release(docs.sparkSession)
 
-    def close(a: str, b: str, bits: int = bits) -> Column:
+    def close(a: str, b: str, bits: int = bits, lengths: tuple[int, ...] = (4, 8, 16, 32)) -> Column:
         x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-        fits = F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9
-        left = F.least(x - F.col(f"{a}.pos"), y - F.col(f"{b}.pos")) >= (x + y) * F.lit(similarity / (1 + similarity)) - 1e-9
-        return (F.col(f"{a}.node") != F.col(f"{b}.node")) & fits & left & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= bits)
+        ok = (F.col(f"{a}.node") != F.col(f"{b}.node")) & (F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9)
+        differ = F.col(f"{a}.ring").bitwiseXOR(F.col(f"{b}.ring"))
+        for n in lengths:
+            masks = F.array(*[F.lit(mask((i + k) % PARTS for k in range(n))).cast("long") for i in range(PARTS)])
+            ok = ok & (F.bit_count(differ.bitwiseAND(F.get(masks, F.col(f"{a}.start")))) * PARTS <= n * F.col(f"{a}.budget"))
+        return ok & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= bits)
 
     def ends() -> list[Column]:
         return [F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")]
@@ -289,31 +336,26 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
         last = work
         part = F.pmod(F.xxhash64(F.lit(round_), "node"), F.lit(HUBS))
         # at first no component is there, and any member may be a hub
-        hubs = (many.where("label = top") if round_ else many).groupBy("key", part).agg(F.min(F.struct("node", "fp", "n", "pos")).alias("hub")).select("key", "hub.*")
+        hubs = (many.where("label = top") if round_ else many).groupBy("key", part).agg(F.min(F.struct("node", "fp", "n", "ring", "start", "budget")).alias("hub")).select("key", "hub.*")
         near = (many.where("label <> top") if round_ else many).alias("a").join(hubs.alias("b"), (F.col("a.key") == F.col("b.key")) & close("a", "b", bits // 2)).select(*ends()).distinct()
         near = cut(near if tested is None else near.join(tested, ["u", "v"], "left_anti"))
         tested = near if tested is None else tested.unionByName(near)
         found = linked(near) if found is None else cut(found.unionByName(linked(near)))
         named = components(found)
-    rest = F.greatest(*[F.col(f"{x}.n") - F.floor(F.col(f"{x}.n") * F.lit(1 - similarity) + 1e-9) - 1 for x in "ab"])
-
-    def first_and_enough(both: Column) -> Column:
-        """Is this the pair's first key, and can those shared and what lies behind all keys make up the index?"""
-        return (both[0] == F.col("a.key")) & (F.size(both) + rest >= (F.col("a.n") + F.col("b.n")) * F.lit(similarity / (1 + similarity)) - 1e-9)
 
-    def crossed(members: DataFrame, *more: Column) -> DataFrame:
-        across = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))) & close("a", "b")
-        for condition in more:
-            across = across & condition
-        return members.where("label <> top").alias("a").join(members.alias("b"), across).select(*ends())
+    def crossed(members: DataFrame, near: Column) -> DataFrame:
+        across = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.top")) | (F.col("a.node") < F.col("b.node")))
+        return members.where("label <> top").alias("a").join(members.alias("b"), across & near).select(*ends())
 
-    few = mixed.where(F.col("all") <= PAIRWISE).select("key", "node", "pos", "fp", "n", "label", "top")
-    shared_keys = rows.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("keys"))
+    few = mixed.where(F.col("all") <= PAIRWISE).select("key", "node", "fp", "n", "start", "ring", "budget", "label", "top")
+    shared_keys = rows.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     many = stored(mixed.where(F.col("all") > PAIRWISE).select(*few.columns).join(shared_keys, "node"))
-    pairs = crossed(few).unionByName(crossed(many, let(F.array_intersect("a.keys", "b.keys"), first_and_enough))).distinct()
+    # of a crowded key's pairs only those whose first key it is: without the chains of a start, as those of another may hold
+    first = let(F.array_intersect("a.keys", "b.keys"), lambda both: both[0] == F.col("a.key"))
+    pairs = crossed(few, close("a", "b")).unionByName(crossed(many, close("a", "b", lengths=()) & first)).distinct()
     rest = linked(cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")))
     found = rest if found is None else found.unionByName(rest)
-    return prints.select("doc_id", "row", "node"), found
+    return prints, found
 
 
 def one_of_each(docs: DataFrame, similarity: float | None = None, shingle: int = 5, bits: int = 28) -> DataFrame:

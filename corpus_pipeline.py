@@ -25,7 +25,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8) stays, the one of the smallest doc_id."""
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8) stays, the one of the smallest doc_id.
+
+    Candidates share an exact chain in rings of SimHash segments and pass the tests behind it, and each is compared
+    exactly. Texts without a word are copies of each other, rows without doc_id stay, an empty table gives an empty one.
+    """
     return simhash.one_of_each(docs, similarity=0.8)
 
 
