@@ -16,7 +16,7 @@ from .common import bounded_batches, text_hash
 from .pretokens import PieceCache, read_ranks, stretches
 
 #: Entries of a generation of the caches of pieces and stretches; they bound the room taken, never the results.
-ENTRIES = 300_000
+ENTRIES = 450_000
 #: States that are kept; beyond them transitions are made each time. It bounds the room taken, never the results.
 STATES = 80_000
 
@@ -193,7 +193,7 @@ class Utf8Machine:
     ids that all lead from between characters to between characters is passed as a whole.
     """
 
-    def __init__(self, texts: dict[int, bytes] | None = None, paths: dict[int, bytes] | None = None):
+    def __init__(self, texts: dict[int, bytes] | list[bytes] | None = None, paths: dict[int, bytes] | None = None):
         self.texts, self.paths, self.state, self.held = texts or {}, paths or {}, 0, b""
         self.cut = {i for i, path in self.paths.items() if path[0]}
 
@@ -247,9 +247,10 @@ def decode_stream(ids: list[int], machine: Utf8Machine, chunk: int = 8192):
 class Codec:
     def __init__(self, path: str):
         machine = Transducer(read_ranks(path))
-        self.texts = machine.texts
-        self.decoder = Utf8Machine(self.texts, {i: utf8_path(t) for i, t in self.texts.items()})
-        self.digits = {i: str(i) for i in self.texts}
+        # by place: every id of every text is looked up in both
+        self.texts = [machine.texts.get(i, b"") for i in range(max(machine.texts, default=-1) + 1)]
+        self.decoder = Utf8Machine(self.texts, {i: utf8_path(t) for i, t in machine.texts.items()})
+        self.digits = [*map(str, range(len(self.texts)))]
         encode = machine.encode
         self.cache = PieceCache(lambda pieces: [encode(p.encode()) for p in pieces], lambda found: found[0] if len(found) == 1 else tuple(chain.from_iterable(found)), ENTRIES)
 
