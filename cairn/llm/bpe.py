@@ -12,31 +12,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_hash
-from .pretokens import PieceCache, read_ranks, stretches
+from .common import bounded_batches, held, text_hash
+from .pretokens import LONG, pieces_of, read_ranks, stretches
 
 #: Entries of a generation of the caches of pieces and stretches; they bound the room taken, never the results.
-ENTRIES = 450_000
-#: States that are kept; beyond them transitions are made each time. It bounds the room taken, never the results.
-STATES = 80_000
+ENTRIES = 250_000
+#: States after which a worker makes them anew, and pairs of tokens; they bound the room taken, never the results.
+STATES, STABLE = 250_000, 400_000
 
 
 class State:
-    """Starts of tokens that may still grow: (trie node since then, token before, tokens held back)."""
+    """Live starts as (trie node, token before, ...), and the token to emit with its bytes: the last one of what was read."""
 
-    __slots__ = ("live", "next")
+    __slots__ = ("live", "next", "size", "token")
 
-    def __init__(self, live):
-        self.live, self.next = live, {}
+    def __init__(self, live: tuple, token: int, size: int):
+        self.live, self.token, self.size, self.next = live, token, size, {}
 
 
 class Transducer:
-    """Reads a pre-token byte by byte; emits a token once every reading of the rest agrees on it.
+    """Reads a pre-token byte by byte, then its states backwards; each state on that way emits one token.
 
     The tokens of a prefix are those of a shorter prefix and one more: the one whose pair with the token before it
     is *stable*, that is, merged by rank it stays those two. A state holds, for each start from which a vocabulary
-    entry may still go on, the trie node of the bytes since then and the tokens up to it. What all starts share is
-    emitted, so the delay is at most the longest entry. States and transitions are made when first met.
+    entry may still go on, the trie node of the bytes since then and the last token before it; at its end stands the
+    last token of the prefix read, which is what it emits. The tokens before that one are the shorter prefix's, so they
+    are emitted by the state that many bytes earlier. What was emitted before is in no state, so that few differ.
+    States and transitions are made when first met.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -61,13 +63,14 @@ class Transducer:
         self.sides: dict[int, tuple | None] = {}
         self.stable: dict[int, bool] = {}
         self.states: dict[tuple, State] = {}
-        self.start = self.state(((0, -1, ()),))
+        self.restart()
 
-    def state(self, live: tuple) -> State:
-        found = self.states.get(live)
-        if found is None:
-            found = self.states[live] = State(live)
-        return found
+    def restart(self) -> None:
+        """Forget all states; the first has one start, with no token before it."""
+        for state in self.states.values():
+            state.next.clear()  # states may lead back to each other
+        self.start = State((0, -1), -1, 0)
+        self.states = {self.start.live: self.start}
 
     def spines(self, token: int) -> tuple | None:
         """What stands at the left and at the right end of an entry as it is merged, in order; None if it never forms."""
@@ -92,7 +95,7 @@ class Transducer:
         key = left << 20 | right
         ok = self.stable.get(key)
         if ok is None:
-            if len(self.stable) > 4 * STATES:
+            if len(self.stable) > STABLE:
                 self.stable.clear()
             ranks, never = self.ranks, 1 << 60
             xs, ys = self.spines(left)[1], self.spines(right)[0]
@@ -114,43 +117,40 @@ class Transducer:
             self.stable[key] = ok
         return ok
 
-    def step(self, state: State, byte: int) -> tuple[State, tuple]:
-        """The next state and the tokens emitted on the way; kept while there is room."""
-        live, here, child, inner, tokens = [], None, self.child, self.inner, self.token
-        for node, before, held in state.live:
+    def step(self, state: State, byte: int) -> State:
+        """Make the transition."""
+        live, here, child, inner, tokens = [], -1, self.child, self.inner, self.token
+        pairs = iter(state.live)
+        for node, last in zip(pairs, pairs, strict=True):
             node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            if here is None and (token := tokens[node]) >= 0 and (token in self.sides or self.spines(token)) and self.sides[token]:
-                last = held[-1] if held else before
+            if here < 0 and (token := tokens[node]) >= 0 and (token in self.sides or self.spines(token)) and self.sides[token]:
                 if last < 0 or self.stable.get(last << 20 | token) or self.is_stable(last, token):
-                    here = (0, before, (*held, token))
+                    here = token
             if inner[node]:
-                live.append((node, before, held))
-        live.append(here)
-        first, n = live[0][2], 0
-        if first:
-            if len(live) > 1:
-                most = min(len(h) for _, _, h in live)
-                while n < most and all(h[n] == first[n] for _, _, h in live):
-                    n += 1
-            else:
-                n = len(first)
-            if n:
-                live = [(s, first[n - 1], h[n:]) for s, _, h in live]
-        live = tuple(live)
-        if len(self.states) < STATES:
-            found = state.next[byte] = (self.state(live), first[:n])
-            return found
-        return self.states.get(live) or State(live), first[:n]
+                live += (node, last)
+        live = (*live, 0, here)
+        found = self.states.get(live)
+        if found is None:
+            found = self.states[live] = State(live, here, len(self.texts[here]))
+        state.next[byte] = found
+        return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        state, out, step = self.start, [], self.step
+        if len(self.states) > STATES:
+            self.restart()
+        state, passed, step = self.start, [], self.step
         for byte in piece:
-            state, emitted = state.next.get(byte) or step(state, byte)
-            if emitted:
-                out += emitted
-        return (*out, *state.live[-1][2])
+            state = state.next.get(byte) or step(state, byte)
+            passed.append(state)
+        out, at = [], len(passed) - 1
+        while at >= 0:
+            state = passed[at]
+            out.append(state.token)
+            at -= state.size
+        out.reverse()
+        return tuple(out)
 
 
 def _utf8_steps() -> list[bytes]:
@@ -244,20 +244,53 @@ def decode_stream(ids: list[int], machine: Utf8Machine, chunk: int = 8192):
     machine.close()
 
 
+class Recent(dict):
+    """What ``solve`` gives for each key, of two generations: what is not asked for again while one fills is forgotten.
+
+    A lookup of what is known is the dict's own. Keys over LONG and tuples of text are solved each time.
+    """
+
+    def __init__(self, solve, size: int):
+        super().__init__()
+        self.solve, self.size, self.old = solve, size, {}
+
+    def turn(self) -> None:
+        """Start a generation if this one is full."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.solve(key)
+            if type(key) is tuple or len(key) > LONG:
+                return found
+        self[key] = found
+        return found
+
+
 class Codec:
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = ENTRIES):
         machine = Transducer(read_ranks(path))
         # by place: every id of every text is looked up in both
         self.texts = [machine.texts.get(i, b"") for i in range(max(machine.texts, default=-1) + 1)]
         self.decoder = Utf8Machine(self.texts, {i: utf8_path(t) for i, t in machine.texts.items()})
         self.digits = [*map(str, range(len(self.texts)))]
-        encode = machine.encode
-        self.cache = PieceCache(lambda pieces: [encode(p.encode()) for p in pieces], lambda found: found[0] if len(found) == 1 else tuple(chain.from_iterable(found)), ENTRIES)
+        self.machine = machine
+        self.pieces, self.known = Recent(lambda piece: machine.encode(piece.encode()), entries), Recent(self.solve, entries)
+
+    def solve(self, stretch) -> tuple[int, ...]:
+        pieces = pieces_of(stretch)
+        if len(pieces) == 1:  # the stretch itself is remembered
+            return self.machine.encode(pieces[0].encode())
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
     def encode_batch(self, texts: list[str]):
-        for i in range(0, len(texts), 64):
-            for found in self.cache.values([stretches(t or "") for t in texts[i : i + 64]]):
-                yield list(chain.from_iterable(found))
+        for text in texts:
+            self.known.turn()
+            self.pieces.turn()
+            yield [*chain.from_iterable(map(self.known.__getitem__, stretches(text or "")))]
 
     def run(self, batches, columns):
         """``columns(batch)`` for each batch; without cycle collection, as the caches hold millions of plain tuples."""
@@ -268,19 +301,14 @@ class Codec:
             gc.enable()
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def codec(path: str) -> Codec:
+def codec(path: str, entries: int = ENTRIES) -> Codec:
     """One codec a worker and vocabulary."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return held((path, entries), lambda: Codec(path, entries))
 
 
-def _encode(path: str, with_ids: bool):
+def _encode(path: str, with_ids: bool, entries: int):
     def columns(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(path)
+        c = codec(path, entries)
         n, ids_hash, decoded_hash, ids_out = [], [], [], []
         for ids in c.encode_batch(b.column("text").to_pylist()):
             n.append(len(ids))
@@ -296,20 +324,20 @@ def _encode(path: str, with_ids: bool):
             found["ids"] = pa.array(ids_out, pa.list_(pa.int32()))
         return pa.RecordBatch.from_pydict(found)
 
-    return lambda batches: codec(path).run(batches, columns)
+    return lambda batches: codec(path, entries).run(batches, columns)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False, entries: int = ENTRIES) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, row, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids.
 
     ``path`` is a rank file (default: the 50k byte-level one). Each match of the pattern is encoded alone, without
     special tokens. Null text is empty: no ids, the hash of nothing. Ids are decoded again by the streaming decoder,
-    which raises on bytes that are no UTF-8. A row out for each row in; other columns are ignored.
+    which raises on bytes that are no UTF-8. ``entries`` bounds a worker's caches, never the results. A row out for each row in; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     schema = "doc_id long, row long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("row"), "text").mapInArrow(_encode(path, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("row"), "text").mapInArrow(_encode(path, with_ids, entries), schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

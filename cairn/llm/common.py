@@ -84,11 +84,27 @@ def ship_package(spark: SparkSession) -> None:
     context._cairn_shipped = True
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
     """Bound an Arrow batch by bytes as well as rows, as a row may hold megabytes of text."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
+_held: dict = {}
+
+
+def held(key=None, make=None):
+    """What a Python worker keeps from task to task: one thing at a time, as the stages of a job take turns in the same
+    workers. Without ``make`` it only lets go."""
+    if key not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+        if make is None:
+            return None
+        _held[key] = make()
+    return _held[key]
 
 
 def skew_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str, total: int, parts: int = 1000) -> DataFrame:
