@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, carried, cut, let, own_columns, release, skew_join, stored, text_hash
+from .common import bounded_batches, carried, cut, held, let, own_columns, release, skew_join, stored, text_hash
 from .components import components
 
 SHINGLE, SEED, CHUNK = 3, 42, 1 << 16
@@ -25,6 +25,8 @@ HUBS, WORK = 8, 4
 OPEN = 6
 #: Most names of texts that are broadcast, beyond it the texts are shuffled.
 BROADCAST = 500_000
+#: Counts of the shingles that the sets of crowded keys have in common.
+COUNTS = 3
 #: The ring of a set of shingles: its parts, the shingles that it takes in at most, factors of the places in a chain.
 PARTS, RING_TOP = 32, 64
 CHAIN = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(PARTS)], np.uint64)
@@ -235,6 +237,7 @@ def rings(hashes: np.ndarray, similarity: float) -> list[tuple[int, np.ndarray,
 
 def _described(width: int, similarity: float):
     def run(batches):
+        held()  # what an encoder left in this worker
         for b in batches:
             node, fp, n, found, at = [], [], [], [], [0]
             for text in b.column("text").to_pylist():
@@ -254,6 +257,7 @@ def _described(width: int, similarity: float):
 
 def _shingled(width: int):
     def run(batches):
+        held()  # what an encoder left in this worker
         for b in batches:
             sets = [shingle_set(text, width).tobytes() for text in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
@@ -263,6 +267,7 @@ def _shingled(width: int):
 
 def _alike(similarity: float):
     def run(batches):
+        held()  # what an encoder left in this worker
         for b in batches:
             sets = [[np.frombuffer(x, np.uint64) for x in b.column(c).to_pylist()] for c in ("hu", "hv")]
             both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)]
@@ -272,6 +277,28 @@ def _alike(similarity: float):
     return run
 
 
+def _spread(batches):
+    for b in batches:
+        sets = [np.frombuffer(x, np.int64) for x in b.column("hashes").to_pylist()]
+        node = np.repeat(b.column("node").to_numpy(), [*map(len, sets)])
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["node", "hash"])
+
+
+def in_common(sets: DataFrame, similarity: float) -> DataFrame:
+    """``sets(node, n, hashes)`` -> (node, common): how many of a set's shingles any other of the sets has too.
+
+    A set of which less than ``similarity`` is in common is similar to none of the others. It goes, and those that stay
+    are counted among themselves, COUNTS times in all. What a set has in common with one other is never more.
+    """
+    held_by = cut(sets.select("node", "hashes").mapInArrow(_spread, "node long, hash long"))
+    stay = sets.select("node", "n")
+    for _ in range(COUNTS):
+        alone = held_by.join(stay, "node", "left_semi").groupBy("hash").agg(F.count("*").alias("sets"), F.min("node").alias("node")).where("sets = 1")
+        counted = stay.select("node", "n").join(alone.groupBy("node").agg(F.count("*").alias("alone")), "node", "left")
+        stay = cut(counted.withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("common") >= similarity * F.col("n") - 1e-9).select("node", "n", "common"))
+    return stay.select("node", "common")
+
+
 def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text)`` -> (doc_id, row, node) of each row, and ``(u, v)``: links whose components are those of
     all pairs of nodes with a Jaccard index of ``similarity`` or more.
@@ -288,9 +315,10 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
 
     To keep a large group of copies from being paired in full, members of a key that over PAIRWISE hold are compared
     with up to HUBS members of the key's largest component, round by round, until few are left out of it or a round no
-    longer helps; then all members of different components are paired. No group is capped.
+    longer helps; then all members of different components are paired, but for those that have too few shingles in common
+    with any other member of a crowded key (``in_common``) to be similar. No group is capped.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, mb=2)
     release(docs.sparkSession)  # what was computed before left shuffles as large as its input
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("row"), F.col("text").cast("binary").alias("text"))
     described = stored(texts.mapInArrow(_described(shingle, similarity), "doc_id long, row long, node long, fp long, n long, keys array<long>, rings array<long>, budgets array<int>"))
@@ -348,11 +376,14 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
         return members.where("label <> top").alias("a").join(members.alias("b"), across & near).select(*ends())
 
     few = mixed.where(F.col("all") <= PAIRWISE).select("key", "node", "fp", "n", "start", "ring", "budget", "label", "top")
-    shared_keys = rows.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    many = stored(mixed.where(F.col("all") > PAIRWISE).select(*few.columns).join(shared_keys, "node"))
-    # of a crowded key's pairs only those whose first key it is: without the chains of a start, as those of another may hold
+    many = mixed.where(F.col("all") > PAIRWISE).select(*few.columns)
+    shared_keys = many.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    common = in_common(many.select("node", "n").distinct().join(sets, "node"), similarity)
+    many = stored(many.join(shared_keys, "node").join(common, "node"))
+    # of a crowded key's pairs only those whose first crowded key it is: without the chains of a start, as those of another may hold
     first = let(F.array_intersect("a.keys", "b.keys"), lambda both: both[0] == F.col("a.key"))
-    pairs = crossed(few, close("a", "b")).unionByName(crossed(many, close("a", "b", lengths=()) & first)).distinct()
+    enough_common = F.least("a.common", "b.common") * (1 + similarity) >= (F.col("a.n") + F.col("b.n")) * similarity - 1e-6
+    pairs = crossed(few, close("a", "b")).unionByName(crossed(many, close("a", "b", lengths=()) & enough_common & first)).distinct()
     rest = linked(cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")))
     found = rest if found is None else found.unionByName(rest)
     return prints, found

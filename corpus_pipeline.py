@@ -39,8 +39,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with the hashes of the ids and of what they decode to."""
-    return bpe.encode_documents(docs, with_ids=True).drop("row")
+    """Token ids of each text, with the hashes of the ids and of what they decode to.
+
+    Caches are small, as the workers stand beside executors that the stages before have grown.
+    """
+    return bpe.encode_documents(docs, with_ids=True, entries=60_000).drop("row")
 
 
 STAGES = [
