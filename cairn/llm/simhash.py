@@ -25,7 +25,7 @@ HUBS, WORK = 8, 4
 OPEN = 6
 #: Most names of texts that are broadcast, beyond it the texts are shuffled.
 BROADCAST = 500_000
-#: Counts of the shingles that the sets of crowded keys have in common.
+#: Counts of the shingles that sets with a key in common share.
 COUNTS = 3
 #: The ring of a set of shingles: its parts, the shingles that it takes in at most, factors of the places in a chain.
 PARTS, RING_TOP = 32, 64
@@ -260,7 +260,7 @@ def _shingled(width: int):
         held()  # what an encoder left in this worker
         for b in batches:
             sets = [shingle_set(text, width).tobytes() for text in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), pa.array(sets, pa.binary())], ["node", "n", "hashes"])
 
     return run
 
@@ -288,12 +288,14 @@ def in_common(sets: DataFrame, similarity: float) -> DataFrame:
     """``sets(node, n, hashes)`` -> (node, common): how many of a set's shingles any other of the sets has too.
 
     A set of which less than ``similarity`` is in common is similar to none of the others. It goes, and those that stay
-    are counted among themselves, COUNTS times in all. What a set has in common with one other is never more.
+    are counted among themselves, COUNTS times in all. What a set has in common with one other is never more. A shingle of
+    a set is a row once, whatever other sets hold it.
     """
-    held_by = cut(sets.select("node", "hashes").mapInArrow(_spread, "node long, hash long"))
     stay = sets.select("node", "n")
-    for _ in range(COUNTS):
-        alone = held_by.join(stay, "node", "left_semi").groupBy("hash").agg(F.count("*").alias("sets"), F.min("node").alias("node")).where("sets = 1")
+    for round_ in range(COUNTS):
+        left = sets.join(stay, "node", "left_semi") if round_ else sets
+        held_by = left.select("node", "hashes").mapInArrow(_spread, "node long, hash long")
+        alone = held_by.groupBy("hash").agg(F.count("*").alias("sets"), F.min("node").alias("node")).where("sets = 1")
         counted = stay.select("node", "n").join(alone.groupBy("node").agg(F.count("*").alias("alone")), "node", "left")
         stay = cut(counted.withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("common") >= similarity * F.col("n") - 1e-9).select("node", "n", "common"))
     return stay.select("node", "common")
@@ -313,10 +315,12 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
     Candidates share a key, fit in size, and differ in at most ``bits`` bits of the whole SimHash (at 0.8 some 10 of 64
     differ on average, 3 more or less, so 28 is six deviations away); each is then compared exactly.
 
+    Of the sets that share a key, those that have too few shingles in common with any other of them (``in_common``) to be
+    similar go first, so that texts with a passage in common, however many, are not paired for it.
+
     To keep a large group of copies from being paired in full, members of a key that over PAIRWISE hold are compared
     with up to HUBS members of the key's largest component, round by round, until few are left out of it or a round no
-    longer helps; then all members of different components are paired, but for those that have too few shingles in common
-    with any other member of a crowded key (``in_common``) to be similar. No group is capped.
+    longer helps; then all members of different components are paired, if both have enough in common. No group is capped.
     """
     bounded_batches(docs.sparkSession, mb=2)
     release(docs.sparkSession)  # what was computed before left shuffles as large as its input
@@ -329,10 +333,13 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     level = F.floor(F.col("pos") / PARTS).cast("int")
     facts = (F.pmod("pos", F.lit(PARTS)).alias("start"), F.get("rings", level).alias("ring"), F.get("budgets", level).alias("budget"))
-    rows = stored(keyed.join(shared.select("key"), "key").join(nodes.drop("keys", "who"), "node").select("key", "node", "fp", "n", *facts))
-    asked = cut(rows.select("node").distinct().join(nodes.select("node", "who.*"), "node"))
-    found = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST else asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("node", "text")
-    sets = stored(found.mapInArrow(_shingled(shingle), "node long, hashes binary"))
+    sharing = stored(keyed.join(shared.select("key"), "key").join(nodes.drop("keys", "who"), "node").select("key", "node", "fp", "n", *facts))
+    asked = cut(sharing.select("node", "n").distinct().join(nodes.select("node", "who.*"), "node"))
+    found = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST else asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("node", "n", "text")
+    sets = stored(found.mapInArrow(_shingled(shingle), "node long, n long, hashes binary"))
+    common = in_common(sets, similarity)
+    sets = sets.drop("n")
+    rows = stored(sharing.join(common, "node"))
     release(docs.sparkSession)
 
     def close(a: str, b: str, bits: int = bits, lengths: tuple[int, ...] = (4, 8, 16, 32)) -> Column:
@@ -342,7 +349,8 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
         for n in lengths:
             masks = F.array(*[F.lit(mask((i + k) % PARTS for k in range(n))).cast("long") for i in range(PARTS)])
             ok = ok & (F.bit_count(differ.bitwiseAND(F.get(masks, F.col(f"{a}.start")))) * PARTS <= n * F.col(f"{a}.budget"))
-        return ok & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= bits)
+        enough = F.least(f"{a}.common", f"{b}.common") * (1 + similarity) >= (x + y) * similarity - 1e-6
+        return ok & enough & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= bits)
 
     def ends() -> list[Column]:
         return [F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")]
@@ -364,7 +372,7 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
         last = work
         part = F.pmod(F.xxhash64(F.lit(round_), "node"), F.lit(HUBS))
         # at first no component is there, and any member may be a hub
-        hubs = (many.where("label = top") if round_ else many).groupBy("key", part).agg(F.min(F.struct("node", "fp", "n", "ring", "start", "budget")).alias("hub")).select("key", "hub.*")
+        hubs = (many.where("label = top") if round_ else many).groupBy("key", part).agg(F.min(F.struct("node", "fp", "n", "ring", "start", "budget", "common")).alias("hub")).select("key", "hub.*")
         near = (many.where("label <> top") if round_ else many).alias("a").join(hubs.alias("b"), (F.col("a.key") == F.col("b.key")) & close("a", "b", bits // 2)).select(*ends()).distinct()
         near = cut(near if tested is None else near.join(tested, ["u", "v"], "left_anti"))
         tested = near if tested is None else tested.unionByName(near)
@@ -375,15 +383,13 @@ def similar_nodes(docs: DataFrame, similarity: float, shingle: int, bits: int) -
         across = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.top")) | (F.col("a.node") < F.col("b.node")))
         return members.where("label <> top").alias("a").join(members.alias("b"), across & near).select(*ends())
 
-    few = mixed.where(F.col("all") <= PAIRWISE).select("key", "node", "fp", "n", "start", "ring", "budget", "label", "top")
+    few = mixed.where(F.col("all") <= PAIRWISE).select("key", "node", "fp", "n", "start", "ring", "budget", "common", "label", "top")
     many = mixed.where(F.col("all") > PAIRWISE).select(*few.columns)
     shared_keys = many.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    common = in_common(many.select("node", "n").distinct().join(sets, "node"), similarity)
-    many = stored(many.join(shared_keys, "node").join(common, "node"))
+    many = stored(many.join(shared_keys, "node"))
     # of a crowded key's pairs only those whose first crowded key it is: without the chains of a start, as those of another may hold
     first = let(F.array_intersect("a.keys", "b.keys"), lambda both: both[0] == F.col("a.key"))
-    enough_common = F.least("a.common", "b.common") * (1 + similarity) >= (F.col("a.n") + F.col("b.n")) * similarity - 1e-6
-    pairs = crossed(few, close("a", "b")).unionByName(crossed(many, close("a", "b", lengths=()) & enough_common & first)).distinct()
+    pairs = crossed(few, close("a", "b")).unionByName(crossed(many, close("a", "b", lengths=()) & first)).distinct()
     rest = linked(cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")))
     found = rest if found is None else found.unionByName(rest)
     return prints, found
