@@ -14,6 +14,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,8 @@ SHORT_BITS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
 BLOCK, SEGMENT = 4096, 1 << 18
 #: Stretches of text of a generation of a worker's cache; it bounds the room taken, never the results.
 CACHE = 250_000
+#: Words of plain texts that a worker's arrays hold from one batch to the next.
+NUMBERED = 400_000
 #: The tokenizers whose texts may be cut at spaces: how they normalise, and the pieces that they keep.
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -139,11 +142,57 @@ def plain_text(text: str) -> bool:
     return not _odd(text) and "<|" not in text
 
 
+class Numbered:
+    """A cache of the ids of words as arrays: Arrow numbers the words, ``solve(list of new words)`` gives the bytes of their
+    uint32 ids, and a word's ids are ``counts`` of ``ids`` from ``starts`` on."""
+
+    def __init__(self, solve, size: int):
+        self.solve, self.size = solve, size
+        self.keep(None)
+
+    def keep(self, some: np.ndarray | None) -> None:
+        """Forgets all but ``some`` of the words."""
+        if some is None:
+            self.words, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.uint32)
+            self.counts = self.starts = np.zeros(0, np.int64)
+        else:
+            counts = self.counts[some]
+            starts = np.cumsum(counts) - counts
+            self.ids = self.ids[np.repeat(self.starts[some] - starts, counts) + np.arange(counts.sum())]
+            self.words, self.counts, self.starts = self.words.filter(pa.array(some)), counts, starts
+        self.again = np.zeros(len(self.words), bool)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each of ``words``; it holds until ``bound``."""
+        had = len(self.words)
+        coded = pa.concat_arrays([self.words, words]).dictionary_encode()
+        self.words, number = coded.dictionary, coded.indices.to_numpy()[had:]
+        found = self.solve(self.words[had:].to_pylist())
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
+        self.again = np.concatenate([self.again, np.zeros(len(found), bool)])
+        self.again[number[number < had]] = True
+        return number
+
+    def bound(self) -> None:
+        """Words of over LONG bytes go; above ``size`` words those that were asked for again stay, if they are half of it at most."""
+        short = pc.binary_length(self.words).to_numpy() <= LONG
+        if len(short) > self.size:
+            stay = short & self.again
+            self.keep(stay if stay.sum() <= self.size // 2 else None)
+        elif not short.all():
+            again = self.again[short]
+            self.keep(short)
+            self.again = again
+
+
 class Encoder:
     """Ids of whole texts, as the ``tokenizers`` library gives them, stretch by stretch where that is the same.
 
     A tokenizer that keeps only matches of PIECES, after NFC and lower case, never looks across white space. A text of
-    plain Latin letters, which NFC leaves alone and which lower case maps one by one, is cut into pieces here, and the
+    plain Latin letters, which NFC leaves alone and which lower case maps one by one, is cut at white space here; Arrow
+    numbers the different stretches of many texts, so each is looked up once. New ones are cut into pieces, and the
     library's model is asked for pieces that no cache knows. Of other texts the stretches between spaces and line feeds
     are cached: plain ones are cut likewise, the rest, and whole texts of other tokenizers, go through the whole library.
     """
@@ -160,7 +209,7 @@ class Encoder:
         self.cuts = drops_space(spec)
         self.model = self.library.model
         self.letters = dict(enumerate(byte_letters()))
-        self.known, self.pieces = Generations(CACHE), Generations(CACHE)
+        self.known, self.pieces, self.plain = Generations(CACHE), Generations(CACHE), Numbered(self.of_words, NUMBERED)
 
     def piece(self, piece: str) -> bytes:
         text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
@@ -177,7 +226,7 @@ class Encoder:
                 del pieces[p]
         return out
 
-    def by_stretch(self, texts: list[str]) -> list[bytes]:
+    def by_stretch(self, texts: list[str]) -> list[np.ndarray]:
         parts = [t.replace("\n", " ").split(" ") if self.cuts else [t] for t in texts]
         new = self.known.missing(set(chain.from_iterable(parts)))
         known = self.known.young
@@ -186,18 +235,34 @@ class Encoder:
         other = [s for s in new if s not in known]
         found = self.library.encode_batch_fast(other, add_special_tokens=False)
         known.update((s, array("I", e.ids).tobytes()) for s, e in zip(other, found, strict=True))
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        out = [np.frombuffer(b"".join(map(known.__getitem__, p)), np.uint32) for p in parts]
         for s in new:
             if len(s) > LONG:
                 del known[s]
         return out
 
+    def by_number(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of plain texts, laid out by the numbers that their stretches have."""
+        words = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        number = self.plain.numbers(words.flatten())
+        count, at = self.plain.counts[number], self.plain.starts[number]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = self.plain.ids[np.repeat(at - ends[:-1], count) + np.arange(ends[-1])]
+        self.plain.bound()
+        return np.split(ids, ends[words.offsets.to_numpy()[1:-1]]) if texts else []
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of different plain words in lower case; what is no single piece goes through the cache of pieces."""
+        parts = list(map(_pieces, words))
+        several = iter(self.joined([p for p in parts if len(p) > 1]))
+        return [next(several) if len(p) > 1 else self.piece(p[0]) if p else b"" for p in parts]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         plain = [self.cuts and plain_text(t) for t in texts]
-        cut = iter(self.joined([_pieces(t.lower()) for t, p in zip(texts, plain, strict=True) if p]))
+        cut = iter(self.by_number([t for t, p in zip(texts, plain, strict=True) if p]))
         rest = iter(self.by_stretch([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [np.frombuffer(next(cut) if p else next(rest), np.uint32) for p in plain]
+        return [next(cut) if p else next(rest) for p in plain]
 
 
 def drops_space(spec: dict) -> bool:
@@ -235,8 +300,8 @@ def _segments(path: str, end_id: int | None):
             docs, counts, ids = [], [], []
             for b in batches:
                 texts, names = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-                for s in range(0, len(texts), 1024):
-                    for name, piece in zip(names[s : s + 1024], _encoders[path].encode(texts[s : s + 1024]), strict=True):
+                for s in range(0, len(texts), 2048):
+                    for name, piece in zip(names[s : s + 2048], _encoders[path].encode(texts[s : s + 2048]), strict=True):
                         piece = piece if end_id is None else np.append(piece, np.uint32(end_id))
                         docs.append(name)
                         counts.append(len(piece))
