@@ -259,13 +259,14 @@ def split_shards(members: DataFrame, sizes: list, seed: int, margin: float) -> D
 
 
 def shards(classes: DataFrame, threshold: float) -> DataFrame:
-    """``classes(rep, label, vector, copies)`` -> the same with ``shard``, several rows a vector, ``home`` and ``tile``.
+    """``classes(rep, label, vector, copies)`` -> the same with ``shard``, several rows a vector, ``home``, ``tile`` and ``within``.
 
     Shards start as one a label and length, and are split around centroids of a bounded sample, the largest first and
     as many a round as CENTROIDS allows, for as many rounds as it takes until none holds more than TASK vectors or
     splitting no longer makes it smaller. Parts overlap by half the length of a link, so the two ends of a link always
     share a shard, one of them as the part of its nearest centroid: its ``home``. A shard that stays larger (a dense ball) is cut into chunks by hash, and each
-    pair of chunks is a tile of its own, so no task takes more than TASK vectors and no pair is lost.
+    pair of different chunks is a tile of its own, so no task takes more than TASK vectors and no pair is lost. The pairs
+    inside a chunk count in one of its tiles, where its rows are ``within``.
     """
     start = F.concat_ws("x", F.col("label").cast("string"), F.size("vector").cast("string"))
     margin = float(np.sqrt(2 - 2 * threshold)) / 2
@@ -288,8 +289,11 @@ def shards(classes: DataFrame, threshold: float) -> DataFrame:
     large = cut(sizes.where(F.col("n") > TASK).withColumn("chunks", F.ceil(F.col("n") / (TASK // 2)).cast("int")))
     # fewer than rows / TASK shards are large; those beyond a broadcast's size join by a shuffle
     marked = members.join(large.select("shard", "chunks"), "shard", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64(F.lit("chunk"), "rep"), F.col("chunks")).cast("int"), F.lit(0)))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))
-    tiled = marked.withColumn("other", other).withColumn("tile", F.concat_ws("-", "shard", F.least("chunk", "other").cast("string"), F.greatest("chunk", "other").cast("string")))
+    last = F.coalesce("chunks", F.lit(1)) - 1
+    other = F.explode(F.filter(F.sequence(F.lit(0), last), lambda c: (c != F.col("chunk")) | (last == 0)))
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    within = (last == 0) | (high == low + 1) & (low == F.least(F.col("chunk"), last - 1))
+    tiled = marked.withColumn("other", other).withColumn("tile", F.concat_ws("-", "shard", low.cast("string"), high.cast("string"))).withColumn("within", within)
     return tiled.drop("chunks", "other")
 
 
@@ -314,7 +318,7 @@ def _search(threshold: float):
             at = np.minimum(ids[i, : len(e)], len(reps) - 1)
             ids[i, : len(e)] = np.where(reps[at] == e, at, -1)
         links = links_of(unit(rows["vector"].tolist()), ids, threshold, np.nonzero(rows["home"].to_numpy())[0])
-        # a pair counts in the first shard that both are in and one has as home; in a tile of two chunks, only across them
+        # a pair counts in the first shard that both are in and one has as home; in a tile of two chunks, across them or within
         homes = rows["homes"].tolist()
         names = {h: i for i, h in enumerate(sorted({h["shard"] for hs in homes for h in hs}))}
         member, home = np.zeros((len(rows), len(names)), np.float32), np.zeros((len(rows), len(names)), np.float32)
@@ -324,8 +328,7 @@ def _search(threshold: float):
         here = names[rows["shard"].iloc[0]]
         earlier = home[:, :here] @ member[:, :here].T > 0
         counted = links & ~(earlier | earlier.T)
-        if len(set(chunk)) > 1:
-            counted &= chunk[:, None] != chunk[None, :]
+        counted &= (chunk[:, None] != chunk[None, :]) | rows["within"].to_numpy()[:, None]
         return pd.DataFrame({"rep": reps, "linked": counted @ copies, "low": reps[local_components(links)]})
 
     return run
@@ -355,7 +358,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     homes = placed.select("rep", "shard", "home").distinct().groupBy("rep").agg(F.collect_list(F.struct("shard", "home")).alias("homes"))
     edges = placed.select("tile", "rep", "vector").groupBy("tile").applyInPandas(_build(threshold), "rep long, edges array<long>")
     united = edges.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
-    ready = placed.join(united.join(homes, "rep"), "rep").select("tile", "shard", "home", "chunk", "rep", "vector", "copies", "edges", "homes")
+    ready = placed.join(united.join(homes, "rep"), "rep").select("tile", "shard", "home", "chunk", "within", "rep", "vector", "copies", "edges", "homes")
     found = cut(ready.groupBy("tile").applyInPandas(_search(threshold), "rep long, linked long, low long"))
     label = components(found.select(F.col("rep").alias("u"), F.col("low").alias("v")))
     links = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
