@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,6 +25,9 @@ BEAM, OWN_BEAM, MEDOIDS = 16, 8, 64
 QUERIES = 256
 #: Rounding that a comparison of two similarities leaves room for.
 EPS = 1e-9
+#: The bound before the shards: the least directions of a sketch, and eighths of the dimensions; vectors of a chunk, rows of a
+#: product, and room for rounding in single precision.
+SKETCH, EIGHTHS, CHUNK, BLOCK, SLACK = 16, 3, 16384, 128, 1e-5
 
 
 def unit(vectors) -> np.ndarray:
@@ -232,6 +235,24 @@ def centroids_of(x: np.ndarray, parts: int, margin: float) -> np.ndarray | None:
     return None
 
 
+def start_of() -> Column:
+    """What vectors must share to link: label and length."""
+    return F.concat_ws("x", F.col("label").cast("string"), F.size("vector").cast("string"))
+
+
+def tiles(rows: DataFrame, group: str) -> DataFrame:
+    """``rows(rep, chunks, group, ...)`` in as many chunks of their group as ``chunks`` says (null: one), by hash, with ``chunk``
+    and a row for each ``tile``: a pair of different chunks, or the one that there is. The pairs inside a chunk count in one of
+    its tiles, where its rows are ``within``."""
+    last = F.coalesce("chunks", F.lit(1)) - 1
+    marked = rows.withColumn("chunk", F.coalesce(F.pmod(F.xxhash64(F.lit("chunk"), "rep"), F.col("chunks")).cast("int"), F.lit(0)))
+    other = F.explode(F.filter(F.sequence(F.lit(0), last), lambda c: (c != F.col("chunk")) | (last == 0)))
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    within = (last == 0) | (high == low + 1) & (low == F.least(F.col("chunk"), last - 1))
+    tiled = marked.withColumn("other", other).withColumn("tile", F.concat_ws("-", group, low.cast("string"), high.cast("string"))).withColumn("within", within)
+    return tiled.drop("chunks", "other")
+
+
 def split_shards(members: DataFrame, sizes: list, seed: int, margin: float) -> DataFrame:
     """Members of the shards in ``sizes`` [(shard, n)] go to the centroids of their shard that ``homes_of`` names."""
     parts = {s: min(FANOUT, -(-n // SHARD)) for s, n in sizes}
@@ -268,9 +289,8 @@ def shards(classes: DataFrame, threshold: float) -> DataFrame:
     pair of different chunks is a tile of its own, so no task takes more than TASK vectors and no pair is lost. The pairs
     inside a chunk count in one of its tiles, where its rows are ``within``.
     """
-    start = F.concat_ws("x", F.col("label").cast("string"), F.size("vector").cast("string"))
     margin = float(np.sqrt(2 - 2 * threshold)) / 2
-    members, round_ = cut(classes.withColumn("shard", start).withColumn("of", F.lit(None).cast("long")).withColumn("home", F.lit(True))), 0
+    members, round_ = cut(classes.withColumn("shard", start_of()).withColumn("of", F.lit(None).cast("long")).withColumn("home", F.lit(True))), 0
     while True:
         sizes = members.groupBy("shard").agg(F.count("*").alias("n"), F.max("of").alias("of"))
         smaller = F.col("of").isNull() & (F.col("n") > 2 * SHARD) | (F.col("n") > TASK) & (F.col("n") <= 0.9 * F.col("of"))
@@ -288,13 +308,59 @@ def shards(classes: DataFrame, threshold: float) -> DataFrame:
     sizes = members.groupBy("shard").agg(F.count("*").alias("n"))
     large = cut(sizes.where(F.col("n") > TASK).withColumn("chunks", F.ceil(F.col("n") / (TASK // 2)).cast("int")))
     # fewer than rows / TASK shards are large; those beyond a broadcast's size join by a shuffle
-    marked = members.join(large.select("shard", "chunks"), "shard", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64(F.lit("chunk"), "rep"), F.col("chunks")).cast("int"), F.lit(0)))
-    last = F.coalesce("chunks", F.lit(1)) - 1
-    other = F.explode(F.filter(F.sequence(F.lit(0), last), lambda c: (c != F.col("chunk")) | (last == 0)))
-    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
-    within = (last == 0) | (high == low + 1) & (low == F.least(F.col("chunk"), last - 1))
-    tiled = marked.withColumn("other", other).withColumn("tile", F.concat_ws("-", "shard", low.cast("string"), high.cast("string"))).withColumn("within", within)
-    return tiled.drop("chunks", "other")
+    return tiles(members.join(large.select("shard", "chunks"), "shard", "left"), "shard")
+
+
+def sketches(x: np.ndarray) -> np.ndarray:
+    """Unit vectors along some fixed orthonormal directions, and the length of what these leave, in single precision.
+
+    The product of two sketches is at least that of their vectors: what is left adds the product of its lengths at most.
+    """
+    d = x.shape[1]
+    axes = np.linalg.qr(np.random.default_rng(d).normal(size=(d, min(d, max(SKETCH, EIGHTHS * d // 8)))))[0]
+    y = x @ axes
+    return np.column_stack([y, np.sqrt(np.maximum(0, 1 - (y * y).sum(axis=1)))]).astype(np.float32)
+
+
+def in_bound(s: np.ndarray, chunk: np.ndarray, within: np.ndarray, threshold: float) -> np.ndarray:
+    """Which sketches of a tile have another one in range: one of the other chunk, or of their own where ``within``."""
+    found = np.zeros(len(s), bool)
+    for part in np.unique(chunk):
+        own = np.nonzero(chunk == part)[0]
+        inside = bool(within[own[0]])
+        other = np.nonzero((chunk > part) | (chunk == part) & inside)[0]
+        for i in range(0, len(own) if len(other) else 0, BLOCK):
+            rows = own[i : i + BLOCK]
+            near = s[rows] @ s[other].T >= threshold - SLACK
+            if inside:
+                near[np.arange(len(rows)), np.searchsorted(other, rows)] = False
+            found[rows] |= near.any(axis=1)
+            found[other] |= near.any(axis=0)
+    return found
+
+
+def linkable(classes: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``classes(rep, label, vector, ...)`` that could link with another of their label and length.
+
+    A sketch bounds similarities from above, so a vector whose sketch no other comes near enough to has no link and needs no
+    place in a shard or graph. Sketches meet in tiles of two chunks: all pairs of a label, but short ones, and no pair is taken
+    for a link here; that is left to the graphs.
+    """
+
+    def sketch(batches):
+        for b in batches:
+            for _, rows in b.groupby(b["vector"].map(len)):
+                yield pd.DataFrame({"rep": rows["rep"].to_numpy(), "group": rows["group"].to_numpy(), "sketch": list(sketches(unit(rows["vector"].tolist())))})
+
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep", ignore_index=True)
+        return rows.loc[in_bound(np.stack(rows["sketch"].tolist()), rows["chunk"].to_numpy(), rows["within"].to_numpy(), threshold), ["rep"]]
+
+    rows = classes.select("rep", start_of().alias("group"), "vector")
+    sizes = cut(rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
+    drawn = rows.mapInPandas(sketch, "rep long, group string, sketch array<float>")
+    found = tiles(drawn.join(sizes, "group"), "group").groupBy("tile").applyInPandas(near, "rep long")
+    return cut(classes.join(found.distinct(), "rep", "left_semi"))
 
 
 def _build(threshold: float):
@@ -342,7 +408,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     share a class that is searched once. Rows that repeat a vec_id are one vector, the smallest (label, embedding), null labels last;
     rows without vec_id come back without links and component. Other columns are ignored.
 
-    Shards overlap so that the ends of a link share one. Each shard's graph grows by searches in itself, the adjacency
+    Only vectors that could link, by a bound on similarity, go on. Shards overlap so that the ends of a link share one. Each shard's graph grows by searches in itself, the adjacency
     lists of a vector's shards are united, and each shard is searched on the united lists, from its medoids and from each
     vector. A link is lost only if no search of the growing graph came near it; ``audit_recall`` measures that. Vectors
     of any length are read whole; an empty table gives an empty one. Counts of links and a spanning star a local component leave a task, never the pairs.
@@ -354,7 +420,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     rows = cut(named.withColumn("usable", usable))
     good = rows.where("usable").select("vec_id", "label", "vector")
     classes = cut(good.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    placed = cut(shards(classes.select("rep", "label", "vector", "copies"), threshold))
+    placed = cut(shards(linkable(classes.select("rep", "label", "vector", "copies"), threshold), threshold))
     homes = placed.select("rep", "shard", "home").distinct().groupBy("rep").agg(F.collect_list(F.struct("shard", "home")).alias("homes"))
     edges = placed.select("tile", "rep", "vector").groupBy("tile").applyInPandas(_build(threshold), "rep long, edges array<long>")
     united = edges.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
@@ -363,7 +429,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     label = components(found.select(F.col("rep").alias("u"), F.col("low").alias("v")))
     links = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     result = links.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "linked", F.coalesce("label", "rep").alias("component_id"))
-    solved = cut(classes.join(result, "rep").withColumn("n", F.col("copies")).withColumn("n_links", F.col("copies") - 1 + F.col("linked")).select(F.col("label"), "vector", "n", "n_links", "component_id"))
+    n_links, component = F.col("copies") - 1 + F.coalesce("linked", F.lit(0)), F.coalesce("component_id", "rep").alias("component_id")
+    solved = cut(classes.join(result, "rep", "left").select("label", "vector", F.col("copies").alias("n"), n_links.alias("n_links"), component))
     linked = skew_join(good, solved, ["label", "vector"], "n", good.count()).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     nameless = vectors.where("vec_id is null").select(F.lit(None).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
