@@ -59,9 +59,12 @@ def stem(t: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """FN2, FN5: stemmed runs of letters and digits; stop words and single characters go after stemming."""
-    stems = F.transform(runs(normalise(c)), stem)
-    return F.filter(stems, lambda t: (F.length(t) > 1) & ~F.array_contains(words(fixed.RETRIEVAL_STOPS), t))
+    """FN2, FN5: stemmed runs of letters and digits; stop words and single characters go after stemming.
+
+    Lower case does for ``normalise``, which else trades characters that are in no run for others that are in none.
+    """
+    stems = F.transform(runs(F.lower(c)), stem)
+    return F.filter(stems, lambda t: (F.length(t) > 1) & ~t.isin(fixed.RETRIEVAL_STOPS))
 
 
 def temporal_terms(toks: Column) -> Column:
