@@ -63,6 +63,9 @@ def range_search(x: np.ndarray, q: np.ndarray, starts: np.ndarray, adj: list[np.
     reach = 4 * threshold - 3 - EPS
 
     def meet(pair_q, pair_n):
+        if 4 * len(pair_q) > m * n:  # most of them: one product is less than as many short ones
+            sims[pair_q, pair_n] = waiting[pair_q, pair_n] = (q @ x.T)[pair_q, pair_n]
+            return
         for i in range(0, len(pair_q), piece):
             a, b = pair_q[i : i + piece], pair_n[i : i + piece]
             sims[a, b] = waiting[a, b] = np.einsum("ij,ij->i", q[a], x[b])
@@ -71,8 +74,9 @@ def range_search(x: np.ndarray, q: np.ndarray, starts: np.ndarray, adj: list[np.
         waiting[qi, node] = -2.0
         for edges in adj:
             near = edges[node]
-            pair_q, pair_n = np.repeat(qi, near.shape[1]), near.ravel()
-            fresh = (pair_n >= 0) & (sims[pair_q, pair_n] == -2)
+            row, place = np.nonzero(near >= 0)  # few places of a hub's width are taken
+            pair_q, pair_n = qi[row], near[row, place]
+            fresh = sims[pair_q, pair_n] == -2
             code = np.unique(pair_q[fresh] * n + pair_n[fresh])
             meet(code // n, code % n)
 
@@ -82,7 +86,7 @@ def range_search(x: np.ndarray, q: np.ndarray, starts: np.ndarray, adj: list[np.
         if not open_.any():
             break
         expand(who[open_], best[open_])
-    table = None  # who leads where, for steps that expand many nodes at once
+    leads = None  # who leads where, for steps that expand many nodes at once
     while True:
         todo = waiting >= reach
         if todo.any():
@@ -93,12 +97,15 @@ def range_search(x: np.ndarray, q: np.ndarray, starts: np.ndarray, adj: list[np.
         if count <= n:
             expand(*np.nonzero(todo))
             continue
-        if table is None:
-            table = np.zeros((n, n + 1), np.float32)  # the last column takes the empty places
-            for edges in adj:
-                table[np.arange(n)[:, None], edges] = 1
+        if leads is None:
+            leads = np.concatenate([np.stack([row, edges[row, place]], axis=1) for edges in adj for row, place in [np.nonzero(edges >= 0)]])
+            leads = leads[np.argsort(leads[:, 1], kind="stable")]
+            ends, first = np.unique(leads[:, 1], return_index=True)
         waiting[todo] = -2.0
-        meet(*np.nonzero((todo.astype(np.float32) @ table[:, :n] > 0) & (sims == -2)))
+        bits = np.packbits(todo.T, axis=1)  # a row a node, a bit a query
+        met = np.zeros_like(bits)
+        met[ends] = np.bitwise_or.reduceat(bits[leads[:, 0]], first, axis=0)
+        meet(*np.nonzero(np.unpackbits(met, axis=1, count=m).T.astype(bool) & (sims == -2)))
 
 
 class Graph:
