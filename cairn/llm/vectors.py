@@ -13,6 +13,8 @@ from .components import components
 
 #: Vectors a shard aims at, and that one task takes at most; a shard that no split makes smaller is tiled.
 SHARD, TASK = 1024, 4096
+#: The most tasks that tiles are dealt to.
+TASKS = 1000
 #: Centroids of all shards that one round splits, vectors sampled for each, and parts of one shard.
 CENTROIDS, SAMPLED, FANOUT = 4096, 16, 256
 #: Shards that hold a vector after a split, on average of the sample, and the largest part; else fewer parts are tried.
@@ -428,11 +430,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     good = rows.where("usable").select("vec_id", "label", "vector")
     classes = cut(good.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     placed = cut(shards(linkable(classes.select("rep", "label", "vector", "copies"), threshold), threshold))
+    # few bytes a tile and much work, so Spark is not to put tiles together by size
+    parts = max(1, min(placed.select("tile").distinct().count(), TASKS))
     homes = placed.select("rep", "shard", "home").distinct().groupBy("rep").agg(F.collect_list(F.struct("shard", "home")).alias("homes"))
-    edges = placed.select("tile", "rep", "vector").groupBy("tile").applyInPandas(_build(threshold), "rep long, edges array<long>")
+    edges = placed.select("tile", "rep", "vector").repartition(parts, "tile").groupBy("tile").applyInPandas(_build(threshold), "rep long, edges array<long>")
     united = edges.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
     ready = placed.join(united.join(homes, "rep"), "rep").select("tile", "shard", "home", "chunk", "within", "rep", "vector", "copies", "edges", "homes")
-    found = cut(ready.groupBy("tile").applyInPandas(_search(threshold), "rep long, linked long, low long"))
+    found = cut(ready.repartition(parts, "tile").groupBy("tile").applyInPandas(_search(threshold), "rep long, linked long, low long"))
     label = components(found.select(F.col("rep").alias("u"), F.col("low").alias("v")))
     links = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     result = links.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "linked", F.coalesce("label", "rep").alias("component_id"))
